@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -51,6 +52,8 @@ class TrainConfig:
     tolerance. ``sampler`` picks the keyed hash (``xxhash64``/``md5``) or layout-dependent
     ``bernoulli``. ``shards`` fixes the number of SVRG shards (default: rows of the batch
     divided by ``max_shard_rows``); ``order`` is the row order of a shard walk.
+    ``update`` is a user rule ``(w, g, state, ctx) -> (w, state)`` that replaces the
+    method's rule (the state starts as an empty dict).
     """
 
     loss: str | MarginLoss = "logistic"
@@ -72,6 +75,7 @@ class TrainConfig:
     shard_by: str = "hash"
     order: str = "random"
     kernel: str = "auto"
+    update: Callable | None = None
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -238,7 +242,8 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
                        result: FitResult, partitions: int) -> None:
     reg = cfg.effective_reg()
     shown_penalty = reg_penalty(cfg.method, cfg.penalty)
-    state = init_state(cfg.method, w)
+    state = {} if cfg.update is not None else init_state(cfg.method, w)
+    rule = cfg.update or (lambda w_, g_, s_, c_: apply_rule(cfg.method, w_, g_, s_, c_))
     reg_val = penalty_value(w, reg, shown_penalty)
     keep_history = records_history(cfg.method, cfg.variant)
     updates = 0
@@ -250,7 +255,7 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
             if keep_history:
                 result.history.append(HistoryEntry(i, sums.mean_loss, reg_val, sums.count))
             ctx = StepContext(i=i, t=updates, step=cfg.step, reg=reg, penalty=cfg.penalty, variant=cfg.variant)
-            new_w, state = apply_rule(cfg.method, w, sums.mean_grad, state, ctx)
+            new_w, state = rule(w, sums.mean_grad, state, ctx)
             reg_val = penalty_value(new_w, reg, shown_penalty)
             updates += 1
             stop = updates >= 2 and converged(w, new_w, cfg.tol)
