@@ -74,3 +74,15 @@ def sigmoid(x: Column) -> Column:
 def np_log1pexp(x: np.ndarray) -> np.ndarray:
     """NumPy twin of :func:`log1pexp`."""
     return np.logaddexp(0.0, x)
+
+
+def dot_array(features: str | Column, weights: Sequence[float]) -> Column:
+    """``x . w`` with the weights passed as one array literal.
+
+    Array literals are held by reference in generated code, so a plan that only changes
+    the weight values between iterations reuses the compiled code (the unrolled form
+    inlines every weight and recompiles each time). Used by iterative column kernels.
+    """
+    w = F.array(*[F.lit(float(v)) for v in np.asarray(weights, dtype=np.float64)])
+    prods = F.zip_with(as_column(features), w, lambda a, b: a.cast("double") * b)
+    return F.aggregate(prods, F.lit(0.0), lambda acc, v: acc + v)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeline.functions.linalg import dot_slice, element
+from slopeline.functions.linalg import dot_array, dot_slice
 from slopeline.functions.losses import MarginLoss
 
 DIRECT_MERGE_LIMIT = 1 << 21
@@ -146,26 +146,38 @@ def gradient_frame_arrow(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d
     return merge_slots(partials)
 
 
+def staged_margins(df: DataFrame, weights: np.ndarray, outputs: int, d: int, features: str = "features",
+                   keep: tuple = (), iterative: bool = False) -> tuple[DataFrame, list]:
+    """Project the margins of every output once (as one array column ``_margins``) so that
+    loss expressions referring to a margin several times reuse the computed value.
+    ``iterative`` passes the weights as array literals so repeated plans share compiled code."""
+    w = np.asarray(weights, dtype=np.float64)
+    if iterative:
+        margins = [dot_array(features, w[c * d:(c + 1) * d]) for c in range(outputs)]
+    else:
+        margins = [dot_slice(features, w, c * d, d) for c in range(outputs)]
+    staged = df.select(*keep, F.array(*margins).alias("_margins"))
+    return staged, [F.col("_margins").getItem(c) for c in range(outputs)]
+
+
+def _scaled_by(mult):
+    """Element lambda ``v -> v * mult`` (one argument, so ``transform`` passes no index)."""
+    return lambda v: v.cast("double") * mult
+
+
 def gradient_frame_expr(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
                         features: str = "features", label: str = "label") -> DataFrame:
-    """Same long form computed with column expressions and one global aggregate."""
+    """Same long form computed with column expressions: each row emits its gradient terms
+    ``mult_c * x_j`` and its loss as ``(slot, value)`` pairs (``posexplode``), and one
+    hash aggregate by slot sums them map-side, then per slot."""
     k = loss.outputs
-    w = np.asarray(weights, dtype=np.float64)
-    y = F.col(label).cast("double")
-    margins = [dot_slice(features, w, c * d, d) for c in range(k)]
-    row_loss, mults = loss.columns(margins, y)
-    staged = df.select(
-        F.col(features).alias("_x"),
-        row_loss.alias("_loss"),
-        *[m.alias(f"_m{c}") for c, m in enumerate(mults)],
-    )
-    aggs = [F.sum(F.col(f"_m{c}") * element("_x", j)).alias(f"g_{c * d + j}") for c in range(k) for j in range(d)]
-    aggs += [F.sum("_loss").alias("loss_sum"), F.count(F.lit(1)).alias("n")]
-    names = [f"g_{s}" for s in range(k * d)] + ["loss_sum"]
-    return (staged.agg(*aggs)
-            .where(F.col("n") > 0)
-            .select(F.posexplode(F.array(*[F.col(c) for c in names])).alias("slot", "value"), "n")
-            .select(F.col("slot").cast("int").alias("slot"), "value", "n"))
+    staged, margins = staged_margins(df, weights, k, d, features, iterative=True,
+                                     keep=(F.col(features).alias("_x"), F.col(label).cast("double").alias("_y")))
+    row_loss, mults = loss.columns(margins, F.col("_y"))
+    terms = [F.transform(F.col("_x"), _scaled_by(m)) for m in mults]
+    exploded = staged.select(F.posexplode(F.concat(*terms, F.array(row_loss))).alias("slot", "value"))
+    return (exploded.groupBy(F.col("slot").cast("int").alias("slot"))
+            .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
 
 
 def choose_kernel(loss: MarginLoss, d: int, kernel: str = "auto") -> str:

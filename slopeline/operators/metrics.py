@@ -10,8 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopeline.functions.linalg import dot_slice
 from slopeline.functions.losses import MarginLoss
+from slopeline.operators.gradient import staged_margins
 
 # Distinct scores handled by one window task; above it, scores are cut into range buckets.
 BUCKET_ROWS = 1_000_000
@@ -81,14 +81,17 @@ def area_under_roc(df: DataFrame, score: str = "score", label: str = "label", di
 
 def row_loss_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *, key: str = "key",
                    label: str = "label", features: str = "features") -> DataFrame:
-    """Per-row ``(key, label, loss, mult_0..)`` at fixed weights, as column expressions."""
-    w = np.asarray(weights, dtype=np.float64)
-    y = F.col(label).cast("double")
-    margins = [dot_slice(features, w, c * d, d) for c in range(loss.outputs)]
-    row_loss, mults = loss.columns(margins, y)
+    """Per-row ``(key, label, loss, mult..)`` at fixed weights.
+
+    Single-margin losses are column expressions; multi-output losses (multinomial) use
+    their NumPy form in ``mapInArrow`` so the softmax is computed once per row."""
+    if loss.outputs > 1 and loss.has_numpy:
+        return _row_loss_arrow(df, weights, loss, d, key, label, features)
+    staged, margins = staged_margins(df, weights, loss.outputs, d, features,
+                                     keep=(F.col(key).alias("key"), F.col(label).cast("double").alias("label")))
+    row_loss, mults = loss.columns(margins, F.col("label"))
     names = ["mult"] if len(mults) == 1 else [f"mult_{c + 1}" for c in range(len(mults))]
-    return df.select(F.col(key).alias("key"), y.alias("label"), row_loss.alias("loss"),
-                     *[m.alias(nm) for m, nm in zip(mults, names)])
+    return staged.select("key", "label", row_loss.alias("loss"), *[m.alias(nm) for m, nm in zip(mults, names)])
 
 
 def mean_loss_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, reg_value: float = 0.0,
@@ -105,3 +108,27 @@ def weight_norms_frame(weights: DataFrame, reg: float) -> DataFrame:
     return weights.agg(F.sum(F.abs("weight")).alias("l1"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("l2")).select(
         "l1", "l2", (F.col("l1") * F.lit(float(reg))).alias("reg_l1"),
         (F.lit(0.5 * float(reg)) * F.col("l2") * F.col("l2")).alias("reg_l2"))
+
+
+def _row_loss_arrow(df, weights, loss, d, key, label, features):
+    import pyarrow as pa
+
+    from slopeline.operators.gradient import features_matrix, label_vector
+
+    k = loss.outputs
+    w = np.asarray(weights, dtype=np.float64).reshape(k, d)
+    names = [f"mult_{c + 1}" for c in range(k)]
+
+    def kernel(batches):
+        for b in batches:
+            x = features_matrix(b.column("features"), d)
+            y = label_vector(b.column("label"))
+            row_loss, mult = loss.numpy(x @ w.T, y) if len(y) else (np.zeros(0), np.zeros((0, k)))
+            cols = [b.column("key"), pa.array(y), pa.array(row_loss)] + [pa.array(mult[:, c]) for c in range(k)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "label", "loss"] + names)
+
+    src = df.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"),
+                    F.col(features).alias("features"))
+    key_type = src.schema["key"].dataType.simpleString()
+    schema = f"key {key_type}, label DOUBLE, loss DOUBLE, " + ", ".join(f"{n} DOUBLE" for n in names)
+    return src.mapInArrow(kernel, schema)

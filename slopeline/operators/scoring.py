@@ -6,7 +6,7 @@ Multinomial: margins of classes ``1..K-1`` (plus the block's bias slot if presen
 pivot class 0 wins unless some margin is positive, and ties go to the lower class.
 
 Narrow models are unrolled into whole-stage-codegen expressions; past
-:data:`~slopeline.functions.linalg.UNROLL_LIMIT` features the margins come from an Arrow
+:data:`~slopeline.functions.linalg.UNROLL_LIMIT` weights the margins come from an Arrow
 ``pandas_udf`` doing one matrix product per batch.
 """
 
@@ -44,7 +44,7 @@ def _margins_udf(model: LinearModel):
 def margin_columns(model: LinearModel, features: str = "features") -> list[Column]:
     """One margin column per non-pivot class (one column for binary models)."""
     d = model.num_features
-    if d > UNROLL_LIMIT:
+    if max(1, model.num_classes - 1) * d > UNROLL_LIMIT:
         arr = _margins_udf(model)(F.col(features))
         k = max(1, model.num_classes - 1)
         cols = [arr.getItem(c) for c in range(k)]
