@@ -3,7 +3,8 @@
 Both trainers need a sequential pass over rows, which only parallelises across shards. A
 shard is a deterministic group of the sampled batch: ``pmod(xxhash64(key, row id), S)``
 by default (the row id salts the hash, so a hot key or a block of copied rows is spread
-over all shards), or ``pmod(key, S)`` for checks. ``S`` comes from the expected batch
+over all shards; the row id comes from the input splits, so the walk is reproducible for a
+given input), or ``pmod(key, S)``, which is also independent of the input layout. ``S`` comes from the expected batch
 size divided by ``max_shard_rows``, so a shard -- the unit ``applyInArrow`` holds in
 memory -- stays bounded however large the table grows.
 
