@@ -6,14 +6,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions.losses import MarginLoss
 from slopeline.operators.gradient import staged_margins
 
-# Distinct scores handled by one window task; above it, scores are cut into range buckets.
+# Distinct scores per range bucket of the exact AUC (one bucket is held by one task).
 BUCKET_ROWS = 1_000_000
 
 
@@ -29,49 +28,55 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", digi
                  F.sum(F.when(F.col("y") == 1.0, 0).otherwise(1)).cast("bigint").alias("neg")))
 
 
+def _range_area_kernel(batches):
+    """Per range partition: sort the distinct scores, count negatives below each one inside
+    the partition, and emit (lowest score, local area, positives, negatives)."""
+    import pyarrow as pa
+
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    t = pa.Table.from_batches(tables)
+    s = t.column("score").to_numpy()
+    pos = t.column("pos").to_numpy().astype(np.float64)
+    neg = t.column("neg").to_numpy().astype(np.float64)
+    order = np.argsort(s, kind="stable")
+    s, pos, neg = s[order], pos[order], neg[order]
+    below = np.cumsum(neg) - neg
+    area = float(np.sum(pos * (below + 0.5 * neg)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([float(s[0])]), pa.array([area]), pa.array([int(pos.sum())], pa.int64()),
+         pa.array([int(neg.sum())], pa.int64())], names=["low", "area", "pos", "neg"])
+
+
 def auc_frame(df: DataFrame, score: str = "score", label: str = "label", digits: int | None = None,
               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One-row frame ``(auc, positives, negatives)`` with the exact area under the ROC curve.
 
     ``auc = Σ_s pos(s) * (neg below s + neg(s) / 2) / (P * N)`` over distinct scores ``s``;
-    tied scores count half. The negatives below a score need a global order: distinct
-    scores are cut into range buckets at approximate quantiles (bounded count, one bucket
-    per ``bucket_rows`` distinct scores), bucket totals give each bucket's offset, and a
-    window ordered within each bucket gives the rest. No task holds more than one bucket.
-    ``auc`` is null when one class is missing.
+    tied scores count half. Ties are first collapsed by a hash aggregate on the score (so a
+    score shared by many rows is one row), the distinct scores are range-partitioned into
+    buckets of about ``bucket_rows`` each, and every bucket computes its local area and
+    totals in one pass. A bucket's negatives-below offset is the sum of the negatives of
+    the buckets under it, so the driver combines one small row per bucket:
+    ``area = Σ_b (local_b + pos_b * offset_b)``. ``auc`` is null when one class is missing.
     """
     spark = df.sparkSession
     counts = score_counts(df, score, label, digits).persist()
     try:
-        stats = counts.agg(F.count(F.lit(1)).alias("distinct"), F.sum("pos").alias("p"),
-                           F.sum("neg").alias("n")).collect()[0]
-        distinct = int(stats["distinct"])
-        p = int(stats["p"] or 0)
-        n = int(stats["n"] or 0)
+        distinct = counts.count()
         buckets = max(1, math.ceil(distinct / bucket_rows))
-        if buckets == 1:
-            tagged = counts.withColumn("bucket", F.lit(0.0))
-            offsets = None
-        else:
-            probs = [b / buckets for b in range(1, buckets)]
-            cuts = sorted(set(counts.approxQuantile("score", probs, 1.0 / (4 * buckets))))
-            splits = [-math.inf] + cuts + [math.inf]
-            tagged = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(counts)
-            totals = tagged.groupBy("bucket").agg(F.sum("neg").alias("bneg")).collect()
-            running, rows = 0, []
-            for r in sorted(totals, key=lambda r: r["bucket"]):
-                rows.append((float(r["bucket"]), int(running)))
-                running += int(r["bneg"])
-            # one row per bucket: its size is bounded by the bucket count
-            offsets = F.broadcast(spark.createDataFrame(rows, "bucket DOUBLE, offset BIGINT"))
-        w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = tagged.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-        if offsets is not None:
-            ranked = ranked.join(offsets, "bucket").withColumn("below", F.col("below") + F.col("offset"))
-        area = ranked.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)).alias("area")).collect()[0]
-        value = None if p == 0 or n == 0 else float(area["area"]) / (float(p) * float(n))
+        ranged = counts.repartitionByRange(buckets, "score") if buckets > 1 else counts.coalesce(1)
+        parts = ranged.mapInArrow(_range_area_kernel, "low DOUBLE, area DOUBLE, pos BIGINT, neg BIGINT").toArrow()
     finally:
         counts.unpersist()
+    order = np.argsort(parts.column("low").to_numpy(), kind="stable")
+    area = parts.column("area").to_numpy()[order]
+    pos = parts.column("pos").to_numpy()[order].astype(np.float64)
+    neg = parts.column("neg").to_numpy()[order].astype(np.float64)
+    offsets = np.cumsum(neg) - neg
+    p, n = int(pos.sum()), int(neg.sum())
+    value = None if p == 0 or n == 0 else float(np.sum(area + pos * offsets)) / (float(p) * float(n))
     return spark.createDataFrame([(value, p, n)], "auc DOUBLE, positives BIGINT, negatives BIGINT")
 
 
