@@ -530,7 +530,7 @@ def q_sgd_wide(spark, sf_dir):
     return res.weights.select("idx", r("weight", 6).alias("weight"))
 
 
-@register("svrg")
+@register("svrg", O.svrg_sql(avg=False, shards=4, step=0.1, reg=0.1, iters=3))
 def q_svrg(spark, sf_dir):
     res = fit(tables.embeddings_binary(spark, sf_dir),
               TrainConfig(method="svrg", penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, order="key",
@@ -538,7 +538,7 @@ def q_svrg(spark, sf_dir):
     return weights_out(res, spark)
 
 
-@register("svrg_avg")
+@register("svrg_avg", O.svrg_sql(avg=True, shards=4, step=0.1, reg=0.1, iters=3))
 def q_svrg_avg(spark, sf_dir):
     res = fit(tables.embeddings_binary(spark, sf_dir),
               TrainConfig(method="svrg_avg", penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, order="key",

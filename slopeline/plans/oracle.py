@@ -245,3 +245,56 @@ def multinomial_row_ctes(weights: str, tag: str) -> list[str]:
         f"AS mult FROM z{tag} z JOIN den{tag} d ON z.rid = d.rid)",
         f"rl{tag} AS (SELECT rid, y, shift + ln(denom) - zy AS loss FROM den{tag})",
     ]
+
+
+# ---------------------------------------------------------------------------------------
+# SVRG walks as recursive CTEs (logistic loss, key-ordered walk, shards = key % S)
+
+def _vec_ctes(tag: str, weights_list: str) -> list[str]:
+    """Per-row margin and multiplier at a weight list (one row per base row)."""
+    return [f"r{tag} AS MATERIALIZED (SELECT b.rid, b.key, b.y, b.x, CAST(b.key % {{S}} AS INTEGER) AS shard, "
+            f"CAST(row_number() OVER (PARTITION BY b.key % {{S}} ORDER BY b.key) AS INTEGER) AS pos, "
+            f"1.0 / (1.0 + exp(-list_dot_product(b.x, {weights_list}))) - b.y AS m0 FROM base b)"]
+
+
+def svrg_sql(*, avg: bool, shards: int, step: float, reg: float, iters: int) -> str:
+    """Weights after ``iters`` outer iterations of SVRG (``avg=False``: gradient
+    aggregating, then an L2 step) or of the weight-averaging variant, full batches."""
+    ctes = fixture_ctes("fx1")
+    ctes.append("wl0 AS MATERIALIZED (SELECT list_transform(range(64), lambda k: 0.0::DOUBLE) AS w)")
+    for i in range(1, iters + 1):
+        eta = step / math.sqrt(i)
+        shrink, etal = lit(1.0 - eta * reg), lit(eta)
+        W = f"(SELECT w FROM wl{i - 1})"
+        ctes += [c.replace("{S}", str(shards)) for c in _vec_ctes(str(i), W)]
+        if avg:
+            ctes.append(f"mu{i} AS MATERIALIZED (SELECT sh.range AS shard, q.mu FROM range({shards}) sh, "
+                        f"(SELECT list(g ORDER BY j) AS mu FROM (SELECT j, sum(m0 * x[j + 1]) / count(*) AS g "
+                        f"FROM r{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY j) q0) q)")
+        else:
+            ctes.append(f"mu{i} AS MATERIALIZED (SELECT shard, list(g ORDER BY j) AS mu FROM "
+                        f"(SELECT shard, j, sum(m0 * x[j + 1]) / count(*) AS g "
+                        f"FROM r{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY shard, j) q GROUP BY shard)")
+        f_k = "(q.dm * q.x[k] + q.mu[k])"
+        new_w = f"list_transform(range(1, 65), lambda k: {shrink} * q.w[k] - {etal} * {f_k})"
+        new_s = f"list_transform(range(1, 65), lambda k: q.s[k] + {f_k})"
+        ctes.append(
+            f"walk{i}(shard, step, w, s) AS (SELECT CAST(sh.range AS INTEGER), 0, {W}, "
+            f"list_transform(range(64), lambda k: 0.0::DOUBLE) FROM range({shards}) sh "
+            f"UNION ALL SELECT q.shard, q.step + 1, {new_w}, {new_s} FROM "
+            f"(SELECT wk.shard, wk.step, wk.w, wk.s, rr.x, m.mu, "
+            f"(1.0 / (1.0 + exp(-list_dot_product(rr.x, wk.w))) - rr.y) - rr.m0 AS dm FROM walk{i} wk "
+            f"JOIN r{i} rr ON rr.shard = wk.shard AND rr.pos = wk.step + 1 JOIN mu{i} m ON m.shard = wk.shard) q)")
+        ctes.append(f"fin{i} AS MATERIALIZED (SELECT wk.shard, wk.w, wk.s FROM walk{i} wk JOIN "
+                    f"(SELECT shard, max(step) AS last FROM walk{i} GROUP BY shard) l ON wk.shard = l.shard "
+                    f"AND wk.step = l.last WHERE l.last > 0)")
+        if avg:
+            ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT j, avg(w[j + 1]) AS v "
+                        f"FROM fin{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY j) q)")
+        else:
+            ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT jj.j, "
+                        f"{shrink} * any_value(({W})[jj.j + 1]) - {etal} * sum(s[jj.j + 1]) / (SELECT count(*) FROM base) AS v "
+                        f"FROM fin{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY jj.j) q)")
+    final = (f"SELECT CAST(j AS INTEGER) AS idx, round(w[j + 1], 6) + 0.0 AS weight "
+             f"FROM wl{iters}, (SELECT unnest(range(64)) AS j) jj")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
