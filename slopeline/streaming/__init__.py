@@ -1 +1,10 @@
-"""streaming."""
+"""Streams.
+
+The trainers work on bounded tables only; there are no streaming operators. Scoring is a pure
+column expression, so a saved model applies unchanged to a streaming DataFrame: ``score_stream``
+loads the model once on the driver and adds the prediction column to the stream.
+"""
+
+from slopeline.streaming.scoring import score_stream
+
+__all__ = ["score_stream"]

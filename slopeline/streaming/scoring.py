@@ -1,0 +1,17 @@
+"""Apply a saved linear model to a streaming DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from slopeline.operators.scoring import predict
+from slopeline.sources.models import LinearModel, load_model
+
+
+def score_stream(stream: DataFrame, model: LinearModel | str, *, features: str = "features",
+                 output: str = "prediction") -> DataFrame:
+    """``stream`` with ``output`` added (class, or score when the threshold is cleared);
+    ``model`` is a model or the path of one saved with ``save_model``."""
+    if isinstance(model, str):
+        model = load_model(stream.sparkSession, model)
+    return predict(stream, model, features=features, output=output)

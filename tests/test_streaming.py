@@ -1,0 +1,26 @@
+"""A saved model scores a streaming source exactly as it scores the same rows in batch."""
+
+import numpy as np
+
+from slopeline.operators.scoring import predict
+from slopeline.session import scratch_path
+from slopeline.sources import models
+from slopeline.streaming import score_stream
+
+
+def test_stream_scoring_equals_batch(spark, fx1):
+    src = scratch_path(spark, "stream-src")
+    fx1.write.parquet(src)
+    model = models.LinearModel(np.linspace(-0.2, 0.2, 64))
+    mpath = scratch_path(spark, "stream-model")
+    models.save_model(spark, model, mpath)
+    stream = spark.readStream.schema(fx1.schema).parquet(src)
+    q = (score_stream(stream, mpath).select("key", "prediction").writeStream.format("memory")
+         .queryName("scored_stream").outputMode("append").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["key"]: r["prediction"] for r in spark.sql("SELECT * FROM scored_stream").collect()}
+    want = {r["key"]: r["prediction"] for r in predict(fx1, model).collect()}
+    assert got == want and len(got) == fx1.count()
