@@ -49,12 +49,13 @@ class WideFitResult:
         return [h.total for h in self.history]
 
 
-def _penalty_agg(weights: DataFrame, reg: float, penalty: str) -> float:
+def _penalty_value(norms: dict, reg: float, penalty: str) -> float:
+    """Penalty from the norms aggregated over the new weight table."""
     if penalty == "none" or reg == 0.0:
         return 0.0
     if penalty == "l1":
-        return reg * float(weights.agg(F.sum(F.abs("w"))).collect()[0][0] or 0.0)
-    return 0.5 * reg * float(weights.agg(F.sum(F.col("w") * F.col("w"))).collect()[0][0] or 0.0)
+        return reg * float(norms["l1"] or 0.0)
+    return 0.5 * reg * float(norms["sq"] or 0.0)
 
 
 def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None = None, *,
@@ -76,6 +77,10 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
     lab = (labels.select("key", F.col("label").cast("double").alias("label"))
            .repartition(parts, "key").persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        # the key names one row; the labels are already hash-partitioned by key, so this
+        # duplicate check needs no further shuffle
+        if lab.groupBy("key").count().where(F.col("count") > 1).limit(1).count():
+            raise ValueError("wide mode needs one label row per key")
         if num_features is None:
             num_features = int((ent.agg(F.max("idx")).collect()[0][0] or -1) + 1)
         state_cols = STATE[cfg.method]
@@ -117,8 +122,9 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
             per_key.unpersist()
             updates += 1
             norms = new_weights.agg(F.sqrt(F.sum((F.col("w") - F.col("_old")) ** 2)).alias("diff"),
-                                    F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).collect()[0]
-            reg_val = _penalty_agg(new_weights, reg, shown)
+                                    F.sum(F.col("w") ** 2).alias("sq"), F.sum(F.abs("w")).alias("l1")).collect()[0]
+            norms = {"diff": norms["diff"], "norm": float(norms["sq"]) ** 0.5, "sq": norms["sq"], "l1": norms["l1"]}
+            reg_val = _penalty_value(norms, reg, shown)
             weights = new_weights.drop("_old")
             if updates >= 2 and float(norms["diff"]) < cfg.tol * max(float(norms["norm"]), 1.0):
                 result.converged = True

@@ -219,3 +219,12 @@ def test_huge_margins_stay_finite(spark):
 def test_config_is_checked(kw):
     with pytest.raises(ValueError):
         TrainConfig(**kw)
+
+
+def test_wide_rejects_repeated_keys(spark):
+    from slopeline.operators.wide import fit_wide
+
+    entries = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0)], "key BIGINT, idx INT, value DOUBLE")
+    labels = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, 0.0)], "key BIGINT, label DOUBLE")
+    with pytest.raises(ValueError, match="one label row per key"):
+        fit_wide(entries, labels, TrainConfig(iters=1))
