@@ -69,6 +69,8 @@ def features_matrix(col: pa.Array, d: int) -> np.ndarray:
     if col.null_count:
         raise ValueError("null feature vector")
     flat = col.flatten()
+    if flat.null_count:
+        raise ValueError("null feature entry")
     if len(flat) != n * d:
         raise ValueError(f"feature vectors must all have length {d}")
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, d)

@@ -27,13 +27,14 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions.losses import MarginLoss, resolve_loss
 from slopeline.functions.sampling import BASE_SEED, SAMPLERS, keyed_sample
 from slopeline.operators import svrg as svrg_ops
-from slopeline.operators.gradient import batch_sums
+from slopeline.operators.gradient import batch_sums, choose_kernel
 from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalised_step,
                                          penalty_value, records_history, reg_penalty)
 from slopeline.operators.validate import check_training_table
@@ -195,7 +196,8 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
                     row_ids=cfg.method in ("svrg", "svrg_avg") and cfg.shard_by == "hash")
     table = _spread(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        facts = check_training_table(table, loss, num_classes=cfg.num_classes)
+        arrow = choose_kernel(loss, 0, cfg.kernel) == "arrow" or cfg.method in ("svrg", "svrg_avg")
+        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not arrow)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
         if d is None:
@@ -210,10 +212,18 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         if facts.rows * cfg.fraction < 1:
             warnings.warn("the mini-batch fraction is too small for the number of rows", stacklevel=2)
         partitions = table.rdd.getNumPartitions()
-        if cfg.method in STATE:
-            _run_gradient_loop(table, cfg, loss, d, w, result, partitions)
-        else:
-            svrg_ops.run(table, cfg, loss, d, w, result, facts.rows)
+        try:
+            if cfg.method in STATE:
+                _run_gradient_loop(table, cfg, loss, d, w, result, partitions)
+            else:
+                svrg_ops.run(table, cfg, loss, d, w, result, facts.rows)
+        except PythonException as exc:
+            # a kernel rejected the data (e.g. a null vector entry): report it as the
+            # validation error it is
+            msg = str(exc)
+            if "ValueError: " in msg:
+                raise ValueError(msg.split("ValueError: ", 1)[1].splitlines()[0]) from exc
+            raise
         result.model = _model(result.weights, cfg, d)
         result.elapsed_ms = (time.perf_counter() - started) * 1000.0
         return result

@@ -32,25 +32,30 @@ def label_is_valid(label: Column, loss: MarginLoss, num_classes: int = 2) -> Col
 
 
 def table_facts_frame(df: DataFrame, loss: MarginLoss, num_classes: int = 2, label: str = "label",
-                      features: str = "features") -> DataFrame:
-    """One-row frame with the row count and every validation counter."""
+                      features: str = "features", element_nulls: bool = True) -> DataFrame:
+    """One-row frame with the row count and every validation counter.
+
+    ``element_nulls`` also scans every vector entry for nulls (an interpreted
+    higher-order function); the Arrow kernels find null entries from Arrow metadata at no
+    cost, so trainers that use them skip this scan."""
     y = F.col(label).cast("double")
     x = F.col(features)
+    bad_x = (x.isNull() | F.exists(x, lambda v: v.isNull())) if element_nulls else x.isNull()
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(F.size(x)).alias("min_dim"),
         F.max(F.size(x)).alias("max_dim"),
         F.sum(F.when(y.isNull(), 1).otherwise(0)).alias("null_labels"),
-        F.sum(F.when(x.isNull() | F.exists(x, lambda v: v.isNull()), 1).otherwise(0)).alias("null_features"),
+        F.sum(F.when(bad_x, 1).otherwise(0)).alias("null_features"),
         F.sum(F.when(y.isNotNull() & ~label_is_valid(y, loss, num_classes), 1).otherwise(0)).alias("bad_labels"),
     )
 
 
 def check_training_table(df: DataFrame, loss: MarginLoss, num_classes: int = 2, label: str = "label",
-                         features: str = "features") -> TableFacts:
+                         features: str = "features", element_nulls: bool = True) -> TableFacts:
     """Count rows and reject nulls, ragged feature vectors and labels outside the loss's
     domain; runs as a single aggregation job."""
-    r = table_facts_frame(df, loss, num_classes, label, features).collect()[0]
+    r = table_facts_frame(df, loss, num_classes, label, features, element_nulls).collect()[0]
     rows = int(r["rows"])
     if rows == 0:
         return TableFacts(0, 0)
