@@ -145,8 +145,9 @@ def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np
 def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result, rows: int) -> None:
     from slopeline.operators.trainers import HistoryEntry, converged
 
-    reg = cfg.effective_reg()
     slots = loss.slots(d)
+    reg = cfg.reg_weights(slots, loss.outputs)
+    shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
     shards = shard_count(cfg, rows)
     reg_val = penalty_value(w, reg, cfg.penalty)
     updates = 0
@@ -156,7 +157,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
         eta = cfg.step / math.sqrt(i)
         batch = keyed_sample(table, "key", cfg.fraction, seed, cfg.sampler)
         if cfg.method == "svrg":
-            kernel = svrg_kernel(w, loss, d, eta, reg, cfg.order, cfg.seed, i)
+            kernel = svrg_kernel(w, loss, d, eta, shrink, cfg.order, cfg.seed, i)
             acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 1, shards)
             if n == 0:
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=3)
@@ -167,7 +168,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
             mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler)
             mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel)
             mu = mean_sums.mean_grad if mean_sums.count else np.zeros(slots)
-            kernel = svrg_avg_kernel(w, mu, loss, d, eta, reg, cfg.order, cfg.seed, i)
+            kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
             acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 2, shards)
             used = int(round(acc[slots + 1]))
             if n == 0 or used == 0:

@@ -19,7 +19,6 @@ For models too wide for the driver see :mod:`slopeline.operators.wide`.
 
 from __future__ import annotations
 
-import math
 import time
 import warnings
 from collections.abc import Callable
@@ -35,8 +34,8 @@ from slopeline.functions.losses import MarginLoss, resolve_loss
 from slopeline.functions.sampling import BASE_SEED, SAMPLERS, keyed_sample
 from slopeline.operators import svrg as svrg_ops
 from slopeline.operators.gradient import batch_sums, choose_kernel
-from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalised_step,
-                                         penalty_value, records_history, reg_penalty)
+from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalty_value,
+                                         records_history, reg_penalty)
 from slopeline.operators.validate import check_training_table
 from slopeline.sources.models import LinearModel
 
@@ -54,7 +53,9 @@ class TrainConfig:
     ``bernoulli``. ``shards`` fixes the number of SVRG shards (default: rows of the batch
     divided by ``max_shard_rows``); ``order`` is the row order of a shard walk.
     ``update`` is a user rule ``(w, g, state, ctx) -> (w, state)`` that replaces the
-    method's rule (the state starts as an empty dict).
+    method's rule (the state starts as an empty dict). With ``intercept=True``,
+    ``penalise_bias=False`` leaves the bias slot of each class block out of the penalty
+    (by default every slot is penalised, as in the original trainers).
     """
 
     loss: str | MarginLoss = "logistic"
@@ -77,6 +78,7 @@ class TrainConfig:
     order: str = "random"
     kernel: str = "auto"
     update: Callable | None = None
+    penalise_bias: bool = True
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -118,6 +120,16 @@ class TrainConfig:
     def effective_reg(self) -> float:
         return 0.0 if self.penalty == "none" else self.reg
 
+    def reg_weights(self, slots: int, outputs: int):
+        """The regularisation weight per slot: a scalar, or a vector with 0 at the bias
+        slots when the intercept is not penalised."""
+        reg = self.effective_reg()
+        if not self.intercept or self.penalise_bias or reg == 0.0:
+            return reg
+        vec = np.full(slots, reg)
+        vec[slots // outputs - 1::slots // outputs] = 0.0
+        return vec
+
 
 @dataclass
 class HistoryEntry:
@@ -250,7 +262,7 @@ def converged(prev: np.ndarray, cur: np.ndarray, tol: float) -> bool:
 
 def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d: int, w: np.ndarray,
                        result: FitResult, partitions: int) -> None:
-    reg = cfg.effective_reg()
+    reg = cfg.reg_weights(loss.slots(d), loss.outputs)
     shown_penalty = reg_penalty(cfg.method, cfg.penalty)
     state = {} if cfg.update is not None else init_state(cfg.method, w)
     rule = cfg.update or (lambda w_, g_, s_, c_: apply_rule(cfg.method, w_, g_, s_, c_))
@@ -280,8 +292,3 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
         i += 1
     result.weights = w
     result.updates = updates
-
-
-def plain_step(w, g, cfg: TrainConfig, i: int):
-    """U1-U3 step with the configured penalty (used by the SVRG trainers)."""
-    return penalised_step(w, g, cfg.step / math.sqrt(i), cfg.effective_reg(), cfg.penalty)

@@ -60,12 +60,13 @@ class ColumnOps:
 @dataclass(frozen=True)
 class StepContext:
     """Scalars of one update: 1-based iteration ``i``, number of updates already applied
-    ``t`` (empty batches advance ``i`` but not ``t``), base step, regularisation weight."""
+    ``t`` (empty batches advance ``i`` but not ``t``), base step, regularisation weight
+    (a scalar, or a per-slot vector in dense mode)."""
 
     i: int
     t: int
     step: float
-    reg: float
+    reg: object
     penalty: str = "l2"
     variant: str = "published"
 
@@ -87,10 +88,13 @@ def penalised_step(w, g, eta: float, reg: float, penalty: str, ops=ArrayOps):
     raise ValueError(f"unknown penalty {penalty!r}")
 
 
-def penalty_value(w: np.ndarray, reg: float, penalty: str) -> float:
-    """Regularisation value of a weight vector: 0, ``reg |w|_1`` or ``reg/2 |w|_2^2``."""
-    if penalty == "none" or reg == 0.0:
+def penalty_value(w: np.ndarray, reg, penalty: str) -> float:
+    """Regularisation value of a weight vector: 0, ``reg |w|_1`` or ``reg/2 |w|_2^2``
+    (``reg`` may be a per-slot vector)."""
+    if penalty == "none" or np.all(np.asarray(reg) == 0.0):
         return 0.0
+    if np.ndim(reg):
+        return float(np.sum(reg * np.abs(w))) if penalty == "l1" else 0.5 * float(np.sum(reg * w * w))
     if penalty == "l1":
         return reg * float(np.abs(w).sum())
     return 0.5 * reg * float(np.dot(w, w))

@@ -280,6 +280,10 @@ _trainer("empty_batch", _B, "fx1", dict(method="sgd", penalty="l2", reg=0.1, ste
          dict(init=O.rule_weight("j")), initial=rule_weights(64))
 
 
+_trainer("sgd_intercept", _B, "fx1", dict(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, intercept=True,
+                                          penalise_bias=False), dict(intercept=True, penalise_bias=False))
+
+
 def _history_out(res: FitResult, spark):
     return res.history_frame(spark).select("iter", r("loss", 9).alias("loss"), r("reg", 9).alias("reg"),
                                            r("total", 9).alias("total"), "batch_rows")
@@ -391,6 +395,27 @@ def q_auc_exact(spark, sf_dir):
     return metrics.auc_frame(pairs, digits=9).select(r("auc", 9).alias("auc"), "positives", "negatives")
 
 
+_TRAIN_SPLIT = f"{O.md5_uniform('key', sampling.SPLIT_SEED)} < 0.7"
+
+
+@register("holdout_auc", O.trainer_sql(
+    "fx1", where=_TRAIN_SPLIT, method="sgd", penalty="l2", reg=1.0, step=1.0, iters=3,
+    extra=["wl AS (SELECT list(w ORDER BY j) AS wv FROM w3)",
+           f"te AS (SELECT y, round(1.0 / (1.0 + exp(-list_dot_product(x, (SELECT wv FROM wl)))), 9) AS s "
+           f"FROM ({O.FX1}) f WHERE NOT ({_TRAIN_SPLIT}))"],
+    select="SELECT round(sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)), 9) + 0.0 AS auc, "
+           "CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM ("
+           "SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+           " AS below FROM (SELECT s, sum(CASE WHEN y = 1.0 THEN 1 ELSE 0 END) AS pos, "
+           "sum(CASE WHEN y = 1.0 THEN 0 ELSE 1 END) AS neg FROM te GROUP BY s) g) t"))
+def q_holdout_auc(spark, sf_dir):
+    df = tables.embeddings_binary(spark, sf_dir)
+    train, test = sampling.keyed_split(df, "key", (0.7, 0.3), seed=sampling.SPLIT_SEED, sampler="md5")
+    res = fit(train, TrainConfig(**_L2))
+    pairs = scoring.score_and_label(test, res.model.clear_threshold())
+    return metrics.auc_frame(pairs, digits=9).select(r("auc", 9).alias("auc"), "positives", "negatives")
+
+
 @register("weight_norms", O.trainer_sql(
     "fx1", select="SELECT round(sum(abs(w)), 9) + 0.0 AS l1, round(sqrt(sum(w * w)), 9) + 0.0 AS l2, "
     "round(1.0 * sum(abs(w)), 9) + 0.0 AS reg_l1, round(0.5 * sum(w * w), 9) + 0.0 AS reg_l2 FROM w3",

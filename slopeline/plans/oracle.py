@@ -50,14 +50,18 @@ FIXTURE_SQL = {"fx1": (FX1, 64, True), "fx2": (FX2, 5, False), "fx3": (FX3, 64,
                "fx5": (FX5, 3, True)}
 
 
-def fixture_ctes(fx: str, where: str | None = None) -> list[str]:
-    """``base(rid, key, y, x)`` and long ``lx(rid, j, v)`` CTEs of a dense fixture."""
-    sql, _, unique = FIXTURE_SQL[fx]
+def fixture_ctes(fx: str, where: str | None = None, intercept: bool = False) -> list[str]:
+    """``base(rid, key, y, x)`` and long ``lx(rid, j, v)`` CTEs of a dense fixture; with
+    ``intercept`` every row gets a constant 1.0 feature at ``j = d``."""
+    sql, d, unique = FIXTURE_SQL[fx]
     src = f"SELECT * FROM ({sql}) f" + (f" WHERE {where}" if where else "")
     rid = "key" if unique else "row_number() OVER ()"
+    long = "SELECT rid, CAST(unnest(range(len(x))) AS INTEGER) AS j, unnest(x) AS v FROM base"
+    if intercept:
+        long += f" UNION ALL SELECT rid, {d} AS j, 1.0::DOUBLE AS v FROM base"
     return [
         f"base AS MATERIALIZED (SELECT {rid} AS rid, key, y, x FROM ({src}) s)",
-        "lx AS MATERIALIZED (SELECT rid, CAST(unnest(range(len(x))) AS INTEGER) AS j, unnest(x) AS v FROM base)",
+        f"lx AS MATERIALIZED ({long})",
     ]
 
 
@@ -151,13 +155,15 @@ def update_sql(method: str, variant: str, penalty: str, step: float, reg: float,
     raise ValueError(method)
 
 
-def penalty_sql(penalty: str, reg: float, table: str) -> str:
-    """Penalty value of the weights in ``table`` as a scalar subquery."""
+def penalty_sql(penalty: str, reg: float, table: str, free_j: int | None = None) -> str:
+    """Penalty value of the weights in ``table`` as a scalar subquery (slot ``free_j``,
+    an unpenalised bias, left out)."""
     if penalty == "none" or reg == 0.0:
         return "0.0"
+    cond = f" WHERE j <> {free_j}" if free_j is not None else ""
     if penalty == "l1":
-        return f"(SELECT {lit(reg)} * sum(abs(w)) FROM {table})"
-    return f"(SELECT {lit(0.5 * reg)} * sum(w * w) FROM {table})"
+        return f"(SELECT {lit(reg)} * sum(abs(w)) FROM {table}{cond})"
+    return f"(SELECT {lit(0.5 * reg)} * sum(w * w) FROM {table}{cond})"
 
 
 # ---------------------------------------------------------------------------------------
@@ -165,7 +171,7 @@ def penalty_sql(penalty: str, reg: float, table: str) -> str:
 
 def unrolled_ctes(*, loss: str = "logistic", method: str = "sgd", variant: str = "published", penalty: str = "l2",
                   step: float = 1.0, reg: float = 0.0, iters: int = 3, fraction: float = 1.0, d: int = 64,
-                  init: str = "0.0", seed: int = 42) -> list[str]:
+                  init: str = "0.0", seed: int = 42, free_j: int | None = None) -> list[str]:
     """CTEs ``w0 .. w{iters}`` (weight table after each iteration) and ``h1 .. h{iters}``
     (history rows) over ``base``/``lx``. Every batch in the checks is non-empty, so the
     number of updates before iteration ``i`` is ``i - 1``; an empty batch keeps the weights."""
@@ -186,9 +192,13 @@ def unrolled_ctes(*, loss: str = "logistic", method: str = "sgd", variant: str =
         ctes.append(f"n{i} AS MATERIALIZED (SELECT count(*) AS n, sum(loss) AS ls FROM r{i})")
         ctes.append(f"g{i} AS (SELECT lx.j, sum(r.mult * lx.v) AS gs FROM lx JOIN r{i} r ON lx.rid = r.rid "
                     f"GROUP BY lx.j)")
-        ctes.append(f"h{i} AS (SELECT {i} AS iter, n.ls / n.n AS loss, {penalty_sql(reported, lam, prev)} AS reg, "
+        ctes.append(f"h{i} AS (SELECT {i} AS iter, n.ls / n.n AS loss, {penalty_sql(reported, lam, prev, free_j)} AS reg, "
                     f"n.n AS batch_rows FROM n{i} n WHERE n.n > 0)")
         new_w, s1, s2, pp = update_sql(method, variant, penalty, step, reg, i, i - 1)
+        if free_j is not None:
+            fw, f1, f2, fp = update_sql(method, variant, penalty, step, 0.0, i, i - 1)
+            new_w, s1, s2, pp = (f"(CASE WHEN j = {free_j} THEN {a} ELSE {b} END)"
+                                 for a, b in ((fw, new_w), (f1, s1), (f2, s2), (fp, pp)))
         ctes.append(
             f"w{i} AS MATERIALIZED (SELECT j, CASE WHEN n > 0 THEN {new_w} ELSE w END AS w, "
             f"CASE WHEN n > 0 THEN {s1} ELSE s1 END AS s1, CASE WHEN n > 0 THEN {s2} ELSE s2 END AS s2, "
@@ -201,13 +211,15 @@ def unrolled_ctes(*, loss: str = "logistic", method: str = "sgd", variant: str =
 def trainer_sql(fx: str, *, select: str | None = None, loss: str = "logistic", method: str = "sgd",
                 variant: str = "published", penalty: str = "l2", step: float = 1.0, reg: float = 0.0,
                 iters: int = 3, fraction: float = 1.0, init: str = "0.0", where: str | None = None,
-                wide: bool = False, extra: list[str] | None = None) -> str:
+                wide: bool = False, extra: list[str] | None = None, intercept: bool = False,
+                penalise_bias: bool = True) -> str:
     """Full query: fixture CTEs, the unrolled trainer and a final SELECT (default: the
     weights after the last iteration as ``(idx, weight)`` rounded to 6 decimals)."""
     d = 64 if wide else FIXTURE_SQL[fx][1]
-    ctes = wide_fixture_ctes() if wide else fixture_ctes(fx, where)
+    ctes = wide_fixture_ctes() if wide else fixture_ctes(fx, where, intercept)
+    free_j = d if intercept and not penalise_bias else None
     ctes += unrolled_ctes(loss=loss, method=method, variant=variant, penalty=penalty, step=step, reg=reg,
-                          iters=iters, fraction=fraction, d=d, init=init)
+                          iters=iters, fraction=fraction, d=d + 1 if intercept else d, init=init, free_j=free_j)
     ctes += extra or []
     final = select or (f"SELECT j AS idx, round(w, 6) + 0.0 AS weight FROM w{iters}")
     return "WITH " + ",\n".join(ctes) + "\n" + final

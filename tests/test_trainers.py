@@ -228,3 +228,21 @@ def test_wide_rejects_repeated_keys(spark):
     labels = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, 0.0)], "key BIGINT, label DOUBLE")
     with pytest.raises(ValueError, match="one label row per key"):
         fit_wide(entries, labels, TrainConfig(iters=1))
+
+
+def test_unpenalised_intercept_matches_numpy(fx1, fx1_np):
+    _, x, y = fx1_np
+    xb = np.hstack([x, np.ones((len(y), 1))])
+    mask = np.r_[np.full(64, 0.5), 0.0]
+    w = np.zeros(65)
+    for i in range(1, 4):
+        g = (_sigmoid(xb @ w) - y) @ xb / len(y)
+        eta = 1 / math.sqrt(i)
+        w = (1 - eta * mask) * w - eta * g
+    res = fit(fx1, TrainConfig(method="sgd", penalty="l2", reg=0.5, iters=3, tol=0.0, intercept=True,
+                               penalise_bias=False))
+    assert np.allclose(res.weights, w, atol=1e-14)
+    assert res.model.intercept == pytest.approx(w[-1], abs=1e-15)
+    # the reported penalty leaves the bias out
+    from slopeline.operators.updates import penalty_value
+    assert penalty_value(w, mask, "l2") == pytest.approx(0.25 * float(w[:64] @ w[:64]))
