@@ -39,6 +39,7 @@ from slopeline.functions.linalg import dot_array, dot_slice
 from slopeline.functions.losses import MarginLoss
 
 DIRECT_MERGE_LIMIT = 1 << 21
+ROW_COLLECT_LIMIT = 1 << 16
 SLOT_SCHEMA = "slot INT, value DOUBLE, n BIGINT"
 
 
@@ -210,11 +211,22 @@ def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
             partitions = df.rdd.getNumPartitions()
         if partitions * (slots + 1) <= DIRECT_MERGE_LIMIT:
             partials = training_columns(df, features, label).mapInArrow(arrow_kernel(weights, loss, d), SLOT_SCHEMA)
-            return sum_partials(partials.toArrow(), slots)
+            return sum_partials(fetch_partials(partials, partitions * (slots + 1)), slots)
     frame = gradient_frame(df, weights, loss, d, features=features, label=label, kernel=kernel)
     return collect_sums(frame, slots)
 
 
+def fetch_partials(partials: DataFrame, expected_rows: int) -> pa.Table:
+    """Bring a bounded number of long-form partial rows to the driver: plain ``collect``
+    for a few rows (lowest latency), Arrow collection for many."""
+    if expected_rows > ROW_COLLECT_LIMIT:
+        return partials.toArrow()
+    rows = partials.collect()
+    return pa.table({"slot": pa.array([r[0] for r in rows], pa.int32()),
+                     "value": pa.array([r[1] for r in rows], pa.float64()),
+                     "n": pa.array([r[2] for r in rows], pa.int64())})
+
+
 def sum_partials(table: pa.Table, slots: int) -> BatchSums:
     """Driver-side sum of per-partition long-form partials (bounded by DIRECT_MERGE_LIMIT)."""
     slot = table.column("slot").to_numpy()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from slopeline.functions.losses import MarginLoss
 from slopeline.functions.sampling import keyed_sample
 from slopeline.operators.gradient import (DIRECT_MERGE_LIMIT, SLOT_SCHEMA, BatchSums, batch_sums, features_matrix,
-                                          label_vector, merge_slots, slot_batch)
+                                          fetch_partials, label_vector, merge_slots, slot_batch)
 from slopeline.operators.updates import penalised_step, penalty_value
 
 
@@ -135,7 +135,8 @@ def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np
     partials are summed by slot in a shuffle first when there are many of them."""
     if expected * length > DIRECT_MERGE_LIMIT:
         partials = merge_slots(partials)
-    t = partials.toArrow()
+        expected = 1
+    t = fetch_partials(partials, expected * length)
     slot = t.column("slot").to_numpy()
     acc = np.bincount(slot, weights=t.column("value").to_numpy(), minlength=length)
     n = int(t.column("n").to_numpy()[slot == 0].sum())
