@@ -16,6 +16,8 @@ User losses (the extension point) subclass :class:`MarginLoss`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +43,12 @@ class MarginLoss:
         """``margins`` has shape (n, outputs); returns (loss (n,), mult (n, outputs))."""
         raise NotImplementedError
 
+    def scalar(self, z: float, y: float) -> tuple[float, float]:
+        """(loss, mult) of one row with margin ``z``; used by sequential walks (SVRG),
+        where per-row array calls would dominate. Defaults to the NumPy form."""
+        loss, mult = self.numpy(np.array([[z]]), np.array([y]))
+        return float(loss[0]), float(mult[0, 0])
+
     @property
     def has_numpy(self) -> bool:
         return type(self).numpy is not MarginLoss.numpy
@@ -71,6 +79,12 @@ class LogisticLoss(MarginLoss):
         loss = np.where(y > 0, lpe, lpe - m)
         return loss, mult[:, None]
 
+    def scalar(self, z, y):
+        m = -z
+        mult = (1.0 / (1.0 + math.exp(m)) if m < 709.0 else 0.0) - y
+        lpe = m + math.log1p(math.exp(-m)) if m > 0 else math.log1p(math.exp(m))
+        return (lpe if y > 0 else lpe - m), mult
+
 
 class LeastSquaresLoss(MarginLoss):
     """Least squares (G3): ``diff = x.w - y``, ``loss = diff^2 / 2``, ``mult = diff``."""
@@ -85,6 +99,10 @@ class LeastSquaresLoss(MarginLoss):
         diff = margins[:, 0] - y
         return diff * diff / 2.0, diff[:, None]
 
+    def scalar(self, z, y):
+        diff = z - y
+        return diff * diff / 2.0, diff
+
 
 class HingeLoss(MarginLoss):
     """Hinge (G4) with labels {0,1} read as -1/+1: ``z = 2y - 1``; when ``1 > z * x.w``
@@ -109,6 +127,11 @@ class HingeLoss(MarginLoss):
         mult = np.where(active, -z, 0.0)
         return loss, mult[:, None]
 
+    def scalar(self, m, y):
+        z = 2.0 * y - 1.0
+        zm = z * m
+        return (1.0 - zm, -z) if 1.0 > zm else (0.0, 0.0)
+
 
 class MultinomialLoss(MarginLoss):
     """Multinomial logistic loss (G2), pivot class 0, ``K - 1`` margins per row.

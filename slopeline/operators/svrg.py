@@ -78,10 +78,14 @@ def svrg_kernel(w: np.ndarray, loss: MarginLoss, d: int, eta: float, shrink_reg:
         n = len(y)
         _, mult0 = loss.numpy(x @ w0.T, y)
         mu = mult0.T @ x / n
+        walk = _walk_order(n, order, seed, i, shard, with_replacement=True)
+        if k == 1:
+            total, loss_sum = _svrg_walk_1(x, y, mult0[:, 0], mu[0], w0[0], walk, loss, eta, shrink_reg)
+            return pa.Table.from_batches([slot_batch(np.concatenate([total, [loss_sum]]), n)])
         wl = w0.copy()
         total = np.zeros((k, d))
         loss_sum = 0.0
-        for r in _walk_order(n, order, seed, i, shard, with_replacement=True):
+        for r in walk:
             xr = x[r]
             l_new, m_new = loss.numpy((wl @ xr)[None, :], y[r:r + 1])
             f = np.outer(m_new[0] - mult0[r], xr) + mu
@@ -109,8 +113,13 @@ def svrg_avg_kernel(w: np.ndarray, mu: np.ndarray, loss: MarginLoss, d: int, eta
         y = label_vector(table.column("label"))
         n = len(y)
         loss0, mult0 = loss.numpy(x @ w0.T, y)
+        walk = _walk_order(n, order, seed, i, shard, with_replacement=False)
+        if k == 1:
+            wl = _svrg_avg_walk_1(x, y, mult0[:, 0], mu[0], w0[0], walk, loss, eta, shrink_reg)
+            packed = np.concatenate([wl, [float(loss0.sum()), 1.0]])
+            return pa.Table.from_batches([slot_batch(packed, n)])
         wl = w0.copy()
-        for r in _walk_order(n, order, seed, i, shard, with_replacement=False):
+        for r in walk:
             xr = x[r]
             _, m_new = loss.numpy((wl @ xr)[None, :], y[r:r + 1])
             f = np.outer(m_new[0] - mult0[r], xr) + mu
@@ -121,6 +130,45 @@ def svrg_avg_kernel(w: np.ndarray, mu: np.ndarray, loss: MarginLoss, d: int, eta
     return kernel
 
 
+def _svrg_walk_1(x, y, mult0, mu, w0, walk, loss, eta, shrink_reg):
+    """Single-margin walk of the gradient-aggregating trainer, in place:
+    ``f = (mult(w_loc) - mult(w)) x_r + mu``, ``S += f``, ``w_loc = shrink w_loc - eta f``."""
+    shrink = 1.0 - eta * np.asarray(shrink_reg, dtype=np.float64).ravel() if np.ndim(shrink_reg) else 1.0 - eta * shrink_reg
+    wl = w0.copy()
+    acc = np.zeros_like(wl)
+    tmp = np.empty_like(wl)
+    eta_mu = eta * mu
+    loss_sum = 0.0
+    for r in walk:
+        xr = x[r]
+        l_new, m_new = loss.scalar(float(wl @ xr), float(y[r]))
+        c = m_new - mult0[r]
+        loss_sum += l_new
+        np.multiply(xr, c, out=tmp)
+        acc += tmp
+        wl *= shrink
+        tmp *= eta
+        wl -= tmp
+        wl -= eta_mu
+    return acc + len(walk) * mu, loss_sum
+
+
+def _svrg_avg_walk_1(x, y, mult0, mu, w0, walk, loss, eta, shrink_reg):
+    """Single-margin walk of the weight-averaging trainer, in place."""
+    shrink = 1.0 - eta * np.asarray(shrink_reg, dtype=np.float64).ravel() if np.ndim(shrink_reg) else 1.0 - eta * shrink_reg
+    wl = w0.copy()
+    tmp = np.empty_like(wl)
+    eta_mu = eta * mu
+    for r in walk:
+        xr = x[r]
+        _, m_new = loss.scalar(float(wl @ xr), float(y[r]))
+        np.multiply(xr, eta * (m_new - mult0[r]), out=tmp)
+        wl *= shrink
+        wl -= tmp
+        wl -= eta_mu
+    return wl
+
+
 _SLOT_ARROW = pa.schema([("slot", pa.int32()), ("value", pa.float64()), ("n", pa.int64())])
 
 

@@ -203,6 +203,8 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
     """
     cfg = replace(config or TrainConfig(), **overrides) if overrides else (config or TrainConfig())
     loss = resolve_loss(cfg.loss, cfg.num_classes)
+    if cfg.method in ("svrg", "svrg_avg") and not loss.has_numpy:
+        raise ValueError(f"{cfg.method} walks rows in NumPy; the loss needs a numpy form")
     started = time.perf_counter()
     table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept,
                     row_ids=cfg.method in ("svrg", "svrg_avg") and cfg.shard_by == "hash")

@@ -72,3 +72,13 @@ def test_column_form_equals_numpy_form(spark, name, k):
         assert r["l"] == pytest.approx(l_np[i], rel=1e-12, abs=1e-12)
         for c in range(loss.outputs):
             assert r[f"m{c}"] == pytest.approx(m_np[i, c], rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("loss", [LogisticLoss(), LeastSquaresLoss(), HingeLoss()])
+def test_scalar_form_equals_numpy_form(loss):
+    for z in (-900.0, -3.0, -0.5, 0.0, 0.7, 5.0, 800.0):
+        for y in (0.0, 1.0):
+            l_np, m_np = loss.numpy(np.array([[z]]), np.array([y]))
+            l_s, m_s = loss.scalar(z, y)
+            assert l_s == pytest.approx(float(l_np[0]), rel=1e-12, abs=1e-12)
+            assert m_s == pytest.approx(float(m_np[0, 0]), rel=1e-12, abs=1e-12)
