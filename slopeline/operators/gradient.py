@@ -140,6 +140,12 @@ def arrow_kernel(weights: np.ndarray, loss: MarginLoss, d: int, features: str =
 
 
 def training_columns(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
+    """``features, label DOUBLE`` view of ``df``; a table already in that shape (as every
+    trainer's persisted table is) is used as it is, saving a projection per iteration."""
+    if features == "features" and label == "label":
+        fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        if fields.get("label") == "double" and "features" in fields:
+            return df
     return df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
 
 
