@@ -13,7 +13,8 @@ One iteration is:
    entries; the sum by ``idx`` aggregates map-side first;
 4. the update rule as one projection over ``weights ⟕ gradient`` on ``idx`` (the same
    rule code as dense mode, applied to columns);
-5. the new weight table is checkpointed to the shared checkpoint folder, cutting lineage.
+5. the new weight table is persisted, and checkpointed to the shared checkpoint folder
+   every few iterations, cutting lineage.
 
 Only scalars (row count, loss sum, norms) reach the driver.
 """
@@ -59,8 +60,13 @@ def _penalty_value(norms: dict, reg: float, penalty: str) -> float:
 
 
 def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None = None, *,
-             num_features: int | None = None, partitions: int | None = None, **overrides) -> WideFitResult:
-    """Train on long-form features. ``entries``: ``key, idx, value``; ``labels``: ``key, label``."""
+             num_features: int | None = None, partitions: int | None = None, checkpoint_every: int = 5,
+             **overrides) -> WideFitResult:
+    """Train on long-form features. ``entries``: ``key, idx, value``; ``labels``: ``key, label``.
+
+    Each iteration's weight table is persisted; every ``checkpoint_every`` iterations it is
+    checkpointed to the shared folder, so recovery after a lost executor replays at most
+    that many iterations."""
     from dataclasses import replace
 
     cfg = replace(config or TrainConfig(), **overrides) if overrides else (config or TrainConfig())
@@ -118,13 +124,18 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
             state = {c: F.col(c) for c in state_cols}
             new_w, new_state = apply_rule(cfg.method, F.col("w"), F.col("g"), state, ctx, ops=ColumnOps)
             new_weights = joined.select("idx", new_w.alias("w"), F.col("w").alias("_old"),
-                                        *[new_state[c].alias(c) for c in state_cols]).checkpoint()
-            per_key.unpersist()
+                                        *[new_state[c].alias(c) for c in state_cols])
+            if (updates + 1) % max(1, checkpoint_every) == 0:
+                new_weights = new_weights.checkpoint()
+            else:
+                new_weights = new_weights.persist(StorageLevel.MEMORY_AND_DISK)
             updates += 1
             norms = new_weights.agg(F.sqrt(F.sum((F.col("w") - F.col("_old")) ** 2)).alias("diff"),
                                     F.sum(F.col("w") ** 2).alias("sq"), F.sum(F.abs("w")).alias("l1")).collect()[0]
             norms = {"diff": norms["diff"], "norm": float(norms["sq"]) ** 0.5, "sq": norms["sq"], "l1": norms["l1"]}
             reg_val = _penalty_value(norms, reg, shown)
+            per_key.unpersist()
+            weights.unpersist()
             weights = new_weights.drop("_old")
             if updates >= 2 and float(norms["diff"]) < cfg.tol * max(float(norms["norm"]), 1.0):
                 result.converged = True
