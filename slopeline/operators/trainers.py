@@ -177,7 +177,11 @@ class FitResult:
 def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features: str = "features",
             intercept: bool = False, row_ids: bool = False) -> DataFrame:
     """Project the training columns (``key, label, features``) and optionally append the
-    constant-1 intercept feature and a stable row id (for salting SVRG shards)."""
+    constant-1 intercept feature and a stable row id (for salting SVRG shards). A table
+    without a ``key`` column gets one from ``monotonically_increasing_id`` (stable for a
+    given set of input splits)."""
+    if key not in df.columns:
+        df = df.withColumn(key, F.monotonically_increasing_id())
     feats = F.col(features)
     if intercept:
         feats = F.concat(feats.cast("array<double>"), F.array(F.lit(1.0)))

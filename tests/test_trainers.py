@@ -246,3 +246,9 @@ def test_unpenalised_intercept_matches_numpy(fx1, fx1_np):
     # the reported penalty leaves the bias out
     from slopeline.operators.updates import penalty_value
     assert penalty_value(w, mask, "l2") == pytest.approx(0.25 * float(w[:64] @ w[:64]))
+
+
+def test_table_without_key_gets_row_ids(spark):
+    df = spark.createDataFrame([(float(k % 2), [1.0, 0.1 * k]) for k in range(20)], "label DOUBLE, features ARRAY<DOUBLE>")
+    res = fit(df, TrainConfig(iters=2, tol=0.0, fraction=0.5))
+    assert res.rows == 20 and np.all(np.isfinite(res.weights))
