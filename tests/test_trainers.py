@@ -252,3 +252,23 @@ def test_table_without_key_gets_row_ids(spark):
     df = spark.createDataFrame([(float(k % 2), [1.0, 0.1 * k]) for k in range(20)], "label DOUBLE, features ARRAY<DOUBLE>")
     res = fit(df, TrainConfig(iters=2, tol=0.0, fraction=0.5))
     assert res.rows == 20 and np.all(np.isfinite(res.weights))
+
+
+def test_svrg_avg_observed_counts_empty_shards(spark):
+    rows = [(k, float(k % 2), [1.0, 0.2 * k]) for k in range(6)]
+    df = spark.createDataFrame(rows, "key BIGINT, label DOUBLE, features ARRAY<DOUBLE>")
+    x = np.array([r[2] for r in rows])
+    y = np.array([r[1] for r in rows])
+    eta, reg, shards = 0.5, 0.1, 8  # keys 0..5 fill six of the eight shards
+    w = np.zeros(2)
+    mu = _grad(x, y, w).mean(axis=0)
+    outs = []
+    for k in range(6):
+        f = _grad(x[k:k + 1], y[k:k + 1], w)[0] - _grad(x[k:k + 1], y[k:k + 1], w)[0] + mu
+        outs.append((1 - eta * reg) * w - eta * f)
+    observed = (np.sum(outs, axis=0) + 2 * w) / 8
+    published = np.mean(outs, axis=0)
+    common = dict(method="svrg_avg", penalty="l2", reg=reg, step=eta, iters=1, tol=0.0, order="key",
+                  shard_by="key_mod", shards=shards)
+    assert np.allclose(fit(df, TrainConfig(variant="observed", **common)).weights, observed, atol=1e-14)
+    assert np.allclose(fit(df, TrainConfig(**common)).weights, published, atol=1e-14)
