@@ -56,3 +56,43 @@ def run_experiment(df: DataFrame, *, methods=EXPERIMENT_METHODS, iterations: int
     finally:
         train.unpersist()
     return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
+# The algorithm names of the command line and the trainers they run.
+CLI_METHODS = {"momentum": "momentum", "sgd": "sgd", "svrg": "svrg_avg", "adagrad": "adagrad",
+               "adadelta": "adadelta", "adam": "adam"}
+
+
+def main(argv=None) -> int:
+    """``python -m slopeline.plans.experiment ITERATIONS PATH PARTITIONS ALGORITHM MEAN_FRACTION
+    FRACTION TOL`` -- the experiment over a LIBSVM file, printing the report."""
+    import argparse
+
+    from slopeline.session import ensure_checkpoint_dir
+    from slopeline.sources.libsvm import read_libsvm
+    from pyspark.sql import SparkSession
+
+    ap = argparse.ArgumentParser(prog="slopeline.plans.experiment")
+    ap.add_argument("iterations", type=int)
+    ap.add_argument("path")
+    ap.add_argument("partitions", type=int)
+    ap.add_argument("algorithm", choices=sorted(CLI_METHODS))
+    ap.add_argument("mean_fraction", type=float)
+    ap.add_argument("fraction", type=float)
+    ap.add_argument("tol", type=float)
+    ap.add_argument("--variant", choices=("published", "observed"), default="published")
+    ap.add_argument("--num-features", type=int, default=None)
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("slopeline-experiment").getOrCreate()
+    ensure_checkpoint_dir(spark)
+    data = read_libsvm(spark, args.path, args.num_features, with_key=True, partitions=args.partitions)
+    report = run_experiment(data, methods=(CLI_METHODS[args.algorithm],), iterations=args.iterations,
+                            fraction=args.fraction, mean_fraction=args.mean_fraction, tol=args.tol,
+                            variant=args.variant)
+    for row in report.collect():
+        print(row.asDict())
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -77,3 +77,13 @@ def test_libsvm_round_trip(spark, fx1):
     a = sorted((r["label"], tuple(float(v) for v in r["features"])) for r in fx1.collect())
     b = sorted((r["label"], tuple(r["features"])) for r in back.collect())
     assert a == b
+
+
+def test_experiment_command_line(spark, fx1, capsys):
+    from slopeline.plans.experiment import main
+
+    path = scratch_path(spark, "libsvm-cli")
+    libsvm.write_libsvm(fx1, path)
+    assert main(["3", path, "4", "svrg", "1.0", "1.0", "0.0", "--num-features", "64"]) == 0
+    out = capsys.readouterr().out
+    assert "'method': 'svrg_avg'" in out and "'rows': 500" in out
