@@ -17,8 +17,18 @@ This is the one distributed job every trainer iteration runs. Two kernels comput
     so neither the driver nor a single task ever holds more than one model-sized vector.
     Best for wide models and for multinomial losses.
 
-``auto`` picks ``arrow`` whenever the loss has a NumPy form (measured faster at every
-width tried) and ``expr`` for user losses that only define columns.
+``sums``
+    The JVM kernel for narrow models: one global aggregate with one ``sum(mult * x_j)`` per
+    weight slot over an unrolled, whole-stage-codegen dot product. The weights are inlined
+    literals, so each iteration pays a fixed recompile (~0.25 s), but the per-row cost is
+    far below the Arrow hand-off (measured 2x faster than ``arrow`` at 6M rows x 5
+    features, and 5x slower at 1M rows x 64 features, where the generated code grows too
+    large).
+
+``auto`` picks ``sums`` for models of at most :data:`SUMS_SLOT_LIMIT` slots whose partitions
+hold at least :data:`SUMS_MIN_PARTITION_ROWS` rows (large tables, where the fixed recompile
+is amortised), ``arrow`` for everything else with a NumPy form, and ``expr`` for user
+losses that only define columns.
 
 Merging the Arrow partials works like ``treeAggregate``: while ``partitions x slots`` is at
 most :data:`DIRECT_MERGE_LIMIT` values, the partials come straight back from one stage
@@ -39,6 +49,8 @@ from slopeline.functions.linalg import dot_array, dot_slice
 from slopeline.functions.losses import MarginLoss
 
 DIRECT_MERGE_LIMIT = 1 << 21
+SUMS_SLOT_LIMIT = 16
+SUMS_MIN_PARTITION_ROWS = 100_000
 ROW_COLLECT_LIMIT = 1 << 16
 SLOT_SCHEMA = "slot INT, value DOUBLE, n BIGINT"
 
@@ -189,10 +201,42 @@ def gradient_frame_expr(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d:
             .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
 
 
-def choose_kernel(loss: MarginLoss, d: int, kernel: str = "auto") -> str:
+def gradient_row_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
+                      features: str = "features", label: str = "label") -> DataFrame:
+    """One-row frame ``g_0 .. g_{G-1}, loss_sum, n`` from the JVM ``sums`` kernel."""
+    k = loss.outputs
+    staged, margins = staged_margins(df, weights, k, d, features,
+                                     keep=(F.col(features).alias("_x"), F.col(label).cast("double").alias("_y")))
+    row_loss, mults = loss.columns(margins, F.col("_y"))
+    staged = staged.select("_x", row_loss.alias("_loss"), *[m.alias(f"_m{c}") for c, m in enumerate(mults)])
+    aggs = [F.sum(F.col(f"_m{c}") * F.col("_x").getItem(j).cast("double")).alias(f"g_{c * d + j}")
+            for c in range(k) for j in range(d)]
+    # null entries would be skipped by sum: count them with an unrolled (codegen) test
+    any_null = F.col("_x").isNull()
+    for j in range(d):
+        any_null = any_null | F.col("_x").getItem(j).isNull()
+    return staged.agg(*aggs, F.sum("_loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"),
+                      F.sum(F.when(any_null, 1).otherwise(0)).alias("null_entries"))
+
+
+def gradient_frame_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
+                        features: str = "features", label: str = "label") -> DataFrame:
+    slots = loss.slots(d)
+    names = [f"g_{s}" for s in range(slots)] + ["loss_sum"]
+    return (gradient_row_sums(df, weights, loss, d, features, label).where(F.col("n") > 0)
+            .select(F.posexplode(F.array(*names)).alias("slot", "value"), "n")
+            .select(F.col("slot").cast("int").alias("slot"), "value", "n"))
+
+
+def choose_kernel(loss: MarginLoss, d: int, kernel: str = "auto", rows_per_partition: float | None = None) -> str:
     if kernel != "auto":
         return kernel
-    return "arrow" if loss.has_numpy else "expr"
+    if not loss.has_numpy:
+        return "sums" if loss.slots(d) <= SUMS_SLOT_LIMIT else "expr"
+    if (rows_per_partition is not None and rows_per_partition >= SUMS_MIN_PARTITION_ROWS
+            and loss.slots(d) <= SUMS_SLOT_LIMIT):
+        return "sums"
+    return "arrow"
 
 
 def gradient_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
@@ -202,6 +246,8 @@ def gradient_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
     kind = choose_kernel(loss, d, kernel)
     if kind == "expr":
         return gradient_frame_expr(df, weights, loss, d, features, label)
+    if kind == "sums":
+        return gradient_frame_sums(df, weights, loss, d, features, label)
     if kind == "arrow":
         return gradient_frame_arrow(df, weights, loss, d, features, label)
     raise ValueError(f"unknown kernel {kind!r}")
@@ -209,10 +255,20 @@ def gradient_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
 
 def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
                features: str = "features", label: str = "label", kernel: str = "auto",
-               partitions: int | None = None) -> BatchSums:
+               partitions: int | None = None, rows_per_partition: float | None = None) -> BatchSums:
     """Run one aggregation pass and bring back Σ gradient, Σ loss and the row count."""
     slots = loss.slots(d)
-    if choose_kernel(loss, d, kernel) == "arrow":
+    kind = choose_kernel(loss, d, kernel, rows_per_partition)
+    if kind == "sums":
+        row = gradient_row_sums(df, weights, loss, d, features, label).collect()[0]
+        if row["null_entries"]:
+            raise ValueError("null feature entry")
+        n = int(row["n"])
+        if n == 0:
+            return BatchSums(np.zeros(slots), 0.0, 0)
+        return BatchSums(np.array([row[f"g_{s}"] for s in range(slots)], dtype=np.float64),
+                         float(row["loss_sum"]), n)
+    if kind == "arrow":
         if partitions is None:
             partitions = df.rdd.getNumPartitions()
         if partitions * (slots + 1) <= DIRECT_MERGE_LIMIT:

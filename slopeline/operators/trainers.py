@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from slopeline.functions.losses import MarginLoss, resolve_loss
 from slopeline.functions.sampling import BASE_SEED, SAMPLERS, keyed_sample
 from slopeline.operators import svrg as svrg_ops
-from slopeline.operators.gradient import batch_sums, choose_kernel
+from slopeline.operators.gradient import batch_sums
 from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalty_value,
                                          records_history, reg_penalty)
 from slopeline.operators.validate import check_training_table
@@ -214,8 +214,11 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
                     row_ids=cfg.method in ("svrg", "svrg_avg") and cfg.shard_by == "hash")
     table = _spread(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        arrow = choose_kernel(loss, 0, cfg.kernel) == "arrow" or cfg.method in ("svrg", "svrg_avg")
-        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not arrow)
+        # the Arrow and sums kernels (and the shard walks) reject null vector entries
+        # themselves; only the explode kernel needs the element scan here
+        kernel_checks = (cfg.method in ("svrg", "svrg_avg") or cfg.kernel in ("arrow", "sums")
+                         or (cfg.kernel == "auto" and loss.has_numpy))
+        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not kernel_checks)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
         if d is None:
@@ -232,7 +235,7 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         partitions = table.rdd.getNumPartitions()
         try:
             if cfg.method in STATE:
-                _run_gradient_loop(table, cfg, loss, d, w, result, partitions)
+                _run_gradient_loop(table, cfg, loss, d, w, result, partitions, facts.rows)
             else:
                 svrg_ops.run(table, cfg, loss, d, w, result, facts.rows)
         except PythonException as exc:
@@ -267,7 +270,7 @@ def converged(prev: np.ndarray, cur: np.ndarray, tol: float) -> bool:
 
 
 def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d: int, w: np.ndarray,
-                       result: FitResult, partitions: int) -> None:
+                       result: FitResult, partitions: int, rows: int) -> None:
     reg = cfg.reg_weights(loss.slots(d), loss.outputs)
     shown_penalty = reg_penalty(cfg.method, cfg.penalty)
     state = {} if cfg.update is not None else init_state(cfg.method, w)
@@ -278,7 +281,8 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
     i = 1
     while i <= cfg.iters:
         batch = keyed_sample(table, "key", cfg.fraction, cfg.seed + i, cfg.sampler)
-        sums = batch_sums(batch, w, loss, d, kernel=cfg.kernel, partitions=partitions)
+        sums = batch_sums(batch, w, loss, d, kernel=cfg.kernel, partitions=partitions,
+                          rows_per_partition=rows * cfg.fraction / max(1, partitions))
         if sums.count > 0:
             if keep_history:
                 result.history.append(HistoryEntry(i, sums.mean_loss, reg_val, sums.count))

@@ -272,3 +272,21 @@ def test_svrg_avg_observed_counts_empty_shards(spark):
                   shard_by="key_mod", shards=shards)
     assert np.allclose(fit(df, TrainConfig(variant="observed", **common)).weights, observed, atol=1e-14)
     assert np.allclose(fit(df, TrainConfig(**common)).weights, published, atol=1e-14)
+
+
+@pytest.mark.parametrize("kernel", ["sums", "expr", "arrow"])
+def test_kernels_agree(spark, fx1, kernel):
+    from slopeline.sources import tables
+    from conftest import SF_CHECK
+
+    fx2 = tables.lineitem_returns(spark, SF_CHECK)
+    ref = fit(fx2, TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=2, tol=0.0, kernel="arrow")).weights
+    got = fit(fx2, TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=2, tol=0.0, kernel=kernel)).weights
+    assert np.allclose(got, ref, rtol=1e-11, atol=1e-13)
+
+
+@pytest.mark.parametrize("kernel", ["sums", "expr", "arrow"])
+def test_null_entries_rejected_by_every_kernel(spark, kernel):
+    df = _small(spark, [(1, 1.0, [1.0, None]), (2, 0.0, [0.0, 1.0])])
+    with pytest.raises(ValueError, match="null feature"):
+        fit(df, TrainConfig(iters=1, kernel=kernel))
