@@ -94,6 +94,18 @@ def main():
     rdd.unpersist()
     cached.unpersist()
 
+    # ten copies of the lineitem fixture (6M rows at sf0.1): large partitions, where the
+    # narrow model runs on the JVM kernel
+    big = fx2
+    for _ in range(9):
+        big = big.unionByName(fx2)
+    big = big.repartition(4 * spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    big.count()
+    total, it, _ = per_iter(big, n=6, method="sgd", penalty="l2", reg=1.0)
+    q["sgd_lineitem_x10_6it"] = total
+    q["sgd_lineitem_x10_per_iter"] = it
+    big.unpersist()
+
     for method, step in (("momentum", 1.0), ("adagrad", 0.01), ("adadelta", 1.0), ("adam", 0.001)):
         total, it, _ = per_iter(fx1, method=method, penalty="l2", reg=1.0, step=step)
         q[f"{method}_embeddings_10it"] = total
