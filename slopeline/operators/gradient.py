@@ -1,39 +1,38 @@
 """Batch gradient aggregation (sum of gradients, sum of losses, row count).
 
-This is the one distributed job every trainer iteration runs. Two kernels compute it:
-
-``expr``
-    Pure column expressions: the margin is an unrolled dot product against the current
-    weights (literals), the loss supplies ``loss`` and ``mult`` columns, and one global
-    aggregate sums ``mult * x_j`` for every weight slot. Everything stays in the JVM under
-    whole-stage codegen; partial aggregates are combined map-side and only one row per
-    task is shuffled. Best for narrow models.
+This is the one distributed job every trainer iteration runs. Three kernels compute it, all
+returning the same long form ``(slot, value, n)`` (slots ``0..G-1`` the gradient sums, slot
+``G`` the loss sum, ``n`` the rows aggregated):
 
 ``arrow``
     ``mapInArrow`` hands each partition to NumPy as Arrow batches; the kernel keeps one
-    running (gradient, loss, count) partial per partition and emits it in long form
-    ``(slot, value)``. A ``groupBy(slot).sum`` then merges the partials (partial
-    aggregation map-side, final aggregation spread over the shuffle partitions by slot),
-    so neither the driver nor a single task ever holds more than one model-sized vector.
-    Best for wide models and for multinomial losses.
+    running (gradient, loss, count) partial per partition and emits it in long form. Null
+    vector entries are found from Arrow metadata. Best for wide and multinomial models, and
+    for small partitions.
 
 ``sums``
     The JVM kernel for narrow models: one global aggregate with one ``sum(mult * x_j)`` per
-    weight slot over an unrolled, whole-stage-codegen dot product. The weights are inlined
-    literals, so each iteration pays a fixed recompile (~0.25 s), but the per-row cost is
-    far below the Arrow hand-off (measured 2x faster than ``arrow`` at 6M rows x 5
-    features, and 5x slower at 1M rows x 64 features, where the generated code grows too
-    large).
+    weight slot over an unrolled, whole-stage-codegen dot product (plus an unrolled null-entry
+    count). The weights are inlined literals, so each iteration pays a fixed recompile
+    (~0.25 s), but the per-row cost is far below the Arrow hand-off: measured 2x faster than
+    ``arrow`` at 6M rows x 5 features, and 5x slower at 1M rows x 64 features, where the
+    generated code grows too large.
+
+``expr``
+    For user losses written only as columns: every row emits its ``mult_c * x_j`` terms and
+    its loss by ``posexplode``, and a hash aggregate by slot sums them. The weights enter as
+    array literals, so repeated iterations reuse the compiled code.
 
 ``auto`` picks ``sums`` for models of at most :data:`SUMS_SLOT_LIMIT` slots whose partitions
-hold at least :data:`SUMS_MIN_PARTITION_ROWS` rows (large tables, where the fixed recompile
-is amortised), ``arrow`` for everything else with a NumPy form, and ``expr`` for user
-losses that only define columns.
+hold at least :data:`SUMS_MIN_PARTITION_ROWS` rows (large tables, where the fixed recompile is
+amortised), ``arrow`` for everything else with a NumPy form, and ``sums``/``expr`` for
+column-only losses.
 
 Merging the Arrow partials works like ``treeAggregate``: while ``partitions x slots`` is at
-most :data:`DIRECT_MERGE_LIMIT` values, the partials come straight back from one stage
-(one small row per partition) and are summed on the driver; past that bound they are summed
-by slot in a shuffle first, so what reaches the driver stays one model-sized vector.
+most :data:`DIRECT_MERGE_LIMIT` values, the partials come straight back from one stage (one
+small row per partition) and are summed on the driver; past that bound they are summed by
+slot in a shuffle first (map-side partial aggregation), so what reaches the driver stays one
+model-sized vector.
 """
 
 from __future__ import annotations
