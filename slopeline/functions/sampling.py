@@ -14,6 +14,12 @@ Two hashes are offered:
 
 ``bernoulli`` keeps the layout-dependent ``DataFrame.sample`` for parity with the
 original trainers.
+
+Hashing the key alone keeps every row of a key together: right when the key names a row,
+but a key (or a block of copied rows) holding a large share of the table would then enter
+or leave a batch whole. Passing ``salt`` (a stable row id) hashes ``(key, salt)`` so such
+groups are spread like any other rows; the draw is then fixed for a given input (and after
+executor loss) rather than for any layout.
 """
 
 from __future__ import annotations
@@ -33,26 +39,29 @@ _TWO_32 = 4294967296.0
 _TWO_53 = 9007199254740992
 
 
-def uniform(key: str | Column, seed: int, sampler: str = "xxhash64") -> Column:
-    """A number in [0, 1) that depends only on ``(key, seed)``."""
+def uniform(key: str | Column, seed: int, sampler: str = "xxhash64", salt: str | Column | None = None) -> Column:
+    """A number in [0, 1) that depends only on ``(key, seed)`` (and ``salt`` if given)."""
     k = F.col(key) if isinstance(key, str) else key
+    extra = [] if salt is None else [F.col(salt) if isinstance(salt, str) else salt]
     if sampler == "md5":
-        digest = F.md5(F.concat(k.cast("string"), F.lit(":"), F.lit(str(int(seed)))))
+        parts = [k.cast("string"), F.lit(":")] + [p for e in extra for p in (e.cast("string"), F.lit(":"))]
+        digest = F.md5(F.concat(*parts, F.lit(str(int(seed)))))
         head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
         return head.cast("double") / F.lit(_TWO_32)
     if sampler == "xxhash64":
-        h = F.pmod(F.xxhash64(k, F.lit(int(seed))), F.lit(_TWO_53))
+        h = F.pmod(F.xxhash64(k, *extra, F.lit(int(seed))), F.lit(_TWO_53))
         return h.cast("double") / F.lit(float(_TWO_53))
     raise ValueError(f"sampler {sampler!r} has no keyed form; use one of 'xxhash64', 'md5'")
 
 
-def keyed_sample(df: DataFrame, key: str, fraction: float, seed: int, sampler: str = "xxhash64") -> DataFrame:
+def keyed_sample(df: DataFrame, key: str, fraction: float, seed: int, sampler: str = "xxhash64",
+                 salt: str | None = None) -> DataFrame:
     """Rows whose keyed uniform draw is below ``fraction`` (all rows when fraction >= 1)."""
     if fraction >= 1.0:
         return df
     if sampler == "bernoulli":
         return df.sample(withReplacement=False, fraction=float(fraction), seed=int(seed))
-    return df.where(uniform(key, seed, sampler) < F.lit(float(fraction)))
+    return df.where(uniform(key, seed, sampler, salt) < F.lit(float(fraction)))
 
 
 def batch_seed(iteration: int, base: int = BASE_SEED) -> int:

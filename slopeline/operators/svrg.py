@@ -204,7 +204,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
         result.iterations = i
         seed = cfg.seed + i
         eta = cfg.step / math.sqrt(i)
-        batch = keyed_sample(table, "key", cfg.fraction, seed, cfg.sampler)
+        batch = keyed_sample(table, "key", cfg.fraction, seed, cfg.sampler, cfg.salt())
         if cfg.method == "svrg":
             kernel = svrg_kernel(w, loss, d, eta, shrink, cfg.order, cfg.seed, i)
             acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 1, shards)
@@ -214,7 +214,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
             result.history.append(HistoryEntry(i, acc[slots] / n, reg_val, n))
             new_w = penalised_step(w, acc[:slots] / n, eta, reg, cfg.penalty)
         else:
-            mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler)
+            mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler, cfg.salt())
             mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel)
             mu = mean_sums.mean_grad if mean_sums.count else np.zeros(slots)
             kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)

@@ -55,9 +55,21 @@ class TrainConfig:
     ``update`` is a user rule ``(w, g, state, ctx) -> (w, state)`` that replaces the
     method's rule (the state starts as an empty dict). With ``intercept=True``,
     ``penalise_bias=False`` leaves the bias slot of each class block out of the penalty
-    (by default every slot is penalised, as in the original trainers).
+    (by default every slot is penalised, as in the original trainers). ``sample_by="row"``
+    salts the keyed mini-batch hash with a stable row id, so a hot key or a block of copied
+    rows is sampled row by row; ``"key"`` hashes the key alone (the same batches under any
+    layout and in SQL; right when the key names a row).
     """
 
+    def needs_row_ids(self) -> bool:
+        svrg_hash = self.method in ("svrg", "svrg_avg") and self.shard_by == "hash"
+        sampled = self.sample_by == "row" and self.sampler != "bernoulli" and (
+            self.fraction < 1.0 or (self.method == "svrg_avg" and self.mean_fraction < 1.0))
+        return svrg_hash or sampled
+
+    def salt(self) -> str | None:
+        return "_rid" if self.sample_by == "row" else None
+
     loss: str | MarginLoss = "logistic"
     method: str = "sgd"
     penalty: str = "l2"
@@ -79,6 +91,7 @@ class TrainConfig:
     kernel: str = "auto"
     update: Callable | None = None
     penalise_bias: bool = True
+    sample_by: str = "row"
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -111,6 +124,8 @@ class TrainConfig:
             raise ValueError("shard_by must be 'hash' or 'key_mod'")
         if self.order not in ("random", "key"):
             raise ValueError("order must be 'random' or 'key'")
+        if self.sample_by not in ("row", "key"):
+            raise ValueError("sample_by must be 'row' or 'key'")
         if self.fraction < 1.0 and self.tol > 0.0:
             warnings.warn("testing a convergence tolerance with fraction < 1 can be unstable", stacklevel=3)
         if self.iters * self.fraction < 1.0 and self.iters > 0:
@@ -211,7 +226,7 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         raise ValueError(f"{cfg.method} walks rows in NumPy; the loss needs a numpy form")
     started = time.perf_counter()
     table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept,
-                    row_ids=cfg.method in ("svrg", "svrg_avg") and cfg.shard_by == "hash")
+                    row_ids=cfg.needs_row_ids())
     table = _spread(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # the Arrow and sums kernels (and the shard walks) reject null vector entries
@@ -280,7 +295,7 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
     updates = 0
     i = 1
     while i <= cfg.iters:
-        batch = keyed_sample(table, "key", cfg.fraction, cfg.seed + i, cfg.sampler)
+        batch = keyed_sample(table, "key", cfg.fraction, cfg.seed + i, cfg.sampler, cfg.salt())
         sums = batch_sums(batch, w, loss, d, kernel=cfg.kernel, partitions=partitions,
                           rows_per_partition=rows * cfg.fraction / max(1, partitions))
         if sums.count > 0:

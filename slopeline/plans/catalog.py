@@ -249,7 +249,7 @@ def _trainer(name: str, fx_fn, fx: str, cfg: dict, sql_kw: dict | None = None, *
 
     def q(spark, sf_dir):
         df = fx_fn(spark, sf_dir)
-        res = fit(df, TrainConfig(**{"tol": 0.0, "sampler": "md5", **kw}), initial_weights=initial)
+        res = fit(df, TrainConfig(**{"tol": 0.0, "sampler": "md5", "sample_by": "key", **kw}), initial_weights=initial)
         return out(res, spark) if out else weights_out(res, spark)
 
     register(name, sql)(q)
@@ -340,7 +340,7 @@ register("converged_early", O.trainer_sql("fx1", select=_conv_sql(), method="sgd
                                           step=1.0, iters=4))(
     lambda spark, sf_dir: _conv_out(fit(tables.embeddings_binary(spark, sf_dir),
                                         TrainConfig(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=4,
-                                                    tol=_CONV_TOL, sampler="md5")), spark))
+                                                    tol=_CONV_TOL, sampler="md5", sample_by="key")), spark))
 
 
 @register("empty_input", "SELECT CAST(range AS INTEGER) AS idx, 0.0::DOUBLE AS weight, 0 AS iterations FROM range(64)")
@@ -353,7 +353,7 @@ def q_empty_input(spark, sf_dir):
 # ------------------------------------------------------------------------------------------
 # scoring, evaluation, storage (on the sgd_l2 model)
 
-_L2 = dict(method="sgd", penalty="l2", reg=1.0, step=1.0, iters=3, tol=0.0, sampler="md5")
+_L2 = dict(method="sgd", penalty="l2", reg=1.0, step=1.0, iters=3, tol=0.0, sampler="md5", sample_by="key")
 
 
 def _l2_model(spark, sf_dir):
@@ -559,7 +559,7 @@ def q_sgd_wide(spark, sf_dir):
 def q_svrg(spark, sf_dir):
     res = fit(tables.embeddings_binary(spark, sf_dir),
               TrainConfig(method="svrg", penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, order="key",
-                          shard_by="key_mod", shards=4, sampler="md5"))
+                          shard_by="key_mod", shards=4, sampler="md5", sample_by="key"))
     return weights_out(res, spark)
 
 
@@ -567,7 +567,7 @@ def q_svrg(spark, sf_dir):
 def q_svrg_avg(spark, sf_dir):
     res = fit(tables.embeddings_binary(spark, sf_dir),
               TrainConfig(method="svrg_avg", penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, order="key",
-                          shard_by="key_mod", shards=4, sampler="md5"))
+                          shard_by="key_mod", shards=4, sampler="md5", sample_by="key"))
     return weights_out(res, spark)
 
 

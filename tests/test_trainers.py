@@ -51,7 +51,7 @@ def test_sgd_matches_numpy_and_history(fx1, fx1_np):
 
 @pytest.mark.parametrize("method", ["sgd", "adam"])
 def test_keyed_batches_do_not_depend_on_layout(fx1, method):
-    cfg = TrainConfig(method=method, penalty="l2", reg=0.1, step=0.1, iters=3, fraction=0.4, tol=0.0)
+    cfg = TrainConfig(method=method, penalty="l2", reg=0.1, step=0.1, iters=3, fraction=0.4, tol=0.0, sample_by="key")
     runs = [fit(fx1.repartition(p), cfg).weights for p in (1, 4, 7)]
     assert np.allclose(runs[0], runs[1], atol=1e-13) and np.allclose(runs[0], runs[2], atol=1e-13)
 
@@ -164,7 +164,8 @@ def test_wide_equals_dense(spark, fx1):
 
     entries = fx1.select("key", F.posexplode("features").alias("idx", "value"))
     for method in ("sgd", "momentum", "adam"):
-        cfg = TrainConfig(method=method, penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, fraction=0.6)
+        cfg = TrainConfig(method=method, penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, fraction=0.6,
+                          sample_by="key")
         dense = fit(fx1, cfg).weights
         wide = fit_wide(entries, fx1.select("key", "label"), cfg, num_features=64)
         got = np.array([r["weight"] for r in wide.weights.orderBy("idx").collect()])
@@ -290,3 +291,19 @@ def test_null_entries_rejected_by_every_kernel(spark, kernel):
     df = _small(spark, [(1, 1.0, [1.0, None]), (2, 0.0, [0.0, 1.0])])
     with pytest.raises(ValueError, match="null feature"):
         fit(df, TrainConfig(iters=1, kernel=kernel))
+
+
+def test_row_sampling_spreads_a_hot_key(spark):
+    from slopeline.functions.sampling import keyed_sample
+    from slopeline.operators.trainers import prepare
+
+    # one key holds a third of the rows
+    rows = [(0 if k % 3 == 0 else k, float(k % 2), [1.0, 0.01 * k]) for k in range(3000)]
+    df = prepare(_small(spark, rows), row_ids=True).cache()
+    for seed in (43, 44, 45):
+        by_row = keyed_sample(df, "key", 0.3, seed, "xxhash64", "_rid").where("key = 0").count()
+        assert 200 < by_row < 400  # about 0.3 of the 1,000 hot rows
+    by_key = [keyed_sample(df, "key", 0.3, s, "xxhash64").where("key = 0").count() for s in range(43, 53)]
+    assert set(by_key) <= {0, 1000}  # hashing the key alone takes the hot key whole or not at all
+    res = fit(_small(spark, rows), TrainConfig(iters=3, fraction=0.3, tol=0.0))
+    assert all(600 < h.batch_rows < 1200 for h in res.history)
