@@ -40,6 +40,9 @@ from slopeline.operators.validate import check_training_table
 from slopeline.sources.models import LinearModel
 
 METHODS = ("sgd", "momentum", "adagrad", "adadelta", "adam", "svrg", "svrg_avg")
+# Dense mode keeps the weights on the driver and ships them with every task; past this many
+# weight slots the weights belong in a table (``slopeline.operators.wide.fit_wide``).
+DENSE_SLOT_LIMIT = 1 << 22
 VARIANTS = ("published", "observed")
 
 
@@ -238,6 +241,8 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
             None if initial_weights is None else len(initial_weights) // loss.outputs)
         if d is None:
             d = 0
+        if loss.slots(d) > DENSE_SLOT_LIMIT:
+            raise ValueError(f"{loss.slots(d)} weight slots is too wide for dense mode; use fit_wide")
         w = np.zeros(loss.slots(d)) if initial_weights is None else np.asarray(initial_weights, dtype=np.float64).copy()
         if len(w) != loss.slots(d):
             raise ValueError(f"initial weights need {loss.slots(d)} entries, got {len(w)}")

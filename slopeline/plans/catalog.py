@@ -573,5 +573,5 @@ def q_svrg_avg(spark, sf_dir):
 
 @register("experiment_report")
 def q_experiment_report(spark, sf_dir):
-    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=5)
+    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3)
     return report.drop("elapsed_ms")
