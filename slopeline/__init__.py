@@ -9,3 +9,22 @@ import sys as _sys
 from pyspark import cloudpickle as _cloudpickle
 
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from slopeline.functions.losses import (HingeLoss, LeastSquaresLoss, LogisticLoss, MarginLoss,  # noqa: E402
+                                        MultinomialLoss)
+from slopeline.functions.sampling import keyed_sample, keyed_split  # noqa: E402
+from slopeline.operators.gradient import batch_sums  # noqa: E402
+from slopeline.operators.metrics import area_under_roc, auc_frame  # noqa: E402
+from slopeline.operators.scoring import predict, score_and_label  # noqa: E402
+from slopeline.operators.trainers import FitResult, TrainConfig, fit  # noqa: E402
+from slopeline.operators.wide import fit_wide  # noqa: E402
+from slopeline.plans.experiment import run_experiment  # noqa: E402
+from slopeline.sources.libsvm import read_libsvm, write_libsvm  # noqa: E402
+from slopeline.sources.models import LinearModel, load_model, save_model  # noqa: E402
+
+__all__ = [
+    "TrainConfig", "fit", "fit_wide", "FitResult", "batch_sums", "predict", "score_and_label",
+    "area_under_roc", "auc_frame", "LinearModel", "save_model", "load_model", "read_libsvm",
+    "write_libsvm", "keyed_sample", "keyed_split", "run_experiment", "MarginLoss", "LogisticLoss",
+    "LeastSquaresLoss", "HingeLoss", "MultinomialLoss",
+]
