@@ -49,7 +49,7 @@ def test_sgd_matches_numpy_and_history(fx1, fx1_np):
     assert res.last_losses(2) == res.loss_history[-2:]
 
 
-@pytest.mark.parametrize("method", ["sgd", "adam"])
+@pytest.mark.parametrize("method", ["sgd", "momentum", "adagrad", "adadelta", "adam"])
 def test_keyed_batches_do_not_depend_on_layout(fx1, method):
     cfg = TrainConfig(method=method, penalty="l2", reg=0.1, step=0.1, iters=3, fraction=0.4, tol=0.0, sample_by="key")
     runs = [fit(fx1.repartition(p), cfg).weights for p in (1, 4, 7)]
