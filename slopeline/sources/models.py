@@ -61,6 +61,20 @@ class LinearModel:
     def clear_threshold(self) -> "LinearModel":
         return self.with_threshold(None)
 
+    def predict_point(self, features) -> float:
+        """Prediction for one feature vector on the driver, with the same rules as the
+        column expressions of ``slopeline.operators.scoring``."""
+        x = np.asarray(features, dtype=np.float64)
+        if len(x) != self.num_features:
+            raise ValueError(f"expected {self.num_features} features, got {len(x)}")
+        if self.num_classes == 2:
+            score = 1.0 / (1.0 + np.exp(-(float(x @ self.weights) + self.intercept)))
+            return score if self.threshold is None else float(score > self.threshold)
+        w = self.weights.reshape(self.num_classes - 1, self.block)
+        margins = w[:, :self.num_features] @ x + (w[:, -1] if self.has_bias_slot else 0.0)
+        best = int(np.argmax(margins))
+        return float(best + 1) if margins[best] > 0 else 0.0
+
     def weights_frame(self, spark: SparkSession) -> DataFrame:
         """``(idx, weight)`` table of the weight vector."""
         return spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(self.weights)], "idx INT, weight DOUBLE")

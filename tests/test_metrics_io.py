@@ -87,3 +87,17 @@ def test_experiment_command_line(spark, fx1, capsys):
     assert main(["3", path, "4", "svrg", "1.0", "1.0", "0.0", "--num-features", "64"]) == 0
     out = capsys.readouterr().out
     assert "'method': 'svrg_avg'" in out and "'rows': 500" in out
+
+
+def test_predict_point_matches_column_prediction(spark, fx1):
+    res = fit(fx1, TrainConfig(method="sgd", penalty="l2", reg=1.0, iters=2, tol=0.0))
+    rows = fx1.limit(20).collect()
+    by_key = {r["key"]: r["prediction"] for r in predict(spark.createDataFrame(rows, fx1.schema), res.model).collect()}
+    for r in rows:
+        assert res.model.predict_point(r["features"]) == by_key[r["key"]]
+    cleared = res.model.clear_threshold()
+    scores = {r["key"]: r["prediction"] for r in predict(spark.createDataFrame(rows, fx1.schema), cleared).collect()}
+    for r in rows:
+        assert cleared.predict_point(r["features"]) == pytest.approx(scores[r["key"]], rel=1e-12)
+    multi = models.LinearModel(np.array([1.0, 0.0, 2.0, 0.0]), num_features=2, num_classes=3)
+    assert multi.predict_point([1.0, 0.0]) == 2.0 and multi.predict_point([-1.0, 0.0]) == 0.0

@@ -307,3 +307,16 @@ def test_row_sampling_spreads_a_hot_key(spark):
     assert set(by_key) <= {0, 1000}  # hashing the key alone takes the hot key whole or not at all
     res = fit(_small(spark, rows), TrainConfig(iters=3, fraction=0.3, tol=0.0))
     assert all(600 < h.batch_rows < 1200 for h in res.history)
+
+
+def test_lazy_gradient_frames_agree_across_kernels(fx1):
+    from slopeline.functions.losses import resolve_loss
+    from slopeline.operators.gradient import mean_gradient_frame
+
+    loss = resolve_loss("logistic")
+    w = np.linspace(-0.2, 0.2, 64)
+    frames = {k: {r["idx"]: r["grad"] for r in mean_gradient_frame(fx1, w, loss, 64, kernel=k).collect()}
+              for k in ("arrow", "sums", "expr")}
+    for k in ("sums", "expr"):
+        assert frames[k].keys() == frames["arrow"].keys()
+        assert np.allclose([frames[k][i] for i in range(64)], [frames["arrow"][i] for i in range(64)], atol=1e-13)
