@@ -198,6 +198,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
     reg = cfg.reg_weights(slots, loss.outputs)
     shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
     shards = shard_count(cfg, rows)
+    partitions = table.rdd.getNumPartitions()
     reg_val = penalty_value(w, reg, cfg.penalty)
     updates = 0
     for i in range(1, cfg.iters + 1):
@@ -215,7 +216,8 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
             new_w = penalised_step(w, acc[:slots] / n, eta, reg, cfg.penalty)
         else:
             mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler, cfg.salt())
-            mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel)
+            mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel, partitions=partitions,
+                                              rows_per_partition=rows * cfg.mean_fraction / max(1, partitions))
             mu = mean_sums.mean_grad if mean_sums.count else np.zeros(slots)
             kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
             acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 2, shards)
