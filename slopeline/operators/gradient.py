@@ -115,15 +115,7 @@ def merge_slots(partials: DataFrame) -> DataFrame:
 
 def collect_sums(frame: DataFrame, slots: int) -> BatchSums:
     """Collect a merged ``(slot, value, n)`` frame (``slots + 1`` rows) into a BatchSums."""
-    grad = np.zeros(slots)
-    loss, n = 0.0, 0
-    for row in frame.collect():
-        if row["slot"] == slots:
-            loss = float(row["value"])
-        else:
-            grad[row["slot"]] = row["value"]
-        n = int(row["n"])
-    return BatchSums(grad, loss, n)
+    return sum_partials(fetch_partials(frame, slots + 1), slots)
 
 
 def arrow_kernel(weights: np.ndarray, loss: MarginLoss, d: int, features: str = "features", label: str = "label"):

@@ -320,3 +320,16 @@ def test_lazy_gradient_frames_agree_across_kernels(fx1):
     for k in ("sums", "expr"):
         assert frames[k].keys() == frames["arrow"].keys()
         assert np.allclose([frames[k][i] for i in range(64)], [frames["arrow"][i] for i in range(64)], atol=1e-13)
+
+
+def test_merge_by_slot_path_equals_direct_path(fx1, monkeypatch):
+    from slopeline.operators import gradient, svrg
+
+    cfg = TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=2, tol=0.0)
+    direct = fit(fx1, cfg).weights
+    monkeypatch.setattr(gradient, "DIRECT_MERGE_LIMIT", 1)
+    monkeypatch.setattr(svrg, "DIRECT_MERGE_LIMIT", 1)
+    merged = fit(fx1, cfg).weights
+    assert np.allclose(direct, merged, atol=1e-14)
+    cfg = TrainConfig(method="svrg_avg", penalty="l2", reg=0.1, step=0.1, iters=1, tol=0.0, shards=3)
+    assert np.all(np.isfinite(fit(fx1, cfg).weights))
