@@ -27,6 +27,8 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.errors import PythonException
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ class TrainConfig:
     (by default every slot is penalised, as in the original trainers). ``sample_by="row"``
     salts the keyed mini-batch hash with a stable row id, so a hot key or a block of copied
     rows is sampled row by row; ``"key"`` hashes the key alone (the same batches under any
-    layout and in SQL; right when the key names a row).
+    layout and in SQL; right when the key names a row). ``validate=False`` skips the label
+    domain check (rows, nulls and vector lengths are always checked).
     """
 
     def needs_row_ids(self) -> bool:
@@ -95,6 +98,7 @@ class TrainConfig:
     update: Callable | None = None
     penalise_bias: bool = True
     sample_by: str = "row"
+    validate: bool = True
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -201,6 +205,8 @@ def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features:
     if key not in df.columns:
         df = df.withColumn(key, F.monotonically_increasing_id())
     feats = F.col(features)
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        feats = vector_to_array(feats, "float64")
     if intercept:
         feats = F.concat(feats.cast("array<double>"), F.array(F.lit(1.0)))
     cols = [F.col(key).alias("key"), F.col(label).cast("double").alias("label"), feats.alias("features")]
@@ -236,7 +242,8 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         # themselves; only the explode kernel needs the element scan here
         kernel_checks = (cfg.method in ("svrg", "svrg_avg") or cfg.kernel in ("arrow", "sums")
                          or (cfg.kernel == "auto" and loss.has_numpy))
-        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not kernel_checks)
+        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not kernel_checks,
+                                     check_labels=cfg.validate)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
         if d is None:

@@ -52,7 +52,8 @@ def table_facts_frame(df: DataFrame, loss: MarginLoss, num_classes: int = 2, lab
 
 
 def check_training_table(df: DataFrame, loss: MarginLoss, num_classes: int = 2, label: str = "label",
-                         features: str = "features", element_nulls: bool = True) -> TableFacts:
+                         features: str = "features", element_nulls: bool = True,
+                         check_labels: bool = True) -> TableFacts:
     """Count rows and reject nulls, ragged feature vectors and labels outside the loss's
     domain; runs as a single aggregation job."""
     r = table_facts_frame(df, loss, num_classes, label, features, element_nulls).collect()[0]
@@ -68,7 +69,7 @@ def check_training_table(df: DataFrame, loss: MarginLoss, num_classes: int = 2,
         raise ValueError(f"{facts.null_features} rows have a null feature vector or entry")
     if facts.min_dim != facts.max_dim:
         raise ValueError(f"feature vectors differ in length ({facts.min_dim} to {facts.max_dim})")
-    if facts.bad_labels:
+    if facts.bad_labels and check_labels:
         kind = f"0..{num_classes - 1}" if loss.outputs > 1 else "0 or 1"
         raise ValueError(f"{facts.bad_labels} labels are not {kind}")
     return facts

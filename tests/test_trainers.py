@@ -333,3 +333,15 @@ def test_merge_by_slot_path_equals_direct_path(fx1, monkeypatch):
     assert np.allclose(direct, merged, atol=1e-14)
     cfg = TrainConfig(method="svrg_avg", penalty="l2", reg=0.1, step=0.1, iters=1, tol=0.0, shards=3)
     assert np.all(np.isfinite(fit(fx1, cfg).weights))
+
+
+def test_vector_features_and_unvalidated_labels(spark, fx1):
+    from pyspark.ml.functions import array_to_vector
+
+    vec = fx1.select("key", "label", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
+    cfg = TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=2, tol=0.0)
+    assert np.allclose(fit(vec, cfg).weights, fit(fx1, cfg).weights, atol=1e-15)
+    df = _small(spark, [(1, 2.0, [1.0, 0.5]), (2, 0.0, [0.0, 1.0])])
+    with pytest.raises(ValueError):
+        fit(df, TrainConfig(iters=1))
+    assert np.all(np.isfinite(fit(df, TrainConfig(iters=1, validate=False, tol=0.0)).weights))
