@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -77,10 +79,18 @@ def class_column(model: LinearModel, features: str = "features", threshold: floa
     return F.when(best > F.lit(0.0), F.array_position(margins, best).cast("double")).otherwise(F.lit(0.0))
 
 
+def as_arrays(df: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` with a Spark ML vector ``features`` column turned into ``ARRAY<DOUBLE>``."""
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        return df.withColumn(features, vector_to_array(F.col(features), "float64"))
+    return df
+
+
 def predict(df: DataFrame, model: LinearModel, *, features: str = "features", output: str = "prediction",
             keep: list[str] | None = None) -> DataFrame:
     """Add ``output``: the class (binary model with a threshold, or multinomial) or the score
     (binary model whose threshold is cleared)."""
+    df = as_arrays(df, features)
     if model.num_classes == 2 and model.threshold is None:
         col = score_column(model, features)
     else:
@@ -92,4 +102,5 @@ def predict(df: DataFrame, model: LinearModel, *, features: str = "features", ou
 def score_and_label(df: DataFrame, model: LinearModel, *, features: str = "features", label: str = "label",
                     score: str = "score") -> DataFrame:
     """``(label, score)`` pairs of a binary model, the input of the ROC metric."""
+    df = as_arrays(df, features)
     return df.select(F.col(label).cast("double").alias("label"), score_column(model, features).alias(score))

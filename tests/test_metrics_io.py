@@ -101,3 +101,13 @@ def test_predict_point_matches_column_prediction(spark, fx1):
         assert cleared.predict_point(r["features"]) == pytest.approx(scores[r["key"]], rel=1e-12)
     multi = models.LinearModel(np.array([1.0, 0.0, 2.0, 0.0]), num_features=2, num_classes=3)
     assert multi.predict_point([1.0, 0.0]) == 2.0 and multi.predict_point([-1.0, 0.0]) == 0.0
+
+
+def test_scoring_accepts_vector_features(spark, fx1):
+    from pyspark.ml.functions import array_to_vector
+
+    m = models.LinearModel(np.linspace(-0.3, 0.3, 64))
+    vec = fx1.select("key", "label", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
+    a = {r["key"]: r["prediction"] for r in predict(fx1, m).collect()}
+    b = {r["key"]: r["prediction"] for r in predict(vec, m).collect()}
+    assert a == b
