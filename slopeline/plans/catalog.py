@@ -305,10 +305,6 @@ _trainer("last_losses", _B, "fx1", dict(method="sgd", penalty="l2", reg=0.1, ste
          " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(1, 13)) + ") hh WHERE iter > 2")
 
 
-def _mm_out(res: FitResult, spark):
-    return weights_out(res, spark)
-
-
 register("sgd_multinomial",
          "WITH " + ",\n".join(O.fixture_ctes("fx3") + O.multinomial_ctes(9, 64, 3, 1.0, 0.1)) +
          "\nSELECT CAST((c - 1) * 64 + j AS INTEGER) AS idx, round(w, 6) + 0.0 AS weight FROM wc3")(

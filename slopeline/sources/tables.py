@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeline.functions.labels import binarize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -60,13 +59,6 @@ def embeddings_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding").alias("features"))
 
 
-def embeddings_onevsrest(spark: SparkSession, sf_dir: str, positive: int = 1) -> DataFrame:
-    """FX3 with its label binarised: class ``positive`` against the rest."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("key"), binarize("label", positive).alias("label"),
-                    F.col("embedding").alias("features"))
-
-
 def lineitem_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX4: ``lineitem`` joined to ``part``; least-squares target is the scaled price.
 
