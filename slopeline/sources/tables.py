@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -78,16 +77,18 @@ def lineitem_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX5: ``labels`` joined to ``documents``; label ``quality``; length features.
 
-    The word count is the number of space-separated parts of the whole text.
+    The word count is the number of space-separated parts of the whole text. It is computed
+    on the documents side before the join, so only ``(doc_id, n_chars, words)`` -- never the
+    texts -- can cross a shuffle if the join is not broadcast.
     """
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.size(F.split(F.col("text"), " ", -1)).alias("words"))
     j = lab.join(docs, "doc_id", "inner")
-    words = F.size(F.split(F.col("text"), " ", -1))
     return j.select(
         F.col("doc_id").alias("key"),
         F.col("quality").cast("double").alias("label"),
-        F.array(F.lit(1.0), F.col("n_chars") / 10000.0, words / 2000.0).alias("features"),
+        F.array(F.lit(1.0), F.col("n_chars") / 10000.0, F.col("words") / 2000.0).alias("features"),
     )
 
 
