@@ -373,7 +373,7 @@ def q_predict_score(spark, sf_dir):
 
 
 @register("predict_class", _scores_sql(
-    "SELECT key, CASE WHEN 1.0 / (1.0 + exp(-z)) > 0.5 THEN 1.0 ELSE 0.0 END AS prediction FROM sc"))
+    "SELECT key, CASE WHEN 1.0 / (1.0 + exp(-z)) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM sc"))
 def q_predict_class(spark, sf_dir):
     df, res = _l2_model(spark, sf_dir)
     return scoring.predict(df, res.model, keep=["key"]).select("key", "prediction")
@@ -451,7 +451,7 @@ def q_predict_multiclass(spark, sf_dir):
 
 
 @register("libsvm_roundtrip",
-          "SELECT CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS label, "
+          "SELECT CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, "
           "CAST(list_count(list_filter(e, lambda v: v <> 0)) AS INTEGER) AS nnz, "
           "round(list_sum(e), 6) + 0.0 AS total, round(list_sum(list_transform(e, lambda v: v * v)), 6) + 0.0 AS sumsq, "
           "round(list_sum(list_transform(range(1, 65), lambda k: e[k] * k)), 6) + 0.0 AS ranked "

@@ -13,6 +13,7 @@ from conftest import SF_SMALL
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 SLOW = {"experiment_report"}
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT"}
 
 
 def _norm(v):
@@ -46,6 +47,8 @@ def test_query_matches_duckdb(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     got, gcols = _rows(df.columns, [tuple(r) for r in df.collect()])
     res = con.sql(ORACLE[name])
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(res.columns, res.types)}
     want, wcols = _rows(res.columns, res.fetchall())
     assert gcols == wcols
     assert len(got) == len(want)
