@@ -345,3 +345,12 @@ def test_vector_features_and_unvalidated_labels(spark, fx1):
     with pytest.raises(ValueError):
         fit(df, TrainConfig(iters=1))
     assert np.all(np.isfinite(fit(df, TrainConfig(iters=1, validate=False, tol=0.0)).weights))
+
+
+def test_multinomial_kernels_agree(spark):
+    rows = [(k, float(k % 3), [1.0, 0.1 * (k % 7), -0.05 * (k % 5)]) for k in range(60)]
+    df = _small(spark, rows)
+    cfg = dict(loss="multinomial", num_classes=3, method="sgd", penalty="l2", reg=0.1, iters=3, tol=0.0)
+    ref = fit(df, TrainConfig(kernel="arrow", **cfg)).weights
+    for kernel in ("sums", "expr"):
+        assert np.allclose(fit(df, TrainConfig(kernel=kernel, **cfg)).weights, ref, atol=1e-13)
