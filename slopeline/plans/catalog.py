@@ -567,7 +567,35 @@ def q_svrg_avg(spark, sf_dir):
     return weights_out(res, spark)
 
 
-@register("experiment_report")
+def _experiment_sql() -> str:
+    """One hold-out report row per method, recomputed: split by md5 key, 3 full-batch
+    iterations with the experiment's steps and L2 weight 1, AUC on the test part."""
+    from slopeline.plans.experiment import EXPERIMENT_METHODS, EXPERIMENT_STEPS
+
+    test_rows = f"(SELECT count(*) FROM ({O.FX1}) f WHERE NOT ({_TRAIN_SPLIT}))"
+    parts = []
+    for method in EXPERIMENT_METHODS:
+        step = EXPERIMENT_STEPS[method]
+        scored = (f"te AS (SELECT y, round(1.0 / (1.0 + exp(-list_dot_product(x, (SELECT wv FROM wl)))), 9) AS s "
+                  f"FROM ({O.FX1}) f WHERE NOT ({_TRAIN_SPLIT}))")
+        select = (f"SELECT '{method}' AS method, round(sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)), 9) + 0.0 "
+                  f"AS auc, (SELECT count(*) FROM base) AS train_rows, {test_rows} AS test_rows, "
+                  f"(SELECT count(*) FROM embeddings) AS rows, 3 AS iterations FROM ("
+                  "SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+                  "PRECEDING), 0) AS below FROM (SELECT s, sum(CASE WHEN y = 1.0 THEN 1 ELSE 0 END) AS pos, "
+                  "sum(CASE WHEN y = 1.0 THEN 0 ELSE 1 END) AS neg FROM te GROUP BY s) g) t")
+        if method == "svrg_avg":
+            q = O.svrg_sql(avg=True, shards=4, step=step, reg=1.0, iters=3, where=_TRAIN_SPLIT,
+                           extra=["wl AS (SELECT w AS wv FROM wl3)", scored], select=select)
+        else:
+            q = O.trainer_sql("fx1", where=_TRAIN_SPLIT, method=method, penalty="l2", reg=1.0, step=step, iters=3,
+                              extra=["wl AS (SELECT list(w ORDER BY j) AS wv FROM w3)", scored], select=select)
+        parts.append(f"SELECT * FROM ({q}) q_{method}")
+    return " UNION ALL ".join(parts)
+
+
+@register("experiment_report", _experiment_sql())
 def q_experiment_report(spark, sf_dir):
-    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3)
-    return report.drop("elapsed_ms")
+    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3, tol=0.0, sampler="md5",
+                            trainer_options=dict(shard_by="key_mod", shards=4, order="key", sample_by="key"))
+    return report.select("method", r("auc", 9).alias("auc"), "train_rows", "test_rows", "rows", "iterations")

@@ -28,11 +28,11 @@ REPORT_SCHEMA = ("method STRING, auc DOUBLE, train_rows BIGINT, test_rows BIGINT
 def run_experiment(df: DataFrame, *, methods=EXPERIMENT_METHODS, iterations: int = 100, fraction: float = 1.0,
                    mean_fraction: float = 1.0, tol: float = 1e-7, partitions: int | None = None,
                    variant: str = "published", sampler: str = "xxhash64", key: str = "key", label: str = "label",
-                   features: str = "features") -> DataFrame:
+                   features: str = "features", trainer_options: dict | None = None) -> DataFrame:
     """Report ``(method, auc, train_rows, test_rows, rows, iterations, elapsed_ms)``.
 
     ``sampler`` hashes keys for the split and the mini-batches (``md5`` reproduces them in
-    other SQL engines)."""
+    other SQL engines); ``trainer_options`` adds ``TrainConfig`` fields (e.g. SVRG shards)."""
     spark = df.sparkSession
     data = df.select(F.col(key).alias("key"), binarize(label).alias("label"), F.col(features).alias("features"))
     if partitions:
@@ -47,7 +47,7 @@ def run_experiment(df: DataFrame, *, methods=EXPERIMENT_METHODS, iterations: int
             started = time.perf_counter()
             cfg = TrainConfig(method=method, penalty="l2", reg=EXPERIMENT_REG, step=EXPERIMENT_STEPS[method],
                               iters=iterations, fraction=fraction, mean_fraction=mean_fraction, tol=tol,
-                              variant=variant, sampler=sampler)
+                              variant=variant, sampler=sampler, **(trainer_options or {}))
             res = fit(train, cfg)
             auc = area_under_roc(score_and_label(test, res.model.clear_threshold()))
             total = data.count()

@@ -269,10 +269,12 @@ def _vec_ctes(tag: str, weights_list: str) -> list[str]:
             f"1.0 / (1.0 + exp(-list_dot_product(b.x, {weights_list}))) - b.y AS m0 FROM base b)"]
 
 
-def svrg_sql(*, avg: bool, shards: int, step: float, reg: float, iters: int) -> str:
+def svrg_sql(*, avg: bool, shards: int, step: float, reg: float, iters: int, where: str | None = None,
+             extra: list[str] | None = None, select: str | None = None) -> str:
     """Weights after ``iters`` outer iterations of SVRG (``avg=False``: gradient
-    aggregating, then an L2 step) or of the weight-averaging variant, full batches."""
-    ctes = fixture_ctes("fx1")
+    aggregating, then an L2 step) or of the weight-averaging variant, full batches, on the
+    FX1 rows matching ``where``; the final weight list is ``wl{iters}.w``."""
+    ctes = fixture_ctes("fx1", where)
     ctes.append("wl0 AS MATERIALIZED (SELECT list_transform(range(64), lambda k: 0.0::DOUBLE) AS w)")
     for i in range(1, iters + 1):
         eta = step / math.sqrt(i)
@@ -307,6 +309,6 @@ def svrg_sql(*, avg: bool, shards: int, step: float, reg: float, iters: int) ->
             ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT jj.j, "
                         f"{shrink} * any_value(({W})[jj.j + 1]) - {etal} * sum(s[jj.j + 1]) / (SELECT count(*) FROM base) AS v "
                         f"FROM fin{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY jj.j) q)")
-    final = (f"SELECT CAST(j AS INTEGER) AS idx, round(w[j + 1], 6) + 0.0 AS weight "
-             f"FROM wl{iters}, (SELECT unnest(range(64)) AS j) jj")
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
+    final = select or (f"SELECT CAST(j AS INTEGER) AS idx, round(w[j + 1], 6) + 0.0 AS weight "
+                       f"FROM wl{iters}, (SELECT unnest(range(64)) AS j) jj")
+    return "WITH RECURSIVE " + ",\n".join(ctes + (extra or [])) + "\n" + final
