@@ -22,7 +22,35 @@ from slopeline.plans.experiment import run_experiment  # noqa: E402
 from slopeline.sources.libsvm import read_libsvm, write_libsvm  # noqa: E402
 from slopeline.sources.models import LinearModel, load_model, save_model  # noqa: E402
 
+
+
+def batch_gradient(df, weights, loss="logistic", num_classes: int = 2, **kw):
+    """Lazy ``(idx, grad)`` table of the mean gradient of ``loss`` at ``weights`` over ``df``
+    (``key, label, features``); the feature width is ``len(weights) / outputs``."""
+    import numpy as np
+
+    from slopeline.functions.losses import resolve_loss
+    from slopeline.operators.gradient import mean_gradient_frame
+
+    lo = resolve_loss(loss, num_classes)
+    w = np.asarray(weights, dtype=np.float64)
+    return mean_gradient_frame(df, w, lo, len(w) // lo.outputs, **kw)
+
+
+def row_loss(df, weights, loss="logistic", num_classes: int = 2, **kw):
+    """Per-row ``(key, label, loss, mult...)`` table of ``loss`` at ``weights``."""
+    import numpy as np
+
+    from slopeline.functions.losses import resolve_loss
+    from slopeline.operators.metrics import row_loss_frame
+
+    lo = resolve_loss(loss, num_classes)
+    w = np.asarray(weights, dtype=np.float64)
+    return row_loss_frame(df, w, lo, len(w) // lo.outputs, **kw)
+
+
 __all__ = [
+    "batch_gradient", "row_loss",
     "TrainConfig", "fit", "fit_wide", "FitResult", "batch_sums", "predict", "score_and_label",
     "area_under_roc", "auc_frame", "LinearModel", "save_model", "load_model", "read_libsvm",
     "write_libsvm", "keyed_sample", "keyed_split", "run_experiment", "MarginLoss", "LogisticLoss",

@@ -82,3 +82,16 @@ def test_scalar_form_equals_numpy_form(loss):
             l_s, m_s = loss.scalar(z, y)
             assert l_s == pytest.approx(float(l_np[0]), rel=1e-12, abs=1e-12)
             assert m_s == pytest.approx(float(m_np[0, 0]), rel=1e-12, abs=1e-12)
+
+
+def test_package_helpers(spark, fx1, fx1_np):
+    import slopeline
+
+    _, x, y = fx1_np
+    w = np.linspace(-0.1, 0.1, 64)
+    g = {r["idx"]: r["grad"] for r in slopeline.batch_gradient(fx1, w).collect()}
+    want = ((1 / (1 + np.exp(-(x @ w))) - y) @ x) / len(y)
+    assert np.allclose([g[i] for i in range(64)], want, atol=1e-13)
+    rl = slopeline.row_loss(fx1, w).orderBy("key").collect()
+    z = x @ w
+    assert np.allclose([r["loss"] for r in rl], np.logaddexp(0, -z) + (1 - y) * z, atol=1e-12)
