@@ -1 +1 @@
-"""functions."""
+"""Column-level building blocks: losses, keyed sampling, vector maths, label projections."""

@@ -1 +1 @@
-"""sources."""
+"""Sources and sinks: training tables from the parquet folders, LIBSVM text, model tables."""
