@@ -354,3 +354,18 @@ def test_multinomial_kernels_agree(spark):
     ref = fit(df, TrainConfig(kernel="arrow", **cfg)).weights
     for kernel in ("sums", "expr"):
         assert np.allclose(fit(df, TrainConfig(kernel=kernel, **cfg)).weights, ref, atol=1e-13)
+
+
+def test_bernoulli_batches_follow_the_layout(fx1):
+    cfg = TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=3, fraction=0.5, tol=0.0, sampler="bernoulli")
+    table = fx1.repartition(4).cache()
+    a, b = fit(table, cfg), fit(table, cfg)
+    assert np.array_equal(a.weights, b.weights)  # same layout, same seeds 42 + i: same batches
+    assert all(0 < h.batch_rows < 500 for h in a.history)
+
+
+def test_advisory_warnings():
+    with pytest.warns(UserWarning, match="convergence tolerance"):
+        TrainConfig(fraction=0.5, tol=1e-3)
+    with pytest.warns(UserWarning, match="not every row"):
+        TrainConfig(iters=1, fraction=0.5, tol=0.0)
