@@ -28,6 +28,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,10 +173,20 @@ def _svrg_avg_walk_1(x, y, mult0, mu, w0, walk, loss, eta, shrink_reg):
 _SLOT_ARROW = pa.schema([("slot", pa.int32()), ("value", pa.float64()), ("n", pa.int64())])
 
 
-def shard_partials(batch: DataFrame, cfg, shards: int, kernel) -> DataFrame:
-    cols = ["key", "label", "features"] + (["_rid"] if "_rid" in batch.columns else [])
-    return (batch.select(*cols, shard_column(cfg, shards).alias("shard"))
-            .groupBy("shard").applyInArrow(kernel, SLOT_SCHEMA))
+def sharded_table(table: DataFrame, cfg, shards: int) -> DataFrame:
+    """The training table with its shard id, hash-partitioned by shard once per fit.
+
+    Every iteration's batch is a filter of this table, so grouping a batch by shard finds
+    the rows already clustered and needs no shuffle; only the first iteration pays one."""
+    parallelism = table.sparkSession.sparkContext.defaultParallelism
+    return (table.withColumn("shard", shard_column(cfg, shards))
+            .repartition(max(shards, parallelism), "shard")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def shard_partials(batch: DataFrame, kernel) -> DataFrame:
+    cols = ["key", "label", "features", "shard"] + (["_rid"] if "_rid" in batch.columns else [])
+    return batch.select(*cols).groupBy("shard").applyInArrow(kernel, SLOT_SCHEMA)
 
 
 def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np.ndarray, int]:
@@ -192,12 +203,20 @@ def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np
 
 
 def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result, rows: int) -> None:
-    from slopeline.operators.trainers import HistoryEntry, converged
-
     slots = loss.slots(d)
     reg = cfg.reg_weights(slots, loss.outputs)
-    shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
     shards = shard_count(cfg, rows)
+    table = sharded_table(table, cfg, shards)
+    try:
+        _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg)
+    finally:
+        table.unpersist()
+
+
+def _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg) -> None:
+    from slopeline.operators.trainers import HistoryEntry, converged
+
+    shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
     partitions = table.rdd.getNumPartitions()
     reg_val = penalty_value(w, reg, cfg.penalty)
     updates = 0
@@ -208,7 +227,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
         batch = keyed_sample(table, "key", cfg.fraction, seed, cfg.sampler, cfg.salt())
         if cfg.method == "svrg":
             kernel = svrg_kernel(w, loss, d, eta, shrink, cfg.order, cfg.seed, i)
-            acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 1, shards)
+            acc, n = reduce_partials(shard_partials(batch, kernel), slots + 1, shards)
             if n == 0:
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=3)
                 continue
@@ -220,7 +239,7 @@ def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result,
                                               rows_per_partition=rows * cfg.mean_fraction / max(1, partitions))
             mu = mean_sums.mean_grad if mean_sums.count else np.zeros(slots)
             kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
-            acc, n = reduce_partials(shard_partials(batch, cfg, shards, kernel), slots + 2, shards)
+            acc, n = reduce_partials(shard_partials(batch, kernel), slots + 2, shards)
             used = int(round(acc[slots + 1]))
             if n == 0 or used == 0:
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=3)
