@@ -551,6 +551,22 @@ def q_sgd_wide(spark, sf_dir):
     return res.weights.select("idx", r("weight", 6).alias("weight"))
 
 
+def _wide_query(method: str, step: float, fraction: float):
+    def q(spark, sf_dir):
+        entries, labels = tables.embeddings_long(spark, sf_dir)
+        res = fit_wide(entries, labels, TrainConfig(method=method, penalty="l2", reg=0.1, step=step, iters=3, tol=0.0,
+                                                    fraction=fraction, sampler="md5", sample_by="key"),
+                       num_features=64)
+        return res.weights.select("idx", r("weight", 6).alias("weight"))
+    return q
+
+
+register("momentum_wide", O.trainer_sql("fx1", wide=True, method="momentum", penalty="l2", reg=0.1, step=1.0,
+                                        iters=3, fraction=0.6))(_wide_query("momentum", 1.0, 0.6))
+register("adam_wide", O.trainer_sql("fx1", wide=True, method="adam", penalty="l2", reg=0.1, step=0.01,
+                                    iters=3, fraction=0.6))(_wide_query("adam", 0.01, 0.6))
+
+
 @register("svrg", O.svrg_sql(avg=False, shards=4, step=0.1, reg=0.1, iters=3))
 def q_svrg(spark, sf_dir):
     res = fit(tables.embeddings_binary(spark, sf_dir),
