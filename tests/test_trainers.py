@@ -369,3 +369,29 @@ def test_advisory_warnings():
         TrainConfig(fraction=0.5, tol=1e-3)
     with pytest.warns(UserWarning, match="not every row"):
         TrainConfig(iters=1, fraction=0.5, tol=0.0)
+
+
+def test_multinomial_adam_matches_numpy(spark):
+    from slopeline.sources import tables
+    from conftest import SF_CHECK
+
+    df = tables.embeddings_multiclass(spark, SF_CHECK)
+    pdf = df.orderBy("key").toPandas()
+    x = np.vstack(pdf.features.to_numpy()).astype(np.float64)
+    y = pdf.label.to_numpy().astype(int)
+    k, d = 9, 64
+    onehot = (y[:, None] == np.arange(1, k + 1)[None, :]).astype(float)
+    w, m, v = np.zeros(k * d), np.zeros(k * d), np.zeros(k * d)
+    for t in range(3):
+        z = x @ w.reshape(k, d).T
+        shift = np.maximum(0, z.max(axis=1))
+        e = np.exp(z - shift[:, None])
+        p = e / (np.exp(-shift) + e.sum(axis=1))[:, None]
+        g = ((p - onehot).T @ x).ravel() / len(y) + 0.1 * w
+        v = 0.99 * v + 0.01 * g * g
+        m = 0.9 * m + 0.1 * g
+        w = w - 0.01 * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.99 ** (t + 1))) + 1e-8)
+    res = fit(df, TrainConfig(loss="multinomial", num_classes=10, method="adam", penalty="l2", reg=0.1, step=0.01,
+                              iters=3, tol=0.0))
+    assert np.allclose(res.weights, w, atol=1e-12)
+    assert res.model.num_classes == 10 and len(res.model.weights) == k * d
