@@ -32,6 +32,7 @@ from slopeline.functions.losses import resolve_loss
 from slopeline.functions.sampling import keyed_sample
 from slopeline.operators.trainers import HistoryEntry, TrainConfig
 from slopeline.operators.updates import STATE, ColumnOps, StepContext, apply_rule, records_history, reg_penalty
+from slopeline.operators.validate import label_is_valid
 from slopeline.session import ensure_checkpoint_dir
 
 BROADCAST_WEIGHTS_ROWS = 2_000_000
@@ -83,12 +84,31 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
     lab = (labels.select("key", F.col("label").cast("double").alias("label"))
            .repartition(parts, "key").persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        # the key names one row; the labels are already hash-partitioned by key, so this
-        # duplicate check needs no further shuffle
-        if lab.groupBy("key").count().where(F.col("count") > 1).limit(1).count():
+        # one job checks that the key names one row and that labels fit the loss; the labels
+        # are already hash-partitioned by key, so the grouping needs no further shuffle
+        y = F.col("label")
+        bad = y.isNotNull() & ~label_is_valid(y, loss, cfg.num_classes)
+        facts = (lab.groupBy("key").agg(F.count(F.lit(1)).alias("c"),
+                                         F.sum(F.when(y.isNull(), 1).otherwise(0)).alias("nulls"),
+                                         F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
+                 .agg(F.max("c").alias("c"), F.sum("nulls").alias("nulls"), F.sum("bad").alias("bad"))
+                 .collect()[0])
+        if (facts["c"] or 0) > 1:
             raise ValueError("wide mode needs one label row per key")
+        if facts["nulls"]:
+            raise ValueError(f"{facts['nulls']} rows have a null label")
+        if facts["bad"] and cfg.validate:
+            raise ValueError(f"{facts['bad']} labels are not 0 or 1")
+        # first action on the persisted entries: width, null values and negative indices
+        ef = ent.agg(F.max("idx").alias("top"), F.min("idx").alias("low"),
+                     F.sum(F.when(F.col("value").isNull() | F.col("idx").isNull(), 1).otherwise(0)).alias("nulls")
+                     ).collect()[0]
+        if ef["nulls"]:
+            raise ValueError(f"{ef['nulls']} feature entries have a null index or value")
+        if ef["low"] is not None and ef["low"] < 0:
+            raise ValueError("feature indices must be non-negative")
         if num_features is None:
-            num_features = int((ent.agg(F.max("idx")).collect()[0][0] or -1) + 1)
+            num_features = int((ef["top"] if ef["top"] is not None else -1) + 1)
         state_cols = STATE[cfg.method]
         weights = spark.range(num_features).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("w"),
                                                    *[F.lit(0.0).alias(c) for c in state_cols]).checkpoint()

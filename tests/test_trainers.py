@@ -395,3 +395,21 @@ def test_multinomial_adam_matches_numpy(spark):
                               iters=3, tol=0.0))
     assert np.allclose(res.weights, w, atol=1e-12)
     assert res.model.num_classes == 10 and len(res.model.weights) == k * d
+
+
+def test_wide_rejects_bad_labels(spark):
+    from slopeline.operators.wide import fit_wide
+
+    entries = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0)], "key BIGINT, idx INT, value DOUBLE")
+    labels = spark.createDataFrame([(1, 2.0), (2, 0.0)], "key BIGINT, label DOUBLE")
+    with pytest.raises(ValueError, match="labels are not"):
+        fit_wide(entries, labels, TrainConfig(iters=1))
+
+
+def test_wide_rejects_null_entries(spark):
+    from slopeline.operators.wide import fit_wide
+
+    entries = spark.createDataFrame([(1, 0, None), (2, 1, 1.0)], "key BIGINT, idx INT, value DOUBLE")
+    labels = spark.createDataFrame([(1, 1.0), (2, 0.0)], "key BIGINT, label DOUBLE")
+    with pytest.raises(ValueError, match="null index or value"):
+        fit_wide(entries, labels, TrainConfig(iters=1))
