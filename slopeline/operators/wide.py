@@ -166,3 +166,24 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
     finally:
         ent.unpersist()
         lab.unpersist()
+
+
+def predict_wide(entries: DataFrame, weights: DataFrame, *, keys: DataFrame | None = None, intercept: float = 0.0,
+                 threshold: float | None = 0.5, num_features: int | None = None,
+                 output: str = "prediction") -> DataFrame:
+    """Score long-form features with a weight table ``(idx, weight)``.
+
+    ``margin = Σ value * weight`` by key (+ ``intercept``); the output is the class at
+    ``threshold`` (strictly greater) or, with ``threshold=None``, the score. ``keys`` (a
+    frame with a ``key`` column) adds rows with no entries, scored at margin 0. The weight
+    table is broadcast only when ``num_features`` is given and under the row bound.
+    """
+    w = weights.select(F.col("idx").cast("int").alias("idx"), F.col("weight").alias("_w"))
+    if num_features is not None and num_features <= BROADCAST_WEIGHTS_ROWS:
+        w = F.broadcast(w)
+    z = entries.join(w, "idx").groupBy("key").agg(F.sum(F.col("value") * F.col("_w")).alias("_z"))
+    if keys is not None:
+        z = keys.select("key").join(z, "key", "left").select("key", F.coalesce("_z", F.lit(0.0)).alias("_z"))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_z") + F.lit(float(intercept)))))
+    col = score if threshold is None else F.when(score > F.lit(float(threshold)), 1.0).otherwise(0.0)
+    return z.select("key", col.alias(output))

@@ -551,6 +551,21 @@ def q_sgd_wide(spark, sf_dir):
     return res.weights.select("idx", r("weight", 6).alias("weight"))
 
 
+@register("predict_wide", O.trainer_sql(
+    "fx1", wide=True, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+    extra=["sc AS (SELECT b.key, coalesce(s.z, 0.0) AS z FROM base b LEFT JOIN (SELECT lx.rid, sum(lx.v * w3.w) AS z "
+           "FROM lx JOIN w3 ON lx.j = w3.j GROUP BY lx.rid) s ON b.rid = s.rid)"],
+    select="SELECT key, round(1.0 / (1.0 + exp(-z)), 9) + 0.0 AS score FROM sc"))
+def q_predict_wide(spark, sf_dir):
+    from slopeline.operators.wide import predict_wide
+
+    entries, labels = tables.embeddings_long(spark, sf_dir)
+    res = fit_wide(entries, labels, TrainConfig(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, tol=0.0,
+                                                sampler="md5"), num_features=64)
+    scored = predict_wide(entries, res.weights, keys=labels, threshold=None, num_features=64, output="score")
+    return scored.select("key", r("score", 9).alias("score"))
+
+
 def _wide_query(method: str, step: float, fraction: float):
     def q(spark, sf_dir):
         entries, labels = tables.embeddings_long(spark, sf_dir)

@@ -413,3 +413,16 @@ def test_wide_rejects_null_entries(spark):
     labels = spark.createDataFrame([(1, 1.0), (2, 0.0)], "key BIGINT, label DOUBLE")
     with pytest.raises(ValueError, match="null index or value"):
         fit_wide(entries, labels, TrainConfig(iters=1))
+
+
+def test_predict_wide_equals_dense_scoring(spark, fx1):
+    from slopeline.operators.scoring import predict
+    from slopeline.operators.wide import predict_wide
+    from slopeline.sources.models import LinearModel
+
+    w = np.linspace(-0.2, 0.2, 64)
+    entries = fx1.select("key", F.posexplode("features").alias("idx", "value"))
+    wdf = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "idx INT, weight DOUBLE")
+    got = {r["key"]: r["prediction"] for r in predict_wide(entries, wdf, keys=fx1, num_features=64).collect()}
+    want = {r["key"]: r["prediction"] for r in predict(fx1, LinearModel(w)).collect()}
+    assert got == want
