@@ -76,6 +76,8 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
     loss = resolve_loss(cfg.loss, cfg.num_classes)
     if loss.outputs != 1:
         raise ValueError("wide mode supports single-margin losses")
+    if cfg.intercept:
+        raise ValueError("wide mode takes the intercept as data: add an entry (key, d, 1.0) for every key")
     spark = entries.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
