@@ -78,6 +78,8 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
         raise ValueError("wide mode supports single-margin losses")
     if cfg.intercept:
         raise ValueError("wide mode takes the intercept as data: add an entry (key, d, 1.0) for every key")
+    if cfg.update is not None:
+        raise ValueError("wide mode applies the built-in rules to columns; user rules run in dense mode")
     spark = entries.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
