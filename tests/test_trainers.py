@@ -426,3 +426,17 @@ def test_predict_wide_equals_dense_scoring(spark, fx1):
     got = {r["key"]: r["prediction"] for r in predict_wide(entries, wdf, keys=fx1, num_features=64).collect()}
     want = {r["key"]: r["prediction"] for r in predict(fx1, LinearModel(w)).collect()}
     assert got == want
+
+
+def test_md5_draws_match_python(spark):
+    import hashlib
+
+    from slopeline.functions.sampling import uniform
+
+    df = spark.createDataFrame([(k, k * 7 + 3) for k in range(50)], "key BIGINT, _rid BIGINT")
+    got = {r["key"]: (r["u"], r["s"]) for r in df.select("key", uniform("key", 43, "md5").alias("u"),
+                                                          uniform("key", 43, "md5", "_rid").alias("s")).collect()}
+    for k in range(50):
+        plain = int(hashlib.md5(f"{k}:43".encode()).hexdigest()[:8], 16) / 2 ** 32
+        salted = int(hashlib.md5(f"{k}:{k * 7 + 3}:43".encode()).hexdigest()[:8], 16) / 2 ** 32
+        assert got[k] == (plain, salted)
