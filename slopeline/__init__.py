@@ -17,7 +17,7 @@ from slopeline.operators.gradient import batch_sums  # noqa: E402
 from slopeline.operators.metrics import area_under_roc, auc_frame  # noqa: E402
 from slopeline.operators.scoring import predict, score_and_label  # noqa: E402
 from slopeline.operators.trainers import FitResult, TrainConfig, fit  # noqa: E402
-from slopeline.operators.wide import fit_wide  # noqa: E402
+from slopeline.operators.wide import fit_wide, predict_wide  # noqa: E402
 from slopeline.plans.experiment import run_experiment  # noqa: E402
 from slopeline.sources.libsvm import read_libsvm, write_libsvm  # noqa: E402
 from slopeline.sources.models import LinearModel, load_model, save_model  # noqa: E402
@@ -51,7 +51,7 @@ def row_loss(df, weights, loss="logistic", num_classes: int = 2, **kw):
 
 __all__ = [
     "batch_gradient", "row_loss",
-    "TrainConfig", "fit", "fit_wide", "FitResult", "batch_sums", "predict", "score_and_label",
+    "TrainConfig", "fit", "fit_wide", "predict_wide", "FitResult", "batch_sums", "predict", "score_and_label",
     "area_under_roc", "auc_frame", "LinearModel", "save_model", "load_model", "read_libsvm",
     "write_libsvm", "keyed_sample", "keyed_split", "run_experiment", "MarginLoss", "LogisticLoss",
     "LeastSquaresLoss", "HingeLoss", "MultinomialLoss",
