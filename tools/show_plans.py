@@ -39,6 +39,15 @@ def main():
     show("score counts of the exact AUC", metrics.score_counts(scoring.score_and_label(fx2, model)))
     show("fixture: lineitem joined to part", tables.lineitem_prices(spark, sf))
     show("fixture: labels joined to documents", tables.documents_quality(spark, sf))
+    from slopeline.operators import svrg
+    from slopeline.operators.trainers import TrainConfig
+
+    cfg = TrainConfig(method="svrg", fraction=0.5, shards=4)
+    sharded = svrg.sharded_table(prepare(tables.embeddings_binary(spark, sf), row_ids=True), cfg, 4)
+    sharded.count()
+    walk = svrg.svrg_kernel(np.zeros(64), loss, 64, 0.1, 0.1, "random", 42, 1)
+    show("SVRG walk, one iteration (table hash-partitioned by shard once per fit)",
+         svrg.shard_partials(keyed_sample(sharded, "key", 0.5, 43, "xxhash64", "_rid"), walk))
     entries, labels = tables.embeddings_long(spark, sf)
     ent = entries.repartition(8, "key")
     lab = labels.repartition(8, "key")
