@@ -41,3 +41,33 @@ def test_arrow_gradient_is_one_stage_and_scan_is_pruned(spark, capsys):
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert schema == ("struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double,l_discount:double,"
                       "l_tax:double,l_returnflag:string>")
+
+
+def test_wide_gradient_reuses_the_key_partitioning(spark, capsys):
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the large-table plan
+    try:
+        entries, labels = tables.embeddings_long(spark, SF_SMALL)
+        ent = entries.repartition(8, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        lab = labels.repartition(8, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        ent.count(), lab.count()
+        w = spark.range(64).select(F.col("id").cast("int").alias("idx"), F.lit(0.1).alias("w"))
+        margins = ent.join(F.broadcast(w), "idx").groupBy("key").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
+        per_key = lab.join(margins, "key", "left").select("key", (F.coalesce("z", F.lit(0.0)) - F.col("label")).alias("m"))
+        grad = ent.join(per_key, "key").groupBy("idx").agg(F.sum(F.col("m") * F.col("value")).alias("g"))
+        plan = _plan(grad, capsys)
+        # only lines outside the cached relations: drop everything nested under InMemoryRelation
+        outer, depth = [], None
+        for line in plan.splitlines():
+            indent = len(line) - len(line.lstrip(" :+-"))
+            if depth is not None and indent > depth:
+                continue
+            depth = indent if "InMemoryRelation" in line else None
+            outer.append(line)
+        shuffles = [ln for ln in outer if "Exchange" in ln and "BroadcastExchange" not in ln]
+        assert len(shuffles) == 1 and "hashpartitioning(idx" in shuffles[0]
+        ent.unpersist(), lab.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
