@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import quality_verdicts
+from .repeats import remove_repeats
 from .shared import table
 
 
@@ -13,8 +14,14 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), size=13, start=7)
+    return out.select(F.col("carry.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
+    "op2_substring_doubling": op2_substring_doubling,
 }
 
 ORACLE: dict[str, str] = {}
