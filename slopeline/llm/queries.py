@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import remove_repeats
 from .shared import table
+from .tokenfile import read_tokens, token_folder, write_tokens
+from .tokens import vocabulary_path
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +22,21 @@ def op2_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("carry.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_folder(spark)
+    manifest = write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary_path())
+    return read_tokens(manifest, folder)
+
+
 QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_substring_doubling": op2_substring_doubling,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE: dict[str, str] = {}

@@ -59,7 +59,7 @@ def put_file(uri: str, name: str, content, attempt: str) -> str:
     fs, base = open_folder(uri)
     fs.create_dir(base, recursive=True)
     path, own = f"{base}/{name}", f"{base}/_{attempt}-{os.getpid()}-{name}"
-    with fs.open_output_stream(own) as out:
+    with fs.open_output_stream(own, compression=None) as out:
         for block in [content] if isinstance(content, (bytes, bytearray, memoryview)) else content:
             out.write(block)
     fs.move(own, path)
