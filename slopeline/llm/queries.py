@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .archives import archive_round_trip
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import remove_repeats
@@ -39,12 +40,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, t=90)
+
+
 QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_substring_doubling": op2_substring_doubling,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
