@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .archives import archive_round_trip
 from .jaccard import jaccard_components
+from .lattice import lattice_scores
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import remove_repeats
@@ -25,6 +26,10 @@ def op2_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("carry.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,6 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_substring_doubling": op2_substring_doubling,
+    "op3_subword_lattice": op3_subword_lattice,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
