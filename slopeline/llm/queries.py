@@ -9,12 +9,14 @@ from ..session import scratch_path
 from .archives import archive_round_trip
 from .jaccard import jaccard_components
 from .lattice import lattice_scores
+from .leaks import benchmark_hits
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import remove_repeats
 from .shared import table
 from .tokenfile import read_tokens, token_folder, write_tokens
 from .tokens import vocabulary_path
+from .toxicity import fit_chain, score_toxicity
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,15 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -54,6 +65,8 @@ QUERIES = {
     "op2_substring_doubling": op2_substring_doubling,
     "op3_subword_lattice": op3_subword_lattice,
     "op5_arc_to_warc": op5_arc_to_warc,
+    "op6_toxicity_chain": op6_toxicity_chain,
+    "op7_pigeonhole_leaks": op7_pigeonhole_leaks,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_jaccard_join": op10_jaccard_join,

@@ -118,13 +118,23 @@ def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the bytes stand."""
+def span_hasher(data: np.ndarray, seed: int = 0):
+    """A function from starts and ends to 64-bit hashes of those spans of ``data``; a hash depends
+    on the bytes of a span alone, not on where they stand."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[seed][data] * _power(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_INVERSE, n + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+    inverse = _power(_INVERSE, n + 1)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    return span_hasher(data, seed)(starts, ends)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
