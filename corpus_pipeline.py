@@ -7,27 +7,65 @@ reread as the docs of the next stage; all but the last return the columns of ``d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slopeline.llm.jaccard import one_of_each
+from slopeline.llm.leaks import without_hits
+from slopeline.llm.packing import pack_documents
 from slopeline.llm.quality import keep_sound
+from slopeline.llm.repeats import remove_repeats
 from slopeline.llm.shared import table, written
+from slopeline.llm.tokens import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the robust outlier rules keep."""
+    """Documents that pass the base rules and are no robust outliers."""
     return keep_sound(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the least doc_id) of each group linked by 0.8 of their five-word shingles."""
+    return one_of_each(docs, size=5, t=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 13-word windows that an earlier document has. A changed text is its kept
+    words joined by one space, and n_chars follows it; other rows stay as they are."""
+    names = docs.columns
+    out = remove_repeats(docs, size=13, start=7, carry=names)
+    changed = F.col("n_removed") > 0
+    rows = out.select("kept", "n_removed", *(F.col("carry")[c].alias(c) for c in names))
+    rows = rows.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*names)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs within its edit budget."""
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of at most 2048 tokens."""
+    return pack_documents(docs, vocabulary_path())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
+#: The estimates, the components and the tokens have no SQL form; tests/llm checks the pipeline
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import quality_verdicts
 from .repeats import remove_repeats
 from .shared import table
+from .templates import main_text
 from .tokenfile import read_tokens, token_folder, write_tokens
 from .tokens import vocabulary_path
 from .toxicity import fit_chain, score_toxicity
@@ -32,6 +33,10 @@ def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
+def op4_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_substring_doubling": op2_substring_doubling,
     "op3_subword_lattice": op3_subword_lattice,
+    "op4_template_classes": op4_template_classes,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_toxicity_chain": op6_toxicity_chain,
     "op7_pigeonhole_leaks": op7_pigeonhole_leaks,
