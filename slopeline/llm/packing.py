@@ -148,7 +148,7 @@ def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     firsts = sizes.select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy(by, "_bucket").orderBy(*order)
     numbered = salted.withColumn("_row", F.row_number().over(within) - 1)
-    return numbered.join(firsts, [by, "_bucket"]).withColumn("rank", F.col("_first") + F.col("_row")).drop("_bucket", "_first", "_row")
+    return numbered.join(firsts, [by, "_bucket"]).withColumn("rank", F.col("_first") + F.col("_row")).select(*rows.columns, "rank")
 
 
 def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
