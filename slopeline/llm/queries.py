@@ -78,4 +78,37 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+#: The word pattern and the ASCII letters of the contracts.
+WORDS = r"'[^\x20\x09-\x0D]+'"
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+#: The other queries have no SQL form (estimates, scores, markup, tokens, edit distances).
+ORACLE: dict[str, str] = {
+    "op2_substring_doubling": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13),
+win AS MATERIALIZED (SELECT doc_id, k, md5(array_to_string(w[k:k + 12], ' ')) AS s FROM p),
+bad AS (SELECT win.doc_id, win.k FROM win JOIN (SELECT s, min(doc_id) AS first FROM win GROUP BY s) f ON win.s = f.s WHERE f.first < win.doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(k, k + 13)) AS i FROM bad) g),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT word.doc_id, string_agg(word.x, ' ' ORDER BY word.i) AS t, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i WHERE gone.i IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op5_arc_to_warc": """
+WITH d AS MATERIALIZED (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT digest, n, max(page_id) AS top FROM d GROUP BY digest, n)
+SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest, CASE WHEN d.n >= 1000 AND d.page_id <> k.top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN d.n >= 1000 AND d.page_id <> k.top THEN k.top END AS refers_to FROM d JOIN k ON d.digest = k.digest AND d.n = k.n""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {WORDS}) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + 2], ' ')) AS g FROM p),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * i >= 90 * (sa.n + sb.n - i)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.m, d.doc_id)) AS component_id
+FROM d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN least ON d.doc_id = least.a""",
+}
