@@ -24,7 +24,7 @@ from slopeline.functions.losses import resolve_loss  # noqa: E402
 from slopeline.operators.gradient import batch_sums  # noqa: E402
 from slopeline.operators.metrics import area_under_roc  # noqa: E402
 from slopeline.operators.scoring import score_and_label  # noqa: E402
-from slopeline.operators.trainers import TrainConfig, _spread, fit, prepare  # noqa: E402
+from slopeline.operators.trainers import TrainConfig, fit, prepare  # noqa: E402
 from slopeline.operators.wide import fit_wide  # noqa: E402
 from slopeline.plans.experiment import run_experiment  # noqa: E402
 from slopeline.session import local_session  # noqa: E402
@@ -54,7 +54,7 @@ def main():
     fx3 = tables.embeddings_multiclass(spark, sf_dir)
 
     # one gradient pass over lineitem (A1): warm once, then the mean of three passes
-    cached = _spread(prepare(fx2)).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = prepare(fx2).repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     rows = cached.count()
     parts = cached.rdd.getNumPartitions()
     loss = resolve_loss("logistic")
@@ -69,7 +69,7 @@ def main():
         tn, res = timed(lambda: fit(df, TrainConfig(iters=n, tol=0.0, **cfg)), repeat=2)
         return tn, (tn - t1) / (n - 1), res
 
-    total, it, res = per_iter(fx2, method="sgd", penalty="l2", reg=1.0)
+    total, it, res = per_iter(fx2, method="sgd", penalty="l2", reg=1.0, partitions=spark.sparkContext.defaultParallelism)
     q["sgd_lineitem_10it"] = total
     q["sgd_lineitem_per_iter"] = it
     t, _ = timed(lambda: area_under_roc(score_and_label(fx2, res.model)))
@@ -124,7 +124,14 @@ def main():
     q["multinomial_embeddings_5it"] = timed(lambda: fit(fx3, TrainConfig(loss="multinomial", num_classes=10,
                                                                           method="sgd", penalty="l2", reg=0.1,
                                                                           iters=5, tol=0.0)))[0]
+    for method, step in (("momentum", 1.0), ("adagrad", 0.01), ("adadelta", 1.0), ("adam", 0.001), ("svrg_avg", 0.1)):
+        q[f"{method}_lineitem_5it"] = timed(lambda: fit(fx2, TrainConfig(method=method, penalty="l2", reg=1.0, step=step, iters=5, tol=0.0,
+                                                                         partitions=spark.sparkContext.defaultParallelism)))[0]
+    t, _ = timed(lambda: run_experiment(fx2, iterations=10, partitions=spark.sparkContext.defaultParallelism).collect())
+    q["experiment_six_methods_lineitem_10it"] = t
     entries, labels = tables.embeddings_long(spark, sf_dir)
+    q["sgd_wide_embeddings_20it"] = timed(lambda: fit_wide(entries, labels, TrainConfig(
+        method="sgd", penalty="l2", reg=0.1, iters=20, tol=0.0), num_features=64).weights.count())[0]
     q["sgd_wide_embeddings_3it"] = timed(lambda: fit_wide(entries, labels, TrainConfig(
         method="sgd", penalty="l2", reg=0.1, iters=3, tol=0.0), num_features=64).weights.count())[0]
 

@@ -44,7 +44,8 @@ def uniform(key: str | Column, seed: int, sampler: str = "xxhash64", salt: str |
     k = F.col(key) if isinstance(key, str) else key
     extra = [] if salt is None else [F.col(salt) if isinstance(salt, str) else salt]
     if sampler == "md5":
-        parts = [k.cast("string"), F.lit(":")] + [p for e in extra for p in (e.cast("string"), F.lit(":"))]
+        # a null key or salt counts as an empty string: every row has a draw
+        parts = [p for e in (k, *extra) for p in (F.coalesce(e.cast("string"), F.lit("")), F.lit(":"))]
         digest = F.md5(F.concat(*parts, F.lit(str(int(seed)))))
         head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
         return head.cast("double") / F.lit(_TWO_32)
@@ -70,11 +71,13 @@ def batch_seed(iteration: int, base: int = BASE_SEED) -> int:
 
 
 def keyed_split(df: DataFrame, key: str, weights=SPLIT_WEIGHTS, seed: int = SPLIT_SEED,
-                sampler: str = "md5") -> list[DataFrame]:
+                sampler: str = "md5", salt: str | Column | None = None) -> list[DataFrame]:
     """Split by key into parts with the given relative weights; the parts are disjoint
-    and together hold every row, whatever the layout."""
+    and together hold every row (rows with a null key too), whatever the layout. With
+    ``salt``, a column that tells the rows of a key apart, the split is by row: a key that
+    many rows share is spread over the parts."""
     total = float(sum(weights))
-    u = uniform(key, seed, sampler)
+    u = uniform(key, seed, sampler, salt)
     bounds, acc = [], 0.0
     for w in weights:
         lo = acc
@@ -90,7 +93,7 @@ def keyed_split(df: DataFrame, key: str, weights=SPLIT_WEIGHTS, seed: int = SPLI
 
 
 def split_label(df: DataFrame, key: str, train_fraction: float = SPLIT_WEIGHTS[0], seed: int = SPLIT_SEED,
-                sampler: str = "md5", name: str = "split") -> DataFrame:
+                sampler: str = "md5", name: str = "split", salt: str | Column | None = None) -> DataFrame:
     """Tag each row 'train' or 'test' (the two-way form of :func:`keyed_split`)."""
-    return df.withColumn(name, F.when(uniform(key, seed, sampler) < F.lit(float(train_fraction)), "train")
+    return df.withColumn(name, F.when(uniform(key, seed, sampler, salt) < F.lit(float(train_fraction)), "train")
                          .otherwise("test"))

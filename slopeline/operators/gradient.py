@@ -23,10 +23,9 @@ returning the same long form ``(slot, value, n)`` (slots ``0..G-1`` the gradient
     its loss by ``posexplode``, and a hash aggregate by slot sums them. The weights enter as
     array literals, so repeated iterations reuse the compiled code.
 
-``auto`` picks ``sums`` for models of at most :data:`SUMS_SLOT_LIMIT` slots whose partitions
-hold at least :data:`SUMS_MIN_PARTITION_ROWS` rows (large tables, where the fixed recompile is
-amortised), ``arrow`` for everything else with a NumPy form, and ``sums``/``expr`` for
-column-only losses.
+``auto`` picks by the loss and the width alone, so a fit computes the same way on any layout:
+``sums`` for models of at most :data:`SUMS_SLOT_LIMIT` slots, ``arrow`` for wider ones with a
+NumPy form, ``expr`` for wider column-only losses.
 
 Merging the Arrow partials works like ``treeAggregate``: while ``partitions x slots`` is at
 most :data:`DIRECT_MERGE_LIMIT` values, the partials come straight back from one stage (one
@@ -49,7 +48,6 @@ from slopeline.functions.losses import MarginLoss
 
 DIRECT_MERGE_LIMIT = 1 << 21
 SUMS_SLOT_LIMIT = 16
-SUMS_MIN_PARTITION_ROWS = 100_000
 ROW_COLLECT_LIMIT = 1 << 16
 SLOT_SCHEMA = "slot INT, value DOUBLE, n BIGINT"
 
@@ -219,15 +217,12 @@ def gradient_frame_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d:
             .select(F.col("slot").cast("int").alias("slot"), "value", "n"))
 
 
-def choose_kernel(loss: MarginLoss, d: int, kernel: str = "auto", rows_per_partition: float | None = None) -> str:
+def choose_kernel(loss: MarginLoss, d: int, kernel: str = "auto") -> str:
     if kernel != "auto":
         return kernel
-    if not loss.has_numpy:
-        return "sums" if loss.slots(d) <= SUMS_SLOT_LIMIT else "expr"
-    if (rows_per_partition is not None and rows_per_partition >= SUMS_MIN_PARTITION_ROWS
-            and loss.slots(d) <= SUMS_SLOT_LIMIT):
+    if loss.slots(d) <= SUMS_SLOT_LIMIT:
         return "sums"
-    return "arrow"
+    return "arrow" if loss.has_numpy else "expr"
 
 
 def gradient_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
@@ -246,10 +241,12 @@ def gradient_frame(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
 
 def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
                features: str = "features", label: str = "label", kernel: str = "auto",
-               partitions: int | None = None, rows_per_partition: float | None = None) -> BatchSums:
-    """Run one aggregation pass and bring back Σ gradient, Σ loss and the row count."""
+               partitions: int | None = None) -> BatchSums:
+    """Run one aggregation pass and bring back Σ gradient, Σ loss and the row count.
+    ``partitions``, the number of partitions of ``df`` if the caller knows it, lets few and
+    short Arrow partials come back from one stage; asking ``df`` for it would plan it anew."""
     slots = loss.slots(d)
-    kind = choose_kernel(loss, d, kernel, rows_per_partition)
+    kind = choose_kernel(loss, d, kernel)
     if kind == "sums":
         row = gradient_row_sums(df, weights, loss, d, features, label).collect()[0]
         if row["null_entries"]:
@@ -259,12 +256,9 @@ def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
             return BatchSums(np.zeros(slots), 0.0, 0)
         return BatchSums(np.array([row[f"g_{s}"] for s in range(slots)], dtype=np.float64),
                          float(row["loss_sum"]), n)
-    if kind == "arrow":
-        if partitions is None:
-            partitions = df.rdd.getNumPartitions()
-        if partitions * (slots + 1) <= DIRECT_MERGE_LIMIT:
-            partials = training_columns(df, features, label).mapInArrow(arrow_kernel(weights, loss, d), SLOT_SCHEMA)
-            return sum_partials(fetch_partials(partials, partitions * (slots + 1)), slots)
+    if kind == "arrow" and partitions is not None and partitions * (slots + 1) <= DIRECT_MERGE_LIMIT:
+        partials = training_columns(df, features, label).mapInArrow(arrow_kernel(weights, loss, d), SLOT_SCHEMA)
+        return sum_partials(fetch_partials(partials, partitions * (slots + 1)), slots)
     frame = gradient_frame(df, weights, loss, d, features=features, label=label, kernel=kernel)
     return collect_sums(frame, slots)
 

@@ -17,11 +17,12 @@ BUCKET_ROWS = 1_000_000
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", digits: int | None = None) -> DataFrame:
-    """``(score, pos, neg)``: positives and negatives per distinct score (hash aggregate)."""
-    s = F.col(score).cast("double")
+    """``(score, pos, neg)``: positives and negatives per distinct score (hash aggregate).
+    A row without a label or a score is an error, not a negative."""
+    s = F.when(F.col(score).isNull(), F.raise_error(F.lit("a row has no score"))).otherwise(F.col(score).cast("double"))
     if digits is not None:
         s = F.round(s, digits)
-    y = F.col(label).cast("double")
+    y = F.when(F.col(label).isNull(), F.raise_error(F.lit("a row has no label"))).otherwise(F.col(label).cast("double"))
     return (df.select(s.alias("score"), y.alias("y"))
             .groupBy("score")
             .agg(F.sum(F.when(F.col("y") == 1.0, 1).otherwise(0)).cast("bigint").alias("pos"),

@@ -1,19 +1,21 @@
 """Scoring a table with a linear model, as column expressions.
 
-Binary: ``score = 1 / (1 + e^{-(x.w + b)})``; with a threshold ``t`` the prediction is
-``1.0`` when ``score > t`` (strictly) and ``0.0`` otherwise; without one it is the score.
+One margin ``m = x.w + b``: a logistic model's score is ``1 / (1 + e^-m)``, any other
+model's the margin itself; with a threshold ``t`` the prediction is ``1.0`` when
+``score > t`` (strictly) and ``0.0`` otherwise; without one it is the score.
 Multinomial: margins of classes ``1..K-1`` (plus the block's bias slot if present); the
 pivot class 0 wins unless some margin is positive, and ties go to the lower class.
 
 Narrow models are unrolled into whole-stage-codegen expressions; past
 :data:`~slopeline.functions.linalg.UNROLL_LIMIT` weights the margins come from an Arrow
-``pandas_udf`` doing one matrix product per batch.
+UDF doing one matrix product per batch on the flat feature buffer. Both reject a vector of
+another length, a null vector and a null entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -21,51 +23,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from slopeline.functions.linalg import UNROLL_LIMIT, dot_slice, sigmoid
+from slopeline.operators.gradient import features_matrix
 from slopeline.sources.models import LinearModel
 
 
 def _margins_udf(model: LinearModel):
     k = max(1, model.num_classes - 1)
-    block = model.block
     d = model.num_features
-    w = model.weights.reshape(k, block)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def margins(features: pd.Series) -> pd.Series:
-        if len(features) == 0:
-            return pd.Series([], dtype=object)
-        x = np.vstack(features.to_numpy()).astype(np.float64)
-        m = x @ w[:, :d].T
-        if block == d + 1:
-            m = m + w[:, d][None, :]
-        return pd.Series(list(m))
+    w = model.weights.reshape(k, model.block)
+    bias = w[:, d] if model.block == d + 1 else np.full(k, model.intercept if model.num_classes == 2 else 0.0)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def margins(features: pa.Array) -> pa.Array:
+        m = features_matrix(features, d) @ w[:, :d].T + bias
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, k, dtype=np.int32)), pa.array(m.ravel()))
 
     return margins
 
 
+def checked(features: str, d: int) -> Column:
+    """``features`` after the checks that the Arrow form makes too: length ``d``, no nulls."""
+    x = F.col(features)
+    null = x.isNull()
+    for j in range(d):
+        null = null | x.getItem(j).isNull()
+    return (F.when(x.isNotNull() & (F.size(x) != d), F.raise_error(F.lit(f"feature vectors must all have length {d}")))
+            .when(null, F.raise_error(F.lit("null feature vector or entry"))).otherwise(x))
+
+
 def margin_columns(model: LinearModel, features: str = "features") -> list[Column]:
-    """One margin column per non-pivot class (one column for binary models)."""
-    d = model.num_features
-    if max(1, model.num_classes - 1) * d > UNROLL_LIMIT:
+    """One margin column per non-pivot class (one column for models with one margin)."""
+    d, k = model.num_features, max(1, model.num_classes - 1)
+    if k * d > UNROLL_LIMIT:
         arr = _margins_udf(model)(F.col(features))
-        k = max(1, model.num_classes - 1)
-        cols = [arr.getItem(c) for c in range(k)]
-        if model.num_classes == 2 and model.intercept:
-            cols = [cols[0] + F.lit(float(model.intercept))]
-        return cols
+        return [arr.getItem(c) for c in range(k)]
+    x = checked(features, d)
     if model.num_classes == 2:
-        m = dot_slice(features, model.weights, 0, d)
+        m = dot_slice(x, model.weights, 0, d)
         return [m + F.lit(float(model.intercept)) if model.intercept else m]
     block = model.block
-    return [dot_slice(features, model.weights, c * block, d, c * block + d if model.has_bias_slot else None)
+    return [dot_slice(x, model.weights, c * block, d, c * block + d if model.has_bias_slot else None)
             for c in range(model.num_classes - 1)]
 
 
 def score_column(model: LinearModel, features: str = "features") -> Column:
-    """Probability of class 1 for a binary model."""
+    """Score of a model with one margin: a probability, or the margin."""
     if model.num_classes != 2:
-        raise ValueError("score_column is for binary models; use class_column")
-    return sigmoid(margin_columns(model, features)[0])
+        raise ValueError("score_column is for models with one margin; use class_column")
+    margin = margin_columns(model, features)[0]
+    return sigmoid(margin) if model.is_probability else margin
 
 
 def class_column(model: LinearModel, features: str = "features", threshold: float | None = None) -> Column:

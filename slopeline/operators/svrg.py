@@ -2,16 +2,15 @@
 
 Both trainers need a sequential pass over rows, which only parallelises across shards. A
 shard is a deterministic group of the sampled batch: ``pmod(xxhash64(key, row id), S)``
-by default (the row id salts the hash, so a hot key or a block of copied rows is spread
-over all shards; the row id comes from the input splits, so the walk is reproducible for a
-given input), or ``pmod(key, S)``, which is also independent of the input layout. ``S`` comes from the expected batch
-size divided by ``max_shard_rows``, so a shard -- the unit ``applyInArrow`` holds in
-memory -- stays bounded however large the table grows.
+by default (the row id, a hash of the row's content, spreads a hot key over all shards), or
+``pmod(key, S)``. ``S`` is a parameter, as the result depends on it; a batch too large for
+``S`` shards of ``max_shard_bytes`` (the unit ``applyInArrow`` holds in memory) is refused
+with the number of shards it needs.
 
 ``svrg`` (gradient aggregating)
     per shard: mean gradient ``mu`` at the current weights ``w`` over the shard; then
-    ``n_s`` steps, each on a random row ``r`` (seeded by base seed, iteration and shard)
-    or on the rows in key order: ``f = grad_r(w_loc) - grad_r(w) + mu``, sum ``f``,
+    ``n_s`` steps, each on a random row ``r`` (drawn with replacement from md5 of iteration,
+    shard, step and seed, which any SQL engine can replay) or on the rows in key order: ``f = grad_r(w_loc) - grad_r(w) + mu``, sum ``f``,
     ``w_loc <- (1 - eta reg) w_loc - eta f``. The driver applies the plain/L2 step with
     ``Σ f / Σ n_s``.
 
@@ -23,6 +22,7 @@ memory -- stays bounded however large the table grows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import warnings
 
@@ -39,10 +39,12 @@ from slopeline.operators.gradient import (DIRECT_MERGE_LIMIT, SLOT_SCHEMA, Batch
 from slopeline.operators.updates import penalised_step, penalty_value
 
 
-def shard_count(cfg, rows: int) -> int:
-    if cfg.shards:
-        return int(cfg.shards)
-    return max(1, math.ceil(rows * cfg.fraction / cfg.max_shard_rows))
+def check_shard_bytes(cfg, rows: int, d: int) -> None:
+    """Refuse a batch whose shards would exceed the byte bound on average."""
+    total = rows * cfg.fraction * d * 8
+    if total > cfg.shards * cfg.max_shard_bytes:
+        raise ValueError(f"{cfg.shards} shards of {cfg.max_shard_bytes} bytes are too few for {total:.3g} bytes of features; "
+                         f"set shards to at least {math.ceil(total / cfg.max_shard_bytes)}")
 
 
 def shard_column(cfg, shards: int):
@@ -56,11 +58,16 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by(keys)
 
 
+def draw(i: int, shard: int, step: int, seed: int) -> float:
+    """The uniform number of one step: 32 bits of md5 of ``iteration:shard:step:seed``."""
+    return int(hashlib.md5(f"{i}:{shard}:{step}:{seed}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
 def _walk_order(n: int, order: str, seed: int, i: int, shard: int, with_replacement: bool) -> np.ndarray:
     if order == "key":
         return np.arange(n)
-    rng = np.random.default_rng([int(seed), int(i), int(shard)])
-    return rng.integers(0, n, size=n) if with_replacement else rng.permutation(n)
+    u = np.array([draw(i, shard, k, seed) for k in range(n)])
+    return np.floor(u * n).astype(np.int64) if with_replacement else np.argsort(u, kind="stable")
 
 
 def svrg_kernel(w: np.ndarray, loss: MarginLoss, d: int, eta: float, shrink_reg: float, order: str,
@@ -174,14 +181,12 @@ _SLOT_ARROW = pa.schema([("slot", pa.int32()), ("value", pa.float64()), ("n", pa
 
 
 def sharded_table(table: DataFrame, cfg, shards: int) -> DataFrame:
-    """The training table with its shard id, hash-partitioned by shard once per fit.
+    """The training table with its shard id, one partition a shard, once per fit.
 
     Every iteration's batch is a filter of this table, so grouping a batch by shard finds
     the rows already clustered and needs no shuffle; only the first iteration pays one."""
-    parallelism = table.sparkSession.sparkContext.defaultParallelism
-    return (table.withColumn("shard", shard_column(cfg, shards))
-            .repartition(max(shards, parallelism), "shard")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    return (table.withColumn("shard", shard_column(cfg, shards).cast("int"))
+            .repartitionById(shards, "shard").persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def shard_partials(batch: DataFrame, kernel) -> DataFrame:
@@ -205,19 +210,21 @@ def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np
 def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result, rows: int) -> None:
     slots = loss.slots(d)
     reg = cfg.reg_weights(slots, loss.outputs)
-    shards = shard_count(cfg, rows)
-    table = sharded_table(table, cfg, shards)
+    check_shard_bytes(cfg, rows, d)
+    sharded = sharded_table(table, cfg, cfg.shards)
     try:
-        _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg)
+        sharded.count()
+        table.unpersist()  # one cached copy is enough
+        _walk_iterations(sharded, cfg, loss, d, w, result, cfg.shards, slots, reg)
     finally:
-        table.unpersist()
+        sharded.unpersist()
 
 
-def _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg) -> None:
+def _walk_iterations(table, cfg, loss, d, w, result, shards, slots, reg) -> None:
     from slopeline.operators.trainers import HistoryEntry, converged
 
     shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
-    partitions = table.rdd.getNumPartitions()
+    partitions = shards
     reg_val = penalty_value(w, reg, cfg.penalty)
     updates = 0
     for i in range(1, cfg.iters + 1):
@@ -235,9 +242,11 @@ def _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg) -
             new_w = penalised_step(w, acc[:slots] / n, eta, reg, cfg.penalty)
         else:
             mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler, cfg.salt())
-            mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel, partitions=partitions,
-                                              rows_per_partition=rows * cfg.mean_fraction / max(1, partitions))
-            mu = mean_sums.mean_grad if mean_sums.count else np.zeros(slots)
+            mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel, partitions=partitions)
+            if not mean_sums.count:
+                warnings.warn(f"iteration {i}/{cfg.iters}: the sample for the mean gradient is empty", stacklevel=3)
+                continue
+            mu = mean_sums.mean_grad
             kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
             acc, n = reduce_partials(shard_partials(batch, kernel), slots + 2, shards)
             used = int(round(acc[slots + 1]))
@@ -247,7 +256,7 @@ def _walk_iterations(table, cfg, loss, d, w, result, rows, shards, slots, reg) -
             if cfg.variant == "observed":
                 # empty shards count with the starting weights; loss over the mean sample size
                 new_w = (acc[:slots] + (shards - used) * w) / shards
-                denom = mean_sums.count if mean_sums.count else float("nan")
+                denom = mean_sums.count
             else:
                 new_w = acc[:slots] / used
                 denom = n

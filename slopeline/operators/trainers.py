@@ -39,7 +39,7 @@ from slopeline.operators.gradient import batch_sums
 from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalty_value,
                                          records_history, reg_penalty)
 from slopeline.operators.validate import check_training_table
-from slopeline.sources.models import LinearModel
+from slopeline.sources.models import KIND_THRESHOLDS, LinearModel
 
 METHODS = ("sgd", "momentum", "adagrad", "adadelta", "adam", "svrg", "svrg_avg")
 # Dense mode keeps the weights on the driver and ships them with every task; past this many
@@ -55,8 +55,12 @@ class TrainConfig:
     ``fraction`` is the mini-batch fraction, ``mean_fraction`` the fraction of rows used for
     the full-gradient estimate of ``svrg_avg``. ``tol`` is the relative weight-change
     tolerance. ``sampler`` picks the keyed hash (``xxhash64``/``md5``) or layout-dependent
-    ``bernoulli``. ``shards`` fixes the number of SVRG shards (default: rows of the batch
-    divided by ``max_shard_rows``); ``order`` is the row order of a shard walk.
+    ``bernoulli``, which depends on the input's partitions. ``partitions`` re-partitions the
+    training table (None: as the input has it). ``shards`` is the number of SVRG shards,
+    which the result depends on; a batch whose shards would hold more than
+    ``max_shard_bytes`` of features on average is refused with the number needed.
+    ``order`` is the row order of a shard walk (``random``: draws from md5 of seed,
+    iteration, shard and step; ``key``: by key).
     ``update`` is a user rule ``(w, g, state, ctx) -> (w, state)`` that replaces the
     method's rule (the state starts as an empty dict). With ``intercept=True``,
     ``penalise_bias=False`` leaves the bias slot of each class block out of the penalty
@@ -90,8 +94,9 @@ class TrainConfig:
     seed: int = BASE_SEED
     num_classes: int = 2
     intercept: bool = False
-    shards: int | None = None
-    max_shard_rows: int = 200_000
+    partitions: int | None = None
+    shards: int = 16
+    max_shard_bytes: int = 512 << 20
     shard_by: str = "hash"
     order: str = "random"
     kernel: str = "auto"
@@ -125,8 +130,10 @@ class TrainConfig:
             raise ValueError("num_classes must be >= 2")
         if self.method in ("adagrad", "adadelta", "adam", "svrg", "svrg_avg") and self.penalty == "l1":
             raise ValueError(f"{self.method} supports penalty 'none' or 'l2' only")
-        if self.shards is not None and self.shards < 1:
+        if self.shards < 1:
             raise ValueError("shards must be >= 1")
+        if self.partitions is not None and self.partitions < 1:
+            raise ValueError("partitions must be >= 1")
         if self.shard_by not in ("hash", "key_mod"):
             raise ValueError("shard_by must be 'hash' or 'key_mod'")
         if self.order not in ("random", "key"):
@@ -199,28 +206,25 @@ class FitResult:
 def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features: str = "features",
             intercept: bool = False, row_ids: bool = False) -> DataFrame:
     """Project the training columns (``key, label, features``) and optionally append the
-    constant-1 intercept feature and a stable row id (for salting SVRG shards). A table
-    without a ``key`` column gets one from ``monotonically_increasing_id`` (stable for a
-    given set of input splits)."""
-    if key not in df.columns:
-        df = df.withColumn(key, F.monotonically_increasing_id())
+    constant-1 intercept feature and a row id (for salting draws and SVRG shards).
+
+    The id hashes the row's content and its number among equal rows, so it is the same under
+    any layout and after a lost executor, and copies of a row get ids of their own. Equal rows
+    are counted (which combines on the map side) and numbered by unfolding the count, so a
+    block of copies is never gathered in one task; the price is one shuffle. A table without
+    a ``key`` column gets the content hash as its key."""
     feats = F.col(features)
     if isinstance(df.schema[features].dataType, VectorUDT):
         feats = vector_to_array(feats, "float64")
-    if intercept:
-        feats = F.concat(feats.cast("array<double>"), F.array(F.lit(1.0)))
-    cols = [F.col(key).alias("key"), F.col(label).cast("double").alias("label"), feats.alias("features")]
+    k = F.col(key) if key in df.columns else F.xxhash64(F.col(label), feats)
+    rows = df.select(k.alias("key"), F.col(label).cast("double").alias("label"), feats.alias("features"))
     if row_ids:
-        cols.append(F.monotonically_increasing_id().alias("_rid"))
-    return df.select(*cols)
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core; large inputs keep their splits."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
-        return df.repartition(parallelism)
-    return df
+        rows = (rows.groupBy("key", "label", "features").agg(F.count(F.lit(1)).alias("_n"))
+                .select("key", "label", "features", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+                .select("key", "label", "features", F.xxhash64("label", "features", "_copy").alias("_rid")))
+    if intercept:
+        rows = rows.withColumn("features", F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0))))
+    return rows
 
 
 def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", label: str = "label",
@@ -236,13 +240,15 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
     started = time.perf_counter()
     table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept,
                     row_ids=cfg.needs_row_ids())
-    table = _spread(table).persist(StorageLevel.MEMORY_AND_DISK)
+    if cfg.partitions:
+        table = table.repartition(cfg.partitions)
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # the Arrow and sums kernels (and the shard walks) reject null vector entries
         # themselves; only the explode kernel needs the element scan here
         kernel_checks = (cfg.method in ("svrg", "svrg_avg") or cfg.kernel in ("arrow", "sums")
                          or (cfg.kernel == "auto" and loss.has_numpy))
-        facts = check_training_table(table, loss, num_classes=cfg.num_classes, element_nulls=not kernel_checks,
+        facts = check_training_table(table, loss, num_classes=getattr(loss, "num_classes", cfg.num_classes), element_nulls=not kernel_checks,
                                      check_labels=cfg.validate)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
@@ -253,13 +259,13 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         w = np.zeros(loss.slots(d)) if initial_weights is None else np.asarray(initial_weights, dtype=np.float64).copy()
         if len(w) != loss.slots(d):
             raise ValueError(f"initial weights need {loss.slots(d)} entries, got {len(w)}")
-        result = FitResult(model=_model(w, cfg, d), weights=w, rows=facts.rows)
+        result = FitResult(model=_model(w, cfg, loss, d), weights=w, rows=facts.rows)
         if facts.rows == 0:
             warnings.warn("no training rows; returning the initial weights", stacklevel=2)
             return result
         if facts.rows * cfg.fraction < 1:
             warnings.warn("the mini-batch fraction is too small for the number of rows", stacklevel=2)
-        partitions = table.rdd.getNumPartitions()
+        partitions = table.rdd.getNumPartitions()  # of the filled cache: runs nothing
         try:
             if cfg.method in STATE:
                 _run_gradient_loop(table, cfg, loss, d, w, result, partitions, facts.rows)
@@ -272,23 +278,23 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
             if "ValueError: " in msg:
                 raise ValueError(msg.split("ValueError: ", 1)[1].splitlines()[0]) from exc
             raise
-        result.model = _model(result.weights, cfg, d)
+        result.model = _model(result.weights, cfg, loss, d)
         result.elapsed_ms = (time.perf_counter() - started) * 1000.0
         return result
     finally:
         table.unpersist()
 
 
-def _model(w: np.ndarray, cfg: TrainConfig, d: int) -> LinearModel:
-    if cfg.num_classes == 2 and loss_is_binary(cfg):
-        if cfg.intercept:
-            return LinearModel(w[:-1].copy(), float(w[-1]), d - 1, 2)
-        return LinearModel(w.copy(), 0.0, d, 2)
-    return LinearModel(w.copy(), 0.0, d - 1 if cfg.intercept else d, cfg.num_classes)
-
-
-def loss_is_binary(cfg: TrainConfig) -> bool:
-    return not (cfg.loss == "multinomial" or getattr(cfg.loss, "outputs", 1) > 1)
+def _model(w: np.ndarray, cfg: TrainConfig, loss: MarginLoss, d: int) -> LinearModel:
+    """The model of the trained weights: its kind and classes come from the loss."""
+    features = d - 1 if cfg.intercept else d
+    if loss.outputs > 1:
+        return LinearModel(w.copy(), 0.0, features, loss.outputs + 1, kind="multinomial")
+    kind = {"multinomial": "logistic"}.get(loss.name, loss.name)  # two classes: one margin
+    if kind not in KIND_THRESHOLDS:
+        kind = "margin_classes" if loss.binary_labels else "margin"
+    weights, bias = (w[:-1].copy(), float(w[-1])) if cfg.intercept else (w.copy(), 0.0)
+    return LinearModel(weights, bias, features, 2, KIND_THRESHOLDS[kind], kind)
 
 
 def converged(prev: np.ndarray, cur: np.ndarray, tol: float) -> bool:
@@ -308,8 +314,7 @@ def _run_gradient_loop(table: DataFrame, cfg: TrainConfig, loss: MarginLoss, d:
     i = 1
     while i <= cfg.iters:
         batch = keyed_sample(table, "key", cfg.fraction, cfg.seed + i, cfg.sampler, cfg.salt())
-        sums = batch_sums(batch, w, loss, d, kernel=cfg.kernel, partitions=partitions,
-                          rows_per_partition=rows * cfg.fraction / max(1, partitions))
+        sums = batch_sums(batch, w, loss, d, kernel=cfg.kernel, partitions=partitions)
         if sums.count > 0:
             if keep_history:
                 result.history.append(HistoryEntry(i, sums.mean_loss, reg_val, sums.count))

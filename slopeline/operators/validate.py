@@ -24,7 +24,7 @@ class TableFacts:
 def label_is_valid(label: Column, loss: MarginLoss, num_classes: int = 2) -> Column:
     """Whether a label fits the loss: {0, 1} for binary losses, {0..K-1} for multinomial,
     any non-null number for least squares."""
-    if loss.outputs > 1:
+    if loss.outputs > 1 or loss.name == "multinomial":
         return (label >= 0) & (label <= F.lit(float(num_classes - 1))) & (label == F.floor(label))
     if loss.binary_labels:
         return label.isin(0.0, 1.0)
@@ -70,6 +70,6 @@ def check_training_table(df: DataFrame, loss: MarginLoss, num_classes: int = 2,
     if facts.min_dim != facts.max_dim:
         raise ValueError(f"feature vectors differ in length ({facts.min_dim} to {facts.max_dim})")
     if facts.bad_labels and check_labels:
-        kind = f"0..{num_classes - 1}" if loss.outputs > 1 else "0 or 1"
+        kind = f"0..{num_classes - 1}" if loss.name == "multinomial" else "0 or 1"
         raise ValueError(f"{facts.bad_labels} labels are not {kind}")
     return facts

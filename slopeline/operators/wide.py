@@ -1,20 +1,22 @@
 """Wide (sparse) mode: features, weights, gradient and optimiser state are all tables.
 
-For models too wide to keep on the driver, or sparse features, the training table is the
-long form ``(key, idx, value)`` -- only non-zero entries are rows -- plus ``(key, label)``.
+For models too wide to keep on the driver, the training table is the long form
+``(key, idx, value)`` -- only non-zero entries are rows -- plus ``(key, label)``.
 One iteration is:
 
 1. margins: ``entries ⋈ weights`` on ``idx``, summed by ``key`` (the weight side is
-   broadcast only while its row count is under :data:`BROADCAST_WEIGHTS_ROWS`, else a
-   shuffle join), left-joined to the sampled ``(key, label)`` rows;
+   broadcast while its rows, 12 bytes each, number at most :data:`BROADCAST_WEIGHTS_ROWS`,
+   else a shuffle join, in which adaptive execution splits an index that most rows share),
+   left-joined to the sampled ``(key, label)`` rows;
 2. per-key loss and multiplier as column expressions (the loss's ``columns`` form);
 3. gradient: ``entries ⋈ (key, mult)`` on ``key`` summed by ``idx`` -- entries and the
    per-key frame are both hash-partitioned by ``key``, so this join adds no shuffle of the
    entries; the sum by ``idx`` aggregates map-side first;
 4. the update rule as one projection over ``weights ⟕ gradient`` on ``idx`` (the same
    rule code as dense mode, applied to columns);
-5. the new weight table is persisted, and checkpointed to the shared checkpoint folder
-   every few iterations, cutting lineage.
+5. the new weight table is written to the shared checkpoint folder and read back, and the
+   previous one deleted: every iteration plans from a plain scan, so plans and iteration
+   times do not grow, and a lost executor costs one iteration at most.
 
 Only scalars (row count, loss sum, norms) reach the driver.
 """
@@ -33,7 +35,7 @@ from slopeline.functions.sampling import keyed_sample
 from slopeline.operators.trainers import HistoryEntry, TrainConfig
 from slopeline.operators.updates import STATE, ColumnOps, StepContext, apply_rule, records_history, reg_penalty
 from slopeline.operators.validate import label_is_valid
-from slopeline.session import ensure_checkpoint_dir
+from slopeline.session import remove_path, scratch_path
 
 BROADCAST_WEIGHTS_ROWS = 2_000_000
 
@@ -60,14 +62,42 @@ def _penalty_value(norms: dict, reg: float, penalty: str) -> float:
     return 0.5 * reg * float(norms["sq"] or 0.0)
 
 
+def _written(weights: DataFrame) -> tuple[DataFrame, str]:
+    """``weights`` as a Parquet table in the shared folder, and its path."""
+    spark = weights.sparkSession
+    path = scratch_path(spark, "wide-weights")
+    weights.write.parquet(path)
+    return spark.read.schema(weights.schema).parquet(path), path
+
+
+def _weight_side(weights: DataFrame, num_features: int) -> DataFrame:
+    side = weights.select("idx", "w")
+    return F.broadcast(side) if num_features <= BROADCAST_WEIGHTS_ROWS else side
+
+
+def iteration_frames(ent: DataFrame, batch: DataFrame, weights: DataFrame, loss, num_features: int) -> DataFrame:
+    """Per sampled key its loss and multiplier at ``weights``."""
+    margins = (ent.join(_weight_side(weights, num_features), "idx").groupBy("key")
+               .agg(F.sum(F.col("value") * F.col("w")).alias("z")))
+    per_key = batch.join(margins, "key", "left").select("key", "label", F.coalesce("z", F.lit(0.0)).alias("z"))
+    row_loss, mults = loss.columns([F.col("z")], F.col("label"))
+    return per_key.select("key", row_loss.alias("loss"), mults[0].alias("mult"))
+
+
+def gradient_by_index(ent: DataFrame, per_key: DataFrame, n: int) -> DataFrame:
+    """Mean gradient ``(idx, g)`` of the ``n`` keys in ``per_key``."""
+    return (ent.join(per_key.select("key", "mult"), "key")
+            .groupBy("idx").agg((F.sum(F.col("mult") * F.col("value")) / F.lit(float(n))).alias("g")))
+
+
 def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None = None, *,
-             num_features: int | None = None, partitions: int | None = None, checkpoint_every: int = 5,
-             **overrides) -> WideFitResult:
+             num_features: int | None = None, partitions: int | None = None,
+             initial_weights: DataFrame | None = None, **overrides) -> WideFitResult:
     """Train on long-form features. ``entries``: ``key, idx, value``; ``labels``: ``key, label``.
 
-    Each iteration's weight table is persisted; every ``checkpoint_every`` iterations it is
-    checkpointed to the shared folder, so recovery after a lost executor replays at most
-    that many iterations."""
+    ``num_features`` defaults to the largest index plus one; an entry beyond a given one is
+    an error. ``initial_weights`` is an ``(idx, weight)`` table (absent indices start at 0).
+    The result's weight table lies in the shared checkpoint folder."""
     from dataclasses import replace
 
     cfg = replace(config or TrainConfig(), **overrides) if overrides else (config or TrainConfig())
@@ -81,87 +111,55 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
     if cfg.update is not None:
         raise ValueError("wide mode applies the built-in rules to columns; user rules run in dense mode")
     spark = entries.sparkSession
-    ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ent = (entries.select("key", F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
            .repartition(parts, "key").persist(StorageLevel.MEMORY_AND_DISK))
     lab = (labels.select("key", F.col("label").cast("double").alias("label"))
            .repartition(parts, "key").persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        # one job checks that the key names one row and that labels fit the loss; the labels
-        # are already hash-partitioned by key, so the grouping needs no further shuffle
-        y = F.col("label")
-        bad = y.isNotNull() & ~label_is_valid(y, loss, cfg.num_classes)
-        facts = (lab.groupBy("key").agg(F.count(F.lit(1)).alias("c"),
-                                         F.sum(F.when(y.isNull(), 1).otherwise(0)).alias("nulls"),
-                                         F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
-                 .agg(F.max("c").alias("c"), F.sum("nulls").alias("nulls"), F.sum("bad").alias("bad"))
-                 .collect()[0])
-        if (facts["c"] or 0) > 1:
-            raise ValueError("wide mode needs one label row per key")
-        if facts["nulls"]:
-            raise ValueError(f"{facts['nulls']} rows have a null label")
-        if facts["bad"] and cfg.validate:
-            raise ValueError(f"{facts['bad']} labels are not 0 or 1")
-        # first action on the persisted entries: width, null values and negative indices
-        ef = ent.agg(F.max("idx").alias("top"), F.min("idx").alias("low"),
-                     F.sum(F.when(F.col("value").isNull() | F.col("idx").isNull(), 1).otherwise(0)).alias("nulls")
-                     ).collect()[0]
-        if ef["nulls"]:
-            raise ValueError(f"{ef['nulls']} feature entries have a null index or value")
-        if ef["low"] is not None and ef["low"] < 0:
-            raise ValueError("feature indices must be non-negative")
-        if num_features is None:
-            num_features = int((ef["top"] if ef["top"] is not None else -1) + 1)
+        num_features = _check_wide_input(ent, lab, loss, cfg, num_features)
         state_cols = STATE[cfg.method]
-        weights = spark.range(num_features).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("w"),
-                                                   *[F.lit(0.0).alias(c) for c in state_cols]).checkpoint()
+        start = spark.range(num_features).select(F.col("id").cast("int").alias("idx"))
+        if initial_weights is None:
+            start = start.withColumn("w", F.lit(0.0))
+        else:
+            given = initial_weights.select(F.col("idx").cast("int").alias("idx"), F.col("weight").cast("double").alias("w"))
+            _check_indices(given, num_features, "initial weights")
+            start = start.join(given, "idx", "left").select("idx", F.coalesce("w", F.lit(0.0)).alias("w"))
+        weights, path = _written(start.select("idx", "w", F.lit(0.0).alias("_old"), *[F.lit(0.0).alias(c) for c in state_cols]))
         reg = cfg.effective_reg()
         shown = reg_penalty(cfg.method, cfg.penalty)
-        reg_val = 0.0
+        reg_val = _penalty_value(_norms(weights), reg, shown) if initial_weights is not None else 0.0
         keep_history = records_history(cfg.method, cfg.variant)
         result = WideFitResult(weights)
         updates = 0
         for i in range(1, cfg.iters + 1):
             result.iterations = i
             batch = keyed_sample(lab, "key", cfg.fraction, cfg.seed + i, cfg.sampler)
-            wside = weights.select("idx", "w")
-            if num_features <= BROADCAST_WEIGHTS_ROWS:
-                wside = F.broadcast(wside)
-            margins = ent.join(wside, "idx").groupBy("key").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
-            per_key = batch.join(margins, "key", "left").select("key", "label", F.coalesce("z", F.lit(0.0)).alias("z"))
-            row_loss, mults = loss.columns([F.col("z")], F.col("label"))
-            per_key = per_key.select("key", row_loss.alias("loss"), mults[0].alias("mult")).persist()
-            stats = per_key.agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("ls")).collect()[0]
-            n = int(stats["n"])
-            if n == 0:
+            per_key = iteration_frames(ent, batch, weights, loss, num_features).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                stats = per_key.agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("ls")).collect()[0]
+                n = int(stats["n"])
+                if n == 0:
+                    warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=2)
+                    continue
+                if keep_history:
+                    result.history.append(HistoryEntry(i, float(stats["ls"]) / n, reg_val, n))
+                joined = weights.join(gradient_by_index(ent, per_key, n), "idx", "left").select(
+                    "idx", F.col("w"), F.coalesce("g", F.lit(0.0)).alias("g"), *state_cols)
+                ctx = StepContext(i=i, t=updates, step=cfg.step, reg=reg, penalty=cfg.penalty, variant=cfg.variant)
+                state = {c: F.col(c) for c in state_cols}
+                new_w, new_state = apply_rule(cfg.method, F.col("w"), F.col("g"), state, ctx, ops=ColumnOps)
+                weights, new_path = _written(joined.select("idx", new_w.alias("w"), F.col("w").alias("_old"),
+                                                           *[new_state[c].alias(c) for c in state_cols]))
+            finally:
                 per_key.unpersist()
-                warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=2)
-                continue
-            if keep_history:
-                result.history.append(HistoryEntry(i, float(stats["ls"]) / n, reg_val, n))
-            grad = (ent.join(per_key.select("key", "mult"), "key")
-                    .groupBy("idx").agg((F.sum(F.col("mult") * F.col("value")) / F.lit(float(n))).alias("g")))
-            joined = weights.join(grad, "idx", "left").select(
-                "idx", F.col("w"), F.coalesce("g", F.lit(0.0)).alias("g"), *state_cols)
-            ctx = StepContext(i=i, t=updates, step=cfg.step, reg=reg, penalty=cfg.penalty, variant=cfg.variant)
-            state = {c: F.col(c) for c in state_cols}
-            new_w, new_state = apply_rule(cfg.method, F.col("w"), F.col("g"), state, ctx, ops=ColumnOps)
-            new_weights = joined.select("idx", new_w.alias("w"), F.col("w").alias("_old"),
-                                        *[new_state[c].alias(c) for c in state_cols])
-            if (updates + 1) % max(1, checkpoint_every) == 0:
-                new_weights = new_weights.checkpoint()
-            else:
-                new_weights = new_weights.persist(StorageLevel.MEMORY_AND_DISK)
+            remove_path(spark, path)
+            path = new_path
             updates += 1
-            norms = new_weights.agg(F.sqrt(F.sum((F.col("w") - F.col("_old")) ** 2)).alias("diff"),
-                                    F.sum(F.col("w") ** 2).alias("sq"), F.sum(F.abs("w")).alias("l1")).collect()[0]
-            norms = {"diff": norms["diff"], "norm": float(norms["sq"]) ** 0.5, "sq": norms["sq"], "l1": norms["l1"]}
+            norms = _norms(weights)
             reg_val = _penalty_value(norms, reg, shown)
-            per_key.unpersist()
-            weights.unpersist()
-            weights = new_weights.drop("_old")
-            if updates >= 2 and float(norms["diff"]) < cfg.tol * max(float(norms["norm"]), 1.0):
+            if updates >= 2 and norms["diff"] < cfg.tol * max(norms["sq"] ** 0.5, 1.0):
                 result.converged = True
                 break
         result.weights = weights.select("idx", F.col("w").alias("weight"))
@@ -172,22 +170,74 @@ def fit_wide(entries: DataFrame, labels: DataFrame, config: TrainConfig | None =
         lab.unpersist()
 
 
+def _norms(weights: DataFrame) -> dict:
+    row = weights.agg(F.sqrt(F.sum((F.col("w") - F.col("_old")) ** 2)).alias("diff"),
+                      F.sum(F.col("w") ** 2).alias("sq"), F.sum(F.abs("w")).alias("l1")).collect()[0]
+    return {k: float(row[k] or 0.0) for k in ("diff", "sq", "l1")}
+
+
+def _check_indices(df: DataFrame, num_features: int | None, what: str) -> int:
+    """The width of ``df`` after checks: no null or negative index, none beyond ``num_features``."""
+    values = [c for c in ("value", "w") if c in df.columns]
+    null = F.col("idx").isNull()
+    for c in values:
+        null = null | F.col(c).isNull()
+    f = df.agg(F.max("idx").alias("top"), F.min("idx").alias("low"), F.sum(F.when(null, 1).otherwise(0)).alias("nulls")).collect()[0]
+    if f["nulls"]:
+        raise ValueError(f"{f['nulls']} {what} have a null index or value")
+    if f["low"] is not None and f["low"] < 0:
+        raise ValueError(f"indices of {what} must be non-negative")
+    width = int((f["top"] if f["top"] is not None else -1) + 1)
+    if num_features is not None and width > num_features:
+        raise ValueError(f"{what} have index {width - 1}, beyond num_features={num_features}")
+    return width if num_features is None else num_features
+
+
+def _check_wide_input(ent: DataFrame, lab: DataFrame, loss, cfg: TrainConfig, num_features: int | None) -> int:
+    """Check labels (one valid row a key) and entries; the number of features."""
+    # the labels are already hash-partitioned by key, so the grouping needs no further shuffle
+    y = F.col("label")
+    bad = y.isNotNull() & ~label_is_valid(y, loss, cfg.num_classes)
+    facts = (lab.groupBy("key").agg(F.count(F.lit(1)).alias("c"),
+                                     F.sum(F.when(y.isNull(), 1).otherwise(0)).alias("nulls"),
+                                     F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
+             .agg(F.max("c").alias("c"), F.sum("nulls").alias("nulls"), F.sum("bad").alias("bad"),
+                  F.sum(F.when(F.col("key").isNull(), 1).otherwise(0)).alias("no_key"))
+             .collect()[0])
+    if facts["no_key"]:
+        raise ValueError("wide mode needs a key on every label row")
+    if (facts["c"] or 0) > 1:
+        raise ValueError("wide mode needs one label row per key")
+    if facts["nulls"]:
+        raise ValueError(f"{facts['nulls']} rows have a null label")
+    if facts["bad"] and cfg.validate:
+        raise ValueError(f"{facts['bad']} labels are not 0 or 1")
+    return _check_indices(ent, num_features, "feature entries")
+
+
 def predict_wide(entries: DataFrame, weights: DataFrame, *, keys: DataFrame | None = None, intercept: float = 0.0,
                  threshold: float | None = 0.5, num_features: int | None = None,
                  output: str = "prediction") -> DataFrame:
     """Score long-form features with a weight table ``(idx, weight)``.
 
-    ``margin = Σ value * weight`` by key (+ ``intercept``); the output is the class at
+    ``margin = Σ value * weight`` by key (+ ``intercept``); an entry whose index has no
+    weight counts 0, so every key of ``entries`` has a row. The output is the class at
     ``threshold`` (strictly greater) or, with ``threshold=None``, the score. ``keys`` (a
     frame with a ``key`` column) adds rows with no entries, scored at margin 0. The weight
-    table is broadcast only when ``num_features`` is given and under the row bound.
+    table is broadcast only when ``num_features`` is given and under the row bound, and its
+    indices are then checked to lie below it.
     """
     w = weights.select(F.col("idx").cast("int").alias("idx"), F.col("weight").alias("_w"))
     if num_features is not None and num_features <= BROADCAST_WEIGHTS_ROWS:
+        rows = weights.agg(F.max("idx").alias("top"), F.count(F.lit(1)).alias("n")).collect()[0]
+        if (rows["top"] or 0) >= num_features or rows["n"] > num_features:
+            raise ValueError(f"the weight table is larger than num_features={num_features}")
         w = F.broadcast(w)
-    z = entries.join(w, "idx").groupBy("key").agg(F.sum(F.col("value") * F.col("_w")).alias("_z"))
+    z = (entries.join(w, "idx", "left").groupBy("key")
+         .agg(F.sum(F.col("value") * F.coalesce("_w", F.lit(0.0))).alias("_z")))
     if keys is not None:
-        z = keys.select("key").join(z, "key", "left").select("key", F.coalesce("_z", F.lit(0.0)).alias("_z"))
+        every = keys.select("key").unionByName(z.select("key")).distinct()
+        z = every.join(z.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left").select("key", F.coalesce("_z", F.lit(0.0)).alias("_z"))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_z") + F.lit(float(intercept)))))
     col = score if threshold is None else F.when(score > F.lit(float(threshold)), 1.0).otherwise(0.0)
     return z.select("key", col.alias(output))

@@ -74,6 +74,16 @@ def q_keyed_split(spark, sf_dir):
     return sampling.split_label(df, "key", 0.7, seed=sampling.SPLIT_SEED, sampler="md5").select("key", "label", "split")
 
 
+_ROW_UNIFORM = O.md5_uniform("CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)", sampling.SPLIT_SEED)
+
+
+@register("row_split",
+          f"SELECT l_orderkey, l_linenumber, CASE WHEN {_ROW_UNIFORM} < 0.7 THEN 'train' ELSE 'test' END AS split FROM lineitem")
+def q_row_split(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return sampling.split_label(rows, "l_orderkey", 0.7, seed=sampling.SPLIT_SEED, sampler="md5", salt="l_linenumber")
+
+
 _MB = [(i, "batch", 0.3) for i in (1, 2, 3)] + [(i, "mean", 0.5) for i in (1, 2, 3)]
 
 
@@ -372,6 +382,42 @@ def q_predict_score(spark, sf_dir):
     return out.select("key", r("score", 9).alias("score"))
 
 
+def _margins_sql(loss: str, select: str, fx: str, **kw) -> str:
+    extra = ["sc AS (SELECT b.rid, b.key, b.y, coalesce(s.z, 0.0) AS z FROM base b LEFT JOIN "
+             "(SELECT lx.rid, sum(lx.v * w3.w) AS z FROM lx JOIN w3 ON lx.j = w3.j GROUP BY lx.rid) s "
+             "ON b.rid = s.rid)"]
+    return O.trainer_sql(fx, select=select, loss=loss, method="sgd", penalty="l2", iters=3, extra=extra, **kw)
+
+
+@register("predict_least_squares", _margins_sql(
+    "least_squares", "SELECT key, round(z, 6) + 0.0 AS prediction FROM sc", "fx4", step=0.5, reg=0.01))
+def q_predict_least_squares(spark, sf_dir):
+    df = tables.lineitem_prices(spark, sf_dir)
+    res = fit(df, TrainConfig(loss="least_squares", method="sgd", penalty="l2", reg=0.01, step=0.5, iters=3, tol=0.0))
+    return scoring.predict(df, res.model, keep=["key"]).select("key", r("prediction", 6).alias("prediction"))
+
+
+@register("predict_hinge", _margins_sql(
+    "hinge", "SELECT key, CASE WHEN z > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM sc", "fx1",
+    step=1.0, reg=0.1))
+def q_predict_hinge(spark, sf_dir):
+    df = tables.embeddings_binary(spark, sf_dir)
+    res = fit(df, TrainConfig(loss="hinge", method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, tol=0.0))
+    return scoring.predict(df, res.model, keep=["key"]).select("key", "prediction")
+
+
+@register("sgd_multinomial_intercept", O.trainer_sql("fx1", method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+                                                     intercept=True))
+def q_sgd_multinomial_intercept(spark, sf_dir):
+    # two classes: the multinomial loss has one margin and the model an intercept
+    res = fit(tables.embeddings_binary(spark, sf_dir),
+              TrainConfig(loss="multinomial", num_classes=2, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+                          tol=0.0, intercept=True))
+    if len(res.model.weights) != 64 or res.model.intercept != res.weights[-1]:
+        raise AssertionError("the intercept is not split from the weights")
+    return weights_out(res, spark)
+
+
 @register("predict_class", _scores_sql(
     "SELECT key, CASE WHEN 1.0 / (1.0 + exp(-z)) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM sc"))
 def q_predict_class(spark, sf_dir):
@@ -551,6 +597,24 @@ def q_sgd_wide(spark, sf_dir):
     return res.weights.select("idx", r("weight", 6).alias("weight"))
 
 
+@register("sgd_wide_long", O.trainer_sql("fx1", wide=True, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=8))
+def q_sgd_wide_long(spark, sf_dir):
+    entries, labels = tables.embeddings_long(spark, sf_dir)
+    res = fit_wide(entries, labels, TrainConfig(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=8, tol=0.0,
+                                                sampler="md5"), num_features=64)
+    return res.weights.select("idx", r("weight", 6).alias("weight"))
+
+
+@register("warm_start_wide", O.trainer_sql("fx1", wide=True, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+                                           init=O.rule_weight("j")))
+def q_warm_start_wide(spark, sf_dir):
+    entries, labels = tables.embeddings_long(spark, sf_dir)
+    start = spark.createDataFrame([(j, float(w)) for j, w in enumerate(rule_weights(64))], "idx INT, weight DOUBLE")
+    res = fit_wide(entries, labels, TrainConfig(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, tol=0.0,
+                                                sampler="md5"), num_features=64, initial_weights=start)
+    return res.weights.select("idx", r("weight", 6).alias("weight"))
+
+
 @register("predict_wide", O.trainer_sql(
     "fx1", wide=True, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
     extra=["sc AS (SELECT b.key, coalesce(s.z, 0.0) AS z FROM base b LEFT JOIN (SELECT lx.rid, sum(lx.v * w3.w) AS z "

@@ -66,11 +66,11 @@ def fixture_ctes(fx: str, where: str | None = None, intercept: bool = False) ->
 
 
 def wide_fixture_ctes() -> list[str]:
-    """FX6: FX1 in long form without entries of magnitude below 0.05."""
+    """FX6: FX1 in long form without entries that are exactly zero."""
     return [
         f"base AS MATERIALIZED (SELECT key AS rid, key, y FROM ({FX1}) s)",
         "lx AS MATERIALIZED (SELECT rid, j, v FROM (SELECT key AS rid, CAST(unnest(range(len(x))) AS INTEGER) AS j, "
-        f"unnest(x) AS v FROM ({FX1}) s) t WHERE abs(v) >= 0.05)",
+        f"unnest(x) AS v FROM ({FX1}) s) t WHERE v <> 0)",
     ]
 
 

@@ -73,4 +73,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "path_exists"]
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`scratch_path`; other paths are refused."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(base + "/"):
+        raise ValueError(f"{path} does not lie in the checkpoint folder")
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "remove_path", "path_exists"]

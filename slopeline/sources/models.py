@@ -1,7 +1,10 @@
 """Linear models and their storage as a one-row Parquet table.
 
-A model holds the weights, the intercept (binary models), the number of features and
-classes, and an optional decision threshold. Multinomial weights are one flat class-major
+A model holds the loss it was trained for (its kind), the weights, the intercept (models
+with one margin), the number of features and classes, and an optional decision threshold.
+A logistic model scores probabilities, a hinge model margins; either gives class 1.0 above
+its threshold. A least-squares model gives the margin, and so does a user loss unless its
+labels are 0 and 1. Multinomial weights are one flat class-major
 vector of ``(K-1) * d`` entries, or ``(K-1) * (d+1)`` when each class block ends with its
 bias slot; class 0 is the pivot.
 """
@@ -14,10 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The stored format tag and kind name.
+# The stored format tag, the kinds of the built-in losses and the decision
+# threshold of each (None: no classes, the margin is the prediction).
 FORMAT = "slopeline-linear/1"
 KIND = "logistic"
 DEFAULT_THRESHOLD = 0.5
+KIND_THRESHOLDS = {"logistic": DEFAULT_THRESHOLD, "multinomial": DEFAULT_THRESHOLD, "hinge": 0.0,
+                   "least_squares": None, "margin_classes": 0.0, "margin": None}
 
 MODEL_SCHEMA = ("format STRING, kind STRING, num_features INT, num_classes INT, "
                 "weights ARRAY<DOUBLE>, intercept DOUBLE, threshold DOUBLE")
@@ -33,6 +39,8 @@ class LinearModel:
     kind: str = KIND
 
     def __post_init__(self):
+        if self.kind not in KIND_THRESHOLDS:
+            raise ValueError(f"model kind must be one of {sorted(KIND_THRESHOLDS)}, got {self.kind!r}")
         self.weights = np.asarray(self.weights, dtype=np.float64)
         if self.num_features < 0:
             self.num_features = len(self.weights) if self.num_classes == 2 else len(self.weights) // (self.num_classes - 1)
@@ -55,6 +63,11 @@ class LinearModel:
     def has_bias_slot(self) -> bool:
         return self.num_classes > 2 and self.block == self.num_features + 1
 
+    @property
+    def is_probability(self) -> bool:
+        """Whether the score of the single margin is a probability (else it is the margin)."""
+        return self.kind in ("logistic", "multinomial")
+
     def with_threshold(self, threshold: float | None) -> "LinearModel":
         return LinearModel(self.weights, self.intercept, self.num_features, self.num_classes, threshold, self.kind)
 
@@ -68,7 +81,9 @@ class LinearModel:
         if len(x) != self.num_features:
             raise ValueError(f"expected {self.num_features} features, got {len(x)}")
         if self.num_classes == 2:
-            score = 1.0 / (1.0 + np.exp(-(float(x @ self.weights) + self.intercept)))
+            score = float(x @ self.weights) + self.intercept
+            if self.is_probability:
+                score = 1.0 / (1.0 + np.exp(-score))
             return score if self.threshold is None else float(score > self.threshold)
         w = self.weights.reshape(self.num_classes - 1, self.block)
         margins = w[:, :self.num_features] @ x + (w[:, -1] if self.has_bias_slot else 0.0)
@@ -95,8 +110,8 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
     if len(rows) != 1:
         raise ValueError(f"{path} does not hold exactly one model row")
     r = rows[0]
-    if r["format"] != FORMAT or r["kind"] != KIND:
-        raise ValueError(f"unrecognised model ({r['format']}, {r['kind']}); supported: ({FORMAT}, {KIND})")
+    if r["format"] != FORMAT or r["kind"] not in KIND_THRESHOLDS:
+        raise ValueError(f"unrecognised model: {path} holds format {r['format']!r}, kind {r['kind']!r}: cannot be read as {FORMAT!r}")
     return LinearModel(np.array(r["weights"], dtype=np.float64), float(r["intercept"]), int(r["num_features"]),
                        int(r["num_classes"]), r["threshold"], r["kind"])
 

@@ -16,9 +16,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Fixed values of the fixtures: FX1 positives are embedding labels below 5; FX2 scales
 # lineitem columns by 50, 105000, 10 and 12.5; FX4 scales by 50, 1000 and 105000; FX5 scales
-# characters by 10000 and words by 2000; FX6 drops entries with |value| < 0.05.
+# characters by 10000 and words by 2000.
 FX1_POSITIVE_BELOW = 5
-FX6_DROP_BELOW = 0.05
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,12 +92,12 @@ def documents_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings_long(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """FX6: FX1 in long form ``(key, idx, value)`` without entries of magnitude < 0.05,
+    """FX6: FX1 in long form ``(key, idx, value)`` without entries that are exactly zero,
     plus the ``(key, label)`` table."""
     fx1 = embeddings_binary(spark, sf_dir)
     entries = (fx1.select("key", F.posexplode("features").alias("idx", "value"))
                .select("key", F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
-               .where(F.abs(F.col("value")) >= F.lit(FX6_DROP_BELOW)))
+               .where(F.col("value") != F.lit(0.0)))
     return entries, fx1.select("key", "label")
 
 

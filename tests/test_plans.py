@@ -2,6 +2,7 @@
 expected, and column pruning down to the parquet scan."""
 
 import numpy as np
+import pytest
 
 from slopeline.functions.losses import resolve_loss
 from slopeline.functions.sampling import keyed_sample
@@ -43,10 +44,31 @@ def test_arrow_gradient_is_one_stage_and_scan_is_pruned(spark, capsys):
                       "l_tax:double,l_returnflag:string>")
 
 
-def test_wide_gradient_reuses_the_key_partitioning(spark, capsys):
+def _shuffles(df) -> list[str]:
+    """The shuffles of a plan, without those that filled its caches."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            out.append(node.outputPartitioning().toString())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_wide_gradient_reuses_the_key_partitioning(spark, broadcast, monkeypatch):
+    """The frames of ``fit_wide`` itself, below and above the broadcast bound of the weights."""
     from pyspark import StorageLevel
     from pyspark.sql import functions as F
 
+    from slopeline.operators import wide
+
+    if not broadcast:
+        monkeypatch.setattr(wide, "BROADCAST_WEIGHTS_ROWS", 10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the large-table plan
     try:
         entries, labels = tables.embeddings_long(spark, SF_SMALL)
@@ -54,20 +76,14 @@ def test_wide_gradient_reuses_the_key_partitioning(spark, capsys):
         lab = labels.repartition(8, "key").persist(StorageLevel.MEMORY_AND_DISK)
         ent.count(), lab.count()
         w = spark.range(64).select(F.col("id").cast("int").alias("idx"), F.lit(0.1).alias("w"))
-        margins = ent.join(F.broadcast(w), "idx").groupBy("key").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
-        per_key = lab.join(margins, "key", "left").select("key", (F.coalesce("z", F.lit(0.0)) - F.col("label")).alias("m"))
-        grad = ent.join(per_key, "key").groupBy("idx").agg(F.sum(F.col("m") * F.col("value")).alias("g"))
-        plan = _plan(grad, capsys)
-        # only lines outside the cached relations: drop everything nested under InMemoryRelation
-        outer, depth = [], None
-        for line in plan.splitlines():
-            indent = len(line) - len(line.lstrip(" :+-"))
-            if depth is not None and indent > depth:
-                continue
-            depth = indent if "InMemoryRelation" in line else None
-            outer.append(line)
-        shuffles = [ln for ln in outer if "Exchange" in ln and "BroadcastExchange" not in ln]
-        assert len(shuffles) == 1 and "hashpartitioning(idx" in shuffles[0]
-        ent.unpersist(), lab.unpersist()
+        per_key = wide.iteration_frames(ent, lab, w, resolve_loss("logistic"), 64)
+        margins = _shuffles(per_key)
+        per_key.persist()
+        per_key.count()
+        # broadcast weights: entries and labels stay where they are
+        assert not margins if broadcast else any(m.startswith("hashpartitioning(idx") for m in margins), margins
+        grad = _shuffles(wide.gradient_by_index(ent, per_key, 10))
+        assert any(g.startswith("hashpartitioning(idx") for g in grad) and len(grad) == (1 if broadcast else len(grad))
+        per_key.unpersist(), ent.unpersist(), lab.unpersist()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -440,3 +440,122 @@ def test_md5_draws_match_python(spark):
         plain = int(hashlib.md5(f"{k}:43".encode()).hexdigest()[:8], 16) / 2 ** 32
         salted = int(hashlib.md5(f"{k}:{k * 7 + 3}:43".encode()).hexdigest()[:8], 16) / 2 ** 32
         assert got[k] == (plain, salted)
+
+
+def _long(fx):
+    from pyspark.sql import functions as F
+
+    return fx.select("key", F.posexplode("features").alias("idx", "value")).where("value <> 0")
+
+
+def test_wide_iterations_do_not_slow_down_or_leak(spark, fx1):
+    import time
+
+    from slopeline.operators.wide import fit_wide
+
+    entries, labels = _long(fx1).cache(), fx1.select("key", "label").cache()
+    entries.count(), labels.count()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    kw = dict(method="adam", penalty="l2", reg=0.1, step=0.01, tol=0.0)
+    fit_wide(entries, labels, TrainConfig(iters=2, **kw), num_features=64)  # warm
+    times = {}
+    for n in (4, 20):
+        t = time.perf_counter()
+        res = fit_wide(entries, labels, TrainConfig(iters=n, **kw), num_features=64)
+        times[n] = time.perf_counter() - t
+        assert res.updates == n
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    # iterations 5 to 20 take no longer each than the first four (set-up included in those)
+    assert (times[20] - times[4]) / 16 < 1.2 * times[4] / 4
+    assert "idx" in res.weights.columns and res.weights.count() == 64
+    entries.unpersist(), labels.unpersist()
+
+
+def test_wide_rejects_an_index_beyond_num_features(spark, fx1):
+    from slopeline.operators.wide import fit_wide
+
+    with pytest.raises(ValueError, match="beyond num_features"):
+        fit_wide(_long(fx1), fx1.select("key", "label"), TrainConfig(iters=1), num_features=32)
+
+
+def test_wide_warm_start_equals_a_longer_run_of_plain_steps(spark, fx1):
+    from slopeline.operators.wide import fit_wide
+
+    kw = dict(method="sgd", penalty="none", step=0.5, tol=0.0)
+    first = fit_wide(_long(fx1), fx1.select("key", "label"), TrainConfig(iters=1, **kw), num_features=64)
+    again = fit_wide(_long(fx1), fx1.select("key", "label"), TrainConfig(iters=1, **kw), num_features=64, initial_weights=first.weights)
+    dense = fit(fx1, TrainConfig(iters=1, **kw), initial_weights=np.array([r["weight"] for r in first.weights.orderBy("idx").collect()]))
+    got = np.array([r["weight"] for r in again.weights.orderBy("idx").collect()])
+    np.testing.assert_allclose(got, dense.weights, rtol=1e-9, atol=1e-12)
+
+
+def test_predict_wide_keeps_keys_whose_entries_have_no_weight(spark):
+    from slopeline.operators.wide import predict_wide
+
+    entries = spark.createDataFrame([(1, 0, 2.0), (2, 9, 5.0)], "key long, idx int, value double")
+    weights = spark.createDataFrame([(0, 1.0)], "idx int, weight double")
+    keys = spark.createDataFrame([(3,), (1,)], "key long")
+    out = {r["key"]: r["prediction"] for r in predict_wide(entries, weights, keys=keys, threshold=None).collect()}
+    assert out[2] == 0.5 and out[3] == 0.5 and out[1] > 0.8
+    with pytest.raises(ValueError, match="larger than num_features"):
+        predict_wide(entries, spark.createDataFrame([(7, 1.0)], "idx int, weight double"), num_features=3)
+
+
+def test_null_keys_are_drawn_too(spark):
+    from slopeline.functions.sampling import keyed_sample, keyed_split
+
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4)], "key long, v int")
+    for sampler in ("md5", "xxhash64"):
+        parts = keyed_split(df, "key", sampler=sampler)
+        assert sum(p.count() for p in parts) == 4
+        assert keyed_sample(df, "key", 0.999999, 1, sampler).count() == 4
+    spread = keyed_split(spark.range(1000).selectExpr("1 AS key", "id AS v"), "key", salt="v")
+    assert 600 < spread[0].count() < 800  # one key, split by row
+
+
+def test_auc_rejects_rows_without_label_or_score(spark):
+    from pyspark.errors import PySparkException
+
+    from slopeline.operators.metrics import area_under_roc
+
+    for row in ((None, 0.4), (1.0, None)):
+        with pytest.raises(PySparkException, match="a row has no"):
+            area_under_roc(spark.createDataFrame([(1.0, 0.5), (0.0, 0.1), row], "label double, score double"))
+
+
+@pytest.mark.parametrize("width", [3, 300])
+def test_scoring_rejects_wrong_vectors_alike(spark, width):
+    from pyspark.errors import PySparkException
+
+    from slopeline.operators.scoring import predict
+    from slopeline.sources.models import LinearModel
+
+    model = LinearModel(np.linspace(-1, 1, width))
+    good = [1.0] * width
+    assert predict(spark.createDataFrame([(good,)], "features array<double>"), model).count() == 1
+    for bad in (good + [1.0], good[:-1], good[:-1] + [None], None):
+        with pytest.raises(PySparkException, match="length|null"):
+            predict(spark.createDataFrame([(bad,)], "features array<double>"), model).collect()
+
+
+def test_model_kinds_predict_by_their_loss(spark):
+    from slopeline.functions.losses import MultinomialLoss
+    from slopeline.operators.scoring import predict
+    from slopeline.session import scratch_path
+    from slopeline.sources.models import load_model, save_model
+
+    rows = [(k, float(k % 2), [1.0, (k % 2) * 2.0 - 1.0 + 0.01 * k]) for k in range(40)]
+    df = spark.createDataFrame(rows, "key long, label double, features array<double>")
+    reg = fit(df, TrainConfig(loss="least_squares", penalty="none", step=0.5, iters=40, tol=0.0)).model
+    hinge = fit(df, TrainConfig(loss="hinge", penalty="none", step=0.5, iters=40, tol=0.0)).model
+    assert (reg.kind, reg.threshold, hinge.kind, hinge.threshold) == ("least_squares", None, "hinge", 0.0)
+    out = {r["key"]: r["prediction"] for r in predict(df, reg).collect()}
+    assert len(set(out.values())) > 10 and all(abs(out[k] - k % 2) < 0.5 for k in out)
+    assert all(r["prediction"] == r["label"] for r in predict(df, hinge).collect())
+    path = scratch_path(spark, "hinge-model")
+    save_model(spark, hinge, path)
+    assert load_model(spark, path).kind == "hinge"
+    two = fit(df, TrainConfig(loss="multinomial", num_classes=2, intercept=True, iters=3, tol=0.0)).model
+    assert (two.num_features, two.num_classes, len(two.weights)) == (2, 2, 2)
+    three = fit(df, TrainConfig(loss=MultinomialLoss(3), intercept=True, iters=3, tol=0.0)).model
+    assert (three.kind, three.num_classes, three.num_features) == ("multinomial", 3, 2)
