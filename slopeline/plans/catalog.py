@@ -662,6 +662,28 @@ def q_svrg_avg(spark, sf_dir):
     return weights_out(res, spark)
 
 
+def _svrg_query(name: str, *, avg: bool, out=None, select: str | None = None, **kw):
+    """A variance-reduced trainer with its own draws, sampled and in shards, against SQL."""
+    common = dict(step=0.1, reg=0.1, iters=3, shards=4, **kw)
+
+    @register(name, O.svrg_sql(avg=avg, select=select, **common))
+    def q(spark, sf_dir):
+        res = fit(tables.embeddings_binary(spark, sf_dir),
+                  TrainConfig(method="svrg_avg" if avg else "svrg", penalty="l2", tol=0.0, shard_by="key_mod",
+                              sampler="md5", sample_by="key", **common))
+        return out(res, spark) if out else weights_out(res, spark)
+
+
+_SVRG_HIST = _HIST_SEL.format(" UNION ALL ".join(f"SELECT * FROM h{i}" for i in (1, 2, 3)))
+_svrg_query("svrg_random", avg=False, order="random")
+_svrg_query("svrg_minibatch", avg=False, order="random", fraction=0.5)
+_svrg_query("svrg_history", avg=False, order="random", fraction=0.5, out=_history_out, select=_SVRG_HIST)
+_svrg_query("svrg_avg_sampled", avg=True, order="random", fraction=0.5, mean_fraction=0.4)
+_svrg_query("svrg_avg_observed", avg=True, order="random", fraction=0.5, mean_fraction=0.4, variant="observed")
+_svrg_query("svrg_avg_history", avg=True, order="random", fraction=0.5, mean_fraction=0.4, out=_history_out,
+            select=_SVRG_HIST)
+
+
 def _experiment_sql() -> str:
     """One hold-out report row per method, recomputed: split by md5 key, 3 full-batch
     iterations with the experiment's steps and L2 weight 1, AUC on the test part."""

@@ -260,55 +260,75 @@ def multinomial_row_ctes(weights: str, tag: str) -> list[str]:
 
 
 # ---------------------------------------------------------------------------------------
-# SVRG walks as recursive CTEs (logistic loss, key-ordered walk, shards = key % S)
-
-def _vec_ctes(tag: str, weights_list: str) -> list[str]:
-    """Per-row margin and multiplier at a weight list (one row per base row)."""
-    return [f"r{tag} AS MATERIALIZED (SELECT b.rid, b.key, b.y, b.x, CAST(b.key % {{S}} AS INTEGER) AS shard, "
-            f"CAST(row_number() OVER (PARTITION BY b.key % {{S}} ORDER BY b.key) AS INTEGER) AS pos, "
-            f"1.0 / (1.0 + exp(-list_dot_product(b.x, {weights_list}))) - b.y AS m0 FROM base b)"]
-
+# SVRG walks as recursive CTEs (logistic loss, shards = key % S)
 
 def svrg_sql(*, avg: bool, shards: int, step: float, reg: float, iters: int, where: str | None = None,
-             extra: list[str] | None = None, select: str | None = None) -> str:
+             extra: list[str] | None = None, select: str | None = None, fraction: float = 1.0,
+             mean_fraction: float = 1.0, order: str = "key", variant: str = "published", seed: int = 42) -> str:
     """Weights after ``iters`` outer iterations of SVRG (``avg=False``: gradient
-    aggregating, then an L2 step) or of the weight-averaging variant, full batches, on the
-    FX1 rows matching ``where``; the final weight list is ``wl{iters}.w``."""
+    aggregating, then an L2 step) or of the weight-averaging variant on the FX1 rows matching
+    ``where``; the final weight list is ``wl{iters}.w``, history rows are ``h1 .. h{iters}``.
+
+    ``order="random"`` replays the draws: step ``k`` of a shard of ``n`` rows takes row
+    ``floor(u * n)`` (``avg``: the rows sorted by ``u``) with ``u`` from md5 of
+    iteration, shard, step and seed. Samples are never empty in the checks."""
     ctes = fixture_ctes("fx1", where)
     ctes.append("wl0 AS MATERIALIZED (SELECT list_transform(range(64), lambda k: 0.0::DOUBLE) AS w)")
+
+    def u(i: int, shard: str, k: str) -> str:
+        return md5_uniform(f"'{i}:' || CAST({shard} AS VARCHAR) || ':' || CAST({k} AS VARCHAR)", seed)
+
     for i in range(1, iters + 1):
         eta = step / math.sqrt(i)
         shrink, etal = lit(1.0 - eta * reg), lit(eta)
         W = f"(SELECT w FROM wl{i - 1})"
-        ctes += [c.replace("{S}", str(shards)) for c in _vec_ctes(str(i), W)]
+        ctes.append(f"q{i} AS MATERIALIZED (SELECT b.rid, b.key, b.y, b.x, CAST(b.key % {shards} AS INTEGER) AS shard, "
+                    f"list_dot_product(b.x, {W}) AS z FROM base b)")
+        ctes.append(f"p{i} AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY key) AS INTEGER) - 1 "
+                    f"AS place, 1.0 / (1.0 + exp(-z)) - y AS m0, {loss_sql('logistic')[0]} AS loss0 FROM q{i} "
+                    f"WHERE {md5_sample('key', seed + i, fraction)})")
+        if avg and order == "random":
+            ctes.append(f"r{i} AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY {u(i, 'shard', 'place')}, place) "
+                        f"AS INTEGER) - 1 AS pos FROM p{i})")
+        else:
+            ctes.append(f"r{i} AS MATERIALIZED (SELECT *, place AS pos FROM p{i})")
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT shard, CAST(count(*) AS INTEGER) AS n FROM r{i} GROUP BY shard)")
+        jj = "(SELECT unnest(range(64)) AS j) jj"
         if avg:
-            ctes.append(f"mu{i} AS MATERIALIZED (SELECT sh.range AS shard, q.mu FROM range({shards}) sh, "
-                        f"(SELECT list(g ORDER BY j) AS mu FROM (SELECT j, sum(m0 * x[j + 1]) / count(*) AS g "
-                        f"FROM r{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY j) q0) q)")
+            ctes.append(f"e{i} AS MATERIALIZED (SELECT x, 1.0 / (1.0 + exp(-z)) - y AS m0 FROM q{i} WHERE {md5_sample('key', seed + i, mean_fraction)})")
+            ctes.append(f"mu{i} AS MATERIALIZED (SELECT c{i}.shard, q.mu FROM c{i}, (SELECT list(g ORDER BY j) AS mu FROM "
+                        f"(SELECT j, sum(m0 * x[j + 1]) / count(*) AS g FROM e{i}, {jj} GROUP BY j) q0) q)")
         else:
             ctes.append(f"mu{i} AS MATERIALIZED (SELECT shard, list(g ORDER BY j) AS mu FROM "
-                        f"(SELECT shard, j, sum(m0 * x[j + 1]) / count(*) AS g "
-                        f"FROM r{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY shard, j) q GROUP BY shard)")
+                        f"(SELECT shard, j, sum(m0 * x[j + 1]) / count(*) AS g FROM r{i}, {jj} GROUP BY shard, j) q GROUP BY shard)")
+        pick = f"CAST(floor({u(i, 'wk.shard', 'wk.step')} * c.n) AS INTEGER)" if order == "random" and not avg else "wk.step"
         f_k = "(q.dm * q.x[k] + q.mu[k])"
         new_w = f"list_transform(range(1, 65), lambda k: {shrink} * q.w[k] - {etal} * {f_k})"
         new_s = f"list_transform(range(1, 65), lambda k: q.s[k] + {f_k})"
         ctes.append(
-            f"walk{i}(shard, step, w, s) AS (SELECT CAST(sh.range AS INTEGER), 0, {W}, "
-            f"list_transform(range(64), lambda k: 0.0::DOUBLE) FROM range({shards}) sh "
-            f"UNION ALL SELECT q.shard, q.step + 1, {new_w}, {new_s} FROM "
-            f"(SELECT wk.shard, wk.step, wk.w, wk.s, rr.x, m.mu, "
-            f"(1.0 / (1.0 + exp(-list_dot_product(rr.x, wk.w))) - rr.y) - rr.m0 AS dm FROM walk{i} wk "
-            f"JOIN r{i} rr ON rr.shard = wk.shard AND rr.pos = wk.step + 1 JOIN mu{i} m ON m.shard = wk.shard) q)")
-        ctes.append(f"fin{i} AS MATERIALIZED (SELECT wk.shard, wk.w, wk.s FROM walk{i} wk JOIN "
-                    f"(SELECT shard, max(step) AS last FROM walk{i} GROUP BY shard) l ON wk.shard = l.shard "
-                    f"AND wk.step = l.last WHERE l.last > 0)")
-        if avg:
+            f"walk{i}(shard, step, w, s, l) AS (SELECT shard, 0, {W}, "
+            f"list_transform(range(64), lambda k: 0.0::DOUBLE), 0.0::DOUBLE FROM c{i} "
+            f"UNION ALL SELECT q.shard, q.step + 1, {new_w}, {new_s}, q.l + {loss_sql('logistic', 'q.zn', 'q.y')[0]} FROM "
+            f"(SELECT t.*, (1.0 / (1.0 + exp(-t.zn)) - t.y) - t.m0 AS dm FROM "
+            f"(SELECT wk.shard, wk.step, wk.w, wk.s, wk.l, rr.x, rr.y, rr.m0, m.mu, list_dot_product(rr.x, wk.w) AS zn FROM walk{i} wk "
+            f"JOIN c{i} c ON c.shard = wk.shard AND wk.step < c.n JOIN r{i} rr ON rr.shard = wk.shard AND rr.pos = {pick} "
+            f"JOIN mu{i} m ON m.shard = wk.shard) t) q)")
+        ctes.append(f"fin{i} AS MATERIALIZED (SELECT wk.shard, wk.w, wk.s, wk.l FROM walk{i} wk JOIN c{i} c "
+                    f"ON wk.shard = c.shard AND wk.step = c.n)")
+        if avg and variant == "observed":
+            ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT jj.j, (sum(w[jj.j + 1]) + ({shards} - count(*)) * "
+                        f"any_value(({W})[jj.j + 1])) / {shards} AS v FROM fin{i}, {jj} GROUP BY jj.j) q)")
+        elif avg:
             ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT j, avg(w[j + 1]) AS v "
-                        f"FROM fin{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY j) q)")
+                        f"FROM fin{i}, {jj} GROUP BY j) q)")
         else:
             ctes.append(f"wl{i} AS MATERIALIZED (SELECT list(v ORDER BY j) AS w FROM (SELECT jj.j, "
-                        f"{shrink} * any_value(({W})[jj.j + 1]) - {etal} * sum(s[jj.j + 1]) / (SELECT count(*) FROM base) AS v "
-                        f"FROM fin{i}, (SELECT unnest(range(64)) AS j) jj GROUP BY jj.j) q)")
+                        f"{shrink} * any_value(({W})[jj.j + 1]) - {etal} * sum(s[jj.j + 1]) / (SELECT count(*) FROM r{i}) AS v "
+                        f"FROM fin{i}, {jj} GROUP BY jj.j) q)")
+        total = f"(SELECT sum(loss0) FROM r{i})" if avg else f"(SELECT sum(l) FROM fin{i})"
+        rows = f"(SELECT count(*) FROM e{i})" if avg and variant == "observed" else f"(SELECT count(*) FROM r{i})"
+        ctes.append(f"h{i} AS (SELECT {i} AS iter, {total} / {rows} AS loss, {lit(0.5 * reg)} * list_dot_product(w, w) AS reg, "
+                    f"(SELECT count(*) FROM r{i}) AS batch_rows FROM wl{i - 1})")
     final = select or (f"SELECT CAST(j AS INTEGER) AS idx, round(w[j + 1], 6) + 0.0 AS weight "
                        f"FROM wl{iters}, (SELECT unnest(range(64)) AS j) jj")
     return "WITH RECURSIVE " + ",\n".join(ctes + (extra or [])) + "\n" + final
