@@ -41,15 +41,6 @@ def element(features: str | Column, j: int) -> Column:
     return as_column(features).getItem(j).cast("double")
 
 
-def dot(features: str | Column, weights: Sequence[float], bias: float | None = None) -> Column:
-    """``x . w`` for a fixed weight vector, unrolled; zero weights are skipped."""
-    w = np.asarray(weights, dtype=np.float64)
-    out = tree_sum([element(features, j) * F.lit(float(w[j])) for j in range(len(w)) if w[j] != 0.0])
-    if bias is not None and bias != 0.0:
-        out = out + F.lit(float(bias))
-    return out
-
-
 def dot_slice(features: str | Column, weights: np.ndarray, start: int, length: int,
               bias_index: int | None = None) -> Column:
     """Dot product of ``features`` with ``weights[start:start+length]`` (one class block),

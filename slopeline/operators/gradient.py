@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slopeline.functions.linalg import dot_array, dot_slice
 from slopeline.functions.losses import MarginLoss
@@ -70,9 +71,11 @@ class BatchSums:
 
 
 def features_matrix(col: pa.Array, d: int) -> np.ndarray:
-    """An Arrow list column of fixed length ``d`` as an (n, d) float64 matrix."""
+    """A list column of fixed length ``d``, or sparse rows, as an (n, d) float64 matrix."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_struct(col.type):
+        return SparseRows(col, d).dense()
     n = len(col)
     if n == 0:
         return np.zeros((0, d))
@@ -86,6 +89,61 @@ def features_matrix(col: pa.Array, d: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, d)
 
 
+class SparseRows:
+    """Rows of ``struct<indices, values>`` over ``d`` features, entry by entry."""
+
+    def __init__(self, col: pa.StructArray, d: int):
+        if col.null_count:
+            raise ValueError("null feature vector")
+        indices, values = col.field("indices"), col.field("values")
+        if indices.null_count or values.null_count or indices.flatten().null_count or values.flatten().null_count:
+            raise ValueError("null feature entry")
+        sizes = np.diff(indices.offsets.to_numpy())
+        if not np.array_equal(sizes, np.diff(values.offsets.to_numpy())):
+            raise ValueError("a row has more indices than values, or fewer")
+        self.n, self.d = len(col), d
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.idx = indices.flatten().to_numpy()
+        self.val = np.asarray(values.flatten().to_numpy(), dtype=np.float64)
+        if len(self.idx) and (self.idx.min() < 0 or self.idx.max() >= d):
+            raise ValueError(f"feature indices must lie in 0..{d - 1}")
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        """(n, k) margins for (k, d) weights."""
+        return np.stack([np.bincount(self.row, weights=self.val * wc[self.idx], minlength=self.n) for wc in w], axis=1)
+
+    def gradient(self, mult: np.ndarray) -> np.ndarray:
+        """(k, d) sums of multiplier times row, for (n, k) multipliers."""
+        return np.stack([np.bincount(self.idx, weights=self.val * m[self.row], minlength=self.d) for m in mult.T])
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros((self.n, self.d))
+        np.add.at(x, (self.row, self.idx), self.val)
+        return x
+
+
+class DenseRows:
+    def __init__(self, col: pa.Array, d: int):
+        self.x = features_matrix(col, d)
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return self.x @ w.T
+
+    def gradient(self, mult: np.ndarray) -> np.ndarray:
+        return mult.T @ self.x
+
+
+def feature_rows(col: pa.Array, d: int) -> SparseRows | DenseRows:
+    """The feature column of an Arrow batch in the form it is stored in."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return SparseRows(col, d) if pa.types.is_struct(col.type) else DenseRows(col, d)
+
+
+def is_sparse(df: DataFrame, features: str = "features") -> bool:
+    return isinstance(df.schema[features].dataType, StructType)
+
+
 def label_vector(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -128,10 +186,10 @@ def arrow_kernel(weights: np.ndarray, loss: MarginLoss, d: int, features: str =
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = features_matrix(b.column(features), d)
+            x = feature_rows(b.column(features), d)
             y = label_vector(b.column(label))
-            row_loss, mult = loss.numpy(x @ w.T, y)
-            g += mult.T @ x
+            row_loss, mult = loss.numpy(x.margins(w), y)
+            g += x.gradient(mult)
             loss_sum += float(row_loss.sum())
             n += b.num_rows
         if n:
@@ -246,7 +304,7 @@ def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
     ``partitions``, the number of partitions of ``df`` if the caller knows it, lets few and
     short Arrow partials come back from one stage; asking ``df`` for it would plan it anew."""
     slots = loss.slots(d)
-    kind = choose_kernel(loss, d, kernel)
+    kind = "arrow" if is_sparse(df, features) else choose_kernel(loss, d, kernel)
     if kind == "sums":
         row = gradient_row_sums(df, weights, loss, d, features, label).collect()[0]
         if row["null_entries"]:
@@ -259,7 +317,7 @@ def batch_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int, *,
     if kind == "arrow" and partitions is not None and partitions * (slots + 1) <= DIRECT_MERGE_LIMIT:
         partials = training_columns(df, features, label).mapInArrow(arrow_kernel(weights, loss, d), SLOT_SCHEMA)
         return sum_partials(fetch_partials(partials, partitions * (slots + 1)), slots)
-    frame = gradient_frame(df, weights, loss, d, features=features, label=label, kernel=kernel)
+    frame = gradient_frame(df, weights, loss, d, features=features, label=label, kernel=kind)
     return collect_sums(frame, slots)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from slopeline.functions.linalg import UNROLL_LIMIT, dot_slice, sigmoid
-from slopeline.operators.gradient import features_matrix
+from slopeline.operators.gradient import feature_rows, is_sparse
 from slopeline.sources.models import LinearModel
 
 
@@ -35,7 +35,7 @@ def _margins_udf(model: LinearModel):
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def margins(features: pa.Array) -> pa.Array:
-        m = features_matrix(features, d) @ w[:, :d].T + bias
+        m = feature_rows(features, d).margins(w[:, :d]) + bias
         return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, k, dtype=np.int32)), pa.array(m.ravel()))
 
     return margins
@@ -51,10 +51,11 @@ def checked(features: str, d: int) -> Column:
             .when(null, F.raise_error(F.lit("null feature vector or entry"))).otherwise(x))
 
 
-def margin_columns(model: LinearModel, features: str = "features") -> list[Column]:
-    """One margin column per non-pivot class (one column for models with one margin)."""
+def margin_columns(model: LinearModel, features: str = "features", sparse: bool = False) -> list[Column]:
+    """One margin column per non-pivot class (one column for models with one margin);
+    ``sparse``: the features are ``struct<indices, values>``."""
     d, k = model.num_features, max(1, model.num_classes - 1)
-    if k * d > UNROLL_LIMIT:
+    if sparse or k * d > UNROLL_LIMIT:
         arr = _margins_udf(model)(F.col(features))
         return [arr.getItem(c) for c in range(k)]
     x = checked(features, d)
@@ -66,21 +67,22 @@ def margin_columns(model: LinearModel, features: str = "features") -> list[Colum
             for c in range(model.num_classes - 1)]
 
 
-def score_column(model: LinearModel, features: str = "features") -> Column:
+def score_column(model: LinearModel, features: str = "features", sparse: bool = False) -> Column:
     """Score of a model with one margin: a probability, or the margin."""
     if model.num_classes != 2:
         raise ValueError("score_column is for models with one margin; use class_column")
-    margin = margin_columns(model, features)[0]
+    margin = margin_columns(model, features, sparse)[0]
     return sigmoid(margin) if model.is_probability else margin
 
 
-def class_column(model: LinearModel, features: str = "features", threshold: float | None = None) -> Column:
+def class_column(model: LinearModel, features: str = "features", threshold: float | None = None,
+                 sparse: bool = False) -> Column:
     if model.num_classes == 2:
         t = model.threshold if threshold is None else threshold
         if t is None:
             raise ValueError("binary class prediction needs a threshold")
-        return F.when(score_column(model, features) > F.lit(float(t)), F.lit(1.0)).otherwise(F.lit(0.0))
-    margins = F.array(*margin_columns(model, features))
+        return F.when(score_column(model, features, sparse) > F.lit(float(t)), F.lit(1.0)).otherwise(F.lit(0.0))
+    margins = F.array(*margin_columns(model, features, sparse))
     best = F.array_max(margins)
     return F.when(best > F.lit(0.0), F.array_position(margins, best).cast("double")).otherwise(F.lit(0.0))
 
@@ -98,9 +100,9 @@ def predict(df: DataFrame, model: LinearModel, *, features: str = "features", ou
     (binary model whose threshold is cleared)."""
     df = as_arrays(df, features)
     if model.num_classes == 2 and model.threshold is None:
-        col = score_column(model, features)
+        col = score_column(model, features, is_sparse(df, features))
     else:
-        col = class_column(model, features)
+        col = class_column(model, features, sparse=is_sparse(df, features))
     base = df if keep is None else df.select(*keep, features)
     return base.withColumn(output, col)
 
@@ -109,4 +111,4 @@ def score_and_label(df: DataFrame, model: LinearModel, *, features: str = "featu
                     score: str = "score") -> DataFrame:
     """``(label, score)`` pairs of a binary model, the input of the ROC metric."""
     df = as_arrays(df, features)
-    return df.select(F.col(label).cast("double").alias("label"), score_column(model, features).alias(score))
+    return df.select(F.col(label).cast("double").alias("label"), score_column(model, features, is_sparse(df, features)).alias(score))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from slopeline.functions.losses import MarginLoss, resolve_loss
 from slopeline.functions.sampling import BASE_SEED, SAMPLERS, keyed_sample
 from slopeline.operators import svrg as svrg_ops
-from slopeline.operators.gradient import batch_sums
+from slopeline.operators.gradient import batch_sums, is_sparse
 from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalty_value,
                                          records_history, reg_penalty)
 from slopeline.operators.validate import check_training_table
@@ -141,9 +141,9 @@ class TrainConfig:
         if self.sample_by not in ("row", "key"):
             raise ValueError("sample_by must be 'row' or 'key'")
         if self.fraction < 1.0 and self.tol > 0.0:
-            warnings.warn("testing a convergence tolerance with fraction < 1 can be unstable", stacklevel=3)
+            warnings.warn(f"fraction={self.fraction}: batches differ from one iteration to the next, so tol={self.tol} may stop early or late", stacklevel=3)
         if self.iters * self.fraction < 1.0 and self.iters > 0:
-            warnings.warn(f"not every row is visited when iters * fraction < 1 ({self.iters} * {self.fraction})",
+            warnings.warn(f"iters={self.iters} at fraction={self.fraction}: not every row is read",
                           stacklevel=3)
 
     def effective_reg(self) -> float:
@@ -228,8 +228,11 @@ def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features:
 
 
 def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", label: str = "label",
-        features: str = "features", initial_weights=None, **overrides) -> FitResult:
-    """Train a linear model on ``df`` (``key, label, features ARRAY``) with ``config``.
+        features: str = "features", initial_weights=None, num_features: int | None = None, **overrides) -> FitResult:
+    """Train a linear model on ``df`` with ``config``. ``features`` is an array, a Spark ML vector
+    or a sparse ``struct<indices, values>``, whose width is ``num_features`` (default: the
+    largest index plus one; larger indices are an error). Sparse rows stay sparse; only the
+    SVRG walks fill them up, shard by shard.
 
     Keyword overrides replace fields of ``config`` (``fit(df, method="adam", step=0.01)``).
     """
@@ -238,7 +241,10 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
     if cfg.method in ("svrg", "svrg_avg") and not loss.has_numpy:
         raise ValueError(f"{cfg.method} walks rows in NumPy; the loss needs a numpy form")
     started = time.perf_counter()
-    table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept,
+    sparse = is_sparse(df, features)
+    if cfg.method in STATE and sparse and not loss.has_numpy:
+        raise ValueError("sparse features need a loss with a numpy form")
+    table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept and not sparse,
                     row_ids=cfg.needs_row_ids())
     if cfg.partitions:
         table = table.repartition(cfg.partitions)
@@ -252,8 +258,20 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
                                      check_labels=cfg.validate)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
+        if sparse and num_features is not None:
+            if facts.rows and facts.dim > num_features:
+                raise ValueError(f"features have index {facts.dim - 1}, beyond num_features={num_features}")
+            d = num_features
         if d is None:
             d = 0
+        if sparse and cfg.intercept and facts.rows:
+            x = F.col("features")  # the bias is one more entry of every row
+            trained = table.withColumn("features", F.struct(
+                F.concat(x["indices"], F.array(F.lit(d).cast("int"))).alias("indices"),
+                F.concat(x["values"], F.array(F.lit(1.0))).alias("values")))
+            d += 1
+        else:
+            trained = table
         if loss.slots(d) > DENSE_SLOT_LIMIT:
             raise ValueError(f"{loss.slots(d)} weight slots is too wide for dense mode; use fit_wide")
         w = np.zeros(loss.slots(d)) if initial_weights is None else np.asarray(initial_weights, dtype=np.float64).copy()
@@ -264,13 +282,13 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
             warnings.warn("no training rows; returning the initial weights", stacklevel=2)
             return result
         if facts.rows * cfg.fraction < 1:
-            warnings.warn("the mini-batch fraction is too small for the number of rows", stacklevel=2)
+            warnings.warn(f"fraction={cfg.fraction} of {facts.rows} rows is less than one row a batch", stacklevel=2)
         partitions = table.rdd.getNumPartitions()  # of the filled cache: runs nothing
         try:
             if cfg.method in STATE:
-                _run_gradient_loop(table, cfg, loss, d, w, result, partitions, facts.rows)
+                _run_gradient_loop(trained, cfg, loss, d, w, result, partitions, facts.rows)
             else:
-                svrg_ops.run(table, cfg, loss, d, w, result, facts.rows)
+                svrg_ops.run(trained, cfg, loss, d, w, result, facts.rows)
         except PythonException as exc:
             # a kernel rejected the data (e.g. a null vector entry): report it as the
             # validation error it is

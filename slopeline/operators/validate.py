@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slopeline.functions.losses import MarginLoss
 
@@ -51,12 +52,26 @@ def table_facts_frame(df: DataFrame, loss: MarginLoss, num_classes: int = 2, lab
     )
 
 
+def sparse_facts_frame(df: DataFrame, loss: MarginLoss, num_classes: int = 2) -> DataFrame:
+    """The counters of :func:`table_facts_frame` for ``struct<indices, values>`` features; the
+    dimension is the largest index plus one, and the kernels check the entries themselves."""
+    y, x = F.col("label"), F.col("features")
+    top = F.max(F.coalesce(F.array_max(x["indices"]), F.lit(-1))) + 1
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), top.alias("min_dim"), top.alias("max_dim"),
+        F.sum(F.when(y.isNull(), 1).otherwise(0)).alias("null_labels"),
+        F.sum(F.when(x.isNull() | x["indices"].isNull() | x["values"].isNull(), 1).otherwise(0)).alias("null_features"),
+        F.sum(F.when(y.isNotNull() & ~label_is_valid(y, loss, num_classes), 1).otherwise(0)).alias("bad_labels"))
+
+
 def check_training_table(df: DataFrame, loss: MarginLoss, num_classes: int = 2, label: str = "label",
                          features: str = "features", element_nulls: bool = True,
                          check_labels: bool = True) -> TableFacts:
     """Count rows and reject nulls, ragged feature vectors and labels outside the loss's
     domain; runs as a single aggregation job."""
-    r = table_facts_frame(df, loss, num_classes, label, features, element_nulls).collect()[0]
+    sparse = isinstance(df.schema[features].dataType, StructType)
+    r = (sparse_facts_frame(df, loss, num_classes) if sparse
+         else table_facts_frame(df, loss, num_classes, label, features, element_nulls)).collect()[0]
     rows = int(r["rows"])
     if rows == 0:
         return TableFacts(0, 0)

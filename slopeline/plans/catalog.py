@@ -662,6 +662,29 @@ def q_svrg_avg(spark, sf_dir):
     return weights_out(res, spark)
 
 
+def _sparse_copy(spark, df: DataFrame) -> DataFrame:
+    """``df`` written as LIBSVM text and read back sparse, with its keys."""
+    path = scratch_path(spark, "libsvm")
+    # the key travels as the label, and label and key meet again by a join
+    libsvm.write_libsvm(df.select(F.col("key").cast("double").alias("label"), "features"), path)
+    back = libsvm.read_libsvm(spark, path, num_features=64, sparse=True)
+    back = back.select(F.col("label").cast("bigint").alias("key"), "features")
+    return back.join(df.select("key", "label"), "key").select("key", "label", "features")
+
+
+register("sgd_sparse", O.trainer_sql("fx1", method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, fraction=0.6))(
+    lambda spark, sf_dir: weights_out(fit(_sparse_copy(spark, tables.embeddings_binary(spark, sf_dir)),
+                                          TrainConfig(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, tol=0.0,
+                                                      fraction=0.6, sampler="md5", sample_by="key"), num_features=64), spark))
+register("sgd_sparse_multinomial",
+         "WITH " + ",\n".join(O.fixture_ctes("fx3") + O.multinomial_ctes(9, 64, 3, 1.0, 0.1)) +
+         "\nSELECT CAST((c - 1) * 64 + j AS INTEGER) AS idx, round(w, 6) + 0.0 AS weight FROM wc3")(
+    lambda spark, sf_dir: weights_out(
+        fit(_sparse_copy(spark, tables.embeddings_multiclass(spark, sf_dir)),
+            TrainConfig(loss="multinomial", num_classes=10, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+                        tol=0.0), num_features=64), spark))
+
+
 def _svrg_query(name: str, *, avg: bool, out=None, select: str | None = None, **kw):
     """A variance-reduced trainer with its own draws, sampled and in shards, against SQL."""
     common = dict(step=0.1, reg=0.1, iters=3, shards=4, **kw)
@@ -716,3 +739,10 @@ def q_experiment_report(spark, sf_dir):
     report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3, tol=0.0, sampler="md5",
                             trainer_options=dict(shard_by="key_mod", shards=4, order="key", sample_by="key"))
     return report.select("method", r("auc", 9).alias("auc"), "train_rows", "test_rows", "rows", "iterations")
+
+
+@register("experiment_report_sparse", _experiment_sql())
+def q_experiment_report_sparse(spark, sf_dir):
+    report = run_experiment(_sparse_copy(spark, tables.embeddings_binary(spark, sf_dir)), iterations=3, tol=0.0, sampler="md5",
+                            trainer_options=dict(shard_by="key_mod", shards=4, order="key", sample_by="key"))
+    return report.select("method", r("auc", 9).alias("auc"), "train_rows", "test_rows", "rows", "iterations")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from slopeline.functions.labels import binarize
 from slopeline.functions.sampling import SPLIT_SEED, keyed_split
 from slopeline.operators.metrics import area_under_roc
+from slopeline.operators.gradient import is_sparse
 from slopeline.operators.scoring import as_arrays, score_column
 from slopeline.operators.trainers import TrainConfig, fit
 
@@ -55,7 +56,7 @@ def run_experiment(df: DataFrame, *, methods=EXPERIMENT_METHODS, iterations: int
         train.unpersist()
     # the held-out part is read once: every model's score of a row, side by side
     scoring_started = time.perf_counter()
-    scores = as_arrays(test).select("label", *(score_column(res.model.clear_threshold()).alias(f"s{k}") for k, (_, res, _, _) in enumerate(fits)))
+    scores = as_arrays(test).select("label", *(score_column(res.model.clear_threshold(), sparse=is_sparse(test)).alias(f"s{k}") for k, (_, res, _, _) in enumerate(fits)))
     scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         test_rows = scores.count()
@@ -99,7 +100,7 @@ def main(argv=None) -> int:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("slopeline-experiment").getOrCreate()
     ensure_checkpoint_dir(spark)
-    data = read_libsvm(spark, args.path, args.num_features, with_key=True, partitions=args.partitions)
+    data = read_libsvm(spark, args.path, args.num_features, with_key=True, partitions=args.partitions, sparse=True)
     report = run_experiment(data, methods=(CLI_METHODS[args.algorithm],), iterations=args.iterations,
                             fraction=args.fraction, mean_fraction=args.mean_fraction, tol=args.tol,
                             variant=args.variant)

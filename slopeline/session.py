@@ -3,6 +3,7 @@ checkpoint folder every job that cuts lineage writes to."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there. It is only set here when unset on a local
-    master (tests, single-machine runs), where a fresh folder under the system temp
-    directory is used; on any other master an unset folder is an error, because a
-    machine-local folder is not visible to every executor.
+    A cluster names a shared folder there. Only where it is unset on a single-process master
+    (``local`` or ``local[N]``: tests and trials) a fresh folder under the system temp
+    directory is used; on any other master, ``local-cluster`` too, an unset folder is an
+    error, because a machine-local folder is not visible to every executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         conf_dir = tempfile.mkdtemp(prefix="slopeline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)

@@ -559,3 +559,86 @@ def test_model_kinds_predict_by_their_loss(spark):
     assert (two.num_features, two.num_classes, len(two.weights)) == (2, 2, 2)
     three = fit(df, TrainConfig(loss=MultinomialLoss(3), intercept=True, iters=3, tol=0.0)).model
     assert (three.kind, three.num_classes, three.num_features) == ("multinomial", 3, 2)
+
+
+def _sparse(spark, rows):
+    return spark.createDataFrame(rows, "key long, label double, features struct<indices:array<int>,values:array<double>>")
+
+
+SPARSE_ROWS = [(1, 1.0, ([0, 3], [1.0, 2.0])), (2, 0.0, ([], [])), (3, 0.0, ([2], [-1.5])), (4, 1.0, ([1, 2, 3], [0.5, 0.5, 0.5]))]
+
+
+def _dense_of(spark, d=4):
+    rows = []
+    for k, y, (i, v) in SPARSE_ROWS:
+        x = [0.0] * d
+        for a, b in zip(i, v):
+            x[a] = b
+        rows.append((k, y, x))
+    return spark.createDataFrame(rows, "key long, label double, features array<double>")
+
+
+@pytest.mark.parametrize("kw", [dict(method="sgd"), dict(method="adam", step=0.1), dict(method="sgd", intercept=True, penalise_bias=False),
+                                dict(loss="multinomial", num_classes=3), dict(method="svrg", step=0.1, order="key", shard_by="key_mod", shards=2)])
+def test_sparse_features_train_like_dense_ones(spark, kw):
+    from slopeline.operators.scoring import predict
+
+    cfg = TrainConfig(**{**dict(penalty="l2", reg=0.1, iters=4, tol=0.0), **kw})
+    sparse, dense = _sparse(spark, SPARSE_ROWS), _dense_of(spark)
+    a, b = fit(sparse, cfg, num_features=4), fit(dense, cfg)
+    np.testing.assert_allclose(a.weights, b.weights, rtol=1e-12, atol=1e-14)
+    got = {r["key"]: r["prediction"] for r in predict(sparse, a.model).collect()}
+    assert got == {r["key"]: r["prediction"] for r in predict(dense, b.model).collect()}
+
+
+def test_sparse_input_is_checked(spark):
+    for bad, why in (([(1, 1.0, ([5], [1.0]))], "beyond num_features"), ([(1, 1.0, ([-1], [1.0]))], "must lie in"),
+                     ([(1, 1.0, ([0, 1], [1.0]))], "more indices"), ([(1, 1.0, None)], "null feature"), ([(1, 1.0, ([0], [None]))], "null feature")):
+        with pytest.raises(ValueError, match=why):
+            fit(_sparse(spark, bad), TrainConfig(iters=1), num_features=3)
+
+
+def test_libsvm_reads_sparse_and_feeds_wide_mode(spark, fx1):
+    from slopeline.operators.wide import fit_wide
+    from slopeline.session import scratch_path
+    from slopeline.sources.libsvm import entries_of, read_libsvm, write_libsvm
+
+    path = scratch_path(spark, "sparse")
+    write_libsvm(fx1, path)
+    df = read_libsvm(spark, path, num_features=64, with_key=True, sparse=True)
+    assert dict(df.dtypes)["features"] == "struct<indices:array<int>,values:array<double>>"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "vector_to_array" not in plan
+    cfg = TrainConfig(method="sgd", penalty="l2", reg=0.1, iters=3, tol=0.0)
+    wide = fit_wide(entries_of(df), df.select("key", "label"), cfg, num_features=64)
+    got = np.array([r["weight"] for r in wide.weights.orderBy("idx").collect()])
+    np.testing.assert_allclose(got, fit(df, cfg, num_features=64).weights, rtol=1e-9, atol=1e-12)
+
+
+def test_row_ids_do_not_depend_on_the_layout(spark):
+    from slopeline.operators.trainers import prepare
+
+    rows = [(1, 1.0, [1.0, 2.0])] * 5 + [(k, 0.0, [float(k), 1.0]) for k in range(6)]
+    df = spark.createDataFrame(rows, "key long, label double, features array<double>")
+    ids = [sorted(r["_rid"] for r in prepare(d, row_ids=True).collect()) for d in (df, df.repartition(7), df.orderBy("label"))]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(rows)
+
+
+def test_shards_too_large_for_their_bound_are_refused(spark, fx1):
+    with pytest.raises(ValueError, match="set shards to at least"):
+        fit(fx1, TrainConfig(method="svrg", iters=1, shards=2, max_shard_bytes=1000))
+
+
+def test_empty_mean_sample_skips_the_iteration(spark, fx1):
+    with pytest.warns(UserWarning, match="mean gradient is empty"):
+        res = fit(fx1, TrainConfig(method="svrg_avg", iters=2, tol=0.0, mean_fraction=1e-9, step=0.1))
+    assert res.updates == 0 and not res.weights.any()
+
+
+def test_bernoulli_batch_is_a_plain_subset_of_plausible_size(spark, fx1):
+    from slopeline.functions.sampling import keyed_sample
+
+    keys = [r["key"] for r in keyed_sample(fx1, "key", 0.3, 43, "bernoulli").select("key").collect()]
+    every, n = {r["key"] for r in fx1.select("key").collect()}, fx1.count()
+    assert set(keys) <= every and len(set(keys)) == len(keys)
+    assert abs(len(keys) - 0.3 * n) < 5 * (n * 0.3 * 0.7) ** 0.5
