@@ -39,6 +39,8 @@ COVERAGE = 0.75
 TAIL = 1e-4
 #: Cells with fewer rows are pooled with the other small sources of their language, then over all.
 LEAST_ROWS = 50
+BROADCAST_CELLS = 20_000
+SALTS = 64
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -158,8 +160,19 @@ def _estimates(binned: DataFrame, share: float, factor: float) -> DataFrame:
     return _fits(near.groupBy("cell", "start").agg(*(F.sum(c).alias(c) for c in SUMS)), factor)
 
 
-def _binned(rows: DataFrame, est: DataFrame) -> DataFrame:
-    near = rows.join(est.select("cell", "start", "mean", "inv"), "cell").withColumn("d2", _distance())
+def _with_estimates(rows: DataFrame, est: DataFrame, n_cells: int, how: str = "inner") -> DataFrame:
+    """``rows`` with their cell's estimates. Up to ``BROADCAST_CELLS`` cells (some 300 bytes each) the
+    estimates are broadcast; beyond, the join is salted, so that a cell with a third of all
+    rows is split over ``SALTS`` tasks."""
+    if n_cells <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(est), "cell", how)
+    salt = F.pmod(F.xxhash64(*(f"z{i}" for i in range(P))), F.lit(SALTS)).cast("int")
+    copies = est.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, ["cell", "_salt"], how).drop("_salt")
+
+
+def _binned(rows: DataFrame, est: DataFrame, n_cells: int) -> DataFrame:
+    near = _with_estimates(rows, est.select("cell", "start", "mean", "inv"), n_cells).withColumn("d2", _distance())
     bins = F.floor(16 * F.log2(F.greatest(F.col("d2"), F.lit(1e-6)))).cast("int")
     return near.groupBy("cell", "start", bins.alias("bin")).agg(*_moments())
 
@@ -176,7 +189,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
-def estimate(rows: DataFrame, steps: int = 6) -> DataFrame:
+def estimate(rows: DataFrame, n_cells: int, steps: int = 6) -> DataFrame:
     """Minimum-covariance-determinant estimates of each cell of ``rows`` (cell, z0..z4)."""
     factor = COVERAGE / chi2_cdf(chi2_quantile(COVERAGE, P), P + 2)
     rough = [F.percentile(F.round(f"z{i}", 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)]
@@ -190,7 +203,7 @@ def estimate(rows: DataFrame, steps: int = 6) -> DataFrame:
     est = written(medians.unionByName(plain), "mcd")
     before = None
     for _ in range(steps):
-        est = written(_estimates(_binned(rows, est), COVERAGE, factor), "mcd")
+        est = written(_estimates(_binned(rows, est, n_cells), COVERAGE, factor), "mcd")
         now = est.agg(F.sum("logdet")).first()[0]
         if before is not None and now is not None and abs(now - before) < 1e-9 * max(1.0, abs(now)):
             break
@@ -198,7 +211,7 @@ def estimate(rows: DataFrame, steps: int = 6) -> DataFrame:
     best = est.groupBy("cell").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("e")).select("cell", F.lit(0).alias("start"), "e.mean", "e.inv")
     # Reweighting: mean and covariance of the rows that the raw estimate does not call outliers.
     edge = chi2_quantile(0.975, P)
-    inliers = rows.join(best, "cell").filter(_distance() <= edge).groupBy("cell").agg(*_moments()).withColumn("start", F.lit(0))
+    inliers = _with_estimates(rows, best.drop("start"), n_cells).filter(_distance() <= edge).groupBy("cell").agg(*_moments()).withColumn("start", F.lit(0))
     return written(_fits(inliers, 0.975 / chi2_cdf(edge, P + 2)), "mcd").select("cell", "mean", "inv")
 
 
@@ -214,7 +227,8 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     stats = written(document_stats(docs).withColumn("base_failed", base), "stats")
     sound = stats.filter(~F.col("base_failed")).select("doc_id", "lang", "source", *STATS, *(z.alias(f"z{i}") for i, z in enumerate(vector())))
     rows = written(_cells(sound), "vectors")
-    judged = rows.join(estimate(rows), "cell", "left").withColumn("distance", _distance())
+    n_cells = rows.select("cell").distinct().count()
+    judged = _with_estimates(rows, estimate(rows, n_cells), n_cells, "left").withColumn("distance", _distance())
     cut = chi2_quantile(1 - tail, P)
     out = ["doc_id", *STATS]
     return judged.select(*out, F.lit(False).alias("base_failed"), F.coalesce(F.col("distance") <= cut, F.lit(True)).alias("kept"), "distance", "cell").unionByName(

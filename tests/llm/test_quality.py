@@ -76,6 +76,14 @@ def test_estimates_against_plain_numpy_and_junk_is_rejected(spark):
     assert all(got[k]["kept"] == (k % 15 != 0) for k in range(len(rows)))
 
 
+def test_more_cells_than_a_broadcast_holds(spark, monkeypatch):
+    df = spark.createDataFrame(junk_corpus(), "doc_id long, text string, lang string, source string")
+    one = {r["doc_id"]: r["distance"] for r in quality_verdicts(df).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_CELLS", 1)
+    two = {r["doc_id"]: r["distance"] for r in quality_verdicts(df).collect()}
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(one[k], rel=1e-9) for k in one)
+
+
 def test_nulls_small_groups_and_empty_tables(spark, docs, no_docs):
     out = quality_verdicts(docs).collect()
     assert len(out) == len(corpus())
