@@ -141,7 +141,7 @@ class TrainConfig:
         if self.sample_by not in ("row", "key"):
             raise ValueError("sample_by must be 'row' or 'key'")
         if self.fraction < 1.0 and self.tol > 0.0:
-            warnings.warn(f"fraction={self.fraction}: batches differ from one iteration to the next, so tol={self.tol} may stop early or late", stacklevel=3)
+            warnings.warn(f"the convergence tolerance tol={self.tol} meets batches that differ (fraction={self.fraction}): it may stop early or late", stacklevel=3)
         if self.iters * self.fraction < 1.0 and self.iters > 0:
             warnings.warn(f"iters={self.iters} at fraction={self.fraction}: not every row is read",
                           stacklevel=3)
