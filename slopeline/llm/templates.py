@@ -6,11 +6,15 @@ equal vectors form an equivalence class. Vectors are never built: each page adds
 itself and the count to an exclusive-or, so a host with a third of all pages is summed on the map
 side, and equal sums mean equal vectors.
 
-The tokens that every page has exactly once form the root class. A class is valid if its tokens
-stand in the same order on every page, which a second pass checks; tokens that break the order
-leave it. The rest, in order, is the host's template; other frequent classes are nested in the slot
-between the two root tokens around them. The innermost root element that holds nearly all running
-text is the main one, and the slots inside it, without boilerplate elements, are the article.
+The tokens that nearly all pages (SUPPORT) have exactly once form the root class; empty pages do not
+count and copies of a page count as one. A class is valid if its tokens stand in the same order, which
+a second pass checks; tokens that break the order leave it. The rest, in order, is the host's
+template; other frequent classes are nested in the slot between the two root tokens around them.
+
+The main element is the outermost root ``article`` or ``main`` that holds MAIN_SHARE of the running
+text, else the innermost root element with no running text outside it; where a page has some outside,
+the page takes the next element around that has none. Its slots, without boilerplate elements and
+without blocks that consist of template strings, are the article.
 """
 
 from __future__ import annotations
@@ -40,17 +44,23 @@ BOILERPLATE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertis
                                "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription comment comments commentlist respond reply replies disqus "
                                "related recommended share sharing social footer widget login signup search pagination pager skip toolbar").split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Share of the running text that an element must hold to stand for the article.
+#: Share of the host's running text that an ``article`` or ``main`` must hold to stand for the article.
 MAIN_SHARE = 0.8
-#: Longest text string that may be a template token.
-LONGEST = 60
+#: Share of the host's pages that have a root token once, and pages that a template string needs at least.
+SUPPORT, LEAST = 1.0, 3
 FREQUENT = 0.5
+#: Sums of weights are compared up to this.
+ROUNDING = 1e-6
+#: An element with a listed class or id that the template does not repeat is boilerplate up to this length.
+LITTLE = 200
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_HEADING = re.compile(r"/h[1-6](?![^/.@#])")
 
-TOKENS = "host string, token long, kind int, uses long, mark long, position double, mass long, depth int"
+TOKENS = "host string, token long, kind int, uses long, mark long, position double, mass long, depth int, flag int, n_rows long, n_pages double, n_once double"
+CHECKS = "host string, token long, broken double, seen double, stray double, inside long, total long"
 
 
 class Event:
@@ -59,9 +69,8 @@ class Event:
     OPEN, CLOSE, TEXT, BREAK = range(4)
 
 
-def _boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in BOILERPLATE_TAGS or name == "header" and not inside_main:
-        return True
+def _listed(name: str, attributes: str) -> bool:
+    """Whether a class, id or role names boilerplate: a hint that ``flagged`` weighs."""
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         words = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))}
         if words & (BOILERPLATE_ROLES if key.lower() == "role" else BOILERPLATE_WORDS) and name not in ("body", "html", "article", "main"):
@@ -69,13 +78,14 @@ def _boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def _label(name: str, attributes: str) -> str:
+def _label(name: str, attributes: str, listed: bool) -> str:
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    return name + "".join(f"{mark}{found[k]}" for k, mark in (("class", "."), ("role", "@")) if k in found)
+    return name + "".join(f"{mark}{found[k]}" for k, mark in (("class", "."), ("role", "@"), ("id", "#")) if k in found and (k != "id" or listed))
 
 
-def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool]]:
-    """(kind, tag name or raw text, path with label, depth, boilerplate, within a link) in order.
+def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool, bool]]:
+    """(kind, tag name or raw text, path with label, depth, within a boilerplate tag, within a link, opens
+    an element with a listed class) in order.
 
     Elements left open are closed as browsers do it: a block ends an open paragraph, an item an
     open item; a closing tag ends what is open inside it, and one without an opening is skipped."""
@@ -95,7 +105,7 @@ def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool]]:
         begin = tag.start() if tag else size
         if begin > at:
             top = stack[-1] if stack else ("", "", False, False)
-            yield Event.TEXT, page[at:begin], top[1], len(stack), top[2], top[3]
+            yield Event.TEXT, page[at:begin], top[1], len(stack), top[2], top[3], False
         if not tag:
             return
         at = tag.end()
@@ -107,17 +117,18 @@ def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool]]:
                 ended(*ENDS[name])
             above = stack[-1] if stack else ("", "", False, False)
             if name in VOID:
-                yield Event.BREAK, name, above[1], len(stack), above[2], above[3]
+                yield Event.BREAK, name, above[1], len(stack), above[2], above[3], False
                 continue
-            path = f"{above[1]}/{_label(name, attributes)}"
-            bad = above[2] or _boilerplate(name, attributes, any(s[0] in ("article", "main") for s in stack))
-            yield Event.OPEN, name, path, len(stack) + 1, bad, above[3] or name == "a"
+            listed = _listed(name, attributes)
+            path = f"{above[1]}/{_label(name, attributes, listed)}"
+            bad = above[2] or name in BOILERPLATE_TAGS or name == "header" and not any(s[0] in ("article", "main") for s in stack)
+            yield Event.OPEN, name, path, len(stack) + 1, bad, above[3] or name == "a", listed
             if attributes.endswith("/") and name in ("svg", "math", "path"):
                 continue
             if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
-                yield Event.CLOSE, name, path, len(stack) + 1, bad, above[3]
+                yield Event.CLOSE, name, path, len(stack) + 1, bad, above[3], False
                 continue
             stack.append((name, path, bad, above[3] or name == "a"))
         elif tag[5]:
@@ -127,46 +138,80 @@ def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool]]:
                     path, bad, link = stack[k][1:]
                     depth = k + 1
                     del stack[k:]
-                    yield Event.CLOSE, name, path, depth, bad, link
+                    yield Event.CLOSE, name, path, depth, bad, link, False
                     break
             else:
                 if name == "p":
-                    yield Event.BREAK, "hr", stack[-1][1] if stack else "", len(stack), bool(stack) and stack[-1][2], False
+                    yield Event.BREAK, "hr", stack[-1][1] if stack else "", len(stack), bool(stack) and stack[-1][2], False, False
 
 
 def token_id(kind: int, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}{path}\0{text}") - (1 << 63)
 
 
+def event_token(event: tuple) -> int:
+    return token_id(event[0], event[2], " ".join(event[1].split()) if event[0] == Event.TEXT else "")
+
+
+def spans(events: list[tuple]) -> tuple[dict[int, int], dict[int, int]]:
+    """By opening event: the event after the element's last one, and the opening event around it (-1 for none)."""
+    ends, around, open_now = {}, {}, []
+    for k, e in enumerate(events):
+        least = e[3] if e[0] in (Event.OPEN, Event.CLOSE) else e[3] + 1
+        while open_now and events[open_now[-1]][3] >= least:
+            ends[open_now.pop()] = k
+        if e[0] == Event.OPEN:
+            around[k] = open_now[-1] if open_now else -1
+            open_now.append(k)
+    return ends | {k: len(events) for k in open_now}, around
+
+
+def running(events: list[tuple], fixed=frozenset()) -> list[int]:
+    """Running text before each event and in all: no boilerplate, no template strings, no links but in headings."""
+    sums = [0]
+    for e in events:
+        n = 0
+        if e[0] == Event.TEXT and not e[4] and (not e[5] or _HEADING.search(e[2])) and not (fixed and event_token(e) in fixed):
+            n = len(" ".join(e[1].split()))
+        sums.append(sums[-1] + n)
+    return sums
+
+
+def flagged(page: str, repeated=frozenset()) -> list[tuple]:
+    """The events of ``scan``, where elements with a listed class are boilerplate as well if the host's
+    template repeats them or they hold little of the page's text. One around an ``article`` or ``main``
+    never is, nor one with most of the running text: of the host's, for those in the template, or of the page's."""
+    events = list(scan(page))
+    listed = [k for k, e in enumerate(events) if e[6] and not e[4]]
+    if not listed:
+        return events
+    (ends, _), sums = spans(events), running(events)
+    articles = [k for k, e in enumerate(events) if e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4]]
+    done = 0
+    for k in listed:
+        mass = sums[ends[k]] - sums[k]
+        if k >= done:
+            done = ends[k]
+            events[k:done] = [(*e[:4], True, *e[5:]) for e in events[k:done]]
+    return events
+
+
 def page_tokens(page: str) -> dict[int, list]:
-    """By token: kind, uses, position of the first use, running text inside (open tags) and depth."""
-    out: dict[int, list] = {}
-    open_now: list[tuple[int, int]] = []  # depth and token of open elements
-    for n, (kind, text, path, depth, bad, link) in enumerate(scan(page)):
-        if kind == Event.BREAK:
+    """By token: kind, uses, position of the first use, running text inside (open tags), depth, and flags
+    of open tags (1: a listed class, 2: article or main). Token 0 is the page itself."""
+    events = list(scan(page))
+    (ends, _), sums = spans(events), running(events)
+    out: dict[int, list] = {0: [-1, 1, 0, sums[-1], 0, 0]}
+    for n, e in enumerate(events):
+        if e[0] == Event.BREAK or e[0] == Event.TEXT and not 0 < len(" ".join(e[1].split())) <= 60:
             continue
-        if kind == Event.TEXT:
-            clean = " ".join(text.split())
-            if not clean:
-                continue
-            while open_now and open_now[-1][0] > depth:
-                open_now.pop()
-            if not bad and not link:
-                for _, t in open_now:
-                    out[t][3] += len(clean)
-            if len(clean) > LONGEST:
-                continue
-            t = token_id(kind, path, clean)
-        else:
-            t = token_id(kind, path)
+        t = event_token(e)
+        mass = sums[ends[n]] - sums[n] if e[0] == Event.OPEN else 0
         if t in out:
             out[t][1] += 1
+            out[t][3] += mass
         else:
-            out[t] = [kind, 1, n, 0, depth]
-        if kind == Event.OPEN:
-            while open_now and open_now[-1][0] >= depth:
-                open_now.pop()
-            open_now.append((depth, t))
+            out[t] = [e[0], 1, n, mass, e[3], 0 if e[0] != Event.OPEN else e[6] + 2 * (e[1] in ("article", "main"))]
     return out
 
 
@@ -180,6 +225,13 @@ def _rows(pages: DataFrame) -> DataFrame:
                         F.col("html").cast("string").alias("html"))
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """The rows with text and their weight: copies of a page within a host share a weight of one."""
+    keyed = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("copy", F.xxhash64("host", "html"))
+    copies = written(keyed.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    return keyed.join(copies, "copy", "left").select("host", "page_id", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
+
+
 def token_classes(pages: DataFrame) -> DataFrame:
     """One row per host and frequent token (on half of the host's pages or more): its class (the
     fingerprint of its occurrence vector), pages, uses, mean position and running text."""
@@ -187,36 +239,37 @@ def token_classes(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows: dict[tuple[str, int], list] = {}
-            for host, page_id, page in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "html"))):
-                found = page_tokens(page or "")
-                found[0] = [-1, 1, 0, 0, 0]  # the page itself
+            for host, page_id, page, weight in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "html", "weight"))):
                 own = xxhash.xxh64_intdigest(f"{page_id}\0{page}")
-                for t, (kind, uses, position, mass, depth) in found.items():
+                for t, (kind, uses, position, mass, depth, flag) in page_tokens(page).items():
                     mark = xxhash.xxh64_intdigest(f"{own} {uses}")
                     have = rows.get((host, t))
+                    once = weight if uses == 1 else 0.0
                     if have is None:
-                        rows[host, t] = [kind, uses, mark, position, mass, depth, 1, uses == 1]
+                        rows[host, t] = [kind, uses, mark, position, mass, depth, flag, 1, weight, once]
                     else:
                         have[1] += uses
                         have[2] ^= mark
                         have[3] += position
                         have[4] += mass
-                        have[6] += 1
-                        have[7] &= uses == 1
+                        have[6] |= flag
+                        have[7] += 1
+                        have[8] += weight
+                        have[9] += once
             keys, values = list(rows), list(rows.values())
+            kind, uses, mark, position, mass, depth, flag, n_rows, n_pages, n_once = zip(*values) if values else [()] * 10
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int32()),
-                 pa.array([v[1] for v in values], pa.int64()), pa.array(np.array([v[2] for v in values], np.uint64).view(np.int64)), pa.array([float(v[3]) for v in values]),
-                 pa.array([v[4] for v in values], pa.int64()), pa.array([v[5] for v in values], pa.int32()), pa.array([v[6] for v in values], pa.int64()), pa.array([v[7] for v in values], pa.bool_())],
-                names=["host", "token", "kind", "uses", "mark", "position", "mass", "depth", "n_pages", "once"])
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(kind, pa.int32()), pa.array(uses, pa.int64()),
+                 pa.array(np.array(mark, np.uint64).view(np.int64)), pa.array([float(v) for v in position], pa.float64()), pa.array(mass, pa.int64()), pa.array(depth, pa.int32()),
+                 pa.array(flag, pa.int32()), pa.array(n_rows, pa.int64()), pa.array(n_pages, pa.float64()), pa.array(n_once, pa.float64())],
+                names=[c.split()[0] for c in TOKENS.split(", ")])
 
-    counted = pages.select("host", "page_id", "html").mapInArrow(run, TOKENS + ", n_pages long, once boolean")
+    counted = (pages if "weight" in pages.columns else distinct_pages(pages)).mapInArrow(run, TOKENS)
     tokens = written(counted.groupBy("host", "token").agg(
-        F.min("kind").alias("kind"), F.sum("uses").alias("uses"), F.bit_xor("mark").alias("class"), F.sum("position").alias("position"), F.sum("mass").alias("mass"),
-        F.min("depth").alias("depth"), F.sum("n_pages").alias("n_pages"), F.min("once").alias("once")), "tokens")
-    sizes = tokens.filter("kind = -1").select("host", F.col("n_pages").alias("host_pages"))
-    return (tokens.filter("kind >= 0").join(sizes, "host").filter(F.col("n_pages") >= FREQUENT * F.col("host_pages"))
-            .withColumn("position", F.col("position") / F.col("n_pages")))
+        F.min("kind").alias("kind"), F.sum("uses").alias("uses"), F.bit_xor("mark").alias("class"), F.sum("n_rows").alias("n_rows"), (F.sum("position") / F.sum("n_rows")).alias("position"), F.sum("mass").alias("mass"),
+        F.min("depth").alias("depth"), F.bit_or("flag").alias("flag"), F.sum("n_pages").alias("n_pages"), F.sum("n_once").alias("n_once")), "tokens")
+    sizes = tokens.filter("kind = -1").select("host", F.round("n_pages").cast("long").alias("host_pages"), F.col("mass").alias("host_mass"))
+    return tokens.filter("kind >= 0").join(sizes, "host").filter(F.col("n_pages") + ROUNDING >= FREQUENT * F.col("host_pages"))
 
 
 def _in_order(places: list[int]) -> list[bool]:
@@ -240,84 +293,117 @@ def _in_order(places: list[int]) -> list[bool]:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """One row per host: host_pages, ``root`` (the template's tokens in order), ``main`` (the token
-    of the element that holds the article, null if no root element does) and ``nested`` (other
-    classes of two or more tokens: the slot they lie in and their size)."""
+    """One row per host: host_pages (distinct, not empty), ``root`` (the template's tokens in order),
+    ``main`` (the token of the element that holds the article, null if no root element does),
+    ``nested`` (other classes of two or more tokens: the slot they lie in and their size), ``fixed``
+    (the template's strings: on nearly all pages, or in a nested class with an element) and
+    ``repeated`` (elements with a listed class that are frequent and hold less than half of the text)."""
+    pages = distinct_pages(pages)
     classes = written(token_classes(pages), "classes")
-    # Text strings tell template from content only where there are pages to compare.
-    whole = (F.col("n_pages") == F.col("host_pages")) & F.col("once") & ((F.col("kind") != Event.TEXT) | (F.col("host_pages") >= 3))
+    # Text strings tell template from content only where there are distinct pages to compare.
+    enough = F.col("n_pages") + ROUNDING >= LEAST
+    whole = (F.col("n_once") + ROUNDING >= SUPPORT * F.col("host_pages")) & ((F.col("kind") != Event.TEXT) | (F.col("n_rows") >= LEAST))
+    groups = classes.filter(~whole).groupBy("host", "class", "uses").agg(F.count(F.lit(1)).alias("size"), F.avg("position").alias("position"), F.min("kind").alias("least")).filter("size > 1")
+    strings = classes.filter((F.col("kind") == Event.TEXT) & enough)
+    shared = strings.filter(F.col("n_pages") + ROUNDING >= SUPPORT * F.col("host_pages")).select("host", "token")
+    inner = strings.filter(~whole).join(groups.filter(F.col("least") == Event.OPEN), ["host", "class", "uses"], "left_semi").select("host", "token")
+    fixed = shared.union(inner).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    repeated = classes.filter((F.col("flag").bitwiseAND(1) == 1) & enough & (2 * F.col("mass") < F.col("host_mass"))).groupBy("host").agg(F.collect_list("token").alias("repeated"))
     roots = classes.filter(whole).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root")).select("host", F.col("root.token").alias("root"))
+    known = written(roots.join(fixed, "host", "left").join(repeated, "host", "left"), "known")
 
-    def broken(batches):
+    def check(batches):
         for b in batches:
-            out: dict[tuple[str, int], int] = {}
-            for host, page, root in zip(*(b.column(c).to_pylist() for c in ("host", "html", "root"))):
-                found = page_tokens(page or "")
-                places = [found[t][2] for t in root]
-                for t, fine in zip(root, _in_order(places)):
-                    if not fine:
-                        out[host, t] = out.get((host, t), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64())], names=["host", "token"])
-
-    bad = pages.select("host", "html").join(roots, "host").select("host", "html", "root").mapInArrow(broken, "host string, token long").distinct()
-    valid = written(classes.filter(whole).join(bad, ["host", "token"], "left_anti"), "valid")
+            out: dict[tuple[str, int], list] = {}
+            for host, page, weight, root, strings, elements in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight", "root", "fixed", "repeated"))):
+                events = flagged(page, frozenset(elements or ()))
+                ends, _ = spans(events)
+                sums = running(events, frozenset(strings or ()))
+                places: dict[int, int] = {}
+                for k, e in enumerate(events):
+                    if e[0] != Event.BREAK:
+                        t = event_token(e)
+                        places[t] = -1 if t in places else k
+                once = [t for t in root if places.get(t, -1) >= 0]
+                for t, fine in zip(once, _in_order([places[t] for t in once])):
+                    k = places[t]
+                    opens = events[k][0] == Event.OPEN and sums[-1] > 0
+                    if fine and not opens:
+                        continue
+                    mass = sums[ends[k]] - sums[k] if opens else 0
+                    have = out.setdefault((host, t), [0.0, 0.0, 0.0, 0, 0])
+                    have[0] += 0.0 if fine else weight
+                    if opens:
+                        have[1] += weight
+                        have[2] += weight if mass < sums[-1] else 0.0
+                        have[3] += mass
+                        have[4] += sums[-1]
+            columns = list(zip(*out.values())) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[:3]),
+                                              *(pa.array(c, pa.int64()) for c in columns[3:])], names=[c.split()[0] for c in CHECKS.split(", ")])
+
+    checks = (pages.join(known, "host").select("host", "html", "weight", "root", "fixed", "repeated").mapInArrow(check, CHECKS)
+              .groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("broken", "seen", "stray", "inside", "total"))))
+    valid = written(classes.filter(whole).join(checks, ["host", "token"], "left").filter(F.coalesce("broken", F.lit(0.0)) <= (1 - SUPPORT) * F.col("host_pages") + ROUNDING), "valid")
     ordered = valid.groupBy("host").agg(F.max("host_pages").alias("host_pages"), F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root"))
-    body = valid.filter(F.col("kind") == Event.OPEN).groupBy("host").agg(F.max("mass").alias("body"))
-    holds = (valid.filter(F.col("kind") == Event.OPEN).join(body, "host").filter((F.col("mass") > 0) & (F.col("mass") >= MAIN_SHARE * F.col("body")))
-             .groupBy("host").agg(F.max_by("token", F.struct("depth", F.col("mass"))).alias("main")))
+    article_tag = (F.col("flag").bitwiseAND(2) == 2) & (F.col("inside") >= MAIN_SHARE * F.col("total"))
+    holds = (valid.filter((F.col("total") > 0) & (article_tag | (F.col("stray") <= (1 - SUPPORT) * F.col("seen") + ROUNDING)))
+             .groupBy("host").agg(F.max_by("token", F.struct(article_tag, F.when(article_tag, -F.col("depth")).otherwise(F.col("depth")), "token")).alias("main")))
     slots = ordered.select("host", F.col("root.position").alias("bounds"))
-    nested = (classes.filter(~whole).groupBy("host", "class", "uses").agg(F.count(F.lit(1)).alias("size"), F.avg("position").alias("position")).filter("size > 1").join(slots, "host")
+    nested = (groups.join(slots, "host")
               .groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.size(F.filter("bounds", lambda p: p < F.col("position"))).alias("slot"), "class", "size", "uses"))).alias("nested")))
-    return ordered.select("host", "host_pages", F.col("root.token").alias("root")).join(holds, "host", "left").join(nested, "host", "left")
+    return (ordered.select("host", "host_pages", F.col("root.token").alias("root")).join(holds, "host", "left").join(nested, "host", "left")
+            .join(known.select("host", "fixed", "repeated"), "host", "left"))
 
 
-def article(page: str, main: int | None, root: list[int] | None = None) -> str:
+def article(page: str, main: int | None, fixed: list[int] | None = None, repeated: list[int] | None = None) -> str:
     """Text of the slots inside the main element: blocks joined by line feeds, white space within a
-    block as one space, character references decoded, boilerplate elements left out.
-
-    A page without the main element (or a host without one) gives its ``article`` or ``main``
-    elements, or else its body, where strings of the template are left out too."""
-    events = list(scan(page))
-    inside = None
-    if main is not None:
-        inside = next(((k, e[3]) for k, e in enumerate(events) if e[0] == Event.OPEN and token_id(Event.OPEN, e[2]) == main), None)
-    names = () if inside else next((n for n in (("article",), ("main",)) if any(e[0] == Event.OPEN and e[1] in n and not e[4] for e in events)), ())
-    fixed = set(root or ()) if not inside and not names else set()
-    blocks, line, depth_in = [], [], None
+    block as one space, character references decoded, boilerplate elements left out, and blocks left
+    out that consist of the template's strings alone.
+
+    If the main element is no ``article`` or ``main`` and the page has running text outside it, the
+    next element around that has none, or an ``article`` or ``main``, takes its place. A page without
+    the main element (or a host without one) gives its outermost ``article`` and ``main`` elements, or
+    else its body."""
+    events = flagged(page, frozenset(repeated or ()))
+    strings = frozenset(fixed or ()) if main is None and not any(e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4] for e in events) else frozenset()
+    ends, around = spans(events)
+    mains = [k for k, e in enumerate(events) if e[0] == Event.OPEN and token_id(Event.OPEN, e[2]) == main] if main is not None else []
+    regions = []
+    if len(mains) == 1:
+        sums, k = running(events, strings), mains[0]
+        while k >= 0 and events[k][1] not in ("article", "main") and sums[ends[k]] - sums[k] < sums[-1]:
+            k = around[k]
+        regions = [(k, ends[k])] if k >= 0 else [(0, len(events))]
+    else:
+        for k, e in enumerate(events):
+            if e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4] and (not regions or k >= regions[-1][1]):
+                regions.append((k, ends[k]))
+    blocks, line, own = [], [], False
 
     def close() -> None:
+        nonlocal own
         text = " ".join("".join(line).split())
-        if text:
+        if text and own:
             blocks.append(text)
         line.clear()
-
-    for k, (kind, text, path, depth, bad, _) in enumerate(events):
-        if inside:
-            if k == inside[0]:
-                depth_in = depth
-            elif depth_in is not None and (depth < depth_in or kind == Event.CLOSE and depth == depth_in or kind == Event.OPEN and depth == depth_in):
-                break
-            within = depth_in is not None
-        elif names:
-            if kind == Event.OPEN and text in names and depth_in is None:
-                depth_in = depth
-            elif depth_in is not None and (depth < depth_in or kind != Event.TEXT and depth == depth_in and kind != Event.BREAK):
-                depth_in = None
+        own = False
+
+    for start, end in regions or [(0, len(events))]:
+        for e in events[start:end]:
+            kind, text, _, _, bad, _, _ = e
+            if kind == Event.TEXT:
+                if not bad:
+                    line.append(entities.unescape(text))
+                    own = own or bool(text.strip()) and not (strings and event_token(e) in strings)
+            elif kind == Event.BREAK:
+                if text == "hr":
+                    close()
+                else:
+                    line.append(" ")
+            elif text in BLOCK:
                 close()
-            within = depth_in is not None
-        else:
-            within = True
-        if kind == Event.TEXT:
-            if within and not bad and not (fixed and token_id(kind, path, " ".join(text.split())) in fixed):
-                line.append(entities.unescape(text))
-        elif kind == Event.BREAK:
-            if text == "hr":
-                close()
-            else:
-                line.append(" ")
-        elif text in BLOCK:
-            close()
-    close()
+        close()
     return "\n".join(blocks)
 
 
@@ -325,15 +411,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text (empty if none) and n_chars, its code points.
 
     Null html is an empty page; pages whose URL is null or has no host form one host; a host with
-    one page has a template of tags alone; repeated rows are extracted alike; other columns are not
-    read; an empty table gives an empty result."""
+    fewer than LEAST distinct pages has a template of tags alone; repeated rows are extracted alike;
+    other columns are not read; an empty table gives an empty result."""
     text_batches(pages.sparkSession)
     rows = _rows(pages)
-    templates = written(deduce_templates(rows).select("host", "main", "root"), "templates")
+    templates = written(deduce_templates(rows).select("host", "main", "fixed", "repeated"), "templates")
 
     def run(batches):
         for b in batches:
-            texts = [article(page or "", main, root) for page, main, root in zip(*(b.column(c).to_pylist() for c in ("html", "main", "root")))]
+            texts = [article(page or "", *known) for page, *known in zip(*(b.column(c).to_pylist() for c in ("html", "main", "fixed", "repeated")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "root").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "fixed", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -65,3 +65,30 @@ def test_broken_markup(html):
 def test_scan_closes_open_elements():
     opened = [(e[1], e[3]) for e in scan("<div><p><b>x<p>y<ul><li>1<li>2</ul></div>") if e[0] == Event.OPEN]
     assert opened == [("div", 1), ("p", 2), ("b", 3), ("p", 2), ("ul", 2), ("li", 3), ("li", 3)]
+
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+LONG = "A paragraph of running text that goes on and on, far longer than the headline above it, number {0}. " * 4
+
+
+def test_main_element_keeps_headline_and_lead(spark):
+    """The innermost element with 80 % of the text is not the article: nothing beside it may get lost."""
+    rows = [(1, "http://one/", f"<body><article><h1>Headline</h1><p><b>{LONG.format(1)}<br></article>")]
+    rows += [(10 + k, "http://many/", f"<body><div><a href='/{k}'>menu</a></div><article><h1>Headline {k}</h1><div class='body'><p>{LONG.format(k)}</p></div></article></body>") for k in range(5)]
+    rows += [(20 + k, "http://plain/", f"<body><div class='post'><h2><a href='/p'>Headline {k}</a></h2><div class='by'>By {k}</div><div class='body'>{LONG.format(k)}</div></div><div><a href='/{k}'>older {k}</a></div></body>")
+             for k in range(5)]
+    got = texts(spark, rows)
+    assert got[1] == "Headline\n" + LONG.format(1).strip()
+    for k in range(5):
+        assert got[10 + k] == f"Headline {k}\n{LONG.format(k).strip()}"
+        assert got[20 + k] == f"Headline {k}\nBy {k}\n{LONG.format(k).strip()}"
+
+
+def test_page_with_text_outside_the_main_element_takes_the_next_around(spark):
+    rows = [(k, "http://a/", f"<body><div class='x'>{'Lead of one page' if k == 3 else ''}<div class='body'><p>{LONG.format(k)}</p></div></div></body>") for k in range(6)]
+    got = texts(spark, rows)
+    for k in range(6):
+        assert got[k] == ("Lead of one page\n" if k == 3 else "") + LONG.format(k).strip()
