@@ -47,7 +47,7 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 #: Share of the host's running text that an ``article`` or ``main`` must hold to stand for the article.
 MAIN_SHARE = 0.8
 #: Share of the host's pages that have a root token once, and pages that a template string needs at least.
-SUPPORT, LEAST = 1.0, 3
+SUPPORT, LEAST = 0.8, 3
 FREQUENT = 0.5
 #: Sums of weights are compared up to this.
 ROUNDING = 1e-6
@@ -227,7 +227,7 @@ def _rows(pages: DataFrame) -> DataFrame:
 
 def distinct_pages(rows: DataFrame) -> DataFrame:
     """The rows with text and their weight: copies of a page within a host share a weight of one."""
-    keyed = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("copy", F.xxhash64("host", "html"))
+    keyed = rows.filter(F.col("html").rlike(r"\S")).withColumn("copy", F.xxhash64("host", "html"))
     copies = written(keyed.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     return keyed.join(copies, "copy", "left").select("host", "page_id", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
 

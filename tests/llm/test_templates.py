@@ -92,3 +92,16 @@ def test_page_with_text_outside_the_main_element_takes_the_next_around(spark):
     got = texts(spark, rows)
     for k in range(6):
         assert got[k] == ("Lead of one page\n" if k == 3 else "") + LONG.format(k).strip()
+
+
+def test_empty_and_odd_pages_leave_the_template(spark):
+    """Menus and notices in plain divs go although the host has null, empty and odd pages."""
+    rows = [(k, "http://a/", f"<body><div><p>All our sections</p></div><div class='text'><p>{LONG.format(k)}</p><p>{k}</p></div><div><p>Imprint of the site</p></div></body>") for k in range(6)]
+    rows += [(7, "http://a/", None), (8, "http://a/", ""), (9, "http://a/", "<body><h3>Error</h3><i>Not found</i></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    t, = deduce_templates(_rows(df)).collect()
+    assert t["host_pages"] == 7 and t["main"] is not None
+    got = texts(spark, rows)
+    for k in range(6):
+        assert got[k] == f"{LONG.format(k).strip()}\n{k}"
+    assert got[7] == got[8] == "" and got[9] == "Error\nNot found"
