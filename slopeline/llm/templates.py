@@ -203,7 +203,7 @@ def page_tokens(page: str) -> dict[int, list]:
     (ends, _), sums = spans(events), running(events)
     out: dict[int, list] = {0: [-1, 1, 0, sums[-1], 0, 0]}
     for n, e in enumerate(events):
-        if e[0] == Event.BREAK or e[0] == Event.TEXT and not 0 < len(" ".join(e[1].split())) <= 60:
+        if e[0] == Event.BREAK or e[0] == Event.TEXT and not e[1].strip():
             continue
         t = event_token(e)
         mass = sums[ends[n]] - sums[n] if e[0] == Event.OPEN else 0
@@ -365,8 +365,8 @@ def article(page: str, main: int | None, fixed: list[int] | None = None, repeate
     next element around that has none, or an ``article`` or ``main``, takes its place. A page without
     the main element (or a host without one) gives its outermost ``article`` and ``main`` elements, or
     else its body."""
+    strings = frozenset(fixed or ())
     events = flagged(page, frozenset(repeated or ()))
-    strings = frozenset(fixed or ()) if main is None and not any(e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4] for e in events) else frozenset()
     ends, around = spans(events)
     mains = [k for k, e in enumerate(events) if e[0] == Event.OPEN and token_id(Event.OPEN, e[2]) == main] if main is not None else []
     regions = []

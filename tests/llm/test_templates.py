@@ -105,3 +105,16 @@ def test_empty_and_odd_pages_leave_the_template(spark):
     for k in range(6):
         assert got[k] == f"{LONG.format(k).strip()}\n{k}"
     assert got[7] == got[8] == "" and got[9] == "Error\nNot found"
+
+
+def test_template_strings_go_from_the_article_too(spark):
+    """Strings of all pages, of any length, and those of nested classes; copies of a page are one page."""
+    notice = "This long notice is the same on all pages of the host, and it is longer than sixty characters."
+    share = "<div class='box'><span>Tell your friends</span></div>"
+    rows = [(k, "http://a/", f"<body><article><h1>T {k}</h1><p>{LONG.format(k)}</p><p>Read <b>more</b> of {k}</p><p>{notice}</p>{share * (k % 4)}</article></body>") for k in range(8)]
+    rows += [(20 + k, "http://copies/", f"<body><article><h1>One</h1><p>{LONG.format(0)}</p></article></body>") for k in range(5)]
+    got = texts(spark, rows)
+    for k in range(8):
+        assert got[k] == f"T {k}\n{LONG.format(k).strip()}\nRead more of {k}"
+    for k in range(5):
+        assert got[20 + k] == "One\n" + LONG.format(0).strip()
