@@ -190,7 +190,7 @@ def flagged(page: str, repeated=frozenset()) -> list[tuple]:
     done = 0
     for k in listed:
         mass = sums[ends[k]] - sums[k]
-        if k >= done:
+        if k >= done and not any(k < a < ends[k] for a in articles) and (event_token(events[k]) in repeated or mass <= LITTLE and 2 * mass <= sums[-1]):
             done = ends[k]
             events[k:done] = [(*e[:4], True, *e[5:]) for e in events[k:done]]
     return events

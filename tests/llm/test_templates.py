@@ -118,3 +118,20 @@ def test_template_strings_go_from_the_article_too(spark):
         assert got[k] == f"T {k}\n{LONG.format(k).strip()}\nRead more of {k}"
     for k in range(5):
         assert got[20 + k] == "One\n" + LONG.format(0).strip()
+
+
+@pytest.mark.parametrize("wrapper", ["class='content with-sidebar'", "id='page' class='no-sidebar'", "class='has-banner'", "id='search-results'"])
+def test_class_words_of_wrappers_discard_nothing(wrapper):
+    body = f"<h1>Headline</h1><p>{LONG.format(1)}</p>"
+    want = "Headline\n" + LONG.format(1).strip()
+    assert article(f"<body><div {wrapper}><article>{body}</article></div></body>", None) == want
+    assert article(f"<body><div {wrapper}>{body}</div></body>", None) == want
+
+
+def test_class_words_need_the_template_or_little_text(spark):
+    """A long block with a listed class on one page is content; one that the host repeats is not."""
+    rows = [(k, "http://a/", f"<body><div class='with-sidebar'><article><p>{LONG.format(k) * 3}</p>{'<div class=alert>' + LONG.format('x') + '</div>' if k == 2 else ''}"
+             f"<div class='share'>Pass {k} on</div></article><div id='comments'><p>{LONG.format(100 + k)}</p></div></div></body>") for k in range(6)]
+    got = texts(spark, rows)
+    for k in range(6):
+        assert got[k] == (LONG.format(k) * 3).strip() + ("\n" + LONG.format("x").strip() if k == 2 else "")
