@@ -182,9 +182,9 @@ _searchers: dict[str, Searcher] = {}
 
 
 def item_blocks(benchmark: DataFrame):
-    """Blocks of (item_id, normalised text) of bounded size; null and empty items are left out, and
-    so are items without an id."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    """Blocks of (item_id, normalised text) of bounded size; null and empty texts are left out,
+    items without an id are not."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
     block, held = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         text = normalised(row["text"])
@@ -210,7 +210,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT
     """One row per document row and item that occurs in it: doc_id, item_id, distance, start and end
     (characters of the normalised text) of the best occurrence.
 
-    Null and empty texts have none; equal items are all reported; repeated rows are searched each;
+    Null and empty texts have none; an item without an id is reported with a null item_id; equal items are all reported; repeated rows are searched each;
     other columns are not read; an empty table on either side gives an empty result."""
     spark = docs.sparkSession
     text_batches(spark)

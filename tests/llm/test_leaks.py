@@ -70,3 +70,11 @@ def test_hits_and_clean_rows(spark, no_docs, block, monkeypatch):
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [11, 12, 13]
     assert benchmark_hits(docs, items.limit(0)).count() == 0 and without_hits(docs, items.limit(0)).count() == len(rows)
     assert benchmark_hits(no_docs, items).count() == 0
+
+
+def test_items_without_an_id_are_searched(spark):
+    item = "A question of the benchmark whose number was lost on the way"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of the kind in here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (5, "another item that occurs nowhere")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in benchmark_hits(docs, bench).collect()] == [(1, None, 0)]
+    assert [r["doc_id"] for r in without_hits(docs, bench).collect()] == [2]
