@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .alignment import align_tokens
 from .archives import archive_round_trip
 from .jaccard import jaccard_components
 from .lattice import lattice_scores
@@ -18,6 +19,7 @@ from .templates import main_text
 from .tokenfile import read_tokens, token_folder, write_tokens
 from .tokens import vocabulary_path
 from .toxicity import fit_chain, score_toxicity
+from .vectors import near_vectors
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, t=90)
 
 
+def op12_tokenizer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_substring_doubling": op2_substring_doubling,
@@ -76,6 +88,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_tokenizer_spans": op12_tokenizer_spans,
+    "op13_multi_index": op13_multi_index,
 }
 
 #: The word pattern and the ASCII letters of the contracts.

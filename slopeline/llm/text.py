@@ -134,18 +134,33 @@ def span_hasher(data: np.ndarray, seed: int = 0):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hasher(data, seed)(starts, ends)
+    """Hashes of ascending spans, slice by slice: a hash does not depend on where its span stands, so
+    the working arrays stay near ``PIECE_BYTES`` long whatever the length of ``data``."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        first = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, first + PIECE_BYTES, "right")))
+        out[lo:hi] = span_hasher(data[first : ends[hi - 1]], seed)(starts[lo:hi] - first, ends[lo:hi] - first)
+        lo = hi
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` consecutive word hashes (across texts too; mask those)."""
-    n = len(words)
-    if n < size:
+    total = len(words) - size + 1
+    if total < 1:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * _power(_BASE, n), out=sums[1:])
-    h = (sums[size:] - sums[: n + 1 - size]) * _power(_INVERSE, n + 1)[: n + 1 - size]
-    return mix(h + np.uint64(size))
+    out = np.empty(total, np.uint64)
+    step = max(PIECE_BYTES // 8, size)
+    for lo in range(0, total, step):
+        part = words[lo : lo + step + size - 1]
+        n = len(part)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(part * _power(_BASE, n), out=sums[1:])
+        h = (sums[size:] - sums[: n + 1 - size]) * _power(_INVERSE, n + 1)[: n + 1 - size]
+        out[lo : lo + n + 1 - size] = mix(h + np.uint64(size))
+    return out
 
 
 def whole_windows(counts: np.ndarray, size: int) -> np.ndarray:
