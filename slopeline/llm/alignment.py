@@ -31,16 +31,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches, written
+from .shared import give_back, text_batches, written
 from .text import LEAD, per_text, span_hashes, text_pieces
 from .tokens import plain_texts, pretoken_starts
 
 #: Bytes of text in one written row; a longer text is a row of its own.
 CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: The counts are broadcast up to this many id pairs (17 bytes each), and joined beyond.
 BROADCAST_PAIRS = 2 << 20
+#: Words that a library is given in one text.
+WORDS_A_TEXT = 4096
 #: A worker's table of words starts anew beyond these numbers of words and of ids.
-MOST_WORDS, MOST_IDS = 1 << 20, 1 << 23
+MOST_WORDS, MOST_IDS = 1 << 19, 1 << 22
 
 CHUNKS = "chunk long, doc_ids binary, nulls binary, a binary, n_a binary, b binary, n_b binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -77,14 +80,31 @@ def refined(ids, begins, ends, first, spelled, starts) -> tuple[np.ndarray, np.n
     return np.where(coarse, ends, exact), ~wrong
 
 
+def _runs_of(members: list[int]) -> list[list[int]]:
+    return [members[k : k + WORDS_A_TEXT] for k in range(0, len(members), WORDS_A_TEXT)]
+
+
+def _in_order(ids: list, spans: list, order: list[int], sizes: np.ndarray, words: list[bytes]):
+    """Tokens found text by text for the words ``order``, put in the order of the words; spans within a word
+    become spans within all words."""
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    within = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+    order = np.array(order, np.int64)
+    word = np.repeat(order, sizes[order])
+    place = np.argsort(word, kind="stable")
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    within = within[place] + starts[word[place]][:, None]
+    return flat[place], within[:, 0], within[:, 1], sizes
+
+
 class WordTable:
     """Ids of distinct words, each encoded with its spans once a worker."""
 
     spell: list[bytes]
-    dtype = np.uint32
 
     def __init__(self):
         self.lengths = np.array([len(s) for s in self.spell], np.int64)
+        self.dtype = np.uint16 if len(self.spell) <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
@@ -155,6 +175,7 @@ class ByteLevelTable(WordTable):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         byte_of = byte_level()
         self.spell = []
         for k in range(self.tokenizer.get_vocab_size()):
@@ -163,18 +184,28 @@ class ByteLevelTable(WordTable):
         super().__init__()
 
     def spans(self, words):
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        sizes = np.fromiter((len(e) for e in encoded), np.int64, len(encoded))
-        n = int(sizes.sum())
-        ids = np.fromiter((i for e in encoded for i in e.ids), np.int64, n)
-        chars = np.fromiter((x for e in encoded for span in e.offsets for x in span), np.int64, 2 * n).reshape(n, 2)
-        # Character offsets within a word to byte offsets within all words.
-        data = np.frombuffer(b"".join(words), np.uint8)
-        lead = np.append(np.flatnonzero(LEAD[data]), len(data))
-        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        before = np.searchsorted(lead, starts[:-1])
-        chars = chars + np.repeat(before, sizes)[:, None]
-        return ids, lead[chars[:, 0]], lead[chars[:, 1]], sizes
+        # A line feed always stands alone: words without one go to the library many at a time, one a line.
+        single = [b"\n" in w or w.isspace() for w in words]
+        ids, chars, sizes = [], [], np.zeros(len(words), np.int64)
+        order, alone = [], [k for k, one in enumerate(single) if one]
+        lines = [k for k, one in enumerate(single) if not one]
+        for text, members in [*((words[k], [k]) for k in alone), *((b"\n".join(words[k] for k in part), part) for part in _runs_of(lines))]:
+            encoded = self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False)
+            found, spans = np.array(encoded.ids, np.int64), np.array(encoded.offsets, np.int64).reshape(-1, 2)
+            # Character offsets to byte offsets, and to the words they lie in.
+            data = np.frombuffer(text, np.uint8)
+            lead = np.append(np.flatnonzero(LEAD[data]), len(data))
+            spans = lead[spans]
+            starts = np.concatenate([[0], np.cumsum([len(words[k]) + 1 for k in members])])
+            if len(members) > 1:
+                keep = found != self.line_id
+                found, spans = found[keep], spans[keep]
+            at = np.searchsorted(starts, spans[:, 0], "right") - 1
+            sizes[members] = np.bincount(at, minlength=len(members))[: len(members)]
+            ids.append(found)
+            chars.append(spans - starts[at][:, None])
+            order += members
+        return _in_order(ids, chars, order, sizes, words)
 
     def cuts(self, data, offsets):
         starts = pretoken_starts(data, offsets)
@@ -201,19 +232,27 @@ class PieceTable(WordTable):
         super().__init__()
 
     def spans(self, words):
-        flat, sizes, start = [], [], 0
-        protos = self.model.encode([w[1:].decode("utf-8") for w in words], return_type="proto", num_threads=1)
-        for w, proto in zip(words, protos):
-            if w == b" ":  # nothing after the space: the library gives no piece at all
-                flat.append((self.space, start, start + 1))
-                sizes.append(1)
+        # Words that end in another character than a space go to the library many at a time, as one text.
+        marked = ["\u2581".encode() in w for w in words]  # read as a space: never spelled, and not encoded
+        alone = [k for k, w in enumerate(words) if not marked[k] and (w[-1:] == b" " or not self.split)]
+        joined = [k for k, w in enumerate(words) if not marked[k] and self.split and w[-1:] != b" "]
+        ids, spans, order, sizes = [], [], [], np.zeros(len(words), np.int64)
+        for members in [*([k] for k in alone), *_runs_of(joined)]:
+            text = b"".join(words[k] for k in members)
+            starts = np.concatenate([[0], np.cumsum([len(words[k]) for k in members])])
+            if text == b" ":  # nothing after the space: the library gives no piece at all
+                table = np.array([[self.space, 0, 1]], np.int64)
             else:
-                found = [(p.id, start + 1 + p.begin, start + 1 + p.end) for p in proto.pieces]
-                flat += found
-                sizes.append(len(found))
-            start += len(w)
-        table = np.array(flat, np.int64).reshape(-1, 3)
-        return table[:, 0], table[:, 1], table[:, 2], np.array(sizes, np.int64)
+                proto = self.model.encode(text[1:].decode("utf-8"), return_type="proto")
+                table = np.array([(p.id, p.begin, p.end) for p in proto.pieces], np.int64).reshape(-1, 3)
+                table[:, 1:] += 1
+                table[:1, 1] = 0
+            at = np.searchsorted(starts, table[:, 1], "right") - 1
+            sizes[members] = np.bincount(at, minlength=len(members))[: len(members)]
+            ids.append(table[:, 0])
+            spans.append(table[:, 1:] - starts[at][:, None])
+            order += members
+        return _in_order(ids, spans, order, sizes, words)
 
     def cuts(self, data, offsets):
         if not self.split:
@@ -254,6 +293,7 @@ def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             nonlocal held, volume, number
             cols = [np.concatenate(c) for c in zip(*held)]
             held, volume, number = [], 0, number + 1
+            give_back()
             kinds = (np.int64, bool, np.uint32, np.int32, np.uint32, np.int32)
             return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), *(pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(cols, kinds))],
                                               names=[c.split()[0] for c in CHUNKS.split(", ")])
@@ -357,7 +397,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int
     doc_id or with a repeated one each count as a row of their own; an empty table gives an empty
     result; other columns are not read. A text is held whole by one task."""
     spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(spark, BATCH_BYTES)
     chunks = written(_encoded(docs, path_a, path_b), "encoded")
     lengths_a, lengths_b = ByteLevelTable(path_a).lengths, PieceTable(path_b).lengths
     counts = pair_counts(chunks, lengths_a, lengths_b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .alignment import align_tokens
 from .archives import archive_round_trip
+from .conversations import damaged, repair_report
 from .jaccard import jaccard_components
 from .lattice import lattice_scores
 from .leaks import benchmark_hits
@@ -67,6 +68,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, t=90)
 
 
+def op11_path_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), "present")
+
+
 def op12_tokenizer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_path_ranking": op11_path_ranking,
     "op12_tokenizer_spans": op12_tokenizer_spans,
     "op13_multi_index": op13_multi_index,
 }
@@ -96,6 +102,55 @@ QUERIES = {
 WORDS = r"'[^\x20\x09-\x0D]+'"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+def repair_sql() -> str:
+    """DuckDB text of op11: crc32 by its rule, then a step a turn that keeps the least (cost, audit,
+    repaired lines) of each state; of equal costs the least audit so far stays the least to the end."""
+    far = 1 << 40
+
+    def edit(state: str, letter: str, cost: str, line: str = "") -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}}"
+
+    def best(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def keep(state: str, initial: str) -> str:
+        return edit(state, "K", f"CASE WHEN n.role[1:1] = '{initial}' THEN n.stays ELSE {far} END", "n.role || ':' || n.text")
+
+    def rerole(state: str, role: str) -> str:
+        return edit(state, "R", "1 + n.stays", f"'{role}:' || n.text")
+
+    def insert(state: str, role: str) -> str:
+        return edit(state, "I", "5", f"'{role}:'")
+
+    drop = {k: edit(f"p.s{k}", "D", "2") for k in range(4)}
+    two = best(drop[2], *(keep(f"p.s{k}", "u") for k in (0, 1, 3)), *(rerole(f"p.s{k}", "user") for k in (0, 1, 3)))
+    three = best(drop[3], keep("p.s2", "a"), rerole("p.s2", "assistant"))
+    start, never = "{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}", f"{{'c': {far}::BIGINT, 'a': '', 't': []::VARCHAR[]}}"
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS x FROM range(256) r(i)) e),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: unicode(ch)::BIGINT)),
+    lambda x, b: xor(x >> 8, tab.t[(xor(x, b) & 255) + 1]))) % 20 AS k FROM conversations, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE k <> 0),
+seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM dam),
+flt AS MATERIALIZED (SELECT conv_id, turn, role, text, i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS f, lead(role) OVER (PARTITION BY conv_id ORDER BY i) AS role2 FROM seq),
+num AS MATERIALIZED (SELECT conv_id, i, role, text, CASE f WHEN 't' THEN 5 WHEN '' THEN 0 ELSE {far} END AS stays FROM flt),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {start} AS s0, {never} AS s1, {insert(start, "user")} AS s2, {insert(insert(start, "user"), "assistant")} AS s3 FROM (SELECT DISTINCT conv_id FROM seq) u
+  UNION ALL SELECT q.conv_id, q.i, q.s0, q.s1, q.s2, {best("q.b3", insert("q.s2", "assistant"))} FROM (
+    SELECT o.conv_id, o.i, o.s0, o.s1, {best("o.b2", insert("o.s0", "user"), insert("o.s1", "user"), insert("o.b3", "user"))} AS s2, o.b3 FROM (
+      SELECT p.conv_id, n.i, {drop[0]} AS s0, {best(drop[1], keep("p.s0", "s"))} AS s1, {two} AS b2, {three} AS b3
+      FROM walk p JOIN num n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.i = p.i + 1) o) q),
+fin AS (SELECT w.conv_id, {best("w.s0", "w.s3")} AS b FROM walk w JOIN (SELECT conv_id, max(i) AS i FROM seq GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i),
+cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+  count(*) FILTER (role2 IS NOT NULL AND role[1:1] || role2[1:1] NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(cnt.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(cnt.blank, 0) AS BIGINT) AS blank, CAST(coalesce(cnt.duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(cnt.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(cnt.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(fin.b.c, 0) AS BIGINT) AS cost, coalesce(fin.b.a, '') AS audit,
+  sha256(coalesce(array_to_string(fin.b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 #: The other queries have no SQL form (estimates, scores, markup, tokens, edit distances).
 ORACLE: dict[str, str] = {
     "op2_substring_doubling": f"""
@@ -125,4 +180,13 @@ reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JO
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.m, d.doc_id)) AS component_id
 FROM d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN least ON d.doc_id = least.a""",
+    "op11_path_ranking": repair_sql(),
+    "op13_multi_index": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(least.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(least.m, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN least ON v.vec_id = least.a""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ from ..session import scratch_path
 BATCH_BYTES = 16 << 20
 
 
-def text_batches(spark: SparkSession) -> None:
+def text_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches handed to Python by bytes, as texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
@@ -30,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers outlive their tasks, and what the
+    allocators keep would add up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ LEAD = (np.arange(256) & 0xC0) != 0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PIECE_BYTES = 2 << 20
+#: Bytes hashed at a time (five 8-byte values a byte).
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,7 +53,7 @@ def _power(base: int, n: int) -> np.ndarray:
         grown = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         grown[0] = 1
         have = np.cumprod(grown, dtype=np.uint64)
-        if n <= 2 * PIECE_BYTES:  # a very long text gets arrays of its own
+        if n <= PIECE_BYTES + 1:  # a very long text gets arrays of its own
             _powers[base] = have
     return have[:n]
 
@@ -135,12 +137,12 @@ def span_hasher(data: np.ndarray, seed: int = 0):
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of ascending spans, slice by slice: a hash does not depend on where its span stands, so
-    the working arrays stay near ``PIECE_BYTES`` long whatever the length of ``data``."""
+    the working arrays stay near ``SLICE_BYTES`` long whatever the length of ``data``."""
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
         first = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(ends, first + PIECE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, first + SLICE_BYTES, "right")))
         out[lo:hi] = span_hasher(data[first : ends[hi - 1]], seed)(starts[lo:hi] - first, ends[lo:hi] - first)
         lo = hi
     return out
@@ -152,7 +154,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if total < 1:
         return np.zeros(0, np.uint64)
     out = np.empty(total, np.uint64)
-    step = max(PIECE_BYTES // 8, size)
+    step = max(SLICE_BYTES // 8, size)
     for lo in range(0, total, step):
         part = words[lo : lo + step + size - 1]
         n = len(part)

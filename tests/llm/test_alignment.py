@@ -71,10 +71,15 @@ def brute(texts):
     rows = []
     for a, b, links in each:
         cuts = sorted({s[2] for s in a} & {s[2] for s in b})
-        groups, lo = [], 0
+        groups, ia, ib = [], 0, 0
         for hi in cuts:
-            groups.append(",".join(str(k) for k, x, y in a if lo < y <= hi) + "|" + ",".join(str(k) for k, x, y in b if lo < y <= hi))
-            lo = hi
+            ja, jb = ia, ib
+            while ja < len(a) and a[ja][2] <= hi:
+                ja += 1
+            while jb < len(b) and b[jb][2] <= hi:
+                jb += 1
+            groups.append(",".join(str(s[0]) for s in a[ia:ja]) + "|" + ",".join(str(s[0]) for s in b[ib:jb]))
+            ia, ib = ja, jb
         rows.append((len(a), len(b), len(cuts), len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links), ";".join(groups)))
     return rows
 
