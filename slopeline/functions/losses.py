@@ -161,6 +161,16 @@ class MultinomialLoss(MarginLoss):
         mults = [e / denom - F.when(y == F.lit(float(c + 1)), 1.0).otherwise(0.0) for c, e in enumerate(exps)]
         return loss, mults
 
+    def array_columns(self, z: Column, y: Column) -> tuple[Column, Column]:
+        """Loss and multipliers from one array column of margins: the same formula for any
+        number of classes, without a column expression for each."""
+        shift = F.greatest(F.lit(0.0), F.array_max(z))
+        exps = F.transform(z, lambda m: F.exp(m - shift))
+        denom = F.exp(-shift) + F.aggregate(exps, F.lit(0.0), lambda a, e: a + e)
+        margin_y = F.when(y > 0, F.get(z, y.cast("int") - 1)).otherwise(F.lit(0.0))
+        loss = shift + F.log(denom) - margin_y
+        return loss, F.transform(exps, lambda e, c: e / denom - F.when(y == (c + 1).cast("double"), 1.0).otherwise(0.0))
+
     def numpy(self, margins, y):
         shift = np.maximum(0.0, margins.max(axis=1))
         exps = np.exp(margins - shift[:, None])

@@ -13,10 +13,9 @@ returning the same long form ``(slot, value, n)`` (slots ``0..G-1`` the gradient
 ``sums``
     The JVM kernel for narrow models: one global aggregate with one ``sum(mult * x_j)`` per
     weight slot over an unrolled, whole-stage-codegen dot product (plus an unrolled null-entry
-    count). The weights are inlined literals, so each iteration pays a fixed recompile
-    (~0.25 s), but the per-row cost is far below the Arrow hand-off: measured 2x faster than
-    ``arrow`` at 6M rows x 5 features, and 5x slower at 1M rows x 64 features, where the
-    generated code grows too large.
+    count). The weights are data, one broadcast row met by every row, so the generated code
+    is the same at every iteration and compiled once. The per-row cost is far below the Arrow
+    hand-off; past :data:`SUMS_SLOT_LIMIT` slots the generated code grows too large.
 
 ``expr``
     For user losses written only as columns: every row emits its ``mult_c * x_j`` terms and
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from slopeline.functions.linalg import dot_array, dot_slice
+from slopeline.functions.linalg import dot_array, dot_slice, tree_sum
 from slopeline.functions.losses import MarginLoss
 
 DIRECT_MERGE_LIMIT = 1 << 21
@@ -203,7 +202,7 @@ def training_columns(df: DataFrame, features: str = "features", label: str = "la
     trainer's persisted table is) is used as it is, saving a projection per iteration."""
     if features == "features" and label == "label":
         fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        if fields.get("label") == "double" and "features" in fields:
+        if fields.get("label") == "double" and "features" in fields and "_rid" not in fields:
             return df
     return df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
 
@@ -248,13 +247,21 @@ def gradient_frame_expr(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d:
             .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
 
 
+def weights_row(df: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The weights as one broadcast row ``_w ARRAY<DOUBLE>`` (a local table, model-sized)."""
+    values = pa.array([np.asarray(weights, dtype=np.float64).tolist()], pa.list_(pa.float64()))
+    return F.broadcast(df.sparkSession.createDataFrame(pa.table({"_w": values})))
+
+
 def gradient_row_sums(df: DataFrame, weights: np.ndarray, loss: MarginLoss, d: int,
                       features: str = "features", label: str = "label") -> DataFrame:
     """One-row frame ``g_0 .. g_{G-1}, loss_sum, n`` from the JVM ``sums`` kernel."""
     k = loss.outputs
-    staged, margins = staged_margins(df, weights, k, d, features,
-                                     keep=(F.col(features).alias("_x"), F.col(label).cast("double").alias("_y")))
-    row_loss, mults = loss.columns(margins, F.col("_y"))
+    x, w = F.col("_x"), F.col("_w")
+    met = df.select(F.col(features).alias("_x"), F.col(label).cast("double").alias("_y")).crossJoin(weights_row(df, weights))
+    margins = [tree_sum([x.getItem(j).cast("double") * w.getItem(c * d + j) for j in range(d)]) for c in range(k)]
+    staged = met.select("_x", "_y", *[m.alias(f"_z{c}") for c, m in enumerate(margins)])
+    row_loss, mults = loss.columns([F.col(f"_z{c}") for c in range(k)], F.col("_y"))
     staged = staged.select("_x", row_loss.alias("_loss"), *[m.alias(f"_m{c}") for c, m in enumerate(mults)])
     aggs = [F.sum(F.col(f"_m{c}") * F.col("_x").getItem(j).cast("double")).alias(f"g_{c * d + j}")
             for c in range(k) for j in range(d)]

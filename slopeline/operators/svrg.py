@@ -3,9 +3,10 @@
 Both trainers need a sequential pass over rows, which only parallelises across shards. A
 shard is a deterministic group of the sampled batch: ``pmod(xxhash64(key, row id), S)``
 by default (the row id, a hash of the row's content, spreads a hot key over all shards), or
-``pmod(key, S)``. ``S`` is a parameter, as the result depends on it; a batch too large for
-``S`` shards of ``max_shard_bytes`` (the unit ``applyInArrow`` holds in memory) is refused
-with the number of shards it needs.
+``pmod(key, S)``. ``S`` is a parameter, as the result depends on it. Shards of up to
+``max_shard_bytes`` on average are walked in memory; beyond, Spark sorts their rows into the order of
+the walk and they are streamed (:mod:`slopeline.operators.lazy_walks`), with the same result.
+Sparse rows are walked as they are, with lazy steps.
 
 ``svrg`` (gradient aggregating)
     per shard: mean gradient ``mu`` at the current weights ``w`` over the shard; then
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import warnings
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,18 @@ from pyspark.sql import functions as F
 
 from slopeline.functions.losses import MarginLoss
 from slopeline.functions.sampling import keyed_sample
+from slopeline.operators import lazy_walks
 from slopeline.operators.gradient import (DIRECT_MERGE_LIMIT, SLOT_SCHEMA, BatchSums, batch_sums, features_matrix,
-                                          fetch_partials, label_vector, merge_slots, slot_batch)
+                                          fetch_partials, is_sparse, label_vector, merge_slots, slot_batch)
 from slopeline.operators.updates import penalised_step, penalty_value
 
 
-def check_shard_bytes(cfg, rows: int, d: int) -> None:
-    """Refuse a batch whose shards would exceed the byte bound on average."""
-    total = rows * cfg.fraction * d * 8
-    if total > cfg.shards * cfg.max_shard_bytes:
-        raise ValueError(f"{cfg.shards} shards of {cfg.max_shard_bytes} bytes are too few for {total:.3g} bytes of features; "
-                         f"set shards to at least {math.ceil(total / cfg.max_shard_bytes)}")
+def shards_fit(cfg, sharded: DataFrame, rows: int, d: int) -> bool:
+    """Whether the shards of a batch are small enough, on average, to be walked in memory."""
+    if is_sparse(sharded):
+        entries = sharded.agg(F.sum(F.size("features.indices"))).first()[0] or 0
+        return entries * 12 * cfg.fraction <= cfg.shards * cfg.max_shard_bytes
+    return rows * cfg.fraction * d * 8 <= cfg.shards * cfg.max_shard_bytes
 
 
 def shard_column(cfg, shards: int):
@@ -207,23 +210,54 @@ def reduce_partials(partials: DataFrame, length: int, expected: int) -> tuple[np
     return acc[:length], n
 
 
-def run(table: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result, rows: int) -> None:
+def run(sharded: DataFrame, cfg, loss: MarginLoss, d: int, w: np.ndarray, result, rows: int) -> None:
     slots = loss.slots(d)
     reg = cfg.reg_weights(slots, loss.outputs)
-    check_shard_bytes(cfg, rows, d)
-    sharded = sharded_table(table, cfg, cfg.shards)
-    try:
-        sharded.count()
-        table.unpersist()  # one cached copy is enough
-        _walk_iterations(sharded, cfg, loss, d, w, result, cfg.shards, slots, reg)
-    finally:
-        sharded.unpersist()
+    streamed = not shards_fit(cfg, sharded, rows, d)
+    walk = _lazy_walk if streamed or is_sparse(sharded) else _dense_walk
+    _walk_iterations(sharded, cfg, loss, d, w, result, cfg.shards, slots, reg, partial(walk, streamed=streamed))
+
+
+def _dense_walk(batch, cfg, loss, d, w, mu, eta, reg, i, streamed: bool):
+    """Sums over shards of ``f`` (``svrg``) or of the end weights, and the scalars LOSS, USED and ROWS."""
+    slots, shrink = loss.slots(d), reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
+    if mu is None:
+        kernel = svrg_kernel(w, loss, d, eta, shrink, cfg.order, cfg.seed, i)
+        acc, n = reduce_partials(shard_partials(batch, kernel), slots + 1, cfg.shards)
+        return acc[:slots], float(acc[slots]), 0, n
+    kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
+    acc, n = reduce_partials(shard_partials(batch, kernel), slots + 2, cfg.shards)
+    return acc[:slots], float(acc[slots]), int(round(acc[slots + 1])), n
+
+
+def _lazy_walk(batch, cfg, loss, d, w, mu, eta, reg, i, streamed: bool):
+    """As :func:`_dense_walk`, by lazy steps over sparse or streamed rows."""
+    slots, shrink = loss.slots(d), reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
+    if streamed and mu is None:
+        ordered = lazy_walks.twice_in_order(batch, cfg.shards, i, cfg.seed, cfg.order)
+        partials = lazy_walks.streamed_partials(ordered, lazy_walks.streamed_svrg(w, loss, d, eta, shrink))
+    elif streamed:
+        ordered = lazy_walks.in_walk_order(batch, cfg.shards, i, cfg.seed, cfg.order)
+        partials = lazy_walks.streamed_partials(ordered, lazy_walks.streamed_svrg_avg(w, mu, loss, d, eta, shrink))
+    else:
+        def order_of(n, shard):
+            return _walk_order(n, cfg.order, cfg.seed, i, shard, with_replacement=mu is None)
+
+        if mu is None:
+            kernel = lazy_walks.sparse_svrg_kernel(w, loss, d, eta, shrink, order_of)
+        else:
+            kernel = lazy_walks.sparse_svrg_avg_kernel(w, mu, loss, d, eta, shrink, order_of)
+        partials = shard_partials(batch, kernel)
+    acc, scalars = lazy_walks.reduce_slots(partials, slots, cfg.shards * slots)
+    used, n = int(scalars[lazy_walks.USED]), int(scalars[lazy_walks.ROWS])
+    if mu is not None and used:
+        acc = lazy_walks.averaged(w, np.ravel(mu), acc, scalars, eta, reg, 1.0)
+    return acc, float(scalars[lazy_walks.LOSS]), used, n
 
 
-def _walk_iterations(table, cfg, loss, d, w, result, shards, slots, reg) -> None:
+def _walk_iterations(table, cfg, loss, d, w, result, shards, slots, reg, walk) -> None:
     from slopeline.operators.trainers import HistoryEntry, converged
 
-    shrink = reg if not np.ndim(reg) else np.asarray(reg).reshape(loss.outputs, d)
     partitions = shards
     reg_val = penalty_value(w, reg, cfg.penalty)
     updates = 0
@@ -233,13 +267,12 @@ def _walk_iterations(table, cfg, loss, d, w, result, shards, slots, reg) -> None
         eta = cfg.step / math.sqrt(i)
         batch = keyed_sample(table, "key", cfg.fraction, seed, cfg.sampler, cfg.salt())
         if cfg.method == "svrg":
-            kernel = svrg_kernel(w, loss, d, eta, shrink, cfg.order, cfg.seed, i)
-            acc, n = reduce_partials(shard_partials(batch, kernel), slots + 1, shards)
+            acc, loss_sum, _, n = walk(batch, cfg, loss, d, w, None, eta, reg, i)
             if n == 0:
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=3)
                 continue
-            result.history.append(HistoryEntry(i, acc[slots] / n, reg_val, n))
-            new_w = penalised_step(w, acc[:slots] / n, eta, reg, cfg.penalty)
+            result.history.append(HistoryEntry(i, loss_sum / n, reg_val, n))
+            new_w = penalised_step(w, acc / n, eta, reg, cfg.penalty)
         else:
             mean_batch = keyed_sample(table, "key", cfg.mean_fraction, seed, cfg.sampler, cfg.salt())
             mean_sums: BatchSums = batch_sums(mean_batch, w, loss, d, kernel=cfg.kernel, partitions=partitions)
@@ -247,20 +280,18 @@ def _walk_iterations(table, cfg, loss, d, w, result, shards, slots, reg) -> None
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sample for the mean gradient is empty", stacklevel=3)
                 continue
             mu = mean_sums.mean_grad
-            kernel = svrg_avg_kernel(w, mu, loss, d, eta, shrink, cfg.order, cfg.seed, i)
-            acc, n = reduce_partials(shard_partials(batch, kernel), slots + 2, shards)
-            used = int(round(acc[slots + 1]))
+            acc, loss_sum, used, n = walk(batch, cfg, loss, d, w, mu, eta, reg, i)
             if n == 0 or used == 0:
                 warnings.warn(f"iteration {i}/{cfg.iters}: the sampled batch is empty", stacklevel=3)
                 continue
             if cfg.variant == "observed":
                 # empty shards count with the starting weights; loss over the mean sample size
-                new_w = (acc[:slots] + (shards - used) * w) / shards
+                new_w = (acc + (shards - used) * w) / shards
                 denom = mean_sums.count
             else:
-                new_w = acc[:slots] / used
+                new_w = acc / used
                 denom = n
-            result.history.append(HistoryEntry(i, acc[slots] / denom, reg_val, n))
+            result.history.append(HistoryEntry(i, loss_sum / denom, reg_val, n))
         reg_val = penalty_value(new_w, reg, cfg.penalty)
         updates += 1
         stop = updates >= 2 and converged(w, new_w, cfg.tol)

@@ -38,7 +38,7 @@ from slopeline.operators import svrg as svrg_ops
 from slopeline.operators.gradient import batch_sums, is_sparse
 from slopeline.operators.updates import (PENALTIES, STATE, StepContext, apply_rule, init_state, penalty_value,
                                          records_history, reg_penalty)
-from slopeline.operators.validate import check_training_table
+from slopeline.operators.validate import TableFacts, check_training_table
 from slopeline.sources.models import KIND_THRESHOLDS, LinearModel
 
 METHODS = ("sgd", "momentum", "adagrad", "adadelta", "adam", "svrg", "svrg_avg")
@@ -46,6 +46,8 @@ METHODS = ("sgd", "momentum", "adagrad", "adadelta", "adam", "svrg", "svrg_avg")
 # weight slots the weights belong in a table (``slopeline.operators.wide.fit_wide``).
 DENSE_SLOT_LIMIT = 1 << 22
 VARIANTS = ("published", "observed")
+# Copies of a row that one task unfolds at a time.
+UNFOLD_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -57,8 +59,8 @@ class TrainConfig:
     tolerance. ``sampler`` picks the keyed hash (``xxhash64``/``md5``) or layout-dependent
     ``bernoulli``, which depends on the input's partitions. ``partitions`` re-partitions the
     training table (None: as the input has it). ``shards`` is the number of SVRG shards,
-    which the result depends on; a batch whose shards would hold more than
-    ``max_shard_bytes`` of features on average is refused with the number needed.
+    which the result depends on; shards that hold more than ``max_shard_bytes`` of features on
+    average are streamed in the order of their walk instead of walked in memory.
     ``order`` is the row order of a shard walk (``random``: draws from md5 of seed,
     iteration, shard and step; ``key``: by key).
     ``update`` is a user rule ``(w, g, state, ctx) -> (w, state)`` that replaces the
@@ -203,6 +205,18 @@ class FitResult:
             "iter INT, loss DOUBLE, reg DOUBLE, total DOUBLE, batch_rows BIGINT")
 
 
+def _unfolded(counted: DataFrame) -> DataFrame:
+    """``_n`` rows for each row of ``counted``, numbered from 1 in ``_copy``."""
+    cols = ["key", "label", "features"]
+    few = counted.filter(F.col("_n") <= UNFOLD_ROWS).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    starts = F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(UNFOLD_ROWS).cast("long"))
+    ranges = counted.filter(F.col("_n") > UNFOLD_ROWS).select(*cols, "_n", F.explode(starts).alias("_from"))
+    # a keyless deal: the ranges of one row go to all partitions in turn
+    spread = ranges.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    upto = F.least(F.col("_n"), F.col("_from") + F.lit(UNFOLD_ROWS - 1))
+    return few.unionByName(spread.select(*cols, F.explode(F.sequence(F.col("_from"), upto)).alias("_copy")))
+
+
 def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features: str = "features",
             intercept: bool = False, row_ids: bool = False) -> DataFrame:
     """Project the training columns (``key, label, features``) and optionally append the
@@ -210,42 +224,88 @@ def prepare(df: DataFrame, *, key: str = "key", label: str = "label", features:
 
     The id hashes the row's content and its number among equal rows, so it is the same under
     any layout and after a lost executor, and copies of a row get ids of their own. Equal rows
-    are counted (which combines on the map side) and numbered by unfolding the count, so a
-    block of copies is never gathered in one task; the price is one shuffle. A table without
-    a ``key`` column gets the content hash as its key."""
+    are counted (which combines on the map side) and numbered by unfolding the count. A count above
+    :data:`UNFOLD_ROWS` is cut into ranges first, and the ranges are dealt to all partitions before
+    they are unfolded, so that no task makes all copies of a row. A table without a ``key`` column
+    gets the content hash as its key."""
     feats = F.col(features)
     if isinstance(df.schema[features].dataType, VectorUDT):
         feats = vector_to_array(feats, "float64")
     k = F.col(key) if key in df.columns else F.xxhash64(F.col(label), feats)
     rows = df.select(k.alias("key"), F.col(label).cast("double").alias("label"), feats.alias("features"))
     if row_ids:
-        rows = (rows.groupBy("key", "label", "features").agg(F.count(F.lit(1)).alias("_n"))
-                .select("key", "label", "features", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-                .select("key", "label", "features", F.xxhash64("label", "features", "_copy").alias("_rid")))
+        rows = _unfolded(rows.groupBy("key", "label", "features").agg(F.count(F.lit(1)).alias("_n")))
+        rows = rows.select("key", "label", "features", F.xxhash64("label", "features", "_copy").alias("_rid"))
     if intercept:
         rows = rows.withColumn("features", F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0))))
     return rows
 
 
-def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", label: str = "label",
-        features: str = "features", initial_weights=None, num_features: int | None = None, **overrides) -> FitResult:
-    """Train a linear model on ``df`` with ``config``. ``features`` is an array, a Spark ML vector
-    or a sparse ``struct<indices, values>``, whose width is ``num_features`` (default: the
-    largest index plus one; larger indices are an error). Sparse rows stay sparse; only the
-    SVRG walks fill them up, shard by shard.
-
-    Keyword overrides replace fields of ``config`` (``fit(df, method="adam", step=0.01)``).
-    """
+@dataclass
+class PreparedTable:
+    """A training table that is projected, numbered, checked and cached once, for any number of fits
+    (``fit(prepared, config)``). Shards of the variance-reduced trainers are kept too. ``close`` (or
+    leaving a ``with`` block) releases what is cached."""
+
+    table: DataFrame
+    facts: TableFacts
+    sparse: bool
+    intercept: bool
+    checked: tuple
+    partitions: int
+    row_ids: bool
+    sharded: dict = field(default_factory=dict)
+
+    def shards(self, cfg: TrainConfig, rows: DataFrame) -> DataFrame:
+        """``rows`` (the table, with a sparse intercept if asked for) in cached shards."""
+        kind = (cfg.shards, cfg.shard_by)
+        if kind not in self.sharded:
+            self.sharded[kind] = svrg_ops.sharded_table(rows, cfg, cfg.shards)
+            self.sharded[kind].count()
+        return self.sharded[kind]
+
+    def check_labels(self, loss: MarginLoss, cfg: TrainConfig) -> None:
+        """Check the labels for a loss other than the one the table was prepared for."""
+        kind = _label_rule(loss, cfg)
+        if cfg.validate and kind != self.checked and self.facts.rows:
+            check_training_table(self.table, loss, num_classes=getattr(loss, "num_classes", cfg.num_classes), element_nulls=False)
+            self.checked = kind
+
+    def close(self) -> None:
+        for each in self.sharded.values():
+            each.unpersist()
+        self.sharded.clear()
+        self.table.unpersist()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def _label_rule(loss: MarginLoss, cfg: TrainConfig) -> tuple:
+    return loss.name, loss.binary_labels, getattr(loss, "num_classes", cfg.num_classes)
+
+
+def prepared(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", label: str = "label", features: str = "features",
+             row_ids: bool | None = None, **overrides) -> PreparedTable:
+    """Project, number, check and cache a training table for fits with ``config`` and others that share
+    its intercept and feature form. ``row_ids`` (default: as ``config`` needs) numbers the rows,
+    which sampling by row and hashed shards read."""
     cfg = replace(config or TrainConfig(), **overrides) if overrides else (config or TrainConfig())
     loss = resolve_loss(cfg.loss, cfg.num_classes)
-    if cfg.method in ("svrg", "svrg_avg") and not loss.has_numpy:
-        raise ValueError(f"{cfg.method} walks rows in NumPy; the loss needs a numpy form")
-    started = time.perf_counter()
     sparse = is_sparse(df, features)
     if cfg.method in STATE and sparse and not loss.has_numpy:
         raise ValueError("sparse features need a loss with a numpy form")
-    table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept and not sparse,
-                    row_ids=cfg.needs_row_ids())
+    numbered = cfg.needs_row_ids() if row_ids is None else row_ids
+    if "_rid" in df.columns:  # numbered before, such as the parts of a row split
+        table = df.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), F.col(features).alias("features"), "_rid")
+        numbered = True
+        if cfg.intercept and not sparse:
+            table = table.withColumn("features", F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0))))
+    else:
+        table = prepare(df, key=key, label=label, features=features, intercept=cfg.intercept and not sparse, row_ids=numbered)
     if cfg.partitions:
         table = table.repartition(cfg.partitions)
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
@@ -256,6 +316,32 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
                          or (cfg.kernel == "auto" and loss.has_numpy))
         facts = check_training_table(table, loss, num_classes=getattr(loss, "num_classes", cfg.num_classes), element_nulls=not kernel_checks,
                                      check_labels=cfg.validate)
+    except BaseException:
+        table.unpersist()
+        raise
+    return PreparedTable(table, facts, sparse, cfg.intercept, _label_rule(loss, cfg), table.rdd.getNumPartitions(), numbered)
+
+
+def fit(df: DataFrame | PreparedTable, config: TrainConfig | None = None, *, key: str = "key", label: str = "label",
+        features: str = "features", initial_weights=None, num_features: int | None = None, **overrides) -> FitResult:
+    """Train a linear model on ``df``, a table or a :class:`PreparedTable`, with ``config``. ``features`` is an array, a Spark ML vector
+    or a sparse ``struct<indices, values>``, whose width is ``num_features`` (default: the
+    largest index plus one; larger indices are an error). Sparse rows stay sparse.
+
+    Keyword overrides replace fields of ``config`` (``fit(df, method="adam", step=0.01)``).
+    """
+    cfg = replace(config or TrainConfig(), **overrides) if overrides else (config or TrainConfig())
+    loss = resolve_loss(cfg.loss, cfg.num_classes)
+    if cfg.method in ("svrg", "svrg_avg") and not loss.has_numpy:
+        raise ValueError(f"{cfg.method} walks rows in NumPy; the loss needs a numpy form")
+    started = time.perf_counter()
+    own = not isinstance(df, PreparedTable)
+    ready = prepared(df, cfg, key=key, label=label, features=features) if own else df
+    if not own and (ready.intercept != cfg.intercept or (cfg.needs_row_ids() and not ready.row_ids)):
+        raise ValueError("the table was prepared with another intercept, or without the row ids that this fit needs")
+    table, facts, sparse = ready.table, ready.facts, ready.sparse
+    try:
+        ready.check_labels(loss, cfg)
         d = facts.dim if facts.rows else (
             None if initial_weights is None else len(initial_weights) // loss.outputs)
         if sparse and num_features is not None:
@@ -283,12 +369,14 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
             return result
         if facts.rows * cfg.fraction < 1:
             warnings.warn(f"fraction={cfg.fraction} of {facts.rows} rows is less than one row a batch", stacklevel=2)
-        partitions = table.rdd.getNumPartitions()  # of the filled cache: runs nothing
         try:
             if cfg.method in STATE:
-                _run_gradient_loop(trained, cfg, loss, d, w, result, partitions, facts.rows)
+                _run_gradient_loop(trained, cfg, loss, d, w, result, ready.partitions, facts.rows)
             else:
-                svrg_ops.run(trained, cfg, loss, d, w, result, facts.rows)
+                sharded = ready.shards(cfg, trained)
+                if own:
+                    table.unpersist()  # one cached copy is enough
+                svrg_ops.run(sharded, cfg, loss, d, w, result, facts.rows)
         except PythonException as exc:
             # a kernel rejected the data (e.g. a null vector entry): report it as the
             # validation error it is
@@ -300,7 +388,8 @@ def fit(df: DataFrame, config: TrainConfig | None = None, *, key: str = "key", l
         result.elapsed_ms = (time.perf_counter() - started) * 1000.0
         return result
     finally:
-        table.unpersist()
+        if own:
+            ready.close()
 
 
 def _model(w: np.ndarray, cfg: TrainConfig, loss: MarginLoss, d: int) -> LinearModel:

@@ -12,6 +12,7 @@ momentum rules; AdaGrad, AdaDelta and Adam use ``step`` without decay.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,24 @@ class StepContext:
         return self.step / math.sqrt(self.i)
 
 
+@dataclass(frozen=True)
+class UpdateRule:
+    """A user rule for both modes: ``step(w, g, state, ctx, ops) -> (w, state)`` written element by
+    element against ``ops`` (``sqrt``, ``abs``, ``sign``, ``pos`` and plain arithmetic), so that it runs on NumPy
+    vectors and on the columns of a weight table alike. ``state`` names vectors that start at
+    zero and are handed back to the next step."""
+
+    step: Callable
+    state: tuple = ()
+
+    def __call__(self, w, g, state, ctx, ops=ArrayOps):
+        state = state or {name: w * 0.0 for name in self.state}
+        new_w, new_state = self.step(w, g, state, ctx, ops)
+        if set(new_state) != set(self.state):
+            raise ValueError(f"the rule returns state {sorted(new_state)}, not {sorted(self.state)}")
+        return new_w, new_state
+
+
 def penalised_step(w, g, eta: float, reg: float, penalty: str, ops=ArrayOps):
     """U1-U3: ``w - eta g`` (none), soft threshold after the step (l1), or
     ``(1 - eta reg) w - eta g`` (l2)."""

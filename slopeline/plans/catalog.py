@@ -736,13 +736,13 @@ def _experiment_sql() -> str:
 
 @register("experiment_report", _experiment_sql())
 def q_experiment_report(spark, sf_dir):
-    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3, tol=0.0, sampler="md5",
+    report = run_experiment(tables.embeddings_binary(spark, sf_dir), iterations=3, tol=0.0, sampler="md5", split_by="key",
                             trainer_options=dict(shard_by="key_mod", shards=4, order="key", sample_by="key"))
     return report.select("method", r("auc", 9).alias("auc"), "train_rows", "test_rows", "rows", "iterations")
 
 
 @register("experiment_report_sparse", _experiment_sql())
 def q_experiment_report_sparse(spark, sf_dir):
-    report = run_experiment(_sparse_copy(spark, tables.embeddings_binary(spark, sf_dir)), iterations=3, tol=0.0, sampler="md5",
+    report = run_experiment(_sparse_copy(spark, tables.embeddings_binary(spark, sf_dir)), iterations=3, tol=0.0, sampler="md5", split_by="key",
                             trainer_options=dict(shard_by="key_mod", shards=4, order="key", sample_by="key"))
     return report.select("method", r("auc", 9).alias("auc"), "train_rows", "test_rows", "rows", "iterations")

@@ -15,7 +15,7 @@ from slopeline.functions.sampling import SPLIT_SEED, keyed_split
 from slopeline.operators.metrics import area_under_roc
 from slopeline.operators.gradient import is_sparse
 from slopeline.operators.scoring import as_arrays, score_column
-from slopeline.operators.trainers import TrainConfig, fit
+from slopeline.operators.trainers import TrainConfig, fit, prepare, prepared
 
 # Fixed values of the experiment: regularisation weight 1 and the step of each method.
 EXPERIMENT_REG = 1.0
@@ -30,30 +30,35 @@ def run_experiment(df: DataFrame, *, methods=EXPERIMENT_METHODS, iterations: int
                    mean_fraction: float = 1.0, tol: float = 1e-7, partitions: int | None = None,
                    variant: str = "published", sampler: str = "xxhash64", key: str = "key", label: str = "label",
                    features: str = "features", trainer_options: dict | None = None,
-                   split_salt: str | None = None) -> DataFrame:
+                   split_by: str = "row", split_salt: str | None = None) -> DataFrame:
     """Report ``(method, auc, train_rows, test_rows, rows, iterations, elapsed_ms)``.
 
     ``sampler`` hashes keys for the split and the mini-batches (``md5`` reproduces them in
-    other SQL engines); ``split_salt``, a column that tells the rows of a key apart, splits by
-    row instead of by key; ``trainer_options`` adds ``TrainConfig`` fields (e.g. SVRG shards)."""
+    other SQL engines). The split is by row: rows are numbered among their equals, or told apart by the
+    column ``split_salt`` if there is one, so that a key that many rows share lies in both parts.
+    ``split_by="key"`` keeps the rows of a key together. The training part is prepared once (numbered,
+    checked, cached, sharded) and every method trains on it. ``trainer_options`` adds
+    ``TrainConfig`` fields (e.g. SVRG shards)."""
+    if split_by not in ("row", "key"):
+        raise ValueError("split_by must be 'row' or 'key'")
     spark = df.sparkSession
+    configs = [TrainConfig(method=method, penalty="l2", reg=EXPERIMENT_REG, step=EXPERIMENT_STEPS[method],
+                           iters=iterations, fraction=fraction, mean_fraction=mean_fraction, tol=tol,
+                           variant=variant, sampler=sampler, **(trainer_options or {})) for method in methods]
     data = df.select(F.col(key).alias("key"), binarize(label).alias("label"), F.col(features).alias("features"),
-                     *([F.col(split_salt)] if split_salt else []))
+                     *([F.col(split_salt).alias("_salt")] if split_salt else []))
     if partitions:
         data = data.repartition(int(partitions))
-    train, test = keyed_split(data, "key", (0.7, 0.3), seed=SPLIT_SEED, sampler=sampler, salt=split_salt)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    salt = "_salt" if split_salt else None
+    if split_by == "row" and not salt:
+        data, salt = prepare(data, row_ids=True), "_rid"
+    train, test = keyed_split(data, "key", (0.7, 0.3), seed=SPLIT_SEED, sampler=sampler, salt=salt)
     rows, fits = [], []
-    try:
-        train_rows = train.count()
-        for method in methods:
+    with prepared(train, configs[0], row_ids=any(c.needs_row_ids() for c in configs)) as ready:
+        train_rows = ready.facts.rows
+        for cfg in configs:
             started = time.perf_counter()
-            cfg = TrainConfig(method=method, penalty="l2", reg=EXPERIMENT_REG, step=EXPERIMENT_STEPS[method],
-                              iters=iterations, fraction=fraction, mean_fraction=mean_fraction, tol=tol,
-                              variant=variant, sampler=sampler, **(trainer_options or {}))
-            fits.append((method, fit(train, cfg), started, time.perf_counter()))
-    finally:
-        train.unpersist()
+            fits.append((cfg.method, fit(ready, cfg), started, time.perf_counter()))
     # the held-out part is read once: every model's score of a row, side by side
     scoring_started = time.perf_counter()
     scores = as_arrays(test).select("label", *(score_column(res.model.clear_threshold(), sparse=is_sparse(test)).alias(f"s{k}") for k, (_, res, _, _) in enumerate(fits)))
