@@ -36,7 +36,7 @@ from .text import LEAD, per_text, span_hashes, text_pieces
 from .tokens import plain_texts, pretoken_starts
 
 #: Bytes of text in one written row; a longer text is a row of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 #: The counts are broadcast up to this many id pairs (17 bytes each), and joined beyond.
 BROADCAST_PAIRS = 2 << 20
@@ -45,7 +45,7 @@ WORDS_A_TEXT = 4096
 #: A worker's table of words starts anew beyond these numbers of words and of ids.
 MOST_WORDS, MOST_IDS = 1 << 19, 1 << 22
 
-CHUNKS = "chunk long, doc_ids binary, nulls binary, a binary, n_a binary, b binary, n_b binary"
+CHUNKS = "chunk long, doc_ids binary, nulls binary, a binary, n_a binary, b binary, n_b binary, width int"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -293,10 +293,12 @@ def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             nonlocal held, volume, number
             cols = [np.concatenate(c) for c in zip(*held)]
             held, volume, number = [], 0, number + 1
+            ids = np.uint16 if a_table.dtype == b_table.dtype == np.uint16 else np.uint32
+            kinds = (np.int64, bool, ids, np.int32, ids, np.int32)
+            out = [pa.array([number - 1], pa.int64()), *(pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(cols, kinds)), pa.array([np.dtype(ids).itemsize], pa.int32())]
+            del cols
             give_back()
-            kinds = (np.int64, bool, np.uint32, np.int32, np.uint32, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), *(pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(cols, kinds))],
-                                              names=[c.split()[0] for c in CHUNKS.split(", ")])
+            return pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in CHUNKS.split(", ")])
 
         for batch in batches:
             text = batch.column("text").fill_null("")
@@ -305,13 +307,13 @@ def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             ids = batch.column("doc_id")
             nulls = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_pieces(spaced, CHUNK_BYTES // 2):
+            for lo, hi, data, offsets in text_pieces(spaced, CHUNK_BYTES):
                 a, n_a, good_a = a_table.encode(data, offsets)
                 b, n_b, good_b = b_table.encode(data, offsets)
                 keep = good_a & good_b & ~empty[lo:hi]
                 held.append((ids[lo:hi], nulls[lo:hi], *_only(a, n_a, keep), *_only(b, n_b, keep)))
                 volume += len(data)
-                if volume >= CHUNK_BYTES // 2:
+                if volume >= CHUNK_BYTES:
                     yield close()
         if held:
             yield close()
@@ -323,7 +325,7 @@ class Links:
     """The links and groups of one written row, from its ids and the ids' byte lengths."""
 
     def __init__(self, row: dict, lengths_a: np.ndarray, lengths_b: np.ndarray):
-        self.a, self.b = np.frombuffer(row["a"], np.uint32), np.frombuffer(row["b"], np.uint32)
+        self.a, self.b = (np.frombuffer(row[c], f"u{row['width']}") for c in ("a", "b"))
         self.n_a, self.n_b = np.frombuffer(row["n_a"], np.int32).astype(np.int64), np.frombuffer(row["n_b"], np.int32).astype(np.int64)
         self.ids, self.nulls = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["nulls"], bool)
         self.ends_a, self.ends_b = np.cumsum(lengths_a[self.a]), np.cumsum(lengths_b[self.b])
@@ -379,6 +381,7 @@ def pair_counts(chunks: DataFrame, lengths_a: np.ndarray, lengths_b: np.ndarray)
             for row in batch.to_pylist():
                 links = Links(row, lengths_a, lengths_b)
                 yield pa.RecordBatch.from_arrays([pa.array(links.distinct), pa.array(links.counts.astype(np.int64))], names=["pair", "n"])
+            give_back()
 
     counts = written(chunks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -412,6 +415,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int
                     links = Links(row, lengths_a, lengths_b)
                     at = np.searchsorted(pair, links.distinct)
                     yield links.result(n[at], best[at])
+                give_back()
 
         return chunks.mapInArrow(finish, RESULT)
 
