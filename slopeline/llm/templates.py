@@ -1,26 +1,36 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Tokens are tags and short text strings, told apart by the path of open elements around them. The
+Tokens are tags and text strings, told apart by the chain of open elements around them. The
 occurrence vector of a token over the pages of a host says how often each page has it; tokens with
 equal vectors form an equivalence class. Vectors are never built: each page adds one hash of
 itself and the count to an exclusive-or, so a host with a third of all pages is summed on the map
 side, and equal sums mean equal vectors.
 
-The tokens that nearly all pages (SUPPORT) have exactly once form the root class; empty pages do not
+Pages of a host are grouped by layout (the elements down to LAYOUT_DEPTH), so that each of several
+layouts has its template, if LAYOUT_SHARE of the host's pages have it; a page of a rarer one is its own
+layout. Strings are compared over the whole host. Containers of one name under one element take
+different roles by their place among each other. The tokens that nearly all pages of a layout (SUPPORT) have exactly once form its root class; empty pages do not
 count and copies of a page count as one. A class is valid if its tokens stand in the same order, which
-a second pass checks; tokens that break the order leave it. The rest, in order, is the host's
-template; other frequent classes are nested in the slot between the two root tokens around them.
-
-The main element is the outermost root ``article`` or ``main`` that holds MAIN_SHARE of the running
-text, else the innermost root element with no running text outside it; where a page has some outside,
-the page takes the next element around that has none. Its slots, without boilerplate elements and
-without blocks that consist of template strings, are the article.
+a second pass checks; tokens that break the order leave it. The rest, in order, is the
+template; other classes are nested in the slot between the two root tokens around them.
+
+Slots are judged by their text over all pages of the layout. Text of a nested class (a block element
+whose number differs from page to page, such as an item or a comment) or in a paragraph or heading is
+prose; a bare string in an element of the template is not. The article is the innermost root element that holds MAIN_SHARE of the
+running text and has no prose, nor any text of an element around it, outside; an ``article`` or ``main``
+element with that share, or with no such text outside, goes first. Where a page has such text outside, the page takes the next
+element around that has none. Its slots, without boilerplate elements and without blocks that consist of
+template strings, are the text.
+
+The tag and class lists are hints beside the template: listed tags are never content, and an element
+with a listed class goes if the template repeats it or it holds little of the page's text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,23 +54,32 @@ BOILERPLATE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertis
                                "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription comment comments commentlist respond reply replies disqus "
                                "related recommended share sharing social footer widget login signup search pagination pager skip toolbar").split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Share of the host's running text that an ``article`` or ``main`` must hold to stand for the article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the running text of a layout's pages that the article's element holds at least.
 MAIN_SHARE = 0.8
-#: Share of the host's pages that have a root token once, and pages that a template string needs at least.
-SUPPORT, LEAST = 0.8, 3
-FREQUENT = 0.5
+#: Support of the classes: share of a layout's pages that have a root token once, share that have a token of
+#: any class, and distinct pages that a template string needs at least.
+SUPPORT, FREQUENT, LEAST = 0.8, 0.5, 3
+#: An element with a listed class or id that the template does not repeat is boilerplate up to this share of the
+#: page's running text.
+LITTLE_SHARE = 0.1
+#: Elements down to this depth tell layouts apart; a layout has a template from this share of the host's pages
+#: (so a host has at most its inverse of them), and from two pages.
+LAYOUT_DEPTH, LAYOUT_SHARE = 3, 0.01
+#: A block element is steady in a layout if the variance of its number on a page is at most this.
+STEADY = 0.1
 #: Sums of weights are compared up to this.
 ROUNDING = 1e-6
-#: An element with a listed class or id that the template does not repeat is boilerplate up to this length.
-LITTLE = 200
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_HEADING = re.compile(r"/h[1-6](?![^/.@#])")
+_MASK = (1 << 64) - 1
 
-TOKENS = "host string, token long, kind int, uses long, mark long, position double, mass long, depth int, flag int, n_rows long, n_pages double, n_once double"
-CHECKS = "host string, token long, broken double, seen double, stray double, inside long, total long"
+TOKENS = "host string, layout long, token long, kind int, uses long, mark long, position double, mass long, depth int, flag int, squares long, n_rows long, n_pages double, n_once double"
+CHECKS = "host string, layout long, token long, broken double, seen double, stray double, inside long, total long"
 
 
 class Event:
@@ -69,6 +88,11 @@ class Event:
     OPEN, CLOSE, TEXT, BREAK = range(4)
 
 
+#: The kind of a token that counts a block element whatever its place among its like.
+COUNT = 4
+ITEMS = frozenset("li dd dt tr td th thead tbody tfoot option".split())
+
+
 def _listed(name: str, attributes: str) -> bool:
     """Whether a class, id or role names boilerplate: a hint that ``flagged`` weighs."""
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
@@ -83,74 +107,167 @@ def _label(name: str, attributes: str, listed: bool) -> str:
     return name + "".join(f"{mark}{found[k]}" for k, mark in (("class", "."), ("role", "@"), ("id", "#")) if k in found and (k != "id" or listed))
 
 
-def scan(page: str) -> Iterator[tuple[int, str, str, int, bool, bool, bool]]:
-    """(kind, tag name or raw text, path with label, depth, within a boilerplate tag, within a link, opens
-    an element with a listed class) in order.
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, name, attributes) of tags, in one linear pass; a closing tag's name begins with a slash, and
+    comments, declarations and the like have no name. An unclosed comment lasts to the end; a tag
+    with an unclosed quotation mark ends at the next ``>``; a ``<`` that begins nothing is text."""
+    at, size, dead = 0, len(page), set()
+    while True:
+        begin = page.find("<", at)
+        if begin < 0 or begin + 1 >= size:
+            return
+        mark = page[begin + 1]
+        closing = mark == "/"
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            end = size if end < 0 else end + 3
+            yield begin, end, "", ""
+        elif page.startswith("<![CDATA[", begin) and (end := page.find("]]>", begin)) >= 0:
+            end += 3
+            yield begin, end, "", ""
+        elif mark in "!?" or closing and page[begin + 2 : begin + 3].isascii() and page[begin + 2 : begin + 3].isalpha():
+            end = page.find(">", begin + 1) + 1
+            if not end:
+                return
+            yield begin, end, "/" + _NAME.match(page, begin + 2)[0].lower() if closing else "", ""
+        elif mark.isascii() and mark.isalpha():
+            end = begin + 1
+            while True:
+                end = _PLAIN.match(page, end).end()
+                if end >= size:
+                    return
+                quote = page[end]
+                if quote == ">":
+                    break
+                other = -1 if quote in dead else page.find(quote, end + 1)
+                if other < 0:
+                    dead.add(quote)
+                    end = page.find(">", end)
+                    if end < 0:
+                        return
+                    break
+                end = other + 1
+            name = _NAME.match(page, begin + 1)[0]
+            yield begin, end + 1, name.lower(), page[begin + 1 + len(name) : end]
+            end += 1
+        else:
+            end = begin + 1
+        at = end
+
+
+def chained(path: int, label: int) -> int:
+    path = ((path ^ label) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
+    return path ^ path >> 29
+
+
+class _Open:
+    """The open elements: (name, path, boilerplate, link, block, heading, path without places, the block's
+    path without places), and the places of each name."""
+
+    ROOT = ("", 0, False, False, 0, False, 0, 0)
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> tuple:
+        return self.stack[-1] if self.stack else self.ROOT
+
+    def last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def push(self, entry: tuple) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.stack))
+        self.stack.append(entry)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+    def end(self, names, limits) -> None:
+        """Close the last open element of ``names`` unless one of ``limits`` lies inside it."""
+        place = self.last(names)
+        if place >= 0 and place > self.last(limits):
+            self.cut(place)
+
+
+def scan(page: str) -> Iterator[tuple]:
+    """(kind, tag name or raw text, path, depth, within a boilerplate tag, within a link, opens an element with a listed
+    class, path of the innermost block, within a heading, text with single spaces, that block's path without places)
+    in order.
 
-    Elements left open are closed as browsers do it: a block ends an open paragraph, an item an
-    open item; a closing tag ends what is open inside it, and one without an opening is skipped."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate, link
+    A path is a hash of the chain of labels, so its size does not grow with the depth; a container's
+    label has its place among its like under one element. Elements left
+    open are closed as browsers do it: a block ends an open paragraph, an item an open item; a closing
+    tag ends what is open inside it, and one without an opening is skipped."""
+    open_now, labels, met = _Open(), {}, {}
     at, size = 0, len(page)
 
-    def ended(names, limits) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in limits:
-                return
+    def text(begin: int, end: int):
+        _, path, bad, link, block, heading, _, count = open_now.top()
+        raw = page[begin:end]
+        return Event.TEXT, raw, path, len(open_now.stack), bad, link, False, block, heading, " ".join(raw.split()), count
 
-    while at < size:
-        tag = _TAG.search(page, at)
-        begin = tag.start() if tag else size
+    for begin, end, name, attributes in tags(page):
+        if begin < at:
+            continue  # within a raw element
         if begin > at:
-            top = stack[-1] if stack else ("", "", False, False)
-            yield Event.TEXT, page[at:begin], top[1], len(stack), top[2], top[3], False
-        if not tag:
-            return
-        at = tag.end()
-        name, attributes = (tag[1] or tag[3] or "").lower(), tag[2] or tag[4] or ""
-        if name:
+            yield text(at, begin)
+        at = end
+        if not name:
+            continue
+        if name[0] != "/":
             if name in CLOSES_P:
-                ended(("p",), ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote"))
+                open_now.end(("p",), ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote"))
             if name in ENDS:
-                ended(*ENDS[name])
-            above = stack[-1] if stack else ("", "", False, False)
+                open_now.end(*ENDS[name])
+            _, above, bad, link, block, heading, plain, count = open_now.top()
+            depth = len(open_now.stack)
             if name in VOID:
-                yield Event.BREAK, name, above[1], len(stack), above[2], above[3], False
+                yield Event.BREAK, name, above, depth, bad, link, False, block, heading, "", count
                 continue
-            listed = _listed(name, attributes)
-            path = f"{above[1]}/{_label(name, attributes, listed)}"
-            bad = above[2] or name in BOILERPLATE_TAGS or name == "header" and not any(s[0] in ("article", "main") for s in stack)
-            yield Event.OPEN, name, path, len(stack) + 1, bad, above[3] or name == "a", listed
+            key = (name, attributes)
+            if key not in labels:
+                listed = _listed(name, attributes)
+                labels[key] = listed, xxhash.xxh64_intdigest(_label(name, attributes, listed))
+            listed, label = labels[key]
+            path, plain = chained(above, label), chained(plain, label)
+            if name in BLOCK and name not in PROSE and name not in ITEMS:
+                place = met[path] = met.get(path, -1) + 1
+                path = chained(path, place) if place else path
+            bad = bad or name in BOILERPLATE_TAGS or name == "header" and open_now.last(("article", "main")) < 0
+            block, count, heading = *((path, plain) if name in BLOCK else (block, count)), heading or name in HEADINGS
+            yield Event.OPEN, name, path, depth + 1, bad, link or name == "a", listed, block, heading, "", count
             if attributes.endswith("/") and name in ("svg", "math", "path"):
                 continue
             if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-                yield Event.CLOSE, name, path, len(stack) + 1, bad, above[3], False
+                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = stop.end() if stop else size
+                yield Event.CLOSE, name, path, depth + 1, bad, link, False, block, heading, "", count
                 continue
-            stack.append((name, path, bad, above[3] or name == "a"))
-        elif tag[5]:
-            name = tag[5].lower()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    path, bad, link = stack[k][1:]
-                    depth = k + 1
-                    del stack[k:]
-                    yield Event.CLOSE, name, path, depth, bad, link, False
-                    break
-            else:
-                if name == "p":
-                    yield Event.BREAK, "hr", stack[-1][1] if stack else "", len(stack), bool(stack) and stack[-1][2], False, False
+            open_now.push((name, path, bad, link or name == "a", block, heading, plain, count))
+        else:
+            name = name[1:]
+            place = open_now.last((name,))
+            if place >= 0:
+                _, path, bad, link, block, heading, _, count = open_now.stack[place]
+                open_now.cut(place)
+                yield Event.CLOSE, name, path, place + 1, bad, link, False, block, heading, "", count
+            elif name == "p":
+                _, path, bad, _, block, heading, _, count = open_now.top()
+                yield Event.BREAK, "hr", path, len(open_now.stack), bad, False, False, block, heading, "", count
+    if at < size:
+        yield text(at, size)
 
 
-def token_id(kind: int, path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{kind}{path}\0{text}") - (1 << 63)
+def element_token(kind: int, path: int) -> int:
+    return (((path + kind) * 0xD6E8FEB86659FD93 + kind) & _MASK) - (1 << 63)
 
 
 def event_token(event: tuple) -> int:
-    return token_id(event[0], event[2], " ".join(event[1].split()) if event[0] == Event.TEXT else "")
+    if event[0] == Event.TEXT:  # a string by its block, whichever of its like that is
+        return xxhash.xxh64_intdigest(event[9], event[10]) - (1 << 63)
+    return element_token(event[0], event[2])
 
 
 def spans(events: list[tuple]) -> tuple[dict[int, int], dict[int, int]]:
@@ -166,20 +283,49 @@ def spans(events: list[tuple]) -> tuple[dict[int, int], dict[int, int]]:
     return ends | {k: len(events) for k in open_now}, around
 
 
+def is_running(e: tuple, fixed=frozenset()) -> bool:
+    """Running text: no boilerplate, no template string, no link but in a heading."""
+    return e[0] == Event.TEXT and bool(e[9]) and not e[4] and (not e[5] or e[8]) and not (fixed and event_token(e) in fixed)
+
+
 def running(events: list[tuple], fixed=frozenset()) -> list[int]:
-    """Running text before each event and in all: no boilerplate, no template strings, no links but in headings."""
+    """Running text before each event and in all."""
     sums = [0]
     for e in events:
-        n = 0
-        if e[0] == Event.TEXT and not e[4] and (not e[5] or _HEADING.search(e[2])) and not (fixed and event_token(e) in fixed):
-            n = len(" ".join(e[1].split()))
-        sums.append(sums[-1] + n)
+        sums.append(sums[-1] + (len(e[9]) if is_running(e, fixed) else 0))
     return sums
 
 
+class Stray:
+    """Running text that must not stay outside the article: prose, and text of an element around it.
+    ``steady`` are the block elements of the template (None: all, for a page by itself)."""
+
+    def __init__(self, events: list[tuple], ends: dict, around: dict, fixed, steady):
+        self.ends, self.around = ends, around
+        names = {e[2]: e[1] for e in events if e[0] == Event.OPEN}
+        self.sums, self.bare = [0], {}
+        for e in events:
+            n = 0
+            if is_running(e, fixed):
+                if names.get(e[7], "") in PROSE or e[7] and steady is not None and element_token(COUNT, e[10]) not in steady:
+                    n = len(e[9])
+                else:
+                    self.bare[e[7]] = self.bare.get(e[7], 0) + len(e[9])
+            self.sums.append(self.sums[-1] + n)
+        self.path = {k: events[k][2] for k in ends}
+        #: Bare text of the elements around each one (a path is met once around it, if it is a root token).
+        self.above: dict[int, int] = {}
+        for k in sorted(ends):
+            up = around[k]
+            self.above[k] = self.above[up] + self.bare.get(self.path[up], 0) if up >= 0 else self.bare.get(0, 0)
+
+    def outside(self, k: int) -> int:
+        return self.sums[-1] - self.sums[self.ends[k]] + self.sums[k] + self.above[k]
+
+
 def flagged(page: str, repeated=frozenset()) -> list[tuple]:
     """The events of ``scan``, where elements with a listed class are boilerplate as well if the host's
-    template repeats them or they hold little of the page's text. One around an ``article`` or ``main``
+    template repeats them or they hold little of the page's text (LITTLE_SHARE). One around an ``article`` or ``main``
     never is, nor one with most of the running text: of the host's, for those in the template, or of the page's."""
     events = list(scan(page))
     listed = [k for k, e in enumerate(events) if e[6] and not e[4]]
@@ -189,30 +335,40 @@ def flagged(page: str, repeated=frozenset()) -> list[tuple]:
     articles = [k for k, e in enumerate(events) if e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4]]
     done = 0
     for k in listed:
-        mass = sums[ends[k]] - sums[k]
-        if k >= done and not any(k < a < ends[k] for a in articles) and (event_token(events[k]) in repeated or mass <= LITTLE and 2 * mass <= sums[-1]):
+        inside = bisect_right(articles, k)
+        holds = inside < len(articles) and articles[inside] < ends[k]
+        if k >= done and not holds and (event_token(events[k]) in repeated or (sums[ends[k]] - sums[k]) <= LITTLE_SHARE * sums[-1]):
             done = ends[k]
             events[k:done] = [(*e[:4], True, *e[5:]) for e in events[k:done]]
     return events
 
 
-def page_tokens(page: str) -> dict[int, list]:
-    """By token: kind, uses, position of the first use, running text inside (open tags), depth, and flags
-    of open tags (1: a listed class, 2: article or main). Token 0 is the page itself."""
+def layout_of(events: list[tuple]) -> int:
+    """What tells layouts apart: the elements down to ``LAYOUT_DEPTH``."""
+    top = sorted({e[2] for e in events if e[0] == Event.OPEN and e[3] <= LAYOUT_DEPTH})
+    return xxhash.xxh64_intdigest(np.array(top, np.uint64).tobytes()) - (1 << 63) | 1
+
+
+def page_tokens(page: str) -> tuple[int, dict[int, list]]:
+    """The page's layout, and by token: kind, uses, position of the first use, running text inside (open
+    tags), depth, and flags of open tags (1: a listed class, 2: article or main). Token 0 is the page itself;
+    tokens of the kind COUNT are block elements whatever their places."""
     events = list(scan(page))
     (ends, _), sums = spans(events), running(events)
     out: dict[int, list] = {0: [-1, 1, 0, sums[-1], 0, 0]}
     for n, e in enumerate(events):
-        if e[0] == Event.BREAK or e[0] == Event.TEXT and not e[1].strip():
+        if e[0] == Event.BREAK or e[0] == Event.TEXT and not e[9]:
             continue
         t = event_token(e)
         mass = sums[ends[n]] - sums[n] if e[0] == Event.OPEN else 0
+        if e[0] == Event.OPEN and e[1] in BLOCK:
+            out.setdefault(element_token(COUNT, e[10]), [COUNT, 0, n, 0, e[3], 0])[1] += 1
         if t in out:
             out[t][1] += 1
             out[t][3] += mass
         else:
             out[t] = [e[0], 1, n, mass, e[3], 0 if e[0] != Event.OPEN else e[6] + 2 * (e[1] in ("article", "main"))]
-    return out
+    return layout_of(events), out
 
 
 def hosts(url) -> "F.Column":
@@ -233,43 +389,52 @@ def distinct_pages(rows: DataFrame) -> DataFrame:
 
 
 def token_classes(pages: DataFrame) -> DataFrame:
-    """One row per host and frequent token (on half of the host's pages or more): its class (the
-    fingerprint of its occurrence vector), pages, uses, mean position and running text."""
+    """One row per host, layout and frequent token (on half of the pages or more): its class (the
+    fingerprint of its occurrence vector), pages, uses, mean position and running text. Layout 0 is the
+    whole host, for its strings and opening tags, however frequent."""
 
     def run(batches):
         for b in batches:
-            rows: dict[tuple[str, int], list] = {}
+            rows: dict[tuple[str, int, int], list] = {}
             for host, page_id, page, weight in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "html", "weight"))):
                 own = xxhash.xxh64_intdigest(f"{page_id}\0{page}")
-                for t, (kind, uses, position, mass, depth, flag) in page_tokens(page).items():
+                layout, tokens = page_tokens(page)
+                for t, (kind, uses, position, mass, depth, flag) in tokens.items():
                     mark = xxhash.xxh64_intdigest(f"{own} {uses}")
-                    have = rows.get((host, t))
                     once = weight if uses == 1 else 0.0
-                    if have is None:
-                        rows[host, t] = [kind, uses, mark, position, mass, depth, flag, 1, weight, once]
-                    else:
-                        have[1] += uses
-                        have[2] ^= mark
-                        have[3] += position
-                        have[4] += mass
-                        have[6] |= flag
-                        have[7] += 1
-                        have[8] += weight
-                        have[9] += once
+                    for key in ((host, layout, t), (host, 0, t))[: 1 if kind == Event.CLOSE else 2]:
+                        have = rows.get(key)
+                        if have is None:
+                            rows[key] = [kind, uses, mark, position, mass, depth, flag, uses * uses, 1, weight, once]
+                        else:
+                            have[1] += uses
+                            have[2] ^= mark
+                            have[3] += position
+                            have[4] += mass
+                            have[6] |= flag
+                            have[7] += uses * uses
+                            have[8] += 1
+                            have[9] += weight
+                            have[10] += once
             keys, values = list(rows), list(rows.values())
-            kind, uses, mark, position, mass, depth, flag, n_rows, n_pages, n_once = zip(*values) if values else [()] * 10
+            kind, uses, mark, position, mass, depth, flag, squares, n_rows, n_pages, n_once = zip(*values) if values else [()] * 11
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(kind, pa.int32()), pa.array(uses, pa.int64()),
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(kind, pa.int32()), pa.array(uses, pa.int64()),
                  pa.array(np.array(mark, np.uint64).view(np.int64)), pa.array([float(v) for v in position], pa.float64()), pa.array(mass, pa.int64()), pa.array(depth, pa.int32()),
-                 pa.array(flag, pa.int32()), pa.array(n_rows, pa.int64()), pa.array(n_pages, pa.float64()), pa.array(n_once, pa.float64())],
+                 pa.array(flag, pa.int32()), pa.array(squares, pa.int64()), pa.array(n_rows, pa.int64()), pa.array(n_pages, pa.float64()), pa.array(n_once, pa.float64())],
                 names=[c.split()[0] for c in TOKENS.split(", ")])
 
     counted = (pages if "weight" in pages.columns else distinct_pages(pages)).mapInArrow(run, TOKENS)
-    tokens = written(counted.groupBy("host", "token").agg(
+    tokens = written(counted.groupBy("host", "layout", "token").agg(
         F.min("kind").alias("kind"), F.sum("uses").alias("uses"), F.bit_xor("mark").alias("class"), F.sum("n_rows").alias("n_rows"), (F.sum("position") / F.sum("n_rows")).alias("position"), F.sum("mass").alias("mass"),
-        F.min("depth").alias("depth"), F.bit_or("flag").alias("flag"), F.sum("n_pages").alias("n_pages"), F.sum("n_once").alias("n_once")), "tokens")
-    sizes = tokens.filter("kind = -1").select("host", F.round("n_pages").cast("long").alias("host_pages"), F.col("mass").alias("host_mass"))
-    return tokens.filter("kind >= 0").join(sizes, "host").filter(F.col("n_pages") + ROUNDING >= FREQUENT * F.col("host_pages"))
+        F.min("depth").alias("depth"), F.bit_or("flag").alias("flag"), F.sum("squares").alias("squares"), F.sum("n_pages").alias("n_pages"), F.sum("n_once").alias("n_once")), "tokens")
+    sizes = tokens.filter("kind = -1").select("host", "layout", F.round("n_pages").cast("long").alias("host_pages"), F.col("mass").alias("host_mass"))
+    whole = sizes.filter("layout = 0").select("host", F.col("host_pages").alias("all_pages"))
+    usual = (F.col("layout") == 0) | (F.col("host_pages") >= F.greatest(F.lit(2), LAYOUT_SHARE * F.col("all_pages")))
+    sizes = sizes.join(whole, "host").filter(usual).drop("all_pages")
+    # Over a whole host only what at least two pages share can be template.
+    enough = F.when(F.col("layout") == 0, F.col("n_rows") > 1).otherwise(F.col("n_pages") + ROUNDING >= FREQUENT * F.col("host_pages"))
+    return tokens.filter("kind >= 0").join(sizes, ["host", "layout"]).filter(enough)
 
 
 def _in_order(places: list[int]) -> list[bool]:
@@ -293,32 +458,45 @@ def _in_order(places: list[int]) -> list[bool]:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """One row per host: host_pages (distinct, not empty), ``root`` (the template's tokens in order),
-    ``main`` (the token of the element that holds the article, null if no root element does),
+    """One row per host and layout (those that LAYOUT_SHARE of the host's pages have): host_pages (distinct, not
+    empty, of the layout), ``root`` (the template's tokens in order), ``steady`` (its block elements), ``main`` (the token of the element that holds the article, null if no root element does),
     ``nested`` (other classes of two or more tokens: the slot they lie in and their size), ``fixed``
-    (the template's strings: on nearly all pages, or in a nested class with an element) and
-    ``repeated`` (elements with a listed class that are frequent and hold less than half of the text)."""
+    (the host's template strings: on nearly all pages of the host or of a layout, or in a nested class with an
+    element) and ``repeated`` (elements with a listed class that are frequent and hold less than half of the text)."""
     pages = distinct_pages(pages)
     classes = written(token_classes(pages), "classes")
+    group = ["host", "layout"]
+    counts = classes.filter((F.col("kind") == COUNT) & (F.col("layout") != 0))
+    varies = F.col("squares") / F.col("n_rows") - F.pow(F.col("uses") / F.col("n_rows"), 2)
+    steady = counts.filter(varies <= STEADY).groupBy(*group).agg(F.collect_list("token").alias("steady"))
+    own, of_host = classes.filter(f"layout <> 0 and kind <> {COUNT}"), classes.filter("layout = 0")
     # Text strings tell template from content only where there are distinct pages to compare.
     enough = F.col("n_pages") + ROUNDING >= LEAST
     whole = (F.col("n_once") + ROUNDING >= SUPPORT * F.col("host_pages")) & ((F.col("kind") != Event.TEXT) | (F.col("n_rows") >= LEAST))
-    groups = classes.filter(~whole).groupBy("host", "class", "uses").agg(F.count(F.lit(1)).alias("size"), F.avg("position").alias("position"), F.min("kind").alias("least")).filter("size > 1")
-    strings = classes.filter((F.col("kind") == Event.TEXT) & enough)
-    shared = strings.filter(F.col("n_pages") + ROUNDING >= SUPPORT * F.col("host_pages")).select("host", "token")
-    inner = strings.filter(~whole).join(groups.filter(F.col("least") == Event.OPEN), ["host", "class", "uses"], "left_semi").select("host", "token")
-    fixed = shared.union(inner).groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    repeated = classes.filter((F.col("flag").bitwiseAND(1) == 1) & enough & (2 * F.col("mass") < F.col("host_mass"))).groupBy("host").agg(F.collect_list("token").alias("repeated"))
-    roots = classes.filter(whole).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root")).select("host", F.col("root.token").alias("root"))
-    known = written(roots.join(fixed, "host", "left").join(repeated, "host", "left"), "known")
+    groups = own.filter(~whole).groupBy(*group, "class", "uses").agg(F.count(F.lit(1)).alias("size"), F.avg("position").alias("position")).filter("size > 1")
+    strings = classes.filter((F.col("kind") == Event.TEXT) & enough & (F.col("n_pages") + ROUNDING >= SUPPORT * F.col("host_pages"))).select("host", "token")
+    # A string that occurs on just the pages, and as often, as an element around a slot: a nested class.
+    boxes = of_host.filter(F.col("kind").isin(Event.OPEN, COUNT)).select("host", "class", "uses").distinct()
+    inner = of_host.filter((F.col("kind") == Event.TEXT) & enough & (F.col("n_pages") + ROUNDING >= FREQUENT * F.col("host_pages"))).join(boxes, ["host", "class", "uses"], "left_semi").select("host", "token")
+    fixed = strings.union(inner).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    repeated = (classes.filter((F.col("flag").bitwiseAND(1) == 1) & enough & (2 * F.col("mass") < F.col("host_mass")) & (F.col("n_pages") + ROUNDING >= FREQUENT * F.col("host_pages")))
+                .groupBy("host").agg(F.collect_set("token").alias("repeated")))
+    roots = own.filter(whole).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root")).select(*group, F.col("root.token").alias("root"))
+    known = written(roots.join(steady, group, "left").join(fixed, "host", "left").join(repeated, "host", "left"), "known")
+    by_host = known.groupBy("host").agg(F.collect_list(F.struct("layout", "root", "steady")).alias("roots"), F.first("fixed").alias("fixed"), F.first("repeated").alias("repeated"))
 
     def check(batches):
         for b in batches:
-            out: dict[tuple[str, int], list] = {}
-            for host, page, weight, root, strings, elements in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight", "root", "fixed", "repeated"))):
+            out: dict[tuple[str, int, int], list] = {}
+            for host, page, weight, roots_of, strings, elements in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight", "roots", "fixed", "repeated"))):
                 events = flagged(page, frozenset(elements or ()))
-                ends, _ = spans(events)
-                sums = running(events, frozenset(strings or ()))
+                layout = layout_of(events)
+                found = next((r for r in roots_of if r["layout"] == layout), None)
+                if found is None:
+                    continue
+                root, ends, around = found["root"], *spans(events)
+                fixed = frozenset(strings or ())
+                sums, stray = running(events, fixed), Stray(events, ends, around, fixed, frozenset(found["steady"] or ()))
                 places: dict[int, int] = {}
                 for k, e in enumerate(events):
                     if e[0] != Event.BREAK:
@@ -331,48 +509,70 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
                     if fine and not opens:
                         continue
                     mass = sums[ends[k]] - sums[k] if opens else 0
-                    have = out.setdefault((host, t), [0.0, 0.0, 0.0, 0, 0])
+                    have = out.setdefault((host, layout, t), [0.0, 0.0, 0.0, 0, 0])
                     have[0] += 0.0 if fine else weight
                     if opens:
                         have[1] += weight
-                        have[2] += weight if mass < sums[-1] else 0.0
+                        have[2] += weight if stray.outside(k) else 0.0
                         have[3] += mass
                         have[4] += sums[-1]
             columns = list(zip(*out.values())) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[:3]),
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), *(pa.array([k[j] for k in out], pa.int64()) for j in (1, 2)), *(pa.array(c, pa.float64()) for c in columns[:3]),
                                               *(pa.array(c, pa.int64()) for c in columns[3:])], names=[c.split()[0] for c in CHECKS.split(", ")])
 
-    checks = (pages.join(known, "host").select("host", "html", "weight", "root", "fixed", "repeated").mapInArrow(check, CHECKS)
-              .groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("broken", "seen", "stray", "inside", "total"))))
-    valid = written(classes.filter(whole).join(checks, ["host", "token"], "left").filter(F.coalesce("broken", F.lit(0.0)) <= (1 - SUPPORT) * F.col("host_pages") + ROUNDING), "valid")
-    ordered = valid.groupBy("host").agg(F.max("host_pages").alias("host_pages"), F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root"))
-    article_tag = (F.col("flag").bitwiseAND(2) == 2) & (F.col("inside") >= MAIN_SHARE * F.col("total"))
-    holds = (valid.filter((F.col("total") > 0) & (article_tag | (F.col("stray") <= (1 - SUPPORT) * F.col("seen") + ROUNDING)))
-             .groupBy("host").agg(F.max_by("token", F.struct(article_tag, F.when(article_tag, -F.col("depth")).otherwise(F.col("depth")), "token")).alias("main")))
-    slots = ordered.select("host", F.col("root.position").alias("bounds"))
-    nested = (groups.join(slots, "host")
-              .groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.size(F.filter("bounds", lambda p: p < F.col("position"))).alias("slot"), "class", "size", "uses"))).alias("nested")))
-    return (ordered.select("host", "host_pages", F.col("root.token").alias("root")).join(holds, "host", "left").join(nested, "host", "left")
-            .join(known.select("host", "fixed", "repeated"), "host", "left"))
-
-
-def article(page: str, main: int | None, fixed: list[int] | None = None, repeated: list[int] | None = None) -> str:
+    checks = (pages.join(by_host, "host").select("host", "html", "weight", "roots", "fixed", "repeated").mapInArrow(check, CHECKS)
+              .groupBy(*group, "token").agg(*(F.sum(c).alias(c) for c in ("broken", "seen", "stray", "inside", "total"))))
+    valid = written(own.filter(whole).join(checks, [*group, "token"], "left").filter(F.coalesce("broken", F.lit(0.0)) <= (1 - SUPPORT) * F.col("host_pages") + ROUNDING), "valid")
+    ordered = valid.groupBy(*group).agg(F.max("host_pages").alias("host_pages"), F.sort_array(F.collect_list(F.struct("position", "token"))).alias("root"))
+    article_tag = F.col("flag").bitwiseAND(2) == 2
+    share, alone = F.col("inside") >= MAIN_SHARE * F.col("total"), F.col("stray") <= (1 - SUPPORT) * F.col("seen") + ROUNDING
+    holds = (valid.filter((F.col("total") > 0) & (F.col("inside") > 0) & F.when(article_tag, share | alone).otherwise(share & alone))
+             .groupBy(*group).agg(F.max_by("token", F.struct(article_tag, F.when(article_tag, -F.col("depth")).otherwise(F.col("depth")), "token")).alias("main")))
+    slots = ordered.select(*group, F.col("root.position").alias("bounds"))
+    nested = (groups.join(slots, group)
+              .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.size(F.filter("bounds", lambda p: p < F.col("position"))).alias("slot"), "class", "size", "uses"))).alias("nested")))
+    return (ordered.select(*group, "host_pages", F.col("root.token").alias("root")).join(holds, group, "left").join(nested, group, "left")
+            .join(known.select(*group, "steady", "fixed", "repeated"), group, "left"))
+
+
+def main_of(events: list[tuple], ends: dict, stray: Stray, strings) -> list[int]:
+    """The article's element by the rule for layouts, from one page."""
+    sums, paths = running(events, strings), {}
+    for k, e in enumerate(events):
+        if e[0] == Event.OPEN:
+            paths[e[2]] = paths.get(e[2], 0) + 1
+    some = [k for k in sorted(ends) if paths[events[k][2]] == 1 and not events[k][4] and sums[ends[k]] > sums[k]]
+    share = {k for k in some if sums[ends[k]] - sums[k] >= MAIN_SHARE * sums[-1]}
+    tagged = [k for k in some if events[k][1] in ("article", "main") and (k in share or not stray.outside(k))]
+    if tagged:
+        return tagged[:1]
+    inner = [k for k in share if not stray.outside(k)]
+    return [max(inner, key=lambda k: events[k][3])] if inner else []
+
+
+def article(page: str, templates: dict[int, tuple] | None = None, fixed: list[int] | None = None, repeated: list[int] | None = None) -> str:
     """Text of the slots inside the main element: blocks joined by line feeds, white space within a
     block as one space, character references decoded, boilerplate elements left out, and blocks left
-    out that consist of the template's strings alone.
+    out that consist of the template's strings alone. ``templates`` gives the main token and the steady
+    elements of each layout of the host; a page of another layout is judged by itself.
 
-    If the main element is no ``article`` or ``main`` and the page has running text outside it, the
-    next element around that has none, or an ``article`` or ``main``, takes its place. A page without
-    the main element (or a host without one) gives its outermost ``article`` and ``main`` elements, or
-    else its body."""
+    If the main element is no ``article`` or ``main`` and the page has prose outside it, or text of an
+    element around it, the next element around that has none, or an ``article`` or ``main``, takes its
+    place. A page without the main element (or a layout without one) gives its outermost ``article`` and
+    ``main`` elements, or else its body."""
     strings = frozenset(fixed or ())
     events = flagged(page, frozenset(repeated or ()))
+    known = (templates or {}).get(layout_of(events)) if templates else None
     ends, around = spans(events)
-    mains = [k for k, e in enumerate(events) if e[0] == Event.OPEN and token_id(Event.OPEN, e[2]) == main] if main is not None else []
+    stray = Stray(events, ends, around, strings, frozenset(known[1] or ()) if known else None)
+    if known:
+        mains = [k for k, e in enumerate(events) if e[0] == Event.OPEN and element_token(Event.OPEN, e[2]) == known[0]] if known[0] is not None else []
+    else:
+        mains = main_of(events, ends, stray, strings)
     regions = []
     if len(mains) == 1:
-        sums, k = running(events, strings), mains[0]
-        while k >= 0 and events[k][1] not in ("article", "main") and sums[ends[k]] - sums[k] < sums[-1]:
+        k = mains[0]
+        while k >= 0 and events[k][1] not in ("article", "main") and stray.outside(k):
             k = around[k]
         regions = [(k, ends[k])] if k >= 0 else [(0, len(events))]
     else:
@@ -391,11 +591,11 @@ def article(page: str, main: int | None, fixed: list[int] | None = None, repeate
 
     for start, end in regions or [(0, len(events))]:
         for e in events[start:end]:
-            kind, text, _, _, bad, _, _ = e
+            kind, text, bad = e[0], e[1], e[4]
             if kind == Event.TEXT:
                 if not bad:
                     line.append(entities.unescape(text))
-                    own = own or bool(text.strip()) and not (strings and event_token(e) in strings)
+                    own = own or bool(e[9]) and not (strings and event_token(e) in strings)
             elif kind == Event.BREAK:
                 if text == "hr":
                     close()
@@ -415,11 +615,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     other columns are not read; an empty table gives an empty result."""
     text_batches(pages.sparkSession)
     rows = _rows(pages)
-    templates = written(deduce_templates(rows).select("host", "main", "fixed", "repeated"), "templates")
+    found = written(deduce_templates(rows).select("host", "layout", "main", "steady", "fixed", "repeated"), "templates")
+    templates = found.groupBy("host").agg(F.collect_list(F.struct("layout", "main", "steady")).alias("layouts"), F.first("fixed").alias("fixed"), F.first("repeated").alias("repeated"))
 
     def run(batches):
         for b in batches:
-            texts = [article(page or "", *known) for page, *known in zip(*(b.column(c).to_pylist() for c in ("html", "main", "fixed", "repeated")))]
+            texts = [article(page or "", {k["layout"]: (k["main"], k["steady"]) for k in layouts or ()}, *known)
+                     for page, layouts, *known in zip(*(b.column(c).to_pylist() for c in ("html", "layouts", "fixed", "repeated")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "fixed", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(templates, "host", "left").select("page_id", "url", "html", "layouts", "fixed", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
