@@ -24,6 +24,7 @@ text. They are broadcast while there are few of them, and joined to the rows' di
 from __future__ import annotations
 
 import os
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, text_batches, written
+from .shared import give_back, of_worker, text_batches, written
 from .text import LEAD, per_text, span_hashes, text_pieces
 from .tokens import plain_texts, pretoken_starts
 
 #: Bytes of text in one written row; a longer text is a row of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 #: The counts are broadcast up to this many id pairs (17 bytes each), and joined beyond.
 BROADCAST_PAIRS = 2 << 20
 #: Words that a library is given in one text.
-WORDS_A_TEXT = 4096
+WORDS_A_TEXT = 512
 #: A worker's table of words starts anew beyond these numbers of words and of ids.
-MOST_WORDS, MOST_IDS = 1 << 19, 1 << 22
+MOST_WORDS, MOST_IDS = 1 << 20, 1 << 23
+#: New words are kept apart from the others, and merged in when they are more than this.
+RECENT_WORDS = 1 << 16
 
 CHUNKS = "chunk long, doc_ids binary, nulls binary, a binary, n_a binary, b binary, n_b binary, width int"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -108,7 +111,8 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = [np.zeros(0, np.uint64)] * 2  # the table's words by hash, and recent ones
+        self.place = [np.zeros(0, np.int32)] * 2
         self.first, self.ids, self.good = np.zeros(1, np.int64), np.zeros(0, self.dtype), np.zeros(0, bool)
 
     def spans(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,20 +136,28 @@ class WordTable:
     def look_up(self, hashes: np.ndarray, spell) -> np.ndarray:
         """The table row of each word hash; ``spell(k)`` gives the bytes of the k-th words."""
         distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MOST_WORDS or len(self.ids) > MOST_IDS:
+        if len(self.known[0]) > MOST_WORDS or len(self.ids) > MOST_IDS:
             self.clear()
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        rows, new = np.zeros(len(distinct), np.int64), np.ones(len(distinct), bool)
+        for known, place in zip(self.known, self.place):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                here = known[at] == distinct
+                rows[here], new[here] = place[at[here]], False
         if new.any():
             ids, sizes, good = self.words(spell(sample[new]))
-            rows = np.arange(len(sizes)) + len(self.first) - 1
+            rows[new] = np.arange(len(sizes)) + len(self.first) - 1
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.ids, self.good = np.concatenate([self.ids, ids.astype(self.dtype)]), np.concatenate([self.good, good])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], np.concatenate([self.place, rows])[order]
-            at = np.searchsorted(self.known, distinct)
-        return self.place[at][back]
+            self.insert(1, distinct[new], rows[new].astype(np.int32))
+            if len(self.known[1]) > RECENT_WORDS:
+                self.insert(0, self.known[1], self.place[1])
+                self.known[1], self.place[1] = self.known[1][:0], self.place[1][:0]
+        return rows[back]
+
+    def insert(self, k: int, words: np.ndarray, rows: np.ndarray) -> None:
+        at = np.searchsorted(self.known[k], words)
+        self.known[k], self.place[k] = np.insert(self.known[k], at, words), np.insert(self.place[k], at, rows)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -218,6 +230,9 @@ class ByteLevelTable(WordTable):
         return np.union1d(starts[keep], whole)
 
 
+_ID, _END = attrgetter("id"), attrgetter("end")
+
+
 class PieceTable(WordTable):
     """B: a sentencepiece model. Words begin with their space, which the model puts there itself."""
 
@@ -244,9 +259,12 @@ class PieceTable(WordTable):
                 table = np.array([[self.space, 0, 1]], np.int64)
             else:
                 proto = self.model.encode(text[1:].decode("utf-8"), return_type="proto")
-                table = np.array([(p.id, p.begin, p.end) for p in proto.pieces], np.int64).reshape(-1, 3)
-                table[:, 1:] += 1
-                table[:1, 1] = 0
+                # Spans follow each other: one begins where the one before it ends.
+                found = proto.pieces
+                table = np.zeros((len(found), 3), np.int64)
+                table[:, 0] = np.fromiter(map(_ID, found), np.int64, len(found))
+                table[:, 2] = np.fromiter(map(_END, found), np.int64, len(found)) + 1
+                table[1:, 1] = table[:-1, 2]
             at = np.searchsorted(starts, table[:, 1], "right") - 1
             sizes[members] = np.bincount(at, minlength=len(members))[: len(members)]
             ids.append(table[:, 0])
@@ -264,14 +282,8 @@ class PieceTable(WordTable):
         return np.flatnonzero(first)
 
 
-_tables: dict[tuple[str, str], WordTable] = {}
-
-
 def _table(kind: type[WordTable], path: str) -> WordTable:
-    key = (kind.__name__, path)
-    if key not in _tables:
-        _tables[key] = kind(path)
-    return _tables[key]
+    return of_worker((kind.__name__, path), lambda: kind(path))
 
 
 def _only(ids: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,9 +371,13 @@ class Links:
         mark[:-1][group[1:] != group[:-1]] = 2
         mark[:-1][owner[1:] != owner[:-1]] = 3
         mark[-1:] = 3
-        distinct, which = np.unique(tokens * 4 + mark, return_inverse=True)
-        spelled = np.array([f"{t >> 2}{',|;'[t & 3] if t & 3 < 3 else ''}" for t in distinct.tolist()], object)
-        flat = spelled[which].tolist() if len(which) else []
+        keys = tokens * 4 + mark
+        met = np.zeros(int(keys.max(initial=0)) + 1, bool)
+        met[keys] = True
+        distinct = np.flatnonzero(met)
+        spelled = np.empty(len(met), object)
+        spelled[distinct] = [f"{t >> 2}{',|;'[t & 3] if t & 3 < 3 else ''}" for t in distinct.tolist()]
+        flat = spelled[keys].tolist()
         cuts = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
         return ["".join(flat[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
 

@@ -206,8 +206,8 @@ def index_arcs(files: DataFrame, folder: str) -> DataFrame:
             for number, path in zip(b.column("number").to_pylist(), b.column("path").to_pylist()):
                 out = {c.split()[0]: [] for c in INDEX.split(", ")}
                 with fs.open_input_stream(path, compression=None) as source:
-                    for at, header, content in arc_records(source):
-                        if header["URL"].startswith("filedesc://"):
+                    for place, (at, header, content) in enumerate(arc_records(source)):
+                        if not place:  # the file's own description; a page may have such a URL too
                             continue
                         head, payload = http_parts(content)
                         for name, value in (("number", number), ("path", path), ("position", at), ("page_id", http_number(head, "X-Page-Id")), ("payload_bytes", len(payload)),
@@ -243,9 +243,9 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def converted(name: str, records: Iterator[tuple[int, dict, bytes]], revisits: dict[int, tuple[str, str, str]], totals: dict) -> Iterator[bytes]:
     """WARC members for the records of one ARC file. ``revisits``: by position, the identifier,
     URL and date of the record that holds the same payload."""
-    for at, header, content in records:
+    for place, (at, header, content) in enumerate(records):
         base = [("WARC-Record-ID", f"<{record_id(name, at)}>"), ("WARC-Date", warc_date(header["Archive-date"]))]
-        if header["URL"].startswith("filedesc://"):
+        if not place:  # the file's own description
             info = f"software: archive converter\r\nformat: WARC File Format 1.1\r\ndescription: {header['URL']}\r\n".encode()
             yield squeeze(warc_record([("WARC-Type", "warcinfo"), *base, ("Content-Type", "application/warc-fields")], info))
             continue
@@ -286,7 +286,9 @@ def convert_arcs(index: DataFrame, arc_folder: str, folder: str, least: int = LE
             out = put_file(folder, name.removesuffix(".arc.gz") + ".warc.gz", converted(name, arc_records(source), revisits, totals), str(TaskContext.get().taskAttemptId()))
         return pa.table({"number": pa.array([number], pa.int32()), "path": pa.array([out]), "n_records": pa.array([totals["n"]], pa.int64())})
 
-    return written(judged.groupBy("number").applyInArrow(run, FILES), "warcs")
+    # As many tasks as files: their index rows are few bytes, the archives that a task converts are not.
+    spread = judged.repartition(max(1, index.select("number").distinct().count()), "number")
+    return written(spread.groupBy("number").applyInArrow(run, FILES), "warcs")
 
 
 def warc_records(source) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -239,7 +239,7 @@ def lattice_scores(docs: DataFrame, ranks_path: str, rounds: int = 2) -> DataFra
     text_batches(docs.sparkSession)
     volume = total_bytes(docs, "text")
     n_chunks, buckets = parts(volume, CHUNK_BYTES), min(parts(volume, BUCKET_BYTES), 1 << 24)
-    chunks = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_chunks)).cast("int").alias("chunk"),
+    chunks = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(n_chunks)).cast("int").alias("chunk"),
                          F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def send(rows):

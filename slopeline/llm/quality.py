@@ -32,8 +32,9 @@ P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Least standard deviation of each transformed statistic (log words, log word length, log of one
 #: plus ten times symbols a word, log of one plus repeated lines, root of the repeated share):
-#: a statistic that is constant in a cell must not turn one symbol into an outlier.
-FLOOR = (1.0, 0.1, 0.25, 0.35, 0.2)
+#: a statistic that is constant in a cell must not turn one symbol into an outlier, and sound documents
+#: are of very different lengths.
+FLOOR = (1.25, 0.11, 0.25, 0.35, 0.2)
 COVERAGE = 0.75
 #: A clean Gaussian document is rejected with this probability.
 TAIL = 1e-4
@@ -133,7 +134,8 @@ SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}{j}" for i, j in PAIRS)]
 
 def _fits(sums: DataFrame, factor: float) -> DataFrame:
     """Mean, inverse scatter and log determinant from one row of summed moments per cell and
-    start; the floors are added, so the scatter is never singular."""
+    start. No direction of the scatter, measured in floors, varies by less than one, so it is never
+    singular; a direction that varies more keeps its estimate."""
 
     def run(batches):
         for b in batches:
@@ -142,7 +144,8 @@ def _fits(sums: DataFrame, factor: float) -> DataFrame:
             cov = np.zeros((len(x), P, P))
             for k, (i, j) in enumerate(PAIRS):
                 cov[:, i, j] = cov[:, j, i] = x[:, 1 + P + k] / x[:, 0] - mean[:, i] * mean[:, j]
-            cov = factor * cov + np.diag(np.square(FLOOR))
+            width, turned = np.linalg.eigh(factor * cov / np.outer(FLOOR, FLOOR))
+            cov = (turned * np.maximum(width, 1.0)[:, None, :]) @ turned.transpose(0, 2, 1) * np.outer(FLOOR, FLOOR)
             yield pa.RecordBatch.from_arrays(
                 [b.column("cell"), b.column("start"), pa.array(list(mean), pa.list_(pa.float64())),
                  pa.array(list(np.linalg.inv(cov).reshape(len(x), P * P)), pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1])],
@@ -189,23 +192,25 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
-def estimate(rows: DataFrame, n_cells: int, steps: int = 6) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each cell of ``rows`` (cell, z0..z4)."""
+def estimate(rows: DataFrame, n_cells: int) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each cell of ``rows`` (cell, z0..z4): concentration
+    steps until the determinants no longer fall."""
     factor = COVERAGE / chi2_cdf(chi2_quantile(COVERAGE, P), P + 2)
     rough = [F.percentile(F.round(f"z{i}", 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)]
     # One start from medians and quartiles (rounded values, so the counts stay small), one from
     # the plain mean and covariance.
-    widths = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2 for i in range(P)]
+    widths = [F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(FLOOR[i] ** 2)) for i in range(P)]
     medians = rows.groupBy("cell").agg(*rough).select(
         "cell", F.lit(0).alias("start"), F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("mean"),
         F.array(*((1 / widths[i] if i == j else F.lit(0.0)) for i in range(P) for j in range(P))).alias("inv"), F.lit(None).cast("double").alias("logdet"))
     plain = _fits(rows.groupBy("cell").agg(*_moments()).withColumn("start", F.lit(1)), 1.0)
     est = written(medians.unionByName(plain), "mcd")
     before = None
-    for _ in range(steps):
+    while True:
         est = written(_estimates(_binned(rows, est, n_cells), COVERAGE, factor), "mcd")
         now = est.agg(F.sum("logdet")).first()[0]
-        if before is not None and now is not None and abs(now - before) < 1e-9 * max(1.0, abs(now)):
+        # Each step lowers every determinant or ends it (up to the width of the bins).
+        if now is None or before is not None and now > before - 1e-6 * max(1.0, abs(now)):
             break
         before = now
     best = est.groupBy("cell").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("e")).select("cell", F.lit(0).alias("start"), "e.mean", "e.inv")

@@ -5,7 +5,7 @@ twice the length (the last step is shorter, so that it ends at the wanted length
 repeated again go on. A window of the wanted length is removed from every document but the
 one with the smallest doc_id.
 
-Layout. Documents are grouped into chunks of about 4 MB by a hash of doc_id. A chunk sends each
+Layout. Documents are grouped into chunks of about 2 MB by a hash of doc_id and text. A chunk sends each
 distinct candidate window once, as packed arrays of hash remainders by bucket, however often it
 occurs there: a passage that a third of all documents share is one entry a chunk. A bucket
 answers each chunk with one bit an entry. Early levels use 32-bit remainders within a bucket (a
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, text_batches, total_bytes
+from .shared import give_back, parts, text_batches, total_bytes
 from .text import SPACE, covered, member, per_text, repeated, span_hashes, text_column, whole_windows, window_hashes, word_spans
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: A null doc_id counts as one document after all others.
 NO_ID = np.iinfo(np.int64).max
@@ -251,7 +251,9 @@ def remove_repeats(docs: DataFrame, size: int = 13, start: int = 7, carry: Seque
     lengths = level_lengths(size, start)
     volume = total_bytes(docs, "text")
     n_chunks, buckets = parts(volume, CHUNK_BYTES), min(parts(volume, BUCKET_BYTES), 1 << 24)
-    chunks = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("id"),
+    # By id and text: many rows of one id are spread. Two rows of one document may then send a window
+    # from two chunks; the early levels keep it as a candidate, and the last compares their ids.
+    chunks = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("id"),
                          F.col("text").cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carry"))
 
     def sender(level: int):
@@ -260,7 +262,9 @@ def remove_repeats(docs: DataFrame, size: int = 13, start: int = 7, carry: Seque
             if not rows.num_rows:
                 return _entries([], 0, [], [], [])
             chunk, number, known = Chunk(rows, lengths, buckets), rows.column("chunk")[0].as_py(), _replies(answers)
-            return _send_last(chunk, number, known) if level == len(lengths) - 1 else _send_first(chunk, number, level, known)
+            out = _send_last(chunk, number, known) if level == len(lengths) - 1 else _send_first(chunk, number, level, known)
+            give_back()
+            return out
 
         def send(rows):
             return resend(rows, pa.table({"level": [], "bucket": [], "bits": []}))
@@ -283,7 +287,9 @@ def remove_repeats(docs: DataFrame, size: int = 13, start: int = 7, carry: Seque
     def finish(rows, answers):
         chunk = Chunk(rows, lengths, buckets)
         carried = rows.column("carry").combine_chunks()
-        return _kept(chunk, removed_words(chunk, _replies(answers)), carried)
+        out = _kept(chunk, removed_words(chunk, _replies(answers)), carried)
+        give_back()
+        return out
 
     kind = chunks.schema["carry"].dataType.simpleString()
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(

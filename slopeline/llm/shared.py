@@ -5,6 +5,9 @@ from __future__ import annotations
 import ctypes
 import math
 import os
+import sys
+import types
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -42,6 +45,15 @@ def give_back() -> None:
         pass
 
 
+def of_worker(key, make: Callable):
+    """An object of the worker process, made once. Task functions come to a worker by value, so a
+    module's globals begin anew with every task; this one outlives them, and its size is its maker's to bound."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
