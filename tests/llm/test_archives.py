@@ -81,3 +81,9 @@ def test_headers():
     assert " " not in safe_url("http://a b\n") and safe_url(None) == "urn:none"
     (h, b), = warc_records(io.BytesIO(squeeze(warc_record([("A", "b: c")], b"\r\n\r\nx"))))
     assert h["A"] == "b: c" and b == b"\r\n\r\nx"
+
+
+def test_a_page_with_the_url_of_a_file_description_is_kept(spark):
+    df = spark.createDataFrame([(1, "filedesc://page.arc", "<p>one</p>"), (2, "http://a/", "<p>two</p>")], "page_id long, url string, html string").coalesce(1)
+    rows = archive_round_trip(df, scratch_path(spark, "arc")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in rows) == [(1, 10, "response"), (2, 10, "response")]

@@ -38,11 +38,16 @@ def junk_corpus(n=300):
     return rows
 
 
-def brute_verdicts(x, cells, steps=6):
+def brute_verdicts(x, cells, steps=30):
     """The same estimate by plain numpy: bins, starts, concentration steps and reweighting."""
     out = np.zeros(len(x))
     factor = quality.COVERAGE / chi2_cdf(chi2_quantile(quality.COVERAGE, P), P + 2)
-    ridge = np.diag(np.square(FLOOR))
+    floor = np.array(FLOOR)
+
+    def held(cov):
+        """Every direction, in floors, varies by one at least."""
+        width, turned = np.linalg.eigh(cov / np.outer(floor, floor))
+        return turned @ np.diag(np.maximum(width, 1)) @ turned.T * np.outer(floor, floor)
 
     def dist(z, mean, cov):
         return np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
@@ -51,17 +56,17 @@ def brute_verdicts(x, cells, steps=6):
         z = x[[k for k, v in enumerate(cells) if v == c]]
         q = np.percentile(np.round(z, 2), [25, 50, 75], axis=0)
         tries = []
-        for mean, cov in ((q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + ridge), (z.mean(0), np.cov(z.T, bias=True) + ridge)):
+        for mean, cov in ((q[1], np.diag(np.maximum(((q[2] - q[0]) / 1.349) ** 2, floor ** 2))), (z.mean(0), held(np.cov(z.T, bias=True)))):
             for _ in range(steps):
                 bins = np.floor(16 * np.log2(np.maximum(dist(z, mean, cov), 1e-6)))
                 edge = np.sort(bins)[int(np.ceil(quality.COVERAGE * len(z) - 1e-9)) - 1]
                 near = z[bins <= edge]
-                mean, cov = near.mean(0), factor * np.cov(near.T, bias=True) + ridge
+                mean, cov = near.mean(0), held(factor * np.cov(near.T, bias=True))
             tries.append((np.linalg.slogdet(cov)[1], mean, cov))
         _, mean, cov = min(tries, key=lambda v: v[0])
         edge = chi2_quantile(0.975, P)
         near = z[dist(z, mean, cov) <= edge]
-        final = 0.975 / chi2_cdf(edge, P + 2) * np.cov(near.T, bias=True) + ridge
+        final = held(0.975 / chi2_cdf(edge, P + 2) * np.cov(near.T, bias=True))
         out[[k for k, v in enumerate(cells) if v == c]] = dist(z, near.mean(0), final)
     return out
 
