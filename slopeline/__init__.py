@@ -16,11 +16,13 @@ from slopeline.functions.sampling import keyed_sample, keyed_split  # noqa: E402
 from slopeline.operators.gradient import batch_sums  # noqa: E402
 from slopeline.operators.metrics import area_under_roc, auc_frame  # noqa: E402
 from slopeline.operators.scoring import predict, score_and_label  # noqa: E402
-from slopeline.operators.trainers import FitResult, TrainConfig, fit  # noqa: E402
+from slopeline.operators.trainers import FitResult, PreparedTable, TrainConfig, fit, prepared  # noqa: E402
+from slopeline.operators.updates import UpdateRule  # noqa: E402
 from slopeline.operators.wide import fit_wide, predict_wide  # noqa: E402
 from slopeline.plans.experiment import run_experiment  # noqa: E402
 from slopeline.sources.libsvm import read_libsvm, write_libsvm  # noqa: E402
-from slopeline.sources.models import LinearModel, load_model, save_model  # noqa: E402
+from slopeline.sources.models import (LinearModel, WideModel, load_model, load_wide_model, save_model,  # noqa: E402
+                                      save_wide_model, wide_model)
 
 
 
@@ -54,5 +56,6 @@ __all__ = [
     "TrainConfig", "fit", "fit_wide", "predict_wide", "FitResult", "batch_sums", "predict", "score_and_label",
     "area_under_roc", "auc_frame", "LinearModel", "save_model", "load_model", "read_libsvm",
     "write_libsvm", "keyed_sample", "keyed_split", "run_experiment", "MarginLoss", "LogisticLoss",
-    "LeastSquaresLoss", "HingeLoss", "MultinomialLoss",
+    "LeastSquaresLoss", "HingeLoss", "MultinomialLoss", "UpdateRule", "PreparedTable", "prepared",
+    "WideModel", "wide_model", "save_wide_model", "load_wide_model",
 ]

@@ -320,7 +320,7 @@ class _Fit:
         e = F.coalesce("e", F.array().cast("array<struct<idx:int,value:double>>"))
         rows = self.lab.join(packed, "key", "left").select("key", "label", F.struct(F.transform(e, lambda x: x["idx"]).alias("indices"), F.transform(e, lambda x: x["value"]).alias("values")).alias("features"))
         rows = rows.withColumn("shard", by.cast("int")).repartitionById(cfg.shards, "shard").persist(StorageLevel.MEMORY_AND_DISK)
-        held = rows.select("shard", F.explode("features.indices").alias("idx")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        held = rows.select(F.col("shard").alias("held_by"), F.explode("features.indices").alias("idx")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
         try:
             entries = rows.agg(F.sum(F.size("features.indices"))).first()[0] or 0
             if entries * 12 * cfg.fraction > cfg.shards * cfg.max_shard_bytes:
@@ -347,7 +347,7 @@ class _Fit:
                 order_of = lambda n, shard, i=i: _walk_order(n, cfg.order, cfg.seed, i, shard, cfg.method == "svrg")
                 kernel = _shard_kernel(cfg, loss, d, eta, self.reg, self.bias_reg, bias, mu_bias, order_of)
                 sampled = keyed_sample(rows, "key", cfg.fraction, cfg.seed + i, cfg.sampler)
-                moved = sampled.groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(kernel, MOVED).persist(StorageLevel.MEMORY_AND_DISK)
+                moved = sampled.groupBy("shard").cogroup(needed.groupBy("held_by")).applyInArrow(kernel, MOVED).persist(StorageLevel.MEMORY_AND_DISK)
                 try:
                     scalars = {(r["idx"], r["class"]): r["v"] for r in moved.filter("idx < 0").groupBy("idx", "class").agg(F.sum("value").alias("v")).collect()}
                     total = lambda s: float(scalars.get((-1 - s, 0), 0.0))
@@ -480,13 +480,14 @@ def _check_wide_input(ent: DataFrame, lab: DataFrame, loss, cfg: TrainConfig, nu
 
 def predict_wide(entries: DataFrame, weights: DataFrame, *, keys: DataFrame | None = None, intercept=0.0,
                  threshold: float | None = 0.5, num_features: int | None = None,
-                 output: str = "prediction") -> DataFrame:
+                 output: str = "prediction", kind: str = "logistic") -> DataFrame:
     """Score long-form features with a weight table ``(idx, weight)`` or ``(class, idx, weight)``.
 
     ``margin = Σ value * weight`` by key (+ ``intercept``, a sequence for several classes); an entry
     whose index has no weight counts 0, so every key of ``entries`` has a row. The output is the
-    class at ``threshold`` (strictly greater) or, with ``threshold=None``, the score; with several
-    classes it is the one of the largest margin, the lowest of equals, or 0 when none is above 0.
+    class at ``threshold`` (strictly greater) or, with ``threshold=None``, the score: a probability for
+    the ``kind`` ``logistic``, else the margin. With several
+    classes the output is the one of the largest margin, the lowest of equals, or 0 when none is above 0.
     ``keys`` (a frame with a ``key`` column) adds rows with no entries, scored at margin 0. The weight
     table is broadcast only when ``num_features`` is given and under the row bound, and its
     indices are then checked to lie below it.
@@ -509,7 +510,8 @@ def predict_wide(entries: DataFrame, weights: DataFrame, *, keys: DataFrame | No
         z = every.join(z.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left").select("key", "_z")
     if many:
         return z.select("key", _largest_class(F.col("_z"), intercept).alias(output))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.coalesce("_z", F.lit(0.0)) + F.lit(float(np.ravel(intercept)[0] if np.size(intercept) else 0.0)))))
+    margin = F.coalesce("_z", F.lit(0.0)) + F.lit(float(np.ravel(intercept)[0] if np.size(intercept) else 0.0))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) if kind in ("logistic", "multinomial") else margin
     col = score if threshold is None else F.when(score > F.lit(float(threshold)), 1.0).otherwise(0.0)
     return z.select("key", col.alias(output))
 

@@ -19,7 +19,7 @@ from slopeline.functions.losses import MarginLoss, resolve_loss
 from slopeline.operators import metrics, scoring
 from slopeline.operators.gradient import batch_sums, mean_gradient_frame
 from slopeline.operators.trainers import FitResult, TrainConfig, fit
-from slopeline.operators.updates import penalty_value
+from slopeline.operators.updates import UpdateRule, penalty_value
 from slopeline.operators.validate import table_facts_frame
 from slopeline.operators.wide import fit_wide
 from slopeline.plans import oracle as O
@@ -100,6 +100,24 @@ def q_keyed_minibatch(spark, sf_dir):
     return out
 
 
+@register("bernoulli_checks",
+          "SELECT count(*) AS rows, TRUE AS subset, TRUE AS without_repeats, TRUE AS plausible_size FROM embeddings")
+def q_bernoulli_checks(spark, sf_dir):
+    """What holds of every Bernoulli batch: its rows are rows of the table, none twice, and as many
+    as 5 standard deviations around the fraction allow (over three batches)."""
+    df = tables.embeddings_binary(spark, sf_dir)
+    drawn = None
+    for i in (1, 2, 3):
+        one = sampling.keyed_sample(df, "key", 0.3, sampling.batch_seed(i), "bernoulli").select("key", F.lit(i).alias("batch"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    each = drawn.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("c")).withColumn("drawn", F.lit(True))
+    known = df.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    met = each.join(known, "key", "left").groupBy("batch").agg(F.sum("c").alias("size"), F.max(F.col("m").isNull()).alias("foreign"), F.max(F.col("c") > F.col("m")).alias("twice"))
+    n = df.agg(F.count(F.lit(1)).alias("rows"))
+    off = F.abs(F.col("size") - 0.3 * F.col("rows")) < 5 * F.sqrt(F.col("rows") * 0.3 * 0.7)
+    return met.crossJoin(F.broadcast(n)).groupBy("rows").agg((~F.max("foreign")).alias("subset"), (~F.max("twice")).alias("without_repeats"), (F.min(off) & (F.count(F.lit(1)) == 3)).alias("plausible_size"))
+
+
 @register("bernoulli_minibatch")
 def q_bernoulli_minibatch(spark, sf_dir):
     df = tables.embeddings_binary(spark, sf_dir)
@@ -640,6 +658,76 @@ def _wide_query(method: str, step: float, fraction: float):
     return q
 
 
+def _wide_fit(spark, sf_dir, **cfg):
+    """Wide fit of FX1 (or FX3 with several classes) in long form, three iterations."""
+    entries, labels = tables.embeddings_long(spark, sf_dir)
+    if cfg.get("loss") == "multinomial":
+        labels = tables.embeddings_multiclass(spark, sf_dir).select("key", "label")
+    base = dict(method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, tol=0.0, sampler="md5", sample_by="key")
+    return entries, labels, fit_wide(entries, labels, TrainConfig(**{**base, **cfg}), num_features=64)
+
+
+_MULTI = dict(loss="multinomial", num_classes=10)
+
+
+@register("multinomial_wide",
+          "WITH " + ",\n".join(O.fixture_ctes("fx3") + O.multinomial_ctes(9, 64, 3, 1.0, 0.1)) +
+          "\nSELECT c AS class, j AS idx, round(w, 6) + 0.0 AS weight FROM wc3")
+def q_multinomial_wide(spark, sf_dir):
+    return _wide_fit(spark, sf_dir, **_MULTI)[2].weights.select("class", "idx", r("weight", 6).alias("weight"))
+
+
+@register("predict_multiclass_wide", ORACLE["predict_multiclass"])
+def q_predict_multiclass_wide(spark, sf_dir):
+    from slopeline.operators.wide import predict_wide
+
+    entries, labels, res = _wide_fit(spark, sf_dir, **_MULTI)
+    return predict_wide(entries, res.weights, keys=labels, num_features=64).select("key", "prediction")
+
+
+@register("sgd_wide_intercept", O.trainer_sql("fx1", method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3, intercept=True,
+                                              penalise_bias=False))
+def q_sgd_wide_intercept(spark, sf_dir):
+    res = _wide_fit(spark, sf_dir, intercept=True, penalise_bias=False)[2]
+    bias = spark.createDataFrame([(64, res.intercepts[0])], "idx INT, weight DOUBLE")
+    return res.weights.unionByName(bias).select("idx", r("weight", 6).alias("weight"))
+
+
+def rms_step(w, g, state, ctx, ops):
+    """A user rule with state: the step divided by a running root mean square of the gradient."""
+    sq = 0.9 * state["sq"] + 0.1 * (g * g)
+    return w - ctx.step * g / (ops.sqrt(sq) + 1e-6), {"sq": sq}
+
+
+@register("custom_update_wide", O.trainer_sql("fx1", wide=True, method="rms", penalty="none", step=0.01, iters=3))
+def q_custom_update_wide(spark, sf_dir):
+    res = _wide_fit(spark, sf_dir, penalty="none", reg=0.0, step=0.01, update=UpdateRule(rms_step, ("sq",)))[2]
+    return res.weights.select("idx", r("weight", 6).alias("weight"))
+
+
+@register("wide_model_roundtrip", O.trainer_sql("fx1", wide=True, method="sgd", penalty="l2", reg=0.1, step=1.0, iters=3,
+                                                select="SELECT j AS idx, round(w, 6) + 0.0 AS weight, 64 AS num_features, 0.25::DOUBLE AS threshold FROM w3"))
+def q_wide_model_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "wide-model")
+    models.save_wide_model(models.wide_model(_wide_fit(spark, sf_dir)[2], threshold=0.25), path)
+    back = models.load_wide_model(spark, path)
+    return back.weights.select("idx", r("weight", 6).alias("weight"), F.lit(back.num_features).alias("num_features"), F.lit(back.threshold).alias("threshold"))
+
+
+def _svrg_wide(name: str, *, avg: bool, **kw):
+    """Walks with lazy steps over sparse rows, weights as a table."""
+    common = dict(step=0.1, reg=0.1, iters=3, shards=4, order="random", **kw)
+
+    @register(name, O.svrg_sql(avg=avg, **common))
+    def q(spark, sf_dir):
+        res = _wide_fit(spark, sf_dir, method="svrg_avg" if avg else "svrg", shard_by="key_mod", **common)[2]
+        return res.weights.select("idx", r("weight", 6).alias("weight"))
+
+
+_svrg_wide("svrg_wide", avg=False, fraction=0.5)
+_svrg_wide("svrg_avg_wide", avg=True, fraction=0.5, mean_fraction=0.4)
+_svrg_wide("svrg_avg_wide_observed", avg=True, fraction=0.5, mean_fraction=0.4, variant="observed")
+
 register("momentum_wide", O.trainer_sql("fx1", wide=True, method="momentum", penalty="l2", reg=0.1, step=1.0,
                                         iters=3, fraction=0.6))(_wide_query("momentum", 1.0, 0.6))
 register("adam_wide", O.trainer_sql("fx1", wide=True, method="adam", penalty="l2", reg=0.1, step=0.01,
@@ -685,15 +773,18 @@ register("sgd_sparse_multinomial",
                         tol=0.0), num_features=64), spark))
 
 
-def _svrg_query(name: str, *, avg: bool, out=None, select: str | None = None, **kw):
-    """A variance-reduced trainer with its own draws, sampled and in shards, against SQL."""
+def _svrg_query(name: str, *, avg: bool, out=None, select: str | None = None, sparse: bool = False, max_shard_bytes: int = 512 << 20, **kw):
+    """A variance-reduced trainer with its own draws, sampled and in shards, against SQL; over sparse
+    rows, or streamed (a bound on shards that they exceed)."""
     common = dict(step=0.1, reg=0.1, iters=3, shards=4, **kw)
 
     @register(name, O.svrg_sql(avg=avg, select=select, **common))
     def q(spark, sf_dir):
-        res = fit(tables.embeddings_binary(spark, sf_dir),
+        df = tables.embeddings_binary(spark, sf_dir)
+        res = fit(_sparse_copy(spark, df) if sparse else df,
                   TrainConfig(method="svrg_avg" if avg else "svrg", penalty="l2", tol=0.0, shard_by="key_mod",
-                              sampler="md5", sample_by="key", **common))
+                              sampler="md5", sample_by="key", max_shard_bytes=max_shard_bytes, **common),
+                  num_features=64 if sparse else None)
         return out(res, spark) if out else weights_out(res, spark)
 
 
@@ -703,6 +794,11 @@ _svrg_query("svrg_minibatch", avg=False, order="random", fraction=0.5)
 _svrg_query("svrg_history", avg=False, order="random", fraction=0.5, out=_history_out, select=_SVRG_HIST)
 _svrg_query("svrg_avg_sampled", avg=True, order="random", fraction=0.5, mean_fraction=0.4)
 _svrg_query("svrg_avg_observed", avg=True, order="random", fraction=0.5, mean_fraction=0.4, variant="observed")
+_svrg_query("svrg_sparse", avg=False, order="random", fraction=0.5, sparse=True)
+_svrg_query("svrg_avg_sparse", avg=True, order="random", fraction=0.5, mean_fraction=0.4, sparse=True)
+_svrg_query("svrg_streamed", avg=False, order="random", fraction=0.5, max_shard_bytes=1000)
+_svrg_query("svrg_avg_streamed", avg=True, order="random", fraction=0.5, mean_fraction=0.4, max_shard_bytes=1000)
+_svrg_query("svrg_avg_streamed_sparse", avg=True, order="key", sparse=True, max_shard_bytes=1000)
 _svrg_query("svrg_avg_history", avg=True, order="random", fraction=0.5, mean_fraction=0.4, out=_history_out,
             select=_SVRG_HIST)
 

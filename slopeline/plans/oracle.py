@@ -152,6 +152,9 @@ def update_sql(method: str, variant: str, penalty: str, step: float, reg: float,
         return f"(w - {lit(step)} * {mh} / (sqrt({vh}) + 1e-8))", m, v, "p"
     if method == "sign_sgd":
         return f"(w - {lit(eta)} * sign(g))", "s1", "s2", "p"
+    if method == "rms":
+        sq = "(0.9 * s1 + 0.1 * (g * g))"
+        return f"(w - {lit(step)} * g / (sqrt({sq}) + 1e-6))", sq, "s2", "p"
     raise ValueError(method)
 
 

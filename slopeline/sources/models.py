@@ -7,6 +7,11 @@ its threshold. A least-squares model gives the margin, and so does a user loss u
 labels are 0 and 1. Multinomial weights are one flat class-major
 vector of ``(K-1) * d`` entries, or ``(K-1) * (d+1)`` when each class block ends with its
 bias slot; class 0 is the pivot.
+
+A wide model is too large for one row: its weights are a partitioned table ``weights`` and its one-row
+``manifest`` holds the rest, with the number of weight rows and a checksum of them. The manifest is
+written last, so a model whose write broke off has none and is refused, and so is one whose
+weights are not those that the manifest describes.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slopeline.session import path_exists
+
 # The stored format tag, the kinds of the built-in losses and the decision
 # threshold of each (None: no classes, the margin is the prediction).
 FORMAT = "slopeline-linear/1"
@@ -121,3 +128,68 @@ def model_frame(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.parquet(path)
             .select("num_features", "num_classes", "intercept", "threshold",
                     F.posexplode("weights").alias("idx", "weight")))
+
+
+WIDE_FORMAT = "slopeline-wide/1"
+MANIFEST_SCHEMA = ("format STRING, kind STRING, num_features INT, num_classes INT, intercepts ARRAY<DOUBLE>, "
+                   "threshold DOUBLE, weight_rows BIGINT, checksum BIGINT")
+
+
+@dataclass
+class WideModel:
+    """A model whose weights are a table ``(idx, weight)``, or ``(class, idx, weight)``."""
+
+    weights: DataFrame
+    num_features: int
+    num_classes: int = 2
+    intercepts: tuple = ()
+    threshold: float | None = DEFAULT_THRESHOLD
+    kind: str = KIND
+
+    def predict(self, entries: DataFrame, *, keys: DataFrame | None = None, output: str = "prediction") -> DataFrame:
+        """Score long-form entries as :func:`slopeline.operators.wide.predict_wide`."""
+        from slopeline.operators.wide import predict_wide
+
+        return predict_wide(entries, self.weights, keys=keys, intercept=self.intercepts or 0.0, threshold=self.threshold,
+                            num_features=self.num_features, output=output, kind=self.kind)
+
+
+def wide_model(result, threshold: float | None | str = "default") -> WideModel:
+    """The model of a wide fit; its kind and its threshold come from the loss."""
+    kind = {"multinomial": "multinomial" if result.num_classes > 2 else "logistic"}.get(result.loss, result.loss)
+    kind = kind if kind in KIND_THRESHOLDS else "margin"
+    return WideModel(result.weights, result.num_features, result.num_classes, tuple(result.intercepts),
+                     KIND_THRESHOLDS[kind] if threshold == "default" else threshold, kind)
+
+
+def _weight_facts(weights: DataFrame) -> tuple[int, int]:
+    """Rows and an order-free checksum of a weight table (one aggregate)."""
+    names = [c for c in ("class", "idx", "weight") if c in weights.columns]
+    r = weights.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*names)).alias("x")).first()
+    return int(r["n"]), int(r["x"] or 0)
+
+
+def save_wide_model(model: WideModel, path: str) -> str:
+    """Write a wide model to a new folder ``path``: the weights first, the manifest last."""
+    spark = model.weights.sparkSession
+    path = path.rstrip("/")
+    model.weights.write.parquet(f"{path}/weights")  # an error where there is one already
+    rows, checksum = _weight_facts(spark.read.parquet(f"{path}/weights"))
+    row = (WIDE_FORMAT, model.kind, int(model.num_features), int(model.num_classes), [float(b) for b in model.intercepts],
+           None if model.threshold is None else float(model.threshold), rows, checksum)
+    spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.parquet(f"{path}/manifest")
+    return path
+
+
+def load_wide_model(spark: SparkSession, path: str) -> WideModel:
+    """Read a model written by :func:`save_wide_model`; count and checksum of its weights are checked."""
+    path = path.rstrip("/")
+    if not path_exists(spark, f"{path}/manifest/_SUCCESS"):
+        raise ValueError(f"{path} holds no finished wide model: its manifest is missing")
+    r = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").first()
+    if r is None or r["format"] != WIDE_FORMAT or r["kind"] not in KIND_THRESHOLDS:
+        raise ValueError(f"unrecognised model: {path} cannot be read as {WIDE_FORMAT!r}")
+    weights = spark.read.parquet(f"{path}/weights")
+    if _weight_facts(weights) != (r["weight_rows"], r["checksum"]):
+        raise ValueError(f"the weights under {path} are not those of its manifest")
+    return WideModel(weights, r["num_features"], r["num_classes"], tuple(r["intercepts"]), r["threshold"], r["kind"])
