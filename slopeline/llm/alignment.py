@@ -37,14 +37,14 @@ from .text import LEAD, per_text, span_hashes, text_pieces
 from .tokens import plain_texts, pretoken_starts
 
 #: Bytes of text in one written row; a longer text is a row of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 #: The counts are broadcast up to this many id pairs (17 bytes each), and joined beyond.
 BROADCAST_PAIRS = 2 << 20
 #: Words that a library is given in one text.
 WORDS_A_TEXT = 512
 #: A worker's table of words starts anew beyond these numbers of words and of ids.
-MOST_WORDS, MOST_IDS = 1 << 20, 1 << 23
+MOST_WORDS, MOST_IDS = 3 << 18, 1 << 22
 #: New words are kept apart from the others, and merged in when they are more than this.
 RECENT_WORDS = 1 << 16
 
@@ -340,7 +340,7 @@ class Links:
         self.a, self.b = (np.frombuffer(row[c], f"u{row['width']}") for c in ("a", "b"))
         self.n_a, self.n_b = np.frombuffer(row["n_a"], np.int32).astype(np.int64), np.frombuffer(row["n_b"], np.int32).astype(np.int64)
         self.ids, self.nulls = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["nulls"], bool)
-        self.ends_a, self.ends_b = np.cumsum(lengths_a[self.a]), np.cumsum(lengths_b[self.b])
+        self.ends_a, self.ends_b = (np.cumsum(n[ids], dtype=np.int32) for n, ids in ((lengths_a, self.a), (lengths_b, self.b)))  # a text has less than 2 GB
         # Each piece between neighbouring cuts of either kind lies in one token of A and one of B.
         at_b = np.searchsorted(self.ends_a, self.ends_b)
         both = self.ends_a[np.minimum(at_b, max(0, len(self.ends_a) - 1))] == self.ends_b if len(self.ends_a) else np.zeros(0, bool)
@@ -360,13 +360,14 @@ class Links:
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each document: decimal ids, groups in order."""
-        tokens = np.concatenate([self.a, self.b]).astype(np.int64)
-        group = np.concatenate([np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)])
-        kind = np.repeat([0, 1], [len(self.a), len(self.b)])
-        order = np.lexsort((kind, group))  # stable: tokens of one kind stay in text order
+        tokens = np.concatenate([self.a, self.b]).astype(np.int32)
+        group = np.concatenate([np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)]).astype(np.int32)
+        kind = np.repeat(np.array([0, 1], np.int8), [len(self.a), len(self.b)])
+        order = np.argsort(group * np.int64(2) + kind, kind="stable")  # tokens of one kind stay in text order
         tokens, group, kind = tokens[order], group[order], kind[order]
-        owner = np.concatenate([np.repeat(np.arange(len(self.n_a)), self.n_a), np.repeat(np.arange(len(self.n_b)), self.n_b)])[order]
-        mark = np.zeros(len(tokens), np.int64)  # 0 a comma, 1 a bar, 2 a semicolon, 3 nothing
+        owner = np.concatenate([np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (self.n_a, self.n_b)])[order]
+        del order
+        mark = np.zeros(len(tokens), np.int32)  # 0 a comma, 1 a bar, 2 a semicolon, 3 nothing
         mark[:-1][(group[1:] == group[:-1]) & (kind[1:] != kind[:-1])] = 1
         mark[:-1][group[1:] != group[:-1]] = 2
         mark[:-1][owner[1:] != owner[:-1]] = 3
