@@ -1,13 +1,14 @@
 """Toxicity categories by a chain of linear classifiers.
 
-The chain predicts its categories in order. Each link is a logistic regression over the uses of
-words and word beginnings and the probabilities of all earlier categories. While fitting, those probabilities are
-out-of-fold predictions, so that a later link sees earlier ones as uncertain as they will be on
-new documents; the final links are fitted on all sampled rows.
-
-Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of doc_id) and a bounded
-number of words (``WORDS``, those with the largest chi-squared statistic for any category, counted
-by Spark over the sample). Scoring reads every whole text in one pass without a shuffle.
+The chain predicts its categories, columns of the labels, in order. Each link is a logistic regression over
+the uses of words and word beginnings and the probabilities of all earlier categories. While fitting, those
+probabilities are out-of-fold predictions, so that a later link sees earlier ones as uncertain as they will
+be on new documents; the final links are fitted on all sampled rows.
+
+Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of doc_id). Its features
+are all words and word beginnings that go with a category beyond chance: a chi-squared test, counted by
+Spark over the sample, at a level of ``LEVEL`` over all features tested. Scoring reads every whole text in
+one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,36 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quality import chi2_quantile
 from .shared import text_batches, written
-from .text import LOWER, member, per_text, span_hasher, span_hashes, spans, text_pieces
+from .text import LEAD, LOWER, member, per_text, span_hasher, spans, text_pieces
 
 SAMPLE_ROWS = 10_000
-WORDS = 384
-LEAST_DOCUMENTS = 5
+#: Chance that a feature without any meaning is taken, over all features and for one category.
+LEVEL = 0.01
+#: Lengths of word beginnings, in characters.
 PREFIXES = (4, 6, 7)
 FOLDS = 5
-#: Seed words of the two narrower categories: a toxic document with one of them belongs there.
-CATEGORIES = {
-    "name_calling": ["idiot", "moron", "loser", "clown", "scum", "trash"],
-    "contempt": ["stupid", "pathetic", "worthless", "disgusting"],
-}
+#: The chain over the label columns: documents of low quality (0) first, then toxic ones (1).
+CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text and hash of each feature occurrence, and words per text. A word (a run of letters, A-Z
-    lower-cased) is a feature, and so are its beginnings of ``PREFIXES`` bytes: many languages
+    lower-cased) is a feature, and so are its beginnings of ``PREFIXES`` characters: many languages
     build abuse from a stem and endings."""
     data = LOWER[data]
     starts, ends = spans(LETTER[data], offsets)
     counts, hashes = per_text(starts, offsets), span_hasher(data)
-    owner, size = np.repeat(np.arange(len(counts)), counts), ends - starts
+    owner = np.repeat(np.arange(len(counts)), counts)
     texts, found = [owner], [hashes(starts, ends)]
+    lead = np.append(np.flatnonzero(LEAD[data]), len(data))
+    first = np.searchsorted(lead, starts)
     for n in PREFIXES:
-        longer = size > n
+        upto = lead[np.minimum(first + n, len(lead) - 1)]
+        longer = upto < ends
         texts.append(owner[longer])
-        found.append(hashes(starts[longer], starts[longer] + n))
+        found.append(hashes(starts[longer], upto[longer]))
     return np.concatenate(texts), np.concatenate(found), counts
 
 
@@ -63,35 +66,56 @@ def features_of(column) -> list[np.ndarray]:
     return out
 
 
-def hash_of(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hashes(LOWER[data], np.array([0]), np.array([len(data)]))[0])
-
-
-def inputs_of(column, vocabulary: np.ndarray) -> np.ndarray:
-    """Rows by features (``vocabulary`` is sorted): log of one plus the uses in 200 words. Twenty
-    words are added to the text, so that one use in a very short text does not weigh more."""
-    out = [np.zeros((0, len(vocabulary)), np.float32)]
+def inputs_of(column, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature (by place in the sorted ``vocabulary``) and value of every input that is not zero: log
+    of one plus the uses in 200 words. Twenty words are added to the text, so that one use in a very
+    short text does not weigh more."""
+    out = []
     for lo, hi, data, offsets in text_pieces(column):
         owner, hashes, words = word_features(data, offsets)
         at = np.flatnonzero(member(hashes, vocabulary))
-        uses = np.zeros((hi - lo, len(vocabulary)))
-        np.add.at(uses, (owner[at], np.searchsorted(vocabulary, hashes[at])), 1)
-        out.append(np.log1p(200 * uses / (words + 20)[:, None]).astype(np.float32))
-    return np.concatenate(out)
+        keys, uses = np.unique(owner[at] * np.int64(max(1, len(vocabulary))) + np.searchsorted(vocabulary, hashes[at]), return_counts=True)
+        row, feature = np.divmod(keys, max(1, len(vocabulary)))
+        out.append((row + lo, feature, np.log1p(200 * uses / (words[row] + 20))))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights and bias of an L2-penalised logistic regression, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)]).astype(np.float64)
+def fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Weights and bias of an L2-penalised logistic regression, by Newton steps whose equations are solved
+    by conjugate gradients (no matrix of features by features), each held back until the loss falls."""
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     w = np.zeros(x.shape[1])
+
+    def loss(v):
+        z = x @ v
+        return np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * v * v).sum()
+
+    now = loss(w)
     for _ in range(steps):
         p = chance(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        gradient, weight = x.T @ (p - y) + ridge * w, p * (1 - p)
+        move, left = np.zeros_like(w), gradient.copy()
+        way, size = left.copy(), left @ left
+        limit = 1e-10 * size
+        for _ in range(100):
+            if size <= limit or not size:
+                break
+            bent = x.T @ (weight * (x @ way)) + ridge * way
+            share = size / (way @ bent)
+            move += share * way
+            left -= share * bent
+            before, size = size, left @ left
+            way = left + size / before * way
+        scale, after = 1.0, loss(w - move)
+        while after > now and scale > 1e-6:
+            scale /= 2
+            after = loss(w - scale * move)
+        if after >= now:
+            break
+        w, done, now = w - scale * move, now - after < 1e-9 * max(1.0, now), after
+        if done:
             break
     return w
 
@@ -122,57 +146,65 @@ class Chain:
             earlier = np.column_stack([earlier, held])
         return cls(categories, vocabulary, links)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), 0))
+    def predict(self, n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Probabilities, rows by categories, from the inputs that are not zero."""
+        out, f = np.zeros((n, 0)), len(self.vocabulary)
         for w in self.links:
-            out = np.column_stack([out, chance(np.column_stack([x, out]) @ w[:-1] + w[-1])])
+            z = np.bincount(row, weights=value * w[feature], minlength=n) + out @ w[f:-1] + w[-1]
+            out = np.column_stack([out, chance(z)])
         return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]] | None = None, sample_rows: int = SAMPLE_ROWS, words: int = WORDS) -> Chain | None:
-    """Fit the chain (narrow categories, then ``toxic``) on labelled documents; None without any.
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]] | None = None, sample_rows: int = SAMPLE_ROWS, level: float = LEVEL) -> Chain | None:
+    """Fit the chain on labelled documents; None without any. ``categories``, in order, name a column of
+    ``labels`` and the value that means the category.
 
-    Rows with a null doc_id or label take no part; of several labels of a document, the greatest
-    holds; labels without a document are ignored."""
+    Rows with a null doc_id or label take no part; of several labels of a document, the one that means a category
+    holds; of several texts of a document, the longest (then the greatest) is read throughout;
+    labels without a document are ignored."""
     text_batches(docs.sparkSession)
     categories = CATEGORIES if categories is None else categories
-    names = [*categories, "toxic"]
-    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    seeds = [np.sort(np.array([hash_of(w) for w in ws], np.uint64)) for ws in categories.values()]
+    names = list(categories)
+    marks = [F.when(F.col(c).isNotNull(), (F.col(c).cast("int") == v).cast("int")).alias(n) for n, (c, v) in categories.items()]
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *marks).dropna().groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    # Written once, one text a document: labels, features and inputs come from the same text.
+    texts = written(texts.groupBy("doc_id", *names).agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "toxic-sample")
 
     def run(batches):
         for b in batches:
-            toxic = b.column("toxic").to_numpy()
             found = features_of(b.column("text"))
-            marks = [[bool(t and member(h, s).any()) for h, t in zip(found, toxic)] for s in seeds]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())),
-                                              *(pa.array(m, pa.bool_()) for m in marks), pa.array(toxic != 0)], names=["doc_id", "words", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), *(b.column(n) for n in names)], names=["words", *names])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
-    rows = written(texts.mapInArrow(run, "doc_id long, words array<long>, " + ", ".join(f"`{n}` boolean" for n in names)), "toxic-sample")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(n).cast("long")).alias(n) for n in names)).first()
+    totals = texts.agg(F.count(F.lit(1)).alias("n"), *(F.sum(n).alias(n) for n in names)).first()
     n = totals["n"]
     if not n:
         return None
-    counts = rows.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *(F.sum(F.col(c).cast("long")).alias(c) for c in names)).filter(F.col("df") >= LEAST_DOCUMENTS)
+    rows = texts.select("text", *names).mapInArrow(run, "words array<long>, " + ", ".join(f"`{c}` int" for c in names))
+    counts = written(rows.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *(F.sum(c).alias(c) for c in names)), "toxic-words")
 
     def chi2(c):
         """n (ad - bc)^2 over the product of the margins, for word and category."""
         a, df, pos = F.col(c).cast("double"), F.col("df").cast("double"), float(totals[c] or 0)
         return F.coalesce(n * F.pow(a * n - df * pos, 2) / F.nullif(df * (n - df) * F.lit(pos * (n - pos)), F.lit(0.0)), F.lit(0.0))
 
-    best = counts.select("word", F.greatest(*(chi2(c) for c in names)).alias("chi2")).orderBy(F.desc("chi2"), "word").limit(words).collect()
-    vocabulary = np.sort(np.array([r["word"] for r in best], np.int64).view(np.uint64))
+    edge = chi2_quantile(1 - level / max(1, counts.count()), 1)
+    telling = counts.filter(F.greatest(*(chi2(c) for c in names)) >= edge).select("word").collect()  # bounded by the words of the sample
+    vocabulary = np.sort(np.array([r["word"] for r in telling], np.int64).view(np.uint64))
 
     def encode(batches):
         for b in batches:
-            x = inputs_of(b.column("text"), vocabulary)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
-
-    encoded = texts.select("doc_id", "text").mapInArrow(encode, "doc_id long, x binary")
-    held = rows.select("doc_id", *names).join(encoded, "doc_id").orderBy("doc_id").collect()  # at most sample_rows
-    x = np.frombuffer(b"".join(r["x"] for r in held), np.float32).reshape(len(held), -1)
+            row, feature, value = inputs_of(b.column("text"), vocabulary)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in names), pa.array([feature[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                                              pa.array([value[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", *names, "features", "inputs"])
+
+    encoded = texts.mapInArrow(encode, "doc_id long, " + ", ".join(f"`{c}` int" for c in names) + ", features binary, inputs binary")
+    held = encoded.orderBy("doc_id").collect()  # at most sample_rows, their telling words alone
+    x = np.zeros((len(held), len(vocabulary)), np.float32)
+    for k, r in enumerate(held):
+        x[k, np.frombuffer(r["features"], np.int32)] = np.frombuffer(r["inputs"], np.float64)
     y = np.array([[float(r[c]) for c in names] for r in held])
     folds = np.array([r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64) >> 32 for r in held]) % FOLDS
     return Chain.fit(names, vocabulary, x, y, folds)
@@ -183,11 +215,11 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5)
     last one reaches ``threshold``. Null and empty texts have no words; without a chain all
     probabilities are 0; repeated rows are scored alike; an empty table gives an empty result."""
     text_batches(docs.sparkSession)
-    names = chain.categories if chain else [*CATEGORIES, "toxic"]
+    names = chain.categories if chain else list(CATEGORIES)
 
     def run(batches):
         for b in batches:
-            p = chain.predict(inputs_of(b.column("text"), chain.vocabulary)) if chain else np.zeros((b.num_rows, len(names)))
+            p = chain.predict(b.num_rows, *inputs_of(b.column("text"), chain.vocabulary)) if chain else np.zeros((b.num_rows, len(names)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)],
                                              names=["doc_id", *(f"p_{n}" for n in names), "toxic"])
 
