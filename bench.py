@@ -69,16 +69,14 @@ def main():
         tn, res = timed(lambda: fit(df, TrainConfig(iters=n, tol=0.0, **cfg)), repeat=2)
         return tn, (tn - t1) / (n - 1), res
 
-    # at 600,000 rows the Arrow kernel is the caller's better choice (no recompile a step); the
-    # ten-fold table below keeps the default for narrow models, the JVM sums
-    total, it, res = per_iter(fx2, method="sgd", penalty="l2", reg=1.0, kernel="arrow", partitions=spark.sparkContext.defaultParallelism)
+    total, it, res = per_iter(fx2, method="sgd", penalty="l2", reg=1.0, partitions=spark.sparkContext.defaultParallelism)
     q["sgd_lineitem_10it"] = total
     q["sgd_lineitem_per_iter"] = it
     t, _ = timed(lambda: area_under_roc(score_and_label(fx2, res.model)))
     q["score_auc_lineitem"] = t
     # the original experiment's end-to-end figure: split 70/30, train, score the held-out
     # part, AUC and a row count
-    t, _ = timed(lambda: run_experiment(fx2, methods=("sgd",), iterations=10, trainer_options=dict(kernel="arrow")).collect())
+    t, _ = timed(lambda: run_experiment(fx2, methods=("sgd",), iterations=10).collect())
     q["experiment_sgd_lineitem_10it"] = t
 
     # yardstick: pyspark.mllib SGD on the same cached rows
@@ -129,8 +127,7 @@ def main():
     for method, step in (("momentum", 1.0), ("adagrad", 0.01), ("adadelta", 1.0), ("adam", 0.001), ("svrg_avg", 0.1)):
         q[f"{method}_lineitem_5it"] = timed(lambda: fit(fx2, TrainConfig(method=method, penalty="l2", reg=1.0, step=step, iters=5, tol=0.0,
                                                                          partitions=spark.sparkContext.defaultParallelism)))[0]
-    t, _ = timed(lambda: run_experiment(fx2, iterations=10, partitions=spark.sparkContext.defaultParallelism,
-                                       trainer_options=dict(kernel="arrow")).collect())
+    t, _ = timed(lambda: run_experiment(fx2, iterations=10, partitions=spark.sparkContext.defaultParallelism).collect())
     q["experiment_six_methods_lineitem_10it"] = t
     entries, labels = tables.embeddings_long(spark, sf_dir)
     q["sgd_wide_embeddings_20it"] = timed(lambda: fit_wide(entries, labels, TrainConfig(
@@ -138,6 +135,9 @@ def main():
     q["sgd_wide_embeddings_3it"] = timed(lambda: fit_wide(entries, labels, TrainConfig(
         method="sgd", penalty="l2", reg=0.1, iters=3, tol=0.0), num_features=64).weights.count())[0]
 
+    q["svrg_avg_wide_embeddings_3it"] = timed(lambda: fit_wide(entries, labels, TrainConfig(
+        method="svrg_avg", penalty="l2", reg=0.1, step=0.1, iters=3, tol=0.0, fraction=0.5, mean_fraction=0.5), num_features=64).weights.count())[0]
+
     headline = [k for k in q if not k.startswith("mllib_") and not k.endswith("_per_iter")]
     print(json.dumps({
         "metric": "total_sec_headline_queries",
