@@ -27,7 +27,7 @@ from .repeats import _slices, bucket_of, from_planes, planes
 from .shared import parts, text_batches, total_bytes, written
 from .text import _INVERSE, _BASE, BYTE_VALUES, LOWER, SPACE, _power, mix, per_text, span_hashes, text_column, word_spans
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 #: The end of a text, sent as a word that no text has.
 END = b"\n"
