@@ -174,7 +174,7 @@ def stop_cost(index: DataFrame, grid: Grid, cosine: float, target: float) -> flo
     table[found.column("q").to_numpy(), found.column("bin").to_numpy()] = found.column("n").to_numpy()
     upto = table.cumsum(1)[table.sum(1) > 0]
     recall = np.minimum(upto.sum(0) / upto[:, -1].sum(), (upto / upto[:, -1:]).mean(0))
-    return exact * int(np.argmax(recall >= target)) / BINS
+    return exact * int(np.argmax(recall >= target - 1e-12)) / BINS
 
 
 class Forest:
@@ -266,7 +266,7 @@ def _links(index: DataFrame, grid: Grid, cosine: float, stop: float, block_rows:
     return both.groupBy("i", "mb", "qb").applyInArrow(compare, FOUND)
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.9, target: float = 0.999, block_rows: int | None = None, codes: int | None = None, stop: float | None = None) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.9, target: float = 1.0, block_rows: int | None = None, codes: int | None = None, stop: float | None = None) -> DataFrame:
     """One row per row of ``embeddings`` (vec_id, embedding): vec_id, n_links (other vectors of
     cosine >= ``cosine`` found), component_id (least vec_id reachable by links) and kept.
 
