@@ -38,6 +38,8 @@ CELL_VECTORS, MOST_CODES = 64, 512
 #: Bytes of vectors in a block of members or of queries.
 BLOCK_BYTES = 2 << 20
 BINS = 256
+#: The stop found on the sample times this, for neighbours farther out than any of the sample's.
+MARGIN = 1.5
 SALTS = 32
 
 INDEX = "cid long, least long, copies long, dim int, x binary, i int, j int"
@@ -174,7 +176,7 @@ def stop_cost(index: DataFrame, grid: Grid, cosine: float, target: float) -> flo
     table[found.column("q").to_numpy(), found.column("bin").to_numpy()] = found.column("n").to_numpy()
     upto = table.cumsum(1)[table.sum(1) > 0]
     recall = np.minimum(upto.sum(0) / upto[:, -1].sum(), (upto / upto[:, -1:]).mean(0))
-    return exact * int(np.argmax(recall >= target - 1e-12)) / BINS
+    return min(exact, MARGIN * exact * int(np.argmax(recall >= target - 1e-12)) / BINS)
 
 
 class Forest:
