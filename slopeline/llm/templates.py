@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches, written
+from .shared import of_worker, text_batches, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select option button".split())
@@ -73,6 +73,10 @@ STEADY = 0.1
 ROUNDING = 1e-6
 
 _PLAIN = re.compile(r"[^>\"']*")
+#: Tags that a worker keeps worked out.
+MOST_TAGS = 10_000
+#: A tag without quotation marks.
+_PLAIN_TAG = re.compile(r"</?[a-zA-Z][^>\"'<]*>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -107,52 +111,57 @@ def _label(name: str, attributes: str, listed: bool) -> str:
     return name + "".join(f"{mark}{found[k]}" for k, mark in (("class", "."), ("role", "@"), ("id", "#")) if k in found and (k != "id" or listed))
 
 
-def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, name, attributes) of tags, in one linear pass; a closing tag's name begins with a slash, and
-    comments, declarations and the like have no name. An unclosed comment lasts to the end; a tag
-    with an unclosed quotation mark ends at the next ``>``; a ``<`` that begins nothing is text."""
-    at, size, dead = 0, len(page), set()
+def tag_at(page: str, begin: int, dead: set) -> tuple[int, str] | None:
+    """End and text of the tag that begins with the ``<`` at ``begin``, for any but the plainest ones; an empty
+    text where no tag begins there, a text of ``!`` for comments and the like, None where nothing more ends.
+    An unclosed comment lasts to the end; a tag with an unclosed quotation mark ends at the next ``>``. ``dead``
+    are the marks known not to occur again, so that all calls together take linear time."""
+    mark = page[begin + 1 : begin + 2]
+    if page.startswith("<!--", begin):
+        end = page.find("-->", begin + 4)
+        return (len(page) if end < 0 else end + 3), "!"
+    if page.startswith("<![CDATA[", begin) and (end := page.find("]]>", begin)) >= 0:
+        return end + 3, "!"
+    closing = mark == "/" and page[begin + 2 : begin + 3].isascii() and page[begin + 2 : begin + 3].isalpha()
+    if closing or mark and mark in "!?":
+        end = page.find(">", begin + 1) + 1
+        return (end, page[begin:end] if closing else "!") if end else None
+    if not (mark.isascii() and mark.isalpha()):
+        return begin + 1, ""
+    end = begin + 1
     while True:
-        begin = page.find("<", at)
-        if begin < 0 or begin + 1 >= size:
-            return
-        mark = page[begin + 1]
-        closing = mark == "/"
-        if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            end = size if end < 0 else end + 3
-            yield begin, end, "", ""
-        elif page.startswith("<![CDATA[", begin) and (end := page.find("]]>", begin)) >= 0:
-            end += 3
-            yield begin, end, "", ""
-        elif mark in "!?" or closing and page[begin + 2 : begin + 3].isascii() and page[begin + 2 : begin + 3].isalpha():
-            end = page.find(">", begin + 1) + 1
-            if not end:
-                return
-            yield begin, end, "/" + _NAME.match(page, begin + 2)[0].lower() if closing else "", ""
-        elif mark.isascii() and mark.isalpha():
-            end = begin + 1
-            while True:
-                end = _PLAIN.match(page, end).end()
-                if end >= size:
-                    return
-                quote = page[end]
-                if quote == ">":
-                    break
-                other = -1 if quote in dead else page.find(quote, end + 1)
-                if other < 0:
-                    dead.add(quote)
-                    end = page.find(">", end)
-                    if end < 0:
-                        return
-                    break
-                end = other + 1
-            name = _NAME.match(page, begin + 1)[0]
-            yield begin, end + 1, name.lower(), page[begin + 1 + len(name) : end]
-            end += 1
-        else:
-            end = begin + 1
-        at = end
+        end = _PLAIN.match(page, end).end()
+        if end >= len(page):
+            return None
+        quote = page[end]
+        if quote == ">":
+            return end + 1, page[begin : end + 1]
+        other = -1 if quote in dead else page.find(quote, end + 1)
+        if other < 0:
+            dead.add(quote)
+            end = page.find(">", end) + 1
+            return (end, page[begin:end]) if end else None
+        end = other + 1
+
+
+class _Tag:
+    """What a tag's text says."""
+
+    __slots__ = ("name", "closing", "void", "closes_p", "ends", "listed", "label", "block", "placed", "heading", "bad", "header", "link", "bare", "raw")
+
+    def __init__(self, text: str):
+        self.closing = text[1] == "/"
+        name = _NAME.match(text, 1 + self.closing)[0]
+        attributes, self.name = text[1 + self.closing + len(name) : -1], name.lower()
+        name = self.name
+        self.void, self.closes_p, self.ends = name in VOID, name in CLOSES_P, ENDS.get(name)
+        self.listed = not self.closing and _listed(name, attributes)
+        self.label = 0 if self.closing else xxhash.xxh64_intdigest(_label(name, attributes, self.listed))
+        self.block, self.heading = name in BLOCK, name in HEADINGS
+        self.placed = self.block and name not in PROSE and name not in ITEMS
+        self.bad, self.header, self.link = name in BOILERPLATE_TAGS, name == "header", name == "a"
+        self.bare = attributes.endswith("/") and name in ("svg", "math", "path")
+        self.raw = name in ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 
 
 def chained(path: int, label: int) -> int:
@@ -160,6 +169,20 @@ def chained(path: int, label: int) -> int:
     return path ^ path >> 29
 
 
+def tag_of(text: str, known: dict) -> _Tag:
+    """The tag of a text; those without a class, id or role are one a name."""
+    if text[1] != "/" and _ATTRIBUTE.search(text):
+        key = text
+    else:
+        key = _NAME.match(text, 1 + (text[1] == "/"))[0]
+        key = f"</{key}>" if text[1] == "/" else f"<{key}/>" if text.endswith("/>") else f"<{key}>"
+    if key not in known:
+        if len(known) > MOST_TAGS:
+            known.clear()
+        known[key] = _Tag(key)
+    return known[key]
+
+
 class _Open:
     """The open elements: (name, path, boilerplate, link, block, heading, path without places, the block's
     path without places), and the places of each name."""
@@ -170,11 +193,13 @@ class _Open:
         self.stack: list[tuple] = []
         self.places: dict[str, list[int]] = {}
 
-    def top(self) -> tuple:
-        return self.stack[-1] if self.stack else self.ROOT
-
     def last(self, names) -> int:
-        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        place = -1
+        for n in names:
+            found = self.places.get(n)
+            if found and found[-1] > place:
+                place = found[-1]
+        return place
 
     def push(self, entry: tuple) -> None:
         self.places.setdefault(entry[0], []).append(len(self.stack))
@@ -191,6 +216,9 @@ class _Open:
             self.cut(place)
 
 
+P_ENDS = ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote")
+
+
 def scan(page: str) -> Iterator[tuple]:
     """(kind, tag name or raw text, path, depth, within a boilerplate tag, within a link, opens an element with a listed
     class, path of the innermost block, within a heading, text with single spaces, that block's path without places)
@@ -199,65 +227,72 @@ def scan(page: str) -> Iterator[tuple]:
     A path is a hash of the chain of labels, so its size does not grow with the depth; a container's
     label has its place among its like under one element. Elements left
     open are closed as browsers do it: a block ends an open paragraph, an item an open item; a closing
-    tag ends what is open inside it, and one without an opening is skipped."""
-    open_now, labels, met = _Open(), {}, {}
-    at, size = 0, len(page)
-
-    def text(begin: int, end: int):
-        _, path, bad, link, block, heading, _, count = open_now.top()
-        raw = page[begin:end]
-        return Event.TEXT, raw, path, len(open_now.stack), bad, link, False, block, heading, " ".join(raw.split()), count
-
-    for begin, end, name, attributes in tags(page):
-        if begin < at:
-            continue  # within a raw element
+    tag ends what is open inside it, and one without an opening is skipped. Takes linear time."""
+    open_now, met, dead = _Open(), {}, set()
+    known = of_worker("tags", dict)
+    stack, places = open_now.stack, open_now.places
+    find, plain_tag, size = page.find, _PLAIN_TAG.match, len(page)
+    at = look = 0  # where the next text begins, and where a tag may
+    while True:
+        begin = find("<", look)
+        if begin >= 0:
+            simple = plain_tag(page, begin)
+            end, text = (simple.end(), simple[0]) if simple else tag_at(page, begin, dead) or (-1, "")
+            if end >= 0 and not text:
+                look = end
+                continue
+        if begin < 0 or end < 0:
+            begin = size
         if begin > at:
-            yield text(at, begin)
-        at = end
-        if not name:
+            _, path, bad, link, block, heading, _, count = stack[-1] if stack else _Open.ROOT
+            raw = page[at:begin]
+            yield Event.TEXT, raw, path, len(stack), bad, link, False, block, heading, " ".join(raw.split()), count
+        if begin == size:
+            return
+        at = look = end
+        if text == "!":
             continue
-        if name[0] != "/":
-            if name in CLOSES_P:
-                open_now.end(("p",), ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote"))
-            if name in ENDS:
-                open_now.end(*ENDS[name])
-            _, above, bad, link, block, heading, plain, count = open_now.top()
-            depth = len(open_now.stack)
-            if name in VOID:
-                yield Event.BREAK, name, above, depth, bad, link, False, block, heading, "", count
-                continue
-            key = (name, attributes)
-            if key not in labels:
-                listed = _listed(name, attributes)
-                labels[key] = listed, xxhash.xxh64_intdigest(_label(name, attributes, listed))
-            listed, label = labels[key]
-            path, plain = chained(above, label), chained(plain, label)
-            if name in BLOCK and name not in PROSE and name not in ITEMS:
-                place = met[path] = met.get(path, -1) + 1
-                path = chained(path, place) if place else path
-            bad = bad or name in BOILERPLATE_TAGS or name == "header" and open_now.last(("article", "main")) < 0
-            block, count, heading = *((path, plain) if name in BLOCK else (block, count)), heading or name in HEADINGS
-            yield Event.OPEN, name, path, depth + 1, bad, link or name == "a", listed, block, heading, "", count
-            if attributes.endswith("/") and name in ("svg", "math", "path"):
-                continue
-            if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else size
-                yield Event.CLOSE, name, path, depth + 1, bad, link, False, block, heading, "", count
-                continue
-            open_now.push((name, path, bad, link or name == "a", block, heading, plain, count))
-        else:
-            name = name[1:]
-            place = open_now.last((name,))
-            if place >= 0:
-                _, path, bad, link, block, heading, _, count = open_now.stack[place]
+        tag = known.get(text)
+        if tag is None:
+            tag = tag_of(text, known)
+        name = tag.name
+        if tag.closing:
+            found = places.get(name)
+            if found:
+                place = found[-1]
+                _, path, bad, link, block, heading, _, count = stack[place]
                 open_now.cut(place)
                 yield Event.CLOSE, name, path, place + 1, bad, link, False, block, heading, "", count
             elif name == "p":
-                _, path, bad, _, block, heading, _, count = open_now.top()
-                yield Event.BREAK, "hr", path, len(open_now.stack), bad, False, False, block, heading, "", count
-    if at < size:
-        yield text(at, size)
+                _, path, bad, _, block, heading, _, count = stack[-1] if stack else _Open.ROOT
+                yield Event.BREAK, "hr", path, len(stack), bad, False, False, block, heading, "", count
+            continue
+        if tag.closes_p and places.get("p"):
+            open_now.end(("p",), P_ENDS)
+        if tag.ends:
+            open_now.end(*tag.ends)
+        _, above, bad, link, block, heading, plain, count = stack[-1] if stack else _Open.ROOT
+        depth = len(stack)
+        if tag.void:
+            yield Event.BREAK, name, above, depth, bad, link, False, block, heading, "", count
+            continue
+        path, plain = chained(above, tag.label), chained(plain, tag.label)
+        if tag.placed:
+            place = met[path] = met.get(path, -1) + 1
+            path = chained(path, place) if place else path
+        bad = bad or tag.bad or tag.header and open_now.last(("article", "main")) < 0
+        link, heading = link or tag.link, heading or tag.heading
+        if tag.block:
+            block, count = path, plain
+        yield Event.OPEN, name, path, depth + 1, bad, link, tag.listed, block, heading, "", count
+        if tag.bare:
+            continue
+        if tag.raw:
+            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = look = stop.end() if stop else size
+            yield Event.CLOSE, name, path, depth + 1, bad, link, False, block, heading, "", count
+            continue
+        open_now.push((name, path, bad, link, block, heading, plain, count))
 
 
 def element_token(kind: int, path: int) -> int:
