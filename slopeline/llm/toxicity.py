@@ -80,29 +80,59 @@ def inputs_of(column, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
+class Inputs:
+    """Inputs of documents: those that are not zero, by row, and dense columns behind them; the last weight
+    is the bias."""
+
+    def __init__(self, n: int, f: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, dense: np.ndarray | None = None):
+        self.n, self.f, self.row, self.feature, self.value = n, f, row, feature, value
+        self.dense = np.zeros((n, 0)) if dense is None else dense
+        self.width = f + self.dense.shape[1] + 1
+
+    @classmethod
+    def of(cls, x) -> "Inputs":
+        if isinstance(x, cls):
+            return x
+        row, feature = np.nonzero(x)
+        return cls(*x.shape, row, feature, x[row, feature].astype(np.float64))
+
+    def beside(self, dense: np.ndarray) -> "Inputs":
+        return Inputs(self.n, self.f, self.row, self.feature, self.value, dense)
+
+    def rows(self, some: np.ndarray) -> "Inputs":
+        place, here = np.cumsum(some) - 1, some[self.row]
+        return Inputs(int(some.sum()), self.f, place[self.row[here]], self.feature[here], self.value[here], self.dense[some])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * w[self.feature], minlength=self.n) + self.dense @ w[self.f : -1] + w[-1]
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.feature, weights=self.value * r[self.row], minlength=self.f), self.dense.T @ r, [r.sum()]])
+
+
+def fit_link(x, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weights and bias of an L2-penalised logistic regression, by Newton steps whose equations are solved
     by conjugate gradients (no matrix of features by features), each held back until the loss falls."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    ridge = np.full(x.shape[1], penalty)
+    x = Inputs.of(x)
+    ridge = np.full(x.width, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.width)
 
     def loss(v):
-        z = x @ v
+        z = x.times(v)
         return np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * v * v).sum()
 
     now = loss(w)
     for _ in range(steps):
-        p = chance(x @ w)
-        gradient, weight = x.T @ (p - y) + ridge * w, p * (1 - p)
+        p = chance(x.times(w))
+        gradient, weight = x.turned(p - y) + ridge * w, p * (1 - p)
         move, left = np.zeros_like(w), gradient.copy()
         way, size = left.copy(), left @ left
         limit = 1e-10 * size
         for _ in range(100):
             if size <= limit or not size:
                 break
-            bent = x.T @ (weight * (x @ way)) + ridge * way
+            bent = x.turned(weight * x.times(way)) + ridge * way
             share = size / (way @ bent)
             move += share * way
             left -= share * bent
@@ -131,27 +161,26 @@ class Chain:
         self.categories, self.vocabulary, self.links = list(categories), vocabulary, links
 
     @classmethod
-    def fit(cls, categories: Sequence[str], vocabulary: np.ndarray, x: np.ndarray, y: np.ndarray, folds: np.ndarray, penalty: float = 1.0) -> "Chain":
-        links, earlier = [], np.zeros((len(x), 0))
+    def fit(cls, categories: Sequence[str], vocabulary: np.ndarray, x, y: np.ndarray, folds: np.ndarray, penalty: float = 1.0) -> "Chain":
+        links, x = [], Inputs.of(x)
+        earlier = np.zeros((x.n, 0))
         for c in range(len(categories)):
-            inputs = np.column_stack([x, earlier])
-            held = np.full(len(x), y[:, c].mean() if len(y) else 0.0)
+            inputs = x.beside(earlier)
+            held = np.full(x.n, y[:, c].mean() if len(y) else 0.0)
             for f in np.unique(folds):
                 out = folds == f
                 if out.all():
                     continue
-                w = fit_link(inputs[~out], y[~out, c], penalty)
-                held[out] = chance(inputs[out] @ w[:-1] + w[-1])
+                held[out] = chance(inputs.rows(out).times(fit_link(inputs.rows(~out), y[~out, c], penalty)))
             links.append(fit_link(inputs, y[:, c], penalty))
             earlier = np.column_stack([earlier, held])
         return cls(categories, vocabulary, links)
 
     def predict(self, n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Probabilities, rows by categories, from the inputs that are not zero."""
-        out, f = np.zeros((n, 0)), len(self.vocabulary)
+        x, out = Inputs(n, len(self.vocabulary), row, feature, value), np.zeros((n, 0))
         for w in self.links:
-            z = np.bincount(row, weights=value * w[feature], minlength=n) + out @ w[f:-1] + w[-1]
-            out = np.column_stack([out, chance(z)])
+            out = np.column_stack([out, chance(x.beside(out).times(w))])
         return out
 
 
@@ -202,9 +231,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[st
 
     encoded = texts.mapInArrow(encode, "doc_id long, " + ", ".join(f"`{c}` int" for c in names) + ", features binary, inputs binary")
     held = encoded.orderBy("doc_id").collect()  # at most sample_rows, their telling words alone
-    x = np.zeros((len(held), len(vocabulary)), np.float32)
-    for k, r in enumerate(held):
-        x[k, np.frombuffer(r["features"], np.int32)] = np.frombuffer(r["inputs"], np.float64)
+    sizes = [len(r["features"]) // 4 for r in held]
+    x = Inputs(len(held), len(vocabulary), np.repeat(np.arange(len(held)), sizes), np.frombuffer(b"".join(r["features"] for r in held), np.int32), np.frombuffer(b"".join(r["inputs"] for r in held), np.float64))
     y = np.array([[float(r[c]) for c in names] for r in held])
     folds = np.array([r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64) >> 32 for r in held]) % FOLDS
     return Chain.fit(names, vocabulary, x, y, folds)
