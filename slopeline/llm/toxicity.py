@@ -106,6 +106,9 @@ class Inputs:
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.feature], minlength=self.n) + self.dense @ w[self.f : -1] + w[-1]
 
+    def squares(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.feature, weights=self.value * self.value * r[self.row], minlength=self.f), (self.dense * self.dense).T @ r, [r.sum()]])
+
     def turned(self, r: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(self.feature, weights=self.value * r[self.row], minlength=self.f), self.dense.T @ r, [r.sum()]])
 
@@ -126,27 +129,30 @@ def fit_link(x, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndar
     for _ in range(steps):
         p = chance(x.times(w))
         gradient, weight = x.turned(p - y) + ridge * w, p * (1 - p)
+        if np.abs(gradient).max() <= 1e-7 * max(1, x.n):
+            break
+        scale = x.squares(weight) + ridge  # the diagonal of the equations
         move, left = np.zeros_like(w), gradient.copy()
-        way, size = left.copy(), left @ left
-        limit = 1e-10 * size
-        for _ in range(100):
-            if size <= limit or not size:
+        eased = left / scale
+        way, size = eased.copy(), left @ eased
+        limit = min(0.01, np.sqrt(size) / max(1, x.n)) * size  # solved the better, the nearer the optimum
+        for _ in range(200):
+            if size <= limit:
                 break
             bent = x.turned(weight * x.times(way)) + ridge * way
             share = size / (way @ bent)
             move += share * way
             left -= share * bent
-            before, size = size, left @ left
-            way = left + size / before * way
-        scale, after = 1.0, loss(w - move)
-        while after > now and scale > 1e-6:
-            scale /= 2
-            after = loss(w - scale * move)
-        if after >= now:
-            break
-        w, done, now = w - scale * move, now - after < 1e-9 * max(1.0, now), after
-        if done:
+            eased = left / scale
+            before, size = size, left @ eased
+            way = eased + size / before * way
+        length, after = 1.0, loss(w - move)
+        while after > now and length > 1e-6:
+            length /= 2
+            after = loss(w - length * move)
+        if after > now:
             break
+        w, now = w - length * move, after
     return w
 
 
