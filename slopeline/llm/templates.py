@@ -31,7 +31,6 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +74,8 @@ ROUNDING = 1e-6
 _PLAIN = re.compile(r"[^>\"']*")
 #: Tags that a worker keeps worked out.
 MOST_TAGS = 10_000
-#: A tag without quotation marks.
-_PLAIN_TAG = re.compile(r"</?[a-zA-Z][^>\"'<]*>")
+#: A tag whose quotation marks are closed; it ends where ``tag_at`` ends it.
+_PLAIN_TAG = re.compile(r"""</[a-zA-Z][^>"'<]*+>|<[a-zA-Z][^>"'<]*+(?:(?:"[^"]*+"|'[^']*+')[^>"'<]*+)*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -171,7 +170,8 @@ def chained(path: int, label: int) -> int:
 
 def tag_of(text: str, known: dict) -> _Tag:
     """The tag of a text; those without a class, id or role are one a name."""
-    if text[1] != "/" and _ATTRIBUTE.search(text):
+    low = text.lower()
+    if text[1] != "/" and ("class" in low or "id" in low or "role" in low or not text.isascii()) and _ATTRIBUTE.search(text):
         key = text
     else:
         key = _NAME.match(text, 1 + (text[1] == "/"))[0]
@@ -219,7 +219,7 @@ class _Open:
 P_ENDS = ("div", "article", "section", "td", "th", "li", "body", "main", "blockquote")
 
 
-def scan(page: str) -> Iterator[tuple]:
+def scan(page: str) -> list[tuple]:
     """(kind, tag name or raw text, path, depth, within a boilerplate tag, within a link, opens an element with a listed
     class, path of the innermost block, within a heading, text with single spaces, that block's path without places)
     in order.
@@ -229,6 +229,8 @@ def scan(page: str) -> Iterator[tuple]:
     open are closed as browsers do it: a block ends an open paragraph, an item an open item; a closing
     tag ends what is open inside it, and one without an opening is skipped. Takes linear time."""
     open_now, met, dead = _Open(), {}, set()
+    out: list[tuple] = []
+    add = out.append
     known = of_worker("tags", dict)
     stack, places = open_now.stack, open_now.places
     find, plain_tag, size = page.find, _PLAIN_TAG.match, len(page)
@@ -246,9 +248,9 @@ def scan(page: str) -> Iterator[tuple]:
         if begin > at:
             _, path, bad, link, block, heading, _, count = stack[-1] if stack else _Open.ROOT
             raw = page[at:begin]
-            yield Event.TEXT, raw, path, len(stack), bad, link, False, block, heading, " ".join(raw.split()), count
+            add((Event.TEXT, raw, path, len(stack), bad, link, False, block, heading, " ".join(raw.split()), count))
         if begin == size:
-            return
+            return out
         at = look = end
         if text == "!":
             continue
@@ -262,10 +264,10 @@ def scan(page: str) -> Iterator[tuple]:
                 place = found[-1]
                 _, path, bad, link, block, heading, _, count = stack[place]
                 open_now.cut(place)
-                yield Event.CLOSE, name, path, place + 1, bad, link, False, block, heading, "", count
+                add((Event.CLOSE, name, path, place + 1, bad, link, False, block, heading, "", count))
             elif name == "p":
                 _, path, bad, _, block, heading, _, count = stack[-1] if stack else _Open.ROOT
-                yield Event.BREAK, "hr", path, len(stack), bad, False, False, block, heading, "", count
+                add((Event.BREAK, "hr", path, len(stack), bad, False, False, block, heading, "", count))
             continue
         if tag.closes_p and places.get("p"):
             open_now.end(("p",), P_ENDS)
@@ -274,9 +276,10 @@ def scan(page: str) -> Iterator[tuple]:
         _, above, bad, link, block, heading, plain, count = stack[-1] if stack else _Open.ROOT
         depth = len(stack)
         if tag.void:
-            yield Event.BREAK, name, above, depth, bad, link, False, block, heading, "", count
+            add((Event.BREAK, name, above, depth, bad, link, False, block, heading, "", count))
             continue
-        path, plain = chained(above, tag.label), chained(plain, tag.label)
+        path = chained(above, tag.label)
+        plain = path if plain == above else chained(plain, tag.label)
         if tag.placed:
             place = met[path] = met.get(path, -1) + 1
             path = chained(path, place) if place else path
@@ -284,13 +287,13 @@ def scan(page: str) -> Iterator[tuple]:
         link, heading = link or tag.link, heading or tag.heading
         if tag.block:
             block, count = path, plain
-        yield Event.OPEN, name, path, depth + 1, bad, link, tag.listed, block, heading, "", count
+        add((Event.OPEN, name, path, depth + 1, bad, link, tag.listed, block, heading, "", count))
         if tag.bare:
             continue
         if tag.raw:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = look = stop.end() if stop else size
-            yield Event.CLOSE, name, path, depth + 1, bad, link, False, block, heading, "", count
+            add((Event.CLOSE, name, path, depth + 1, bad, link, False, block, heading, "", count))
             continue
         open_now.push((name, path, bad, link, block, heading, plain, count))
 
@@ -326,8 +329,11 @@ def is_running(e: tuple, fixed=frozenset()) -> bool:
 def running(events: list[tuple], fixed=frozenset()) -> list[int]:
     """Running text before each event and in all."""
     sums = [0]
+    total = 0
     for e in events:
-        sums.append(sums[-1] + (len(e[9]) if is_running(e, fixed) else 0))
+        if e[0] == Event.TEXT and is_running(e, fixed):
+            total += len(e[9])
+        sums.append(total)
     return sums
 
 
@@ -337,36 +343,35 @@ class Stray:
 
     def __init__(self, events: list[tuple], ends: dict, around: dict, fixed, steady):
         self.ends, self.around = ends, around
-        names = {e[2]: e[1] for e in events if e[0] == Event.OPEN}
+        prose = {e[2] for e in events if e[0] == Event.OPEN and e[1] in PROSE}
         self.sums, self.bare = [0], {}
+        total = 0
         for e in events:
-            n = 0
-            if is_running(e, fixed):
-                if names.get(e[7], "") in PROSE or e[7] and steady is not None and element_token(COUNT, e[10]) not in steady:
-                    n = len(e[9])
+            if e[0] == Event.TEXT and is_running(e, fixed):
+                if e[7] in prose or e[7] and steady is not None and element_token(COUNT, e[10]) not in steady:
+                    total += len(e[9])
                 else:
                     self.bare[e[7]] = self.bare.get(e[7], 0) + len(e[9])
-            self.sums.append(self.sums[-1] + n)
-        self.path = {k: events[k][2] for k in ends}
+            self.sums.append(total)
         #: Bare text of the elements around each one (a path is met once around it, if it is a root token).
         self.above: dict[int, int] = {}
-        for k in sorted(ends):
-            up = around[k]
-            self.above[k] = self.above[up] + self.bare.get(self.path[up], 0) if up >= 0 else self.bare.get(0, 0)
+        for k, up in around.items():  # in order
+            self.above[k] = self.above[up] + self.bare.get(events[up][2], 0) if up >= 0 else self.bare.get(0, 0)
 
     def outside(self, k: int) -> int:
         return self.sums[-1] - self.sums[self.ends[k]] + self.sums[k] + self.above[k]
 
 
-def flagged(page: str, repeated=frozenset()) -> list[tuple]:
-    """The events of ``scan``, where elements with a listed class are boilerplate as well if the host's
+def flagged(page: str, repeated=frozenset()) -> tuple[list[tuple], dict[int, int], dict[int, int]]:
+    """The events of ``scan`` and their ``spans``, where elements with a listed class are boilerplate as well if the host's
     template repeats them or they hold little of the page's text (LITTLE_SHARE). One around an ``article`` or ``main``
     never is, nor one with most of the running text: of the host's, for those in the template, or of the page's."""
-    events = list(scan(page))
+    events = scan(page)
+    ends, around = spans(events)
     listed = [k for k, e in enumerate(events) if e[6] and not e[4]]
     if not listed:
-        return events
-    (ends, _), sums = spans(events), running(events)
+        return events, ends, around
+    sums = running(events)
     articles = [k for k, e in enumerate(events) if e[0] == Event.OPEN and e[1] in ("article", "main") and not e[4]]
     done = 0
     for k in listed:
@@ -375,7 +380,7 @@ def flagged(page: str, repeated=frozenset()) -> list[tuple]:
         if k >= done and not holds and (event_token(events[k]) in repeated or (sums[ends[k]] - sums[k]) <= LITTLE_SHARE * sums[-1]):
             done = ends[k]
             events[k:done] = [(*e[:4], True, *e[5:]) for e in events[k:done]]
-    return events
+    return events, ends, around
 
 
 def layout_of(events: list[tuple]) -> int:
@@ -388,7 +393,7 @@ def page_tokens(page: str) -> tuple[int, dict[int, list]]:
     """The page's layout, and by token: kind, uses, position of the first use, running text inside (open
     tags), depth, and flags of open tags (1: a listed class, 2: article or main). Token 0 is the page itself;
     tokens of the kind COUNT are block elements whatever their places."""
-    events = list(scan(page))
+    events = scan(page)
     (ends, _), sums = spans(events), running(events)
     out: dict[int, list] = {0: [-1, 1, 0, sums[-1], 0, 0]}
     for n, e in enumerate(events):
@@ -430,28 +435,37 @@ def token_classes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows: dict[tuple[str, int, int], list] = {}
+            rows: dict[tuple[str, int], dict[int, list]] = {}
             for host, page_id, page, weight in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "html", "weight"))):
                 own = xxhash.xxh64_intdigest(f"{page_id}\0{page}")
                 layout, tokens = page_tokens(page)
+                of_layout, marks = rows.setdefault((host, layout), {}), {}
                 for t, (kind, uses, position, mass, depth, flag) in tokens.items():
-                    mark = xxhash.xxh64_intdigest(f"{own} {uses}")
-                    once = weight if uses == 1 else 0.0
-                    for key in ((host, layout, t), (host, 0, t))[: 1 if kind == Event.CLOSE else 2]:
-                        have = rows.get(key)
-                        if have is None:
-                            rows[key] = [kind, uses, mark, position, mass, depth, flag, uses * uses, 1, weight, once]
-                        else:
-                            have[1] += uses
-                            have[2] ^= mark
-                            have[3] += position
-                            have[4] += mass
-                            have[6] |= flag
-                            have[7] += uses * uses
-                            have[8] += 1
-                            have[9] += weight
-                            have[10] += once
-            keys, values = list(rows), list(rows.values())
+                    mark = marks.get(uses)
+                    if mark is None:
+                        mark = marks[uses] = xxhash.xxh64_intdigest(f"{own} {uses}")
+                    have = of_layout.get(t)
+                    if have is None:
+                        of_layout[t] = [kind, uses, mark, position, mass, depth, flag, uses * uses, 1, weight, weight if uses == 1 else 0.0]
+                    else:
+                        have[1] += uses
+                        have[2] ^= mark
+                        have[3] += position
+                        have[4] += mass
+                        have[6] |= flag
+                        have[7] += uses * uses
+                        have[8] += 1
+                        have[9] += weight
+                        if uses == 1:
+                            have[10] += weight
+            for (host, _), of_layout in list(rows.items()):
+                of_host = rows.setdefault((host, 0), {})
+                for t, one in of_layout.items():
+                    if one[0] == Event.CLOSE:
+                        continue
+                    have = of_host.get(t)
+                    of_host[t] = one if have is None else [*have[:1], have[1] + one[1], have[2] ^ one[2], have[3] + one[3], have[4] + one[4], have[5], have[6] | one[6], *(x + y for x, y in zip(have[7:], one[7:]))]
+            keys, values = [(*k, t) for k, some in rows.items() for t in some], [v for some in rows.values() for v in some.values()]
             kind, uses, mark, position, mass, depth, flag, squares, n_rows, n_pages, n_once = zip(*values) if values else [()] * 11
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(kind, pa.int32()), pa.array(uses, pa.int64()),
@@ -492,6 +506,16 @@ def _in_order(places: list[int]) -> list[bool]:
     return keep
 
 
+def of_hosts(batch: pa.RecordBatch, names: list[str], layouts: str, make) -> dict[str, tuple[dict, frozenset, frozenset]]:
+    """By host, from its first row in the batch: its layouts, template strings and repeated elements."""
+    out = {}
+    for k, host in enumerate(names):
+        if host not in out:
+            found, fixed, repeated = (batch.column(c)[k].as_py() for c in (layouts, "fixed", "repeated"))
+            out[host] = {r["layout"]: make(r) for r in found or ()}, frozenset(fixed or ()), frozenset(repeated or ())
+    return out
+
+
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """One row per host and layout (those that LAYOUT_SHARE of the host's pages have): host_pages (distinct, not
     empty, of the layout), ``root`` (the template's tokens in order), ``steady`` (its block elements), ``main`` (the token of the element that holds the article, null if no root element does),
@@ -523,15 +547,16 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     def check(batches):
         for b in batches:
             out: dict[tuple[str, int, int], list] = {}
-            for host, page, weight, roots_of, strings, elements in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight", "roots", "fixed", "repeated"))):
-                events = flagged(page, frozenset(elements or ()))
+            hosts_of = b.column("host").to_pylist()
+            templates = of_hosts(b, hosts_of, "roots", lambda r: (r["root"], frozenset(r["steady"] or ())))
+            for host, page, weight in zip(hosts_of, *(b.column(c).to_pylist() for c in ("html", "weight"))):
+                layouts, fixed, elements = templates[host]
+                events, ends, around = flagged(page, elements)
                 layout = layout_of(events)
-                found = next((r for r in roots_of if r["layout"] == layout), None)
-                if found is None:
+                if layout not in layouts:
                     continue
-                root, ends, around = found["root"], *spans(events)
-                fixed = frozenset(strings or ())
-                sums, stray = running(events, fixed), Stray(events, ends, around, fixed, frozenset(found["steady"] or ()))
+                root, steady_ones = layouts[layout]
+                sums, stray = running(events, fixed), Stray(events, ends, around, fixed, steady_ones)
                 places: dict[int, int] = {}
                 for k, e in enumerate(events):
                     if e[0] != Event.BREAK:
@@ -596,9 +621,8 @@ def article(page: str, templates: dict[int, tuple] | None = None, fixed: list[in
     place. A page without the main element (or a layout without one) gives its outermost ``article`` and
     ``main`` elements, or else its body."""
     strings = frozenset(fixed or ())
-    events = flagged(page, frozenset(repeated or ()))
-    known = (templates or {}).get(layout_of(events)) if templates else None
-    ends, around = spans(events)
+    events, ends, around = flagged(page, frozenset(repeated or ()))
+    known = templates.get(layout_of(events)) if templates else None
     stray = Stray(events, ends, around, strings, frozenset(known[1] or ()) if known else None)
     if known:
         mains = [k for k, e in enumerate(events) if e[0] == Event.OPEN and element_token(Event.OPEN, e[2]) == known[0]] if known[0] is not None else []
@@ -655,8 +679,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [article(page or "", {k["layout"]: (k["main"], k["steady"]) for k in layouts or ()}, *known)
-                     for page, layouts, *known in zip(*(b.column(c).to_pylist() for c in ("html", "layouts", "fixed", "repeated")))]
+            hosts_of = b.column("host").to_pylist()
+            known = of_hosts(b, hosts_of, "layouts", lambda r: (r["main"], frozenset(r["steady"] or ())))
+            texts = [article(page or "", *known[host]) for host, page in zip(hosts_of, b.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "layouts", "fixed", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(templates, "host", "left").select("host", "page_id", "url", "html", "layouts", "fixed", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -179,3 +179,14 @@ def test_deep_and_broken_pages_take_linear_time(html):
     article(html)
     page_tokens(html)
     assert time.process_time() - began < 15
+
+
+def test_tags_with_attributes_are_matched_in_one_step():
+    """The pattern for whole tags ends them where the step-by-step reading does, and takes quoted values."""
+    from slopeline.llm.templates import _PLAIN_TAG, tag_at
+
+    whole = ["<a href=\"/x\">", "<a href='/x' title=\"a > b\">", "<p class='a\"b'>", "<br/>", "</p>", "<a b='<i>'>"]
+    for tag in whole:
+        assert _PLAIN_TAG.match(tag + "rest>")[0] == tag == tag_at(tag + "rest>", 0, set())[1]
+    for odd in ("<a href=\"x>y", "</p x='>'>", "<a <b>", "<1>", "<!-- x -->", "<a '\">"):
+        assert _PLAIN_TAG.match(odd) is None
