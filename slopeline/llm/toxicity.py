@@ -13,7 +13,7 @@ one pass without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import chi2_quantile
-from .shared import text_batches, written
-from .text import LEAD, LOWER, member, per_text, span_hasher, spans, text_pieces
+from .shared import give_back, text_batches, written
+from .text import LEAD, LOWER, SLICE_BYTES, member, per_text, span_hasher, spans, text_pieces
 
 SAMPLE_ROWS = 10_000
+#: Bytes of an Arrow batch: a worker's pieces are 2 MB, and larger batches would only be held beside them, by both sides.
+BATCH_BYTES = 4 << 20
 #: Chance that a feature without any meaning is taken, over all features and for one category.
 LEVEL = 0.01
 #: Lengths of word beginnings, in characters.
@@ -36,33 +38,47 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 
 
-def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text and hash of each feature occurrence, and words per text. A word (a run of letters, A-Z
-    lower-cased) is a feature, and so are its beginnings of ``PREFIXES`` characters: many languages
-    build abuse from a stem and endings."""
+def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Words per text, and text and hash of each feature occurrence, slice by slice of about ``SLICE_BYTES``:
+    the working arrays do not grow with a text. A word (a run of letters, A-Z lower-cased) is a feature, and
+    so are its beginnings of ``PREFIXES`` characters: many languages build abuse from a stem and endings."""
     data = LOWER[data]
     starts, ends = spans(LETTER[data], offsets)
-    counts, hashes = per_text(starts, offsets), span_hasher(data)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    texts, found = [owner], [hashes(starts, ends)]
-    lead = np.append(np.flatnonzero(LEAD[data]), len(data))
-    first = np.searchsorted(lead, starts)
-    for n in PREFIXES:
-        upto = lead[np.minimum(first + n, len(lead) - 1)]
-        longer = upto < ends
-        texts.append(owner[longer])
-        found.append(hashes(starts[longer], upto[longer]))
-    return np.concatenate(texts), np.concatenate(found), counts
+    counts = per_text(starts, offsets)
+
+    def slices():
+        lo = 0
+        while lo < len(starts):
+            first = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, first + SLICE_BYTES, "right")))
+            part, begin, end = data[first : ends[hi - 1]], starts[lo:hi] - first, ends[lo:hi] - first
+            owner, hashes = np.searchsorted(offsets, starts[lo:hi], "right") - 1, span_hasher(part)
+            texts, found = [owner], [hashes(begin, end)]
+            lead = np.append(np.flatnonzero(LEAD[part]), len(part))
+            at = np.searchsorted(lead, begin)
+            for n in PREFIXES:
+                upto = lead[np.minimum(at + n, len(lead) - 1)]
+                longer = upto < end
+                texts.append(owner[longer])
+                found.append(hashes(begin[longer], upto[longer]))
+            yield np.concatenate(texts), np.concatenate(found)
+            lo = hi
+
+    return counts, slices()
 
 
 def features_of(column) -> list[np.ndarray]:
     """The distinct features of each text."""
     out = []
     for lo, hi, data, offsets in text_pieces(column):
-        owner, hashes, _ = word_features(data, offsets)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.cumsum(np.bincount(owner, minlength=hi - lo))[:-1]
-        out += [np.unique(h) for h in np.split(hashes[order], cuts)]
+        each: list[list[np.ndarray]] = [[] for _ in range(hi - lo)]
+        for owner, hashes in word_features(data, offsets)[1]:
+            order = np.argsort(owner, kind="stable")
+            owner, hashes = owner[order], hashes[order]
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for k, h in zip(owner[np.append(0, cuts)].tolist(), np.split(hashes, cuts)):
+                each[k].append(np.unique(h))
+        out += [np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64) for found in each]
     return out
 
 
@@ -70,12 +86,16 @@ def inputs_of(column, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Row, feature (by place in the sorted ``vocabulary``) and value of every input that is not zero: log
     of one plus the uses in 200 words. Twenty words are added to the text, so that one use in a very
     short text does not weigh more."""
-    out = []
+    out, width = [], max(1, len(vocabulary))
     for lo, hi, data, offsets in text_pieces(column):
-        owner, hashes, words = word_features(data, offsets)
-        at = np.flatnonzero(member(hashes, vocabulary))
-        keys, uses = np.unique(owner[at] * np.int64(max(1, len(vocabulary))) + np.searchsorted(vocabulary, hashes[at]), return_counts=True)
-        row, feature = np.divmod(keys, max(1, len(vocabulary)))
+        words, slices = word_features(data, offsets)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for owner, hashes in slices:
+            at = np.flatnonzero(member(hashes, vocabulary))
+            found.append(np.unique(owner[at] * np.int64(width) + np.searchsorted(vocabulary, hashes[at]), return_counts=True))
+        keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        uses = np.bincount(place, weights=np.concatenate([u for _, u in found]), minlength=len(keys))
+        row, feature = np.divmod(keys, width)
         out.append((row + lo, feature, np.log1p(200 * uses / (words[row] + 20))))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
@@ -197,7 +217,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[st
     Rows with a null doc_id or label take no part; of several labels of a document, the one that means a category
     holds; of several texts of a document, the longest (then the greatest) is read throughout;
     labels without a document are ignored."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH_BYTES)
     categories = CATEGORIES if categories is None else categories
     names = list(categories)
     marks = [F.when(F.col(c).isNotNull(), (F.col(c).cast("int") == v).cast("int")).alias(n) for n, (c, v) in categories.items()]
@@ -211,6 +231,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[st
         for b in batches:
             found = features_of(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), *(b.column(n) for n in names)], names=["words", *names])
+        give_back()
 
     totals = texts.agg(F.count(F.lit(1)).alias("n"), *(F.sum(n).alias(n) for n in names)).first()
     n = totals["n"]
@@ -234,9 +255,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[st
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in names), pa.array([feature[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
                                               pa.array([value[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", *names, "features", "inputs"])
+        give_back()
 
     encoded = texts.mapInArrow(encode, "doc_id long, " + ", ".join(f"`{c}` int" for c in names) + ", features binary, inputs binary")
-    held = encoded.orderBy("doc_id").collect()  # at most sample_rows, their telling words alone
+    held = sorted(encoded.collect(), key=lambda r: r["doc_id"])  # at most sample_rows, their telling words alone
     sizes = [len(r["features"]) // 4 for r in held]
     x = Inputs(len(held), len(vocabulary), np.repeat(np.arange(len(held)), sizes), np.frombuffer(b"".join(r["features"] for r in held), np.int32), np.frombuffer(b"".join(r["inputs"] for r in held), np.float64))
     y = np.array([[float(r[c]) for c in names] for r in held])
@@ -248,7 +270,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5)
     """One row per document row: doc_id, the probability of each category and ``toxic``, whether the
     last one reaches ``threshold``. Null and empty texts have no words; without a chain all
     probabilities are 0; repeated rows are scored alike; an empty table gives an empty result."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH_BYTES)
     names = chain.categories if chain else list(CATEGORIES)
 
     def run(batches):
@@ -256,6 +278,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5)
             p = chain.predict(b.num_rows, *inputs_of(b.column("text"), chain.vocabulary)) if chain else np.zeros((b.num_rows, len(names)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)],
                                              names=["doc_id", *(f"p_{n}" for n in names), "toxic"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", toxic boolean")

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,25 @@ def plain_features(text):
     return out, len(re.findall(r"[A-Za-z\u0080-\U0010ffff]+", text or ""))
 
 
+def test_a_long_text_is_worked_through_in_slices():
+    rnd = random.Random(5)
+    stems = [f"{a}{b}" for a in ("Ñandú", "grump", "lore", "ka") for b in ("", "haft", "ig", "éx", "ling")]
+    text = " ".join(rnd.choice(stems) + rnd.choice(["", "s", "es"]) for _ in range(600_000))  # several slices
+    column = pa.array(["ok idiot", text, None, "ok"])
+    found, words = plain_features(text)
+    vocabulary = np.sort(np.array([hash_of(f) for f in found], np.uint64))
+    tracemalloc.start()
+    try:
+        sets = features_of(column)
+        row, feature, value = inputs_of(column, vocabulary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(sets[1], vocabulary) and [len(s) for s in sets] == [3, len(vocabulary), 0, 1]
+    assert set(row.tolist()) == {1} and value.tolist() == pytest.approx([np.log1p(200 * found[f] / (words + 20)) for f in sorted(found, key=hash_of)])
+    assert peak < 25 * len(text.encode())  # 39 bytes a byte of text when hashed as a whole
+
+
 def test_the_whole_query_against_a_plain_replay(spark):
     rows = labelled(300, seed=8)
     marks = {i: (int(i % 3 == 0 or y), y) for i, _, y in rows}
