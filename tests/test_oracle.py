@@ -14,7 +14,7 @@ from conftest import SF_SMALL
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 SLOW: set[str] = set()
-_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT"}
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT", "boolean": "BOOLEAN"}
 
 
 def _norm(v):
